@@ -580,6 +580,119 @@ def q_x18(spark, d):
     return e.select("event_id", ok["k"].alias("k"), bad["missing"].alias("missing"))
 
 
+# ------------------------------------------------- 2.6/2.7 ordered ops
+# Orders in intake order (o_orderdate, o_orderkey). A small bucket size makes
+# the test-scale tables span several range buckets, as large tables do.
+ROWS_PER_BUCKET = 2000
+ORDER = ["o_orderdate", "o_orderkey"]
+SQL_W = "OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey)"
+SQL_V = "CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_totalprice END"
+
+
+def _orders_v(spark, d):
+    o = t(spark, d, "orders")
+    return o.withColumn("v", F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None))
+                        .otherwise(F.col("o_totalprice")))
+
+
+@query("w5_row_index", f"""
+SELECT o_orderkey, CAST(row_number() {SQL_W} - 1 AS BIGINT) AS row_idx FROM orders
+""")
+def q_w5(spark, d):
+    from shoplane.operators.ordered import ordered_index
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return ordered_index(o, ORDER, rows_per_bucket=ROWS_PER_BUCKET).select("o_orderkey", "row_idx")
+
+
+@query("w1_w2_lag_rolling", f"""
+SELECT o_orderkey, round(lag(v, 1) {SQL_W}, 6) AS lag_1, round(lag(v, 2) {SQL_W}, 6) AS lag_2,
+  round(CASE WHEN count(v) OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3
+             THEN avg(v) OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END, 6)
+    AS rolling_mean_3
+FROM (SELECT o_orderkey, o_orderdate, {SQL_V} AS v FROM orders)
+""")
+def q_w1(spark, d):
+    from shoplane.operators.ordered import lag_features
+    o = _orders_v(spark, d).select("o_orderkey", "o_orderdate", "v")
+    r = lag_features(o, "v", ORDER, rows_per_bucket=ROWS_PER_BUCKET)
+    return r.select("o_orderkey", r6("lag_1").alias("lag_1"), r6("lag_2").alias("lag_2"),
+                    r6("rolling_mean_3").alias("rolling_mean_3"))
+
+
+@query("w3_w4_fill", f"""
+SELECT o_orderkey, round(coalesce(v,
+    first_value(v IGNORE NULLS) OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+    last_value(v IGNORE NULLS) OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS v
+FROM (SELECT o_orderkey, o_orderdate, {SQL_V} AS v FROM orders)
+""")
+def q_w3(spark, d):
+    from shoplane.operators.ordered import fill_gaps
+    o = _orders_v(spark, d).select("o_orderkey", "o_orderdate", "v")
+    return fill_gaps(o, ORDER, ["v"], rows_per_bucket=ROWS_PER_BUCKET).select("o_orderkey", r6("v").alias("v"))
+
+
+@query("w_by_group_features", f"""
+SELECT o_orderkey, o_orderstatus,
+  CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS row_idx,
+  round(lag(o_totalprice, 1) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey), 6) AS lag_1
+FROM orders
+""")
+def q_wby(spark, d):
+    from shoplane.operators.ordered import ordered_features
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice")
+    r = ordered_features(o, ORDER, ["o_orderstatus"], index_col="row_idx", lag_col="o_totalprice",
+                         lags=(1,), rows_per_bucket=ROWS_PER_BUCKET)
+    return r.select("o_orderkey", "o_orderstatus", "row_idx", r6("lag_1").alias("lag_1"))
+
+
+@query("o1_sort", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date_in FROM orders
+""")
+def q_o1(spark, d):
+    from shoplane.operators.ordered import sort_by
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return sort_by(o, ORDER).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_in"))
+
+
+@query("o2_time_split", f"""
+SELECT o_orderkey, CASE WHEN row_number() {SQL_W} - 1 < floor(0.9 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part
+FROM orders
+""")
+def q_o2(spark, d):
+    from shoplane.operators.ordered import time_split
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    train, test = time_split(o, ORDER, 0.9, rows_per_bucket=ROWS_PER_BUCKET)
+    return train.select("o_orderkey", F.lit("train").alias("part")).unionByName(
+        test.select("o_orderkey", F.lit("test").alias("part")))
+
+
+@query("o3_time_folds", f"""
+WITH ix AS (SELECT o_orderkey, row_number() {SQL_W} - 1 AS i, count(*) OVER () AS n FROM orders),
+f AS (SELECT range AS fold FROM range(5)),
+b AS (SELECT fold, n - (5 - fold) * (n // 6) AS s, n - (4 - fold) * (n // 6) AS e
+      FROM f, (SELECT max(n) AS n FROM ix))
+SELECT CAST(b.fold AS BIGINT) AS fold, CAST(count(*) FILTER (WHERE i < s) AS BIGINT) AS train_rows,
+       CAST(count(*) FILTER (WHERE i >= s AND i < e) AS BIGINT) AS test_rows,
+       CAST(min(o_orderkey) FILTER (WHERE i >= s AND i < e) AS BIGINT) AS test_min_key,
+       CAST(sum(o_orderkey) FILTER (WHERE i >= s AND i < e) AS BIGINT) AS test_key_sum
+FROM b, ix GROUP BY b.fold
+""")
+def q_o3(spark, d):
+    from shoplane.operators.ordered import fold_frames, ordered_index
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    ix = ordered_index(o, ORDER, rows_per_bucket=ROWS_PER_BUCKET)
+    n = o.count()
+    parts = []
+    for i, (tr, te) in enumerate(fold_frames(ix, n, 5)):
+        a = tr.agg(F.count(F.lit(1)).alias("train_rows"))
+        b = te.agg(F.count(F.lit(1)).alias("test_rows"), F.min("o_orderkey").alias("test_min_key"),
+                   F.sum("o_orderkey").alias("test_key_sum"))
+        parts.append(b.select(F.lit(i).cast("long").alias("fold"),
+                              F.lit(a.select("train_rows").scalar()).alias("train_rows"), "*"))
+    from shoplane.operators.joins import union_by_name
+    return union_by_name(parts)
+
+
 # ------------------------------------------------------------ registration
 
 def register_all(queries: dict, oracles: dict, table_reader: Callable) -> None:
