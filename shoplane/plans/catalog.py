@@ -693,6 +693,126 @@ def q_o3(spark, d):
     return union_by_name(parts)
 
 
+# ------------------------------------------- 2.4 J4, 2.10 E1-E4 (text)
+
+def brand_dictionary_frame(spark, d) -> DataFrame:
+    """Brand dictionary derived from part: brand names (with '#' as a blank),
+    one section per part type (a brand sits in several sections)."""
+    from shoplane.sources import brand_norm
+    p = t(spark, d, "part")
+    b = F.regexp_replace("p_brand", "#", " ")
+    return p.select(b.alias("brand"), F.col("p_type").alias("section"), brand_norm(b).alias("norm")).distinct()
+
+
+def model_text_frame(spark, d) -> DataFrame:
+    """Model text from part: name and brand; MEDIUM parts carry no brand."""
+    p = t(spark, d, "part")
+    txt = F.concat(F.col("p_name"), F.when(F.col("p_type") == "MEDIUM", F.lit(""))
+                   .otherwise(F.concat(F.lit(" "), F.regexp_replace("p_brand", "#", " "))))
+    return p.select("p_partkey", txt.alias("model_text"))
+
+
+def _sql_match(src_cte: str) -> str:
+    """SQL twin of the dictionary match over CTE ``src(p_partkey, t)``."""
+    return src_cte + r""",
+dict AS (SELECT lower(replace(p_brand, '#', ' ')) AS norm, min(replace(p_brand, '#', ' ')) AS brand
+         FROM part GROUP BY 1),
+tok AS (SELECT DISTINCT t, string_split(t, ' ') AS toks FROM src WHERE t IS NOT NULL AND t <> ''),
+pos AS (SELECT t, toks, unnest(range(1, len(toks) + 1)) AS s FROM tok),
+ng AS (SELECT t, toks, s, k, lower(array_to_string(toks[s:s + k - 1], ' ')) AS g
+       FROM pos, (SELECT unnest([1, 2]) AS k) kk WHERE s + k - 1 <= len(toks)),
+m AS (SELECT t, arg_max(brand, k * 1000000 - s) AS brand, arg_max(s, k * 1000000 - s) AS s,
+             arg_max(k, k * 1000000 - s) AS k
+      FROM ng JOIN dict ON dict.norm = ng.g GROUP BY t)
+SELECT src.p_partkey,
+  CASE WHEN src.t IS NULL OR src.t = '' THEN '' ELSE coalesce(m.brand, 'Unknown') END AS brand,
+  CASE WHEN src.t IS NULL OR src.t = '' THEN ''
+       WHEN m.t IS NULL THEN array_to_string(tok.toks, ' ')
+       ELSE array_to_string(list_concat(tok.toks[1:m.s - 1], tok.toks[m.s + m.k:]), ' ') END AS model
+FROM src LEFT JOIN tok ON src.t = tok.t LEFT JOIN m ON src.t = m.t
+"""
+
+
+@query("j4_match_brand", _sql_match(r"""WITH src AS (
+  SELECT p_partkey, p_name || CASE WHEN p_type = 'MEDIUM' THEN '' ELSE ' ' || replace(p_brand, '#', ' ') END AS t
+  FROM part)"""))
+def q_j4(spark, d):
+    from shoplane.operators.brands import match_brand
+    m = match_brand(model_text_frame(spark, d), "model_text", brand_dictionary_frame(spark, d), out="bm")
+    return m.select("p_partkey", F.col("bm.brand").alias("brand"), F.col("bm.model").alias("model"))
+
+
+@query("e2_clean_brand_model", _sql_match("WITH " + SQL_BRAND_TEXT + ", src AS (SELECT p_partkey, "
+                                          + _sql_descriptors(_sql_prefix_case("brand_text")) + " AS t FROM bt)"))
+def q_e2(spark, d):
+    from shoplane.operators.brands import clean_brand_model
+    b = brand_text_frame(spark, d)
+    r = clean_brand_model(b, "brand_text", brand_dictionary_frame(spark, d))
+    return r.select("p_partkey", F.col("Cleaned Brand").alias("brand"), F.col("Cleaned Model").alias("model"))
+
+
+SQL_LEAD = r"(?s)\A\s*(\w+\s+\w+)\s+\((\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}:\d{2})\)[ \t]*(?:\r?\n|\z)(.*)\z"
+SQL_TRAIL = r"(?s)\A(.*?)(?:\r?\n|\A)[ \t]*(\w+\s+\w+)\s+\((\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}:\d{2})\)\s*\z"
+
+
+@query("e3_split_note", "WITH " + SQL_NOTES + f""",
+x AS (SELECT doc_id, note, regexp_matches(note, '{SQL_LEAD}') AS lead, regexp_matches(note, '{SQL_TRAIL}') AS trail FROM notes)
+SELECT doc_id,
+  {_sql_strip(f"CASE WHEN lead THEN regexp_extract(note, '{SQL_LEAD}', 3) WHEN trail THEN regexp_extract(note, '{SQL_TRAIL}', 1) ELSE note END")} AS cleaned_text,
+  regexp_replace(CASE WHEN lead THEN regexp_extract(note, '{SQL_LEAD}', 1) WHEN trail THEN regexp_extract(note, '{SQL_TRAIL}', 2) ELSE '' END, '\\s+', ' ', 'g') AS author,
+  CASE WHEN lead THEN regexp_extract(note, '{SQL_LEAD}', 2) WHEN trail THEN regexp_extract(note, '{SQL_TRAIL}', 3) ELSE '' END AS date
+FROM x
+""")
+def q_e3(spark, d):
+    from shoplane.operators.notes import split_note
+    n = notes_frame(spark, d).select("doc_id", split_note(F.col("note")).alias("s"))
+    return n.select("doc_id", "s.cleaned_text", "s.author", "s.date")
+
+
+@query("e4_note_fallback", "WITH " + SQL_NOTES + r""",
+x AS (SELECT doc_id, regexp_replace(note,
+  '(?m)^(?:\(\d{4}-\d{2}-\d{2}\)\s+\w+|\w+\s+\w+\s+\(\d{1,2}/\d{1,2}/\d{4}\s+\d{2}:\d{2}:\d{2}\))\s*', '', 'g') AS c
+  FROM notes)
+SELECT doc_id, """ + _sql_strip("c") + """ AS cleaned_text, '' AS author, '' AS date FROM x
+""")
+def q_e4(spark, d):
+    from shoplane.operators.notes import note_fallback
+    n = notes_frame(spark, d).select("doc_id", note_fallback(F.col("note")).alias("s"))
+    return n.select("doc_id", "s.cleaned_text", "s.author", "s.date")
+
+
+def rule_extractor(texts: list[str]) -> list:
+    """Deterministic stand-in for a model-backed extractor: first word is the
+    brand, the rest the model; answers malformed JSON for texts starting with
+    'small' and fails outright on texts starting with 'hot'."""
+    out = []
+    for x in texts:
+        if x.startswith("hot "):
+            raise RuntimeError("extractor failure")
+        if x.startswith("small "):
+            out.append("{not json")
+            continue
+        first, _, rest = x.partition(" ")
+        out.append({"brand": first, "model": rest})
+    return out
+
+
+@query("e1_extract_struct", r"""
+WITH src AS (SELECT p_partkey, p_name || ' ' || replace(p_brand, '#', ' ') AS t FROM part)
+SELECT p_partkey,
+  CASE WHEN starts_with(t, 'small ') OR starts_with(t, 'hot ') THEN '' ELSE split_part(t, ' ', 1) END AS brand,
+  CASE WHEN starts_with(t, 'small ') OR starts_with(t, 'hot ') THEN '' ELSE substr(t, strpos(t, ' ') + 1) END AS model
+FROM src
+""")
+def q_e1(spark, d):
+    from shoplane.operators.brands import BRAND_MODEL
+    from shoplane.operators.extract import extract_struct
+    p = t(spark, d, "part").select(
+        "p_partkey", F.concat("p_name", F.lit(" "), F.regexp_replace("p_brand", "#", " ")).alias("t"))
+    r = extract_struct(p, "t", BRAND_MODEL, rule_extractor, out="bm")
+    return r.select("p_partkey", F.col("bm.brand").alias("brand"), F.col("bm.model").alias("model"))
+
+
 # ------------------------------------------------------------ registration
 
 def register_all(queries: dict, oracles: dict, table_reader: Callable) -> None:
