@@ -813,6 +813,181 @@ def q_e1(spark, d):
     return r.select("p_partkey", F.col("bm.brand").alias("brand"), F.col("bm.model").alias("model"))
 
 
+# ---------------------------------------------- 2.10 E8, 2.11 M1-M19
+
+def _sql_lemma(w: str) -> str:
+    parts = []
+    for suffix, repl in W.NOUN_SUFFIX_RULES:
+        cond = f"ends_with({w}, '{suffix}') AND length({w}) - {len(suffix)} >= 2"
+        if suffix == "s":
+            cond += "".join(f" AND NOT ends_with({w}, '{k}')" for k in W.NOUN_KEEP_ENDINGS)
+        parts.append(f"WHEN {cond} THEN substr({w}, 1, length({w}) - {len(suffix)}) || '{repl}'")
+    return "CASE " + " ".join(parts) + f" ELSE {w} END"
+
+
+def sql_preprocess(src: str, id_col: str, text_col: str) -> str:
+    """SQL twin of TextPreprocessor over ``src``: CTE pre(id, processed)."""
+    t = f"regexp_replace(lower(coalesce({text_col}, '')), '[^a-zA-Z\\s]', '', 'g')"
+    for a, b in W.TOKEN_CONTRACTIONS:
+        t = f"regexp_replace({t}, '\\b({a})({b})\\b', '\\1 \\2', 'g')"
+    stop = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in W.ENGLISH_STOP_WORDS) + "]"
+    return f"""pre0 AS (SELECT {id_col} AS id, {t} AS t FROM {src}),
+pre1 AS (SELECT id, list_filter(regexp_split_to_array(t, '\\s+'),
+                 lambda x: x <> '' AND NOT list_contains({stop}, x)) AS toks FROM pre0),
+pre AS (SELECT id, array_to_string(list_transform(toks, lambda w: {_sql_lemma('w')}), ' ') AS processed FROM pre1)"""
+
+
+@query("x6_x11_preprocess_text", "WITH " + sql_preprocess("documents", "doc_id", "text") + """
+SELECT id AS doc_id, processed FROM pre
+""")
+def q_x6(spark, d):
+    from shoplane.operators.features import TextPreprocessor
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    tp = TextPreprocessor(inputCol="text", outputCol="processed")
+    return tp.transform(docs).select("doc_id", "processed")
+
+
+@query("m1_tfidf", "WITH " + sql_preprocess("documents", "doc_id", "text") + r""",
+tk AS (SELECT id AS doc_id, unnest(regexp_extract_all(processed, '\b\w\w+\b')) AS term FROM pre),
+nd AS (SELECT count(*) AS n FROM pre),
+st AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tk GROUP BY term),
+v AS (SELECT term, df FROM st ORDER BY tf DESC, term ASC LIMIT 100),
+wt AS (SELECT tk.doc_id, tk.term, count(*) * (ln((1 + nd.n) / (1 + v.df)) + 1) AS w
+       FROM tk JOIN v ON tk.term = v.term CROSS JOIN nd GROUP BY tk.doc_id, tk.term, v.df, nd.n),
+nr AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM wt GROUP BY doc_id)
+SELECT wt.doc_id, wt.term, round(wt.w / nr.norm, 6) AS weight FROM wt JOIN nr ON wt.doc_id = nr.doc_id
+""")
+def q_m1(spark, d):
+    from shoplane.operators.features import TextPreprocessor, TfidfTop
+    from pyspark.ml.functions import vector_to_array
+    docs = TextPreprocessor(inputCol="text", outputCol="processed").transform(
+        t(spark, d, "documents").select("doc_id", "text"))
+    model = TfidfTop(inputCol="processed", outputCol="tfidf", maxFeatures=100).fit(docs)
+    vocab = F.array(*[F.lit(w) for w in model.getOrDefault("vocabulary")])
+    out = model.transform(docs).select("doc_id", F.posexplode(vector_to_array("tfidf")).alias("i", "w"))
+    return out.filter(F.col("w") != 0).select("doc_id", F.element_at(vocab, F.col("i") + 1).alias("term"),
+                                              r6("w").alias("weight"))
+
+
+@query("m2_mean_impute", """
+SELECT d.doc_id, round(coalesce(CAST(l.quality AS DOUBLE), avg(CAST(l.quality AS DOUBLE)) OVER ()), 6) AS quality
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+""")
+def q_m2(spark, d):
+    from pyspark.ml.feature import Imputer
+    docs = t(spark, d, "documents").select("doc_id")
+    lab = t(spark, d, "labels").select("doc_id", F.col("quality").cast("double"))
+    j = docs.join(lab, "doc_id", "left")
+    m = Imputer(strategy="mean", inputCols=["quality"], outputCols=["q"]).fit(j)
+    return m.transform(j).select("doc_id", r6("q").alias("quality"))
+
+
+@query("m3_population_scaler", """
+WITH s AS (SELECT avg(l_quantity) AS a1, stddev_pop(l_quantity) AS s1, avg(l_extendedprice) AS a2,
+                  stddev_pop(l_extendedprice) AS s2, avg(l_discount) AS a3, stddev_pop(l_discount) AS s3 FROM lineitem)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+  round((l_quantity - a1) / s1, 6) AS z_quantity, round((l_extendedprice - a2) / s2, 6) AS z_price,
+  round((l_discount - a3) / s3, 6) AS z_discount
+FROM lineitem, s
+""")
+def q_m3(spark, d):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from shoplane.operators.features import PopStandardScaler
+    li = t(spark, d, "lineitem")
+    v = VectorAssembler(inputCols=["l_quantity", "l_extendedprice", "l_discount"], outputCol="x").transform(li)
+    z = PopStandardScaler(inputCol="x", outputCol="z").fit(v).transform(v)
+    a = vector_to_array("z")
+    return z.select("l_orderkey", F.col("l_linenumber").cast("long"), r6(a[0]).alias("z_quantity"),
+                    r6(a[1]).alias("z_price"), r6(a[2]).alias("z_discount"))
+
+
+@query("m4_mode_impute", """
+WITH j AS (SELECT d.doc_id, CAST(l.toxic AS VARCHAR) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+m AS (SELECT toxic FROM j WHERE toxic IS NOT NULL GROUP BY toxic ORDER BY count(*) DESC, toxic ASC LIMIT 1)
+SELECT doc_id, coalesce(j.toxic, m.toxic) AS toxic FROM j, m
+""")
+def q_m4(spark, d):
+    from shoplane.operators.features import ModeImputer
+    docs = t(spark, d, "documents").select("doc_id")
+    lab = t(spark, d, "labels").select("doc_id", F.col("toxic").cast("string"))
+    j = docs.join(lab, "doc_id", "left")
+    return ModeImputer(inputCols=["toxic"]).fit(j).transform(j).select("doc_id", "toxic")
+
+
+@query("m5_one_hot", """
+WITH c AS (SELECT list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS cats FROM orders)
+SELECT o_orderkey, array_to_string(list_transform(cats, lambda x: CASE WHEN x = o_orderpriority THEN 1 ELSE 0 END), ',') AS onehot
+FROM orders, c
+""")
+def q_m5(spark, d):
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from pyspark.ml.functions import vector_to_array
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    si = StringIndexer(inputCol="o_orderpriority", outputCol="i", handleInvalid="keep",
+                       stringOrderType="alphabetAsc").fit(o)
+    x = si.transform(o)
+    oh = OneHotEncoder(inputCol="i", outputCol="v", dropLast=True, handleInvalid="error").fit(x).transform(x)
+    return oh.select("o_orderkey", F.array_join(F.transform(vector_to_array("v"), lambda e: e.cast("int")),
+                                                ",").alias("onehot"))
+
+
+@query("m8_linear_regression", """
+SELECT round(regr_slope(l_quantity, l_extendedprice), 10) AS slope,
+       round(regr_intercept(l_quantity, l_extendedprice), 6) AS intercept
+FROM lineitem
+""")
+def q_m8(spark, d):
+    from pyspark.ml.feature import VectorAssembler
+    from shoplane.operators.models import REGISTRY
+    li = t(spark, d, "lineitem")
+    x = VectorAssembler(inputCols=["l_extendedprice"], outputCol="features").transform(
+        li.select("l_extendedprice", F.col("l_quantity").alias("label")))
+    m = REGISTRY["Linear Regression"].build({}, {}).fit(x)
+    return spark.createDataFrame([(round(float(m.coefficients[0]), 10), round(float(m.intercept), 6))],
+                                 "slope double, intercept double")
+
+
+def work_orders_frame(spark, d) -> DataFrame:
+    """Work orders for model training: lines joined to orders (J1), part name
+    as brand/model, document text as description."""
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("WO#"), F.col("l_linenumber").alias("Item"),
+                                           "l_partkey", F.col("l_shipdate").alias("Date"))
+    orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("ID"), F.col("o_orderdate").alias("Date In"),
+                                          F.col("o_orderpriority").alias("Type"), F.col("o_orderstatus").alias("Shop"))
+    part = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("Brand and model"))
+    docs = t(spark, d, "documents").select(F.col("doc_id"), F.col("text").alias("Description"))
+    m = merge_on(lines, orders, "WO#", "ID")
+    m = m.join(part, m["l_partkey"] == part["p_partkey"], "left").drop("p_partkey", "l_partkey")
+    m = m.join(docs, m["`WO#`"] == docs["doc_id"], "left").drop("doc_id")
+    return m.withColumn("Cleaned Work Order Internal Note", F.lit(None).cast("string"))
+
+
+WO_ORDER = ["Date In", "WO#", "Item"]
+
+
+@query("m19_model_comparison")
+def q_m19(spark, d):
+    from shoplane.plans.workflow import train_duration_models
+    table, _ = train_duration_models(work_orders_frame(spark, d), WO_ORDER,
+                                     models=("Linear Regression", "Ridge Regression"),
+                                     rows_per_bucket=20000)
+    return table
+
+
+@query("m17_m18_score_and_coefficients")
+def q_m17(spark, d):
+    from shoplane.plans.workflow import evaluate_model, train_duration_models
+    from shoplane.sources import load_model, save_model
+    wo = work_orders_frame(spark, d)
+    _, models = train_duration_models(wo, WO_ORDER, models=("Linear Regression",), rows_per_bucket=20000)
+    path = save_model(models["Linear Regression"], scratch_path(spark, "model"))
+    model = load_model(path)
+    from shoplane.plans.workflow import prepare_training
+    metrics, hist, coefs = evaluate_model(model, prepare_training(wo))
+    return coefs
+
+
 # ------------------------------------------------------------ registration
 
 def register_all(queries: dict, oracles: dict, table_reader: Callable) -> None:
