@@ -174,7 +174,7 @@ def residual_histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     hi = F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0)
     b = F.least(F.floor((F.col("_x") - lo) * (F.lit(float(bins)) / (hi - lo))).cast("long"),
                 F.lit(bins - 1))
-    counts = src.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = src.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     spark = df.sparkSession
     grid = spark.range(bins).withColumnRenamed("id", "bin")
     width = (hi - lo) / bins
@@ -225,6 +225,5 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     def bucket(v, lo, hi):
         span = F.when(hi == lo, F.lit(1.0)).otherwise(hi - lo)
         return F.least(F.floor((v - lo) * (F.lit(float(bins)) / span)).cast("long"), F.lit(bins - 1))
-    return (src.groupBy(bucket(F.col("_x"), xa, xb).alias("x_bin"),
-                        bucket(F.col("_y"), ya, yb).alias("y_bin"))
-            .agg(F.count(F.lit(1)).alias("count")))
+    return (src.select(bucket(F.col("_x"), xa, xb).alias("x_bin"), bucket(F.col("_y"), ya, yb).alias("y_bin"))
+            .groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("count")))

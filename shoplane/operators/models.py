@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -113,20 +114,25 @@ def fold_mae(pred: DataFrame, label: str = "label") -> float:
 
 def time_series_grid_search(train: DataFrame, n: int, stages: Callable[[Estimator], Pipeline],
                             spec: ModelSpec, n_splits: int = 5, index_col: str = "row_idx",
-                            label: str = "label") -> tuple[PipelineModel, dict, float, list[dict]]:
+                            label: str = "label", parallelism: int = 4
+                            ) -> tuple[PipelineModel, dict, float, list[dict]]:
     """Every parameter set is fitted on each expanding-window fold's
     training rows (the feature stages are refitted per fold) and scored by MAE
     on the fold's test rows; the best mean MAE wins and is refitted on all of
     ``train``. ``train`` must carry ``index_col`` (0..n-1 in time order)."""
     stats = label_stats(train, label)
     folds = fold_frames(train, n, n_splits, index_col)
-    results = []
-    for params in spec.grid:
-        maes = []
-        for tr, te in folds:
-            model = stages(spec.build(params, stats)).fit(tr)
-            maes.append(fold_mae(model.transform(te), label))
-        results.append({"params": params, "cv_mae": sum(maes) / len(maes)})
+
+    def score(job):
+        params, (tr, te) = job
+        model = stages(spec.build(params, stats)).fit(tr)
+        return fold_mae(model.transform(te), label)
+    jobs = [(p, f) for p in spec.grid for f in folds]
+    # independent fits run as concurrent Spark jobs from a small driver pool
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        maes = list(pool.map(score, jobs))
+    k = len(folds)
+    results = [{"params": p, "cv_mae": sum(maes[i * k:(i + 1) * k]) / k} for i, p in enumerate(spec.grid)]
     best = min(results, key=lambda r: r["cv_mae"])
     final = stages(spec.build(best["params"], stats)).fit(train)
     return final, best["params"], best["cv_mae"], results
@@ -160,7 +166,8 @@ def rank_models(metrics: DataFrame, by: str = "mae", ascending: bool = True) ->
 def compare_models(train: DataFrame, test: DataFrame, n_train: int,
                    stages: Callable[[Estimator], Pipeline], names: list[str],
                    n_splits: int = 5, index_col: str = "row_idx", label: str = "label",
-                   registry: dict[str, ModelSpec] | None = None):
+                   registry: dict[str, ModelSpec] | None = None, prefix: list | None = None,
+                   parallelism: int = 4):
     """M19 + U2: grid-search each named model, score the test rows (NaN
     predictions dropped per model, F6) and collect one metrics row per model."""
     reg = registry or REGISTRY
@@ -168,8 +175,10 @@ def compare_models(train: DataFrame, test: DataFrame, n_train: int,
     for name in names:
         spec = reg[name]
         model, params, cv, _ = time_series_grid_search(train, n_train, stages, spec, n_splits,
-                                                      index_col, label)
+                                                      index_col, label, parallelism)
         pred = model.transform(test).filter(~F.isnan("prediction"))
+        if prefix:  # the saved model scores raw rows: stateless stages first
+            model = PipelineModel(stages=list(prefix) + list(model.stages))
         m = regression_metrics(pred, label, "prediction")
         rows.append(m.select(F.lit(name).alias("model"), F.lit(str(params)).alias("best_params"),
                              F.lit(float(cv)).alias("cv_mae"), "*"))

@@ -73,20 +73,25 @@ def prepare_training(df: DataFrame, outlier_threshold: float = 3.0, categorical=
     return df.withColumn(label, S.col("Repair Duration").cast("float").cast("double"))
 
 
+def raw_stages() -> list:
+    """Stateless stages from raw columns: text prep (E8), calendar.
+    Hoisted out of the cross-validation loop (computed once, then
+    checkpointed) and prepended to every fitted model so it scores raw rows."""
+    return [TextPreprocessor(inputCol="Repair_Description", outputCol="Processed_Repair_Description"),
+            FeatureEngineer(dateCol="Date In")]
+
+
 def duration_stages(regressor, max_features: int = 100, numeric=NUMERIC,
                     categorical=CATEGORICAL) -> Pipeline:
-    """M7: raw columns -> text prep (E8) -> TF-IDF (M1) -> calendar (E7) ->
-    mean impute (M2) -> assemble -> population scaling (M3) -> mode impute
-    (M4) -> one-hot, unseen = zeros (M5) -> assemble (M6) -> count (E9) ->
-    regressor."""
+    """M7: TF-IDF (M1) -> mean impute (M2) -> assemble -> population scaling
+    (M3) -> mode impute (M4) -> one-hot, unseen = zeros (M5) -> assemble (M6)
+    -> count (E9) -> regressor. Input: rows after ``raw_stages``."""
     imp = [f"{c}__imp" for c in numeric]
     filled = [f"{c}__filled" for c in categorical]
     idx = [f"{c}__idx" for c in categorical]
     ohe = [f"{c}__ohe" for c in categorical]
     return Pipeline(stages=[
-        TextPreprocessor(inputCol="Repair_Description", outputCol="Processed_Repair_Description"),
         TfidfTop(inputCol="Processed_Repair_Description", outputCol="tfidf", maxFeatures=max_features),
-        FeatureEngineer(dateCol="Date In"),
         Imputer(strategy="mean", inputCols=list(numeric), outputCols=imp),
         VectorAssembler(inputCols=imp + ["tfidf"], outputCol="num_features", handleInvalid="keep"),
         PopStandardScaler(inputCol="num_features", outputCol="num_scaled"),
@@ -99,13 +104,19 @@ def duration_stages(regressor, max_features: int = 100, numeric=NUMERIC,
     ])
 
 
+def full_stages(regressor, max_features: int = 100) -> Pipeline:
+    """Raw columns -> prediction in one Pipeline (for direct fitting)."""
+    return Pipeline(stages=raw_stages() + duration_stages(regressor, max_features).getStages())
+
+
 def train_duration_models(df: DataFrame, order: list[str], models=("Linear Regression",),
                           ratio: float = 0.9, n_splits: int = 5, max_features: int = 100,
-                          rows_per_bucket: int = 1_000_000, registry=None):
+                          rows_per_bucket: int = 1_000_000, registry=None, parallelism: int = 4):
     """3.3: prepare, index in time order (W5), hold out the last 10% (O2),
     grid-search each model on expanding folds (M16), score the hold-out, and
-    return (metrics table ranked by MAE, fitted models)."""
-    rows = prepare_training(df)
+    return (metrics table ranked by MAE, fitted raw-column models)."""
+    prefix = raw_stages()
+    rows = PipelineModel(stages=prefix).transform(prepare_training(df))
     ix = ordered_index(rows, order, index_col="row_idx", rows_per_bucket=rows_per_bucket)
     ix = ix.checkpoint(eager=True)  # reused by every fold fit; survives executor loss
     n = ix.count()
@@ -115,7 +126,7 @@ def train_duration_models(df: DataFrame, order: list[str], models=("Linear Regre
     def stages(est):
         return duration_stages(est, max_features)
     return compare_models(train, test, cut, stages, list(models), n_splits, "row_idx", "label",
-                          registry or REGISTRY)
+                          registry or REGISTRY, prefix=prefix, parallelism=parallelism)
 
 
 # ------------------------------------------------------------ 3.4 evaluate
