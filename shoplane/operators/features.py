@@ -166,14 +166,20 @@ class TfidfTop(Estimator, HasInputCol, HasOutputCol, _RW):
 
     def _fit(self, df: DataFrame) -> "TfidfTopModel":
         tok = df.select(self.tokens(col(self.getInputCol())).alias("t"))
+        # per document: (term, 1, 0) per token, (term, 0, 1) per distinct term
+        # and one (null, 0, 1) marker whose document count is n -- one pass
         both = F.concat(F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(1).alias("tf"),
                                                               F.lit(0).alias("df"))),
                         F.transform(F.array_distinct("t"), lambda w: F.struct(
-                            w.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
+                            w.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
+                        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"),
+                                         F.lit(1).alias("df"))))
         stats = (tok.select(F.inline(both)).groupBy("term")
-                 .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")))
-        top = stats.orderBy(F.desc("tf"), F.asc("term")).limit(self.getOrDefault("maxFeatures")).collect()
-        n = df.count()
+                 .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))).checkpoint(eager=True)
+        n_row = stats.filter(F.col("term").isNull()).select("df").first()
+        n = n_row["df"] if n_row else 0
+        top = (stats.filter(F.col("term").isNotNull()).orderBy(F.desc("tf"), F.asc("term"))
+               .limit(self.getOrDefault("maxFeatures")).collect())
         top = sorted(top, key=lambda r: r["term"])
         vocab = [r["term"] for r in top]
         idf = [math.log((1 + n) / (1 + r["df"])) + 1 for r in top]
