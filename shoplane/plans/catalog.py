@@ -988,6 +988,78 @@ def q_m17(spark, d):
     return coefs
 
 
+# ------------------------------------------------------ more coverage
+
+@query("s6_metrics_csv", f"""
+WITH e AS (SELECT {SQL_PRED} FROM lineitem)
+SELECT grp AS l_returnflag, CAST(count(*) AS BIGINT) AS n, round(avg(abs(y - p)), 6) AS mae,
+       round(sqrt(avg((y - p) * (y - p))), 6) AS rmse
+FROM e GROUP BY grp
+""")
+def q_s6(spark, d):
+    from shoplane.sources import write_csv
+    li = t(spark, d, "lineitem").select(F.col("l_quantity").alias("y"),
+                                        (F.col("l_extendedprice") / 2000.0).alias("p"), "l_returnflag")
+    m = M.regression_metrics(li, "y", "p", by=["l_returnflag"], with_median=False)
+    path = scratch_path(spark, "metrics")
+    write_csv(m.select("l_returnflag", "n", r6("mae").alias("mae"), r6("rmse").alias("rmse")), path)
+    back = spark.read.option("header", True).schema("l_returnflag string, n long, mae double, rmse double").csv(path)
+    return back
+
+
+@query("f5_f6_drop_nan", """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(l_extendedprice / 2000.0, 6) AS prediction
+FROM lineitem WHERE l_returnflag <> 'R'
+""")
+def q_f56(spark, d):
+    li = t(spark, d, "lineitem")
+    pred = F.when(F.col("l_returnflag") == "R", F.lit(float("nan"))).otherwise(F.col("l_extendedprice") / 2000.0)
+    x = li.select("l_orderkey", F.col("l_linenumber").cast("long"), pred.alias("prediction"))
+    return FL.drop_nan(x, ["prediction"]).select("l_orderkey", "l_linenumber", r6("prediction").alias("prediction"))
+
+
+@query("o4_top_k_abs", """
+WITH c AS (SELECT 'line_' || l_orderkey || '_' || l_linenumber AS feature,
+                  l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem) AS coefficient FROM lineitem)
+SELECT feature, round(coefficient, 6) AS coefficient, round(abs(coefficient), 6) AS abs_coefficient
+FROM c ORDER BY abs(coefficient) DESC, feature ASC LIMIT 20
+""")
+def q_o4(spark, d):
+    from shoplane.operators.models import top_coefficients
+    li = t(spark, d, "lineitem")
+    mean = li.agg(F.avg("l_extendedprice")).scalar()
+    c = li.select(F.concat(F.lit("line_"), F.col("l_orderkey").cast("string"), F.lit("_"),
+                           F.col("l_linenumber").cast("string")).alias("feature"),
+                  (F.col("l_extendedprice") - mean).alias("coefficient"))
+    c = c.withColumn("abs_coefficient", F.abs("coefficient"))
+    return top_coefficients(c, 20).select("feature", r6("coefficient").alias("coefficient"),
+                                          r6("abs_coefficient").alias("abs_coefficient"))
+
+
+@query("e7_feature_engineer", f"""
+WITH b AS (SELECT o_orderkey, o_orderdate, o_totalprice AS v,
+    lag(o_totalprice, 1) {SQL_W} AS l1, lag(o_totalprice, 2) {SQL_W} AS l2,
+    CASE WHEN count(o_totalprice) OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3
+         THEN avg(o_totalprice) OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS r3
+  FROM orders)
+SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS Year, CAST(weekofyear(o_orderdate) AS BIGINT) AS WeekOfYear,
+  CAST(isodow(o_orderdate) - 1 AS BIGINT) AS DayOfWeek,
+  round(coalesce(l1, first_value(l1 IGNORE NULLS) OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS lag_1,
+  round(coalesce(l2, first_value(l2 IGNORE NULLS) OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS lag_2,
+  round(coalesce(r3, first_value(r3 IGNORE NULLS) OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS rolling_mean_3
+FROM b
+""")
+def q_e7(spark, d):
+    from shoplane.operators.features import FeatureEngineer
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    fe = FeatureEngineer(dateCol="o_orderdate", valueCol="o_totalprice", orderCols=ORDER, withLags=True,
+                         rowsPerBucket=ROWS_PER_BUCKET)
+    r = fe.transform(o)
+    return r.select("o_orderkey", F.col("Year").cast("long"), F.col("WeekOfYear").cast("long"),
+                    F.col("DayOfWeek").cast("long"), r6("lag_1").alias("lag_1"), r6("lag_2").alias("lag_2"),
+                    r6("rolling_mean_3").alias("rolling_mean_3"))
+
+
 # ------------------------------------------------------------ registration
 
 def register_all(queries: dict, oracles: dict, table_reader: Callable) -> None:
