@@ -11,3 +11,18 @@ streaming  -- stateless operators applied to streaming DataFrames
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions and classes by value, so Python
+    workers (UDF, mapInPandas) run them without the package being installed
+    on executors."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 -- older cloudpickle: ship with --py-files
+        pass
+
+
+_ship_by_value()
