@@ -1060,6 +1060,24 @@ def q_e7(spark, d):
                     r6("rolling_mean_3").alias("rolling_mean_3"))
 
 
+@query("w1_event_gaps_by_user", """
+SELECT event_id, user_id,
+  CAST(floor((epoch_us(ts) - epoch_us(lag(ts, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 86400000000.0) AS DOUBLE) AS gap_days,
+  CAST(epoch_us(ts) - epoch_us(lag(ts, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS DOUBLE) AS gap_us,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS nth_event
+FROM events
+""")
+def q_w1_events(spark, d):
+    from shoplane.operators.ordered import ordered_features
+    e = t(spark, d, "events").select("event_id", "user_id", "ts")
+    r = ordered_features(e, ["ts", "event_id"], ["user_id"], index_col="nth_event", lag_col="ts", lags=(1,),
+                         rows_per_bucket=ROWS_PER_BUCKET)
+    # nullable (first event of a user): doubles, so nulls read back alike everywhere
+    return r.select("event_id", "user_id", D.whole_days_between("lag_1", "ts").cast("double").alias("gap_days"),
+                    F.timestamp_diff("MICROSECOND", F.col("lag_1"), F.col("ts")).cast("double").alias("gap_us"),
+                    "nth_event")
+
+
 # ------------------------------------------------------------ registration
 
 def register_all(queries: dict, oracles: dict, table_reader: Callable) -> None:
