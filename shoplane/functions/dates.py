@@ -40,13 +40,26 @@ def is_weekend(c: ColumnOrName) -> Column:
     return day_of_week(c).isin(5, 6).cast("int")
 
 
+def wall_clock_micros(c: ColumnOrName) -> Column:
+    """Microseconds since 1970-01-01 00:00 of the wall-clock reading (date and
+    time-of-day fields), whatever the session time zone: the arithmetic of
+    naive datetimes. Works for DATE, TIMESTAMP_NTZ and TIMESTAMP (read in the
+    session zone)."""
+    x = _col(c)
+    day = F.unix_date(F.to_date(x)).cast("long") * F.lit(MICROS_PER_DAY)
+    tod = (F.hour(x).cast("long") * 3_600_000_000 + F.minute(x).cast("long") * 60_000_000
+           + (F.date_part(F.lit("SECOND"), x) * 1_000_000).cast("long"))
+    return day + tod
+
+
 def whole_days_between(start: ColumnOrName, end: ColumnOrName) -> Column:
-    """Floor of the elapsed time in days (``end - start``).
+    """Floor of the elapsed wall-clock time in days (``end - start``).
 
-    Exact integer arithmetic on microseconds; ``datediff`` would count calendar
-    boundaries instead (23 h across midnight gives 1, the floor gives 0).
+    Exact integer arithmetic on microseconds, independent of the session
+    time zone; ``datediff`` would count calendar boundaries instead (23 h
+    across midnight gives 1, the floor gives 0).
     """
-    us = F.timestamp_diff("MICROSECOND", _col(start), _col(end))
+    us = wall_clock_micros(end) - wall_clock_micros(start)
     return ((us - F.pmod(us, F.lit(MICROS_PER_DAY))) / F.lit(MICROS_PER_DAY)).cast("long")
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shoplane.functions.dates import wall_clock_micros
 from shoplane.operators.schema import col
 
 DEFAULT_ROWS_PER_BUCKET = 1_000_000
@@ -40,10 +41,6 @@ SAMPLE_PER_BUCKET = 64
 MAX_SAMPLE = 4_000_000
 
 
-def _epoch_ntz() -> Column:
-    return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
-
-
 # ------------------------------------------------------------ key handling
 
 def _components(df: DataFrame, cols: list[str]) -> tuple[list[Column], list[str]]:
@@ -61,7 +58,7 @@ def _components(df: DataFrame, cols: list[str]) -> tuple[list[Column], list[str]
             comps.append(F.when(~F.isnan(x), x.cast("double")))
             kinds.append("float")
         elif isinstance(dt, T.TimestampNTZType):
-            comps.append(F.timestamp_diff("MICROSECOND", _epoch_ntz(), x))
+            comps.append(wall_clock_micros(x))
             kinds.append("int")
         elif isinstance(dt, T.TimestampType):
             comps.append(F.unix_micros(x))

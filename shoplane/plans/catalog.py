@@ -1074,7 +1074,7 @@ def q_w1_events(spark, d):
                          rows_per_bucket=ROWS_PER_BUCKET)
     # nullable (first event of a user): doubles, so nulls read back alike everywhere
     return r.select("event_id", "user_id", D.whole_days_between("lag_1", "ts").cast("double").alias("gap_days"),
-                    F.timestamp_diff("MICROSECOND", F.col("lag_1"), F.col("ts")).cast("double").alias("gap_us"),
+                    (D.wall_clock_micros("ts") - D.wall_clock_micros("lag_1")).cast("double").alias("gap_us"),
                     "nth_event")
 
 
