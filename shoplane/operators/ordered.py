@@ -36,9 +36,9 @@ from pyspark.sql import types as T
 from shoplane.functions.dates import wall_clock_micros
 from shoplane.operators.schema import col
 
-DEFAULT_ROWS_PER_BUCKET = 1_000_000
-SAMPLE_PER_BUCKET = 64
-MAX_SAMPLE = 4_000_000
+DEFAULT_ROWS_PER_BUCKET = 2_000_000
+SAMPLE_PER_BUCKET = 32
+MAX_SAMPLE = 8_000_000
 
 
 # ------------------------------------------------------------ key handling
@@ -167,15 +167,23 @@ def assign_buckets(df: DataFrame, keys: list[str], rows_per_bucket: int = DEFAUL
         return df.withColumn(bucket_col, F.lit(0)), 1
     want = min(MAX_SAMPLE, nb * SAMPLE_PER_BUCKET)
     frac = min(1.0, want / n)
-    sample = [tuple(r) for r in df.select(*comps).sample(False, frac, seed).collect()]
-    sample.sort(key=_sort_key)
-    if not sample:
+    # the bounded key sample travels as Arrow and is sorted column-wise
+    # (nulls only sit behind a set null flag, so their placement is moot)
+    tbl = df.select(*[c.alias(f"c{i}") for i, c in enumerate(comps)]).sample(False, frac, seed).toArrow()
+    m = tbl.num_rows
+    if m == 0:
         return df.withColumn(bucket_col, F.lit(0)), 1
+    import pyarrow.compute as pc
+    order_ix = pc.sort_indices(tbl, sort_keys=[(f"c{i}", "ascending") for i in range(len(comps))],
+                               null_placement="at_start")
+    picks = order_ix.take([min(m - 1, (i * m) // nb) for i in range(1, nb)])
+    cand = [tuple(r.values()) for r in tbl.take(picks).to_pylist()]
     cuts = []
-    for i in range(1, nb):
-        c = sample[min(len(sample) - 1, (i * len(sample)) // nb)]
+    for c in cand:
         if not cuts or _sort_key(c) > _sort_key(cuts[-1]):
             cuts.append(c)
+    if not cuts:
+        return df.withColumn(bucket_col, F.lit(0)), 1
     spec = _Cuts(cuts, kinds).prepare()
 
     @F.pandas_udf("int")
@@ -187,11 +195,17 @@ def assign_buckets(df: DataFrame, keys: list[str], rows_per_bucket: int = DEFAUL
 
 # --------------------------------------------------------- ordered frame
 
-def _join_blk(left: DataFrame, right: DataFrame, blk: list[str]) -> DataFrame:
-    """Join on the block keys, null-safe (a null group is a group)."""
-    r = right.select(*[col(c).alias("_r_" + c) if c in blk else col(c) for c in right.columns])
-    cond = [col(c).eqNullSafe(F.col("`_r_" + c + "`")) for c in blk]
-    return left.join(r, cond).drop(*["_r_" + c for c in blk])
+def _type_default(dt: T.DataType) -> Column:
+    """A non-null stand-in of the type (paired with an is-null flag)."""
+    if isinstance(dt, T.StringType):
+        return F.lit("")
+    if isinstance(dt, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dt, (T.NumericType,)):
+        return F.lit("0").cast(dt)
+    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01").cast(dt)
+    raise TypeError(f"unsupported group key type {dt}")
 
 
 def _order_spec(order: list[str]) -> list[Column]:
@@ -203,7 +217,8 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
                      lag_col: str | None = None, lags: tuple[int, ...] = (),
                      rolling: int = 0, rolling_name: str | None = None,
                      fill_cols: list[str] | None = None,
-                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, seed: int = 42) -> DataFrame:
+                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, seed: int = 42,
+                     summary_broadcast_rows: int = 2_000_000) -> DataFrame:
     """All ordered operators in one pass.
 
     ``order`` must end in a unique key (total order). Adds ``index_col``
@@ -217,7 +232,14 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
     keys = by + list(order)
     reach = max([*lags, rolling - 1 if rolling else 0, 0])
     bdf, nb = assign_buckets(df, keys, rows_per_bucket, seed)
-    blk = by + ["_b"]
+    # group keys as (is-null flag, non-null surrogate): plain equi-join keys,
+    # so the summary join and the window share one hash partitioning
+    gkeys = []
+    for i, b in enumerate(by):
+        bdf = bdf.withColumn(f"_gn{i}", col(b).isNull()).withColumn(
+            f"_gk{i}", F.coalesce(col(b), _type_default(df.schema[b].dataType)))
+        gkeys += [f"_gn{i}", f"_gk{i}"]
+    blk = gkeys + ["_b"]
     ocomps, _ = _components(df, list(order))
     okey = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(ocomps)])  # nulls-last order
 
@@ -228,7 +250,7 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
         aggs.append(F.min_by(col(c), F.when(has, okey)).alias(f"_first{i}"))
         aggs.append(F.max_by(col(c), F.when(has, okey)).alias(f"_last{i}"))
     summ = bdf.groupBy(*[col(b) for b in blk]).agg(*aggs)
-    gw = Window.partitionBy(*[col(b) for b in by]).orderBy("_b")
+    gw = Window.partitionBy(*gkeys).orderBy("_b")
     prev = gw.rowsBetween(Window.unboundedPreceding, -1)
     nxt = gw.rowsBetween(1, Window.unboundedFollowing)
     cols = [*[col(b) for b in blk], "_cnt",
@@ -242,21 +264,22 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
         summ = summ.select("*", *[F.lead("_b", k).over(gw).alias(f"_nb{k}") for k in range(1, reach + 1)],
                            *[F.lead("_start", k).over(gw).alias(f"_ns{k}") for k in range(1, reach + 1)])
     summ = summ.checkpoint(eager=True)
-    small = F.broadcast(summ) if summ.count() <= 2_000_000 else summ
+    # the summary has one row per (group, bucket): broadcast only under a checked bound
+    small = F.broadcast(summ) if summ.count() <= summary_broadcast_rows else summ
 
     base = bdf.withColumn("_halo", F.lit(False))
     if reach:
         # --- halo rows: the last `reach` rows of each block, copied forward
         tail_w = Window.partitionBy(*[col(b) for b in blk]).orderBy(
             *[col(c).desc_nulls_first() for c in order])
-        narrow = [*[col(b) for b in by], "_b", *[col(c) for c in order if c not in by]]
-        if lag_col and lag_col not in by + list(order):
+        narrow = [*gkeys, "_b", *[col(c) for c in order]]
+        if lag_col and lag_col not in list(order):
             narrow.append(col(lag_col))
         tails = (bdf.select(*narrow).withColumn("_rfe", F.row_number().over(tail_w))
                  .filter(F.col("_rfe") <= reach))
-        tails = _join_blk(tails, small.select(*[col(b) for b in blk], "_cnt", "_start",
-                                              *[f"_nb{k}" for k in range(1, reach + 1)],
-                                              *[f"_ns{k}" for k in range(1, reach + 1)]), blk)
+        tails = tails.join(small.select(*blk, "_cnt", "_start",
+                                        *[f"_nb{k}" for k in range(1, reach + 1)],
+                                        *[f"_ns{k}" for k in range(1, reach + 1)]), blk)
         tails = tails.withColumn("_gidx", F.col("_start") + F.col("_cnt") - F.col("_rfe"))
         targets = F.array(*[F.struct(F.col(f"_nb{k}").alias("b"), F.col(f"_ns{k}").alias("s"))
                             for k in range(1, reach + 1)])
@@ -267,7 +290,7 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
                  .withColumn("_halo", F.lit(True)))
         base = base.unionByName(halos, allowMissingColumns=True)
 
-    joined = _join_blk(base, small, blk)
+    joined = base.join(small, blk)
     w = Window.partitionBy(*[col(b) for b in blk]).orderBy(*_order_spec(order))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     extra = []
@@ -285,7 +308,7 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
         nxt_in = F.first(col(c), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
         prv_in = F.last(col(c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         filled[c] = F.coalesce(col(c), nxt_in, F.col(f"_carry_next{i}"), prv_in, F.col(f"_carry_prev{i}"))
-    keep = [filled[c].alias(c) if c in filled else col(c) for c in bdf.columns if c != "_b"]
+    keep = [filled[c].alias(c) if c in filled else col(c) for c in df.columns]
     res = joined.select(*keep, *extra, "_halo")
     return res.filter(~F.col("_halo")).drop("_halo")
 

@@ -103,11 +103,11 @@ def test_ordered_equals_single_partition(spark, rows_per_bucket):
          .otherwise(F.expr("timestamp_ntz '2020-01-01 00:00:00' + make_interval(0, 0, 0, id % 97)"))
          .cast("timestamp_ntz").alias("d"),
         F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("id") * 1.5).alias("v"),
-        (F.col("id") % 2).alias("g"))
-    for by in ([], ["g"]):
+        F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("id") % 2).alias("g"))
+    for by, bcast in (([], 2_000_000), (["g"], 2_000_000), (["g"], 0)):
         res = ordered_features(base, ["d", "k"], by, index_col="idx", lag_col="v", lags=(1, 2),
                                rolling=3, rolling_name="r3", fill_cols=["v"],
-                               rows_per_bucket=rows_per_bucket)
+                               rows_per_bucket=rows_per_bucket, summary_broadcast_rows=bcast)
         w = Window.partitionBy(*by).orderBy(F.col("d").asc_nulls_last(), "k")
         rw = w.rowsBetween(-2, 0)
         ref = base.select(
@@ -122,6 +122,11 @@ def test_ordered_equals_single_partition(spark, rows_per_bucket):
                          & F.col("lag_2").eqNullSafe(F.col("e2")) & F.col("r3").eqNullSafe(F.col("e3"))
                          & F.col("v").eqNullSafe(F.col("ef"))))
         assert bad.count() == 0
+        if by and not bcast:
+            # summary join and window share one hash partitioning: the data
+            # are exchanged once (plus the narrow summary and halo exchanges)
+            plan = res._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning(_gn0") <= 3
 
 
 def test_time_split_and_folds(spark):
