@@ -40,12 +40,26 @@ def is_weekend(c: ColumnOrName) -> Column:
     return day_of_week(c).isin(5, 6).cast("int")
 
 
+_UTC_NAMES = {"UTC", "ETC/UTC", "GMT", "ETC/GMT", "Z", "+00:00", "UCT", "ZULU"}
+
+
+def _session_is_utc() -> bool:
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    if s is None:
+        return False
+    return (s.conf.get("spark.sql.session.timeZone", "") or "").upper() in _UTC_NAMES
+
+
 def wall_clock_micros(c: ColumnOrName) -> Column:
-    """Microseconds since 1970-01-01 00:00 of the wall-clock reading (date and
-    time-of-day fields), whatever the session time zone: the arithmetic of
-    naive datetimes. Works for DATE, TIMESTAMP_NTZ and TIMESTAMP (read in the
-    session zone)."""
+    """Microseconds since 1970-01-01 00:00 of the wall-clock reading: the
+    arithmetic of naive datetimes, whatever the session time zone. In a UTC
+    session (what ``get_spark`` sets) this is the cheap ``unix_micros``;
+    otherwise it is assembled from the date and time-of-day fields, so a DST
+    change in the session zone cannot shift it."""
     x = _col(c)
+    if _session_is_utc():
+        return F.unix_micros(x.cast("timestamp"))
     day = F.unix_date(F.to_date(x)).cast("long") * F.lit(MICROS_PER_DAY)
     tod = (F.hour(x).cast("long") * 3_600_000_000 + F.minute(x).cast("long") * 60_000_000
            + (F.date_part(F.lit("SECOND"), x) * 1_000_000).cast("long"))

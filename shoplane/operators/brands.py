@@ -41,10 +41,11 @@ def _dictionary(dictionary: DataFrame) -> DataFrame:
 def resolve_brands(texts: DataFrame, text_col: str, dictionary: DataFrame,
                    broadcast_max_rows: int = 2_000_000) -> DataFrame:
     """Distinct texts -> (text, brand, model, sections)."""
-    d = _dictionary(dictionary)
-    max_words = d.agg(F.max("words")).first()[0] or 1
-    n_dict = d.count()
-    if n_dict <= broadcast_max_rows:
+    # the dictionary summary is small and used three times: materialise once
+    d = _dictionary(dictionary).checkpoint(eager=True)
+    st = d.agg(F.max("words").alias("w"), F.count(F.lit(1)).alias("n")).first()
+    max_words, n_dict = st["w"] or 1, st["n"]
+    if n_dict <= broadcast_max_rows:  # broadcast only under a checked bound
         d = F.broadcast(d)
     src = texts.select(col(text_col).alias("_t")).filter(
         F.col("_t").isNotNull() & (X.strip_ws(F.col("_t")) != "")).distinct()

@@ -860,8 +860,9 @@ SELECT wt.doc_id, wt.term, round(wt.w / nr.norm, 6) AS weight FROM wt JOIN nr ON
 def q_m1(spark, d):
     from shoplane.operators.features import TextPreprocessor, TfidfTop
     from pyspark.ml.functions import vector_to_array
+    # fitted and transformed on the same derived text: materialise it once
     docs = TextPreprocessor(inputCol="text", outputCol="processed").transform(
-        t(spark, d, "documents").select("doc_id", "text"))
+        t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "processed").checkpoint(eager=True)
     model = TfidfTop(inputCol="processed", outputCol="tfidf", maxFeatures=100).fit(docs)
     vocab = F.array(*[F.lit(w) for w in model.getOrDefault("vocabulary")])
     out = model.transform(docs).select("doc_id", F.posexplode(vector_to_array("tfidf")).alias("i", "w"))
