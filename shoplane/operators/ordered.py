@@ -252,12 +252,14 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
     summ = bdf.groupBy(*[col(b) for b in blk]).agg(*aggs)
     gw = Window.partitionBy(*gkeys).orderBy("_b")
     prev = gw.rowsBetween(Window.unboundedPreceding, -1)
-    nxt = gw.rowsBetween(1, Window.unboundedFollowing)
+    # "from the next row to the end" as the growing frame of the reversed order:
+    # Spark re-aggregates an unbounded-following frame for every row (O(n^2))
+    nxt = Window.partitionBy(*gkeys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     cols = [*[col(b) for b in blk], "_cnt",
             F.coalesce(F.sum("_cnt").over(prev), F.lit(0)).alias("_start")]
     for i in range(len(fill_cols)):
         cols.append(F.last(f"_last{i}", ignorenulls=True).over(prev).alias(f"_carry_prev{i}"))
-        cols.append(F.first(f"_first{i}", ignorenulls=True).over(nxt).alias(f"_carry_next{i}"))
+        cols.append(F.last(f"_first{i}", ignorenulls=True).over(nxt).alias(f"_carry_next{i}"))
     summ = summ.select(*cols)
     if reach:
         # bucket id and start offset of the next `reach` blocks of the group
@@ -293,6 +295,9 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
     joined = base.join(small, blk)
     w = Window.partitionBy(*[col(b) for b in blk]).orderBy(*_order_spec(order))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # reversed order (same partitioning, no extra shuffle) for look-ahead fills
+    w_rev = Window.partitionBy(*[col(b) for b in blk]).orderBy(
+        *[col(c).desc_nulls_first() for c in order])
     extra = []
     if index_col:
         nhalo = F.sum(F.col("_halo").cast("int")).over(whole)
@@ -305,7 +310,7 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
                             F.avg(col(lag_col)).over(rw)).alias(rolling_name or f"rolling_mean_{rolling}"))
     filled = {}
     for i, c in enumerate(fill_cols):
-        nxt_in = F.first(col(c), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        nxt_in = F.last(col(c), ignorenulls=True).over(w_rev.rowsBetween(Window.unboundedPreceding, 0))
         prv_in = F.last(col(c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         filled[c] = F.coalesce(col(c), nxt_in, F.col(f"_carry_next{i}"), prv_in, F.col(f"_carry_prev{i}"))
     keep = [filled[c].alias(c) if c in filled else col(c) for c in df.columns]
