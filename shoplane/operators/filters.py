@@ -40,10 +40,13 @@ def zscore(df: DataFrame, value: str, by: list[str] | None = None,
         stats = df.agg(F.avg(x).alias("m"), F.stddev_pop(x).alias("s"))
         mean, std = stats.select("m").scalar(), stats.select("s").scalar()
         return df.withColumn(z_col, F.try_divide(x - mean, std))
-    stats = df.groupBy(*[col(b) for b in by]).agg(
+    stats = df.groupBy(*[col(b).alias(f"_zg{i}") for i, b in enumerate(by)]).agg(
         F.avg(x).alias("_zm"), F.stddev_pop(x).alias("_zs"))
-    joined = df.join(stats, on=by, how="inner")
-    return joined.withColumn(z_col, F.try_divide(x - F.col("_zm"), F.col("_zs"))).drop("_zm", "_zs")
+    # null-safe: a null group key is a group of its own, its rows are kept
+    cond = [col(b).eqNullSafe(F.col(f"_zg{i}")) for i, b in enumerate(by)]
+    joined = df.join(stats, cond, "inner")
+    return (joined.withColumn(z_col, F.try_divide(x - F.col("_zm"), F.col("_zs")))
+            .drop("_zm", "_zs", *[f"_zg{i}" for i in range(len(by))]))
 
 
 def remove_outliers(df: DataFrame, value: str, threshold: float = 3.0,

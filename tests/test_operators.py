@@ -48,6 +48,10 @@ def test_outliers_strict_and_observed(spark):
     assert obs.get == {"rows_in": 21, "rows_out": 20}
     const = spark.createDataFrame([(1.0,), (1.0,)], "x double")
     assert FL.remove_outliers(const, "x").count() == 0      # zero std drops all
+    grouped = spark.createDataFrame([(g, float(v)) for g in ("a", None) for v in [0] * 20 + [100]],
+                                    "g string, x double")
+    kept = FL.remove_outliers(grouped, "x", 3.0, by=["g"])
+    assert kept.count() == 40 and kept.filter("g IS NULL").count() == 20
 
 
 def test_metrics_and_exact_median(spark):
