@@ -26,6 +26,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoplane.functions import dates as D
 from shoplane.functions import text as X
@@ -272,14 +273,29 @@ class ModeImputer(Estimator, HasInputCols, HasOutputCols, _RW):
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> "ModeImputerModel":
-        modes = []
-        for c in self.getInputCols():
+        cols = self.getInputCols()
+        text = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
+        modes = {}
+        if text:
+            # all text columns in one pass: (column, value) counts, then per
+            # column the largest count, smallest value among ties
+            pairs = F.array(*[F.struct(F.lit(i).alias("i"), col(c).alias("v")) for i, c in enumerate(text)])
+            counts = (df.select(F.inline(pairs)).filter(F.col("v").isNotNull())
+                      .groupBy("i", "v").count())
+            top = counts.groupBy(F.col("i").alias("ti")).agg(F.max("count").alias("mc"))
+            best = (counts.join(top, (F.col("i") == F.col("ti")) & (F.col("count") == F.col("mc")))
+                    .groupBy("i").agg(F.min("v").alias("v")).collect())
+            for r in best:
+                modes[text[r["i"]]] = r["v"]
+        for c in cols:
+            if c in text:
+                continue
             r = (df.filter(col(c).isNotNull()).groupBy(col(c).alias("v")).count()
                  .orderBy(F.desc("count"), F.asc("v")).limit(1).collect())
-            modes.append(NO_MODE if not r else str(r[0]["v"]))
-        return ModeImputerModel(inputCols=self.getInputCols(),
-                                outputCols=self.getOutputCols() if self.isSet("outputCols")
-                                else self.getInputCols(), modes=modes)
+            modes[c] = str(r[0]["v"]) if r else NO_MODE
+        return ModeImputerModel(inputCols=cols,
+                                outputCols=self.getOutputCols() if self.isSet("outputCols") else cols,
+                                modes=[modes.get(c, NO_MODE) for c in cols])
 
 
 class ModeImputerModel(Model, HasInputCols, HasOutputCols, _RW):

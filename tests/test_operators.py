@@ -143,3 +143,25 @@ def test_time_split_and_folds(spark):
     ix = ordered_index(df, ["d", "k"], rows_per_bucket=30)
     sizes = [(tr.count(), te.count()) for tr, te in fold_frames(ix, 100, 5)]
     assert sizes == [(20, 16), (36, 16), (52, 16), (68, 16), (84, 16)]
+
+
+@pytest.mark.parametrize("rows_per_bucket", [100_000, 400, 100])
+def test_ordered_index_on_orders_table(spark, rows_per_bucket):
+    """SURVEY §5 (4): index, lag 1/2 and forward fill on the orders table equal
+    the single-partition window for 1, 4 and ~16 buckets."""
+    from tests.conftest import SF_SMALL
+    from shoplane.operators.ordered import ordered_features
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select(
+        "o_orderkey", "o_orderdate",
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None)).otherwise(F.col("o_totalprice")).alias("v"))
+    r = ordered_features(o, ["o_orderdate", "o_orderkey"], None, index_col="i", lag_col="v", lags=(1, 2),
+                         fill_cols=["v"], rows_per_bucket=rows_per_bucket)
+    w = Window.orderBy("o_orderdate", "o_orderkey")
+    ref = o.select("o_orderkey", (F.row_number().over(w) - 1).alias("ei"), F.lag("v", 1).over(w).alias("e1"),
+                   F.lag("v", 2).over(w).alias("e2"),
+                   F.coalesce("v", F.first("v", True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+                              F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("ef"))
+    j = r.join(ref, "o_orderkey")
+    assert j.count() == o.count()
+    assert j.filter(~(F.col("i").eqNullSafe(F.col("ei")) & F.col("lag_1").eqNullSafe(F.col("e1"))
+                      & F.col("lag_2").eqNullSafe(F.col("e2")) & F.col("v").eqNullSafe(F.col("ef")))).count() == 0
