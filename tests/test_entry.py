@@ -67,3 +67,12 @@ def test_query_matches_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(SLOW))
 def test_slow_queries_run(spark, name):
     assert E.queries()[name](spark, SF_SMALL).count() > 0
+
+
+def test_scan_prunes_and_pushes_down(spark):
+    """The filter and the 5-column projection reach the Parquet scan."""
+    from tests.conftest import SF_SMALL
+    plan = E.queries()["s1_parquet_scan"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_totalprice), IsNotNull(o_orderstatus), GreaterThan(o_totalprice,200000.0)" in plan \
+        or "GreaterThan(o_totalprice,200000.0)" in plan
+    assert "o_orderdate" not in plan.split("ReadSchema:")[1].split("\n")[0]
