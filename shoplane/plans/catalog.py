@@ -1092,6 +1092,28 @@ def q_w1_events(spark, d):
                     "nth_event")
 
 
+# ------------------------------------------------ 3.2 clean job
+
+SQL_CLEAN_JOB = ("SELECT n.doc_id, bm.brand AS cleaned_brand, bm.model AS cleaned_model, "
+                 "sn.author AS note_author, sn.date AS note_date "
+                 "FROM (WITH " + SQL_NOTES + " SELECT doc_id, note FROM notes) n "
+                 "JOIN (" + SQL["e2_clean_brand_model"] + ") bm ON bm.p_partkey = n.doc_id "
+                 "JOIN (" + SQL["e3_split_note"] + ") sn ON sn.doc_id = n.doc_id "
+                 r"WHERE n.note IS NOT NULL AND n.note <> '' AND regexp_matches(n.note, '\d{1,2}/\d{1,2}/\d{4}')")
+
+
+@query("plan_clean_work_orders", SQL_CLEAN_JOB)
+def q_clean_job(spark, d):
+    from shoplane.plans.workflow import clean_work_orders
+    notes = notes_frame(spark, d).select("doc_id", F.col("note").alias("Work Order Internal Note"))
+    bt = brand_text_frame(spark, d).select("p_partkey", F.col("brand_text").alias("Brand and model "))
+    wo = notes.join(bt, notes["doc_id"] == bt["p_partkey"]).drop("p_partkey")
+    out = clean_work_orders(wo, brand_dictionary_frame(spark, d), split_notes=True)
+    return out.select("doc_id", F.col("Cleaned Brand").alias("cleaned_brand"),
+                      F.col("Cleaned Model").alias("cleaned_model"), F.col("Note Author").alias("note_author"),
+                      F.col("Note Date").alias("note_date"))
+
+
 # ------------------------------------------------------------ registration
 
 def register_all(queries: dict, oracles: dict, table_reader: Callable) -> None:
