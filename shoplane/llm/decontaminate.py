@@ -105,7 +105,8 @@ def phrase_matches(docs: DataFrame, bench: Benchmark, index: PostingIndex, id_co
     per_doc = materialize(per_doc, "candidates")
     texts = docs.select(document_key(id_col, text_col).alias("doc"), F.col(text_col).alias("t"))
     read = texts.join(per_doc, "doc").dropDuplicates(["doc"]).select("doc", words(F.col("t")).alias("w"), "cs")
-    exact = F.filter("cs", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["n"]), " ") == c["words"])
+    exact = F.filter("cs", lambda c: (c["start"] + c["n"] <= F.size("w"))
+                     & (F.array_join(F.slice("w", c["start"] + 1, c["n"]), " ") == c["words"]))
     return (read.select("doc", exact.alias("cs")).where("size(cs) > 0")
             .select("doc", F.array_distinct(F.transform("cs", lambda c: F.struct(c["start"], c["n"]))).alias("spans"),
                     F.array_distinct(F.transform("cs", lambda c: c["phrase"])).alias("phrases")))

@@ -32,6 +32,12 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+@query("op1_pii")
+def op1_pii(spark, d):
+    from shoplane.llm.pii import pii_report
+    return pii_report(_docs(spark, d))
+
+
 @query("op2_token_file")
 def op2_token_file(spark, d):
     from shoplane.llm.token_file import read_documents, write_token_files

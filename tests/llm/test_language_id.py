@@ -12,11 +12,11 @@ def brute_vector(hv, text):
     letters = "".join(c if c.isalpha() else " " for c in text.lower())
     seq = " " + " ".join(letters.split()) + " " if letters.split() else " "
     out = np.zeros(hv.dim, np.int64)
-    rows = {c: hv.table[hv._rows(np.array([ord(c)]))[0]].astype(np.int64) for c in set(seq)}
+    hv._rows(np.array([ord(c) for c in set(seq)]))
     rows = {c: hv.table[hv.row[ord(c)]].astype(np.int64) for c in set(seq)}
     for i in range(len(seq) - 2):
         a, b, c = seq[i:i + 3]
-        out += np.roll(rows[a], 2) * np.roll(rows[b], 1) * rows[c]
+        out += rows[a] * np.roll(rows[b], 1) * np.roll(rows[c], 2)
     return out
 
 
