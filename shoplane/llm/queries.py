@@ -52,6 +52,12 @@ def op4_language_id(spark, d):
     return identify_languages(_docs(spark, d), folds=3, held=1, per_language=800, dim=1024, ngram=3)
 
 
+@query("op5_quality_rules")
+def op5_quality_rules(spark, d):
+    from shoplane.llm.quality_rules import quality_report
+    return quality_report(_docs(spark, d), table(spark, d, "labels"), fit_rows=20_000)
+
+
 @query("op6_simhash")
 def op6_simhash(spark, d):
     from shoplane.llm.simhash import simhash_duplicates
