@@ -70,6 +70,12 @@ def op7_decontaminate(spark, d):
     return contamination(_docs(spark, d), table(spark, d, "benchmark"), window=10)
 
 
+@query("op8_line_crf")
+def op8_line_crf(spark, d):
+    from shoplane.llm.line_crf import classify
+    return classify(_docs(spark, d), table(spark, d, "labels"), folds=4, held=2, threshold=0.7, fit_docs=2500)
+
+
 @query("op9_token_count")
 def op9_token_count(spark, d):
     from shoplane.llm.token_count import count_tokens
