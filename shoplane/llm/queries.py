@@ -46,6 +46,13 @@ def op2_token_file(spark, d):
     return read_documents(spark, path)
 
 
+@query("op3_html_extract")
+def op3_html_extract(spark, d):
+    from shoplane.llm.html_extract import extract_text
+    ensure_checkpoint_dir(spark)
+    return extract_text(table(spark, d, "pages"), fit_pages=300)
+
+
 @query("op4_language_id")
 def op4_language_id(spark, d):
     from shoplane.llm.language_id import identify_languages
