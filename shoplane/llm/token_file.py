@@ -84,7 +84,9 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each UTF-8 text."""
         if len(self.words) > self.max_words:
-            self.words, self.plain = {}, {}
+            self.words = {}
+        if len(self.plain) > 2 * self.max_words:
+            self.plain = {}
         split = [t.split() for t in texts]  # bytes: ASCII white space only
         known = self.words
         missing = list({w for words in split for w in words if w not in known})
@@ -98,7 +100,7 @@ class WordEncoder:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id",
-                      text_col: str = "text", segment_tokens: int = 1 << 18, max_words: int = 400_000) -> None:
+                      text_col: str = "text", segment_tokens: int = 1 << 18, max_words: int = 300_000) -> None:
     """Encode every row of ``docs`` (null: empty text), append ``end_id`` to each
     and write the segments under ``path``, in ascending id order (null ids first,
     ties by text). Repeated rows are each written; an empty table writes no
