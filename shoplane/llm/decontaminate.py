@@ -23,6 +23,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rows made from the benchmark (about 100 bytes each) are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 500_000
+#: Hash buckets of documents (16 MB as longs) by which texts without a candidate are set aside before a shuffle.
+BUCKETS = 1 << 21
 
 
 def words(text) -> Column:
@@ -103,13 +105,24 @@ def phrase_matches(docs: DataFrame, bench: Benchmark, index: PostingIndex, id_co
             .select("doc", (F.col("delta") + F.col("at")).alias("start"), "n", "words", "phrase").where("start >= 0"))
     per_doc = near.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "words", "phrase")).alias("cs"))
     per_doc = materialize(per_doc, "candidates")
-    texts = docs.select(document_key(id_col, text_col).alias("doc"), F.col(text_col).alias("t"))
-    read = texts.join(per_doc, "doc").dropDuplicates(["doc"]).select("doc", words(F.col("t")).alias("w"), "cs")
+    texts = docs.select(document_key(id_col, text_col).alias("doc"), F.col(text_col).alias("t")).withColumn("bucket", _bucket("doc"))
+    texts = texts.join(candidate_buckets(per_doc, "doc"), "bucket", "left_semi")
+    read = texts.join(per_doc.hint("merge"), "doc").select("doc", words(F.col("t")).alias("w"), "cs")
     exact = F.filter("cs", lambda c: (c["start"] + c["n"] <= F.size("w"))
                      & (F.array_join(F.slice("w", c["start"] + 1, c["n"]), " ") == c["words"]))
-    return (read.select("doc", exact.alias("cs")).where("size(cs) > 0")
-            .select("doc", F.array_distinct(F.transform("cs", lambda c: F.struct(c["start"], c["n"]))).alias("spans"),
-                    F.array_distinct(F.transform("cs", lambda c: c["phrase"])).alias("phrases")))
+    # exploded, not filtered: a filter on the matches would be pushed below ``w`` and split the text per candidate
+    matches = read.select("doc", F.explode(exact).alias("c"))
+    return matches.groupBy("doc").agg(F.collect_set(F.struct("c.start", "c.n")).alias("spans"), F.collect_set("c.phrase").alias("phrases"))
+
+
+def _bucket(doc: str) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(BUCKETS))
+
+
+def candidate_buckets(found: DataFrame, doc: str) -> DataFrame:
+    """The hash buckets that hold a document of ``found``, to be broadcast: at
+    most ``BUCKETS`` longs at any input size. Rows outside them need no shuffle."""
+    return F.broadcast(found.select(_bucket(doc).alias("bucket")).distinct())
 
 
 def proximity_matches(bench: Benchmark, index: PostingIndex, slack: int = 5) -> DataFrame:
@@ -165,4 +178,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     bench = Benchmark(benchmark, text_col="text", window=window)
     index = PostingIndex(docs, bench, id_col, text_col)
     hit = materialize(phrase_matches(docs, bench, index, id_col, text_col).select(F.col("doc").alias(key)), "contaminated")
-    return docs.withColumn(key, document_key(id_col, text_col)).join(hit, key, "left_anti").drop(key).select(*docs.columns)
+    bucket = fresh(docs, "bucket")
+    held = candidate_buckets(hit, key).withColumnRenamed("bucket", bucket)
+    keyed = docs.withColumn(key, document_key(id_col, text_col)).withColumn(bucket, _bucket(key))
+    sure = keyed.join(held, bucket, "left_anti")
+    unsure = keyed.join(held, bucket, "left_semi").join(hit, key, "left_anti")
+    return sure.select(*docs.columns).unionByName(unsure.select(*docs.columns))
