@@ -22,6 +22,8 @@ DEFAULT_TIMESTAMP_FORMATS = [
     "yyyy-MM-dd",
     "M/d/yyyy H:mm:ss",
     "M/d/yyyy H:mm",
+    "M/d/yyyy h:mm:ss a",
+    "M/d/yyyy h:mm a",
     "M/d/yyyy",
 ]
 
@@ -31,11 +33,12 @@ def _is_string(c: Column, dtype: T.DataType | None) -> bool:
 
 
 def to_ts(c: ColumnOrName, strict: bool = True, formats: list[str] | None = None,
-          dtype: T.DataType | None = None) -> Column:
+          dtype: T.DataType | None = None, day_first: bool = False) -> Column:
     """Text to TIMESTAMP_NTZ (wall-clock time, like a naive datetime).
 
     ``strict=True`` raises on unparsable text (ANSI cast); ``strict=False``
-    returns null for it, trying ``formats`` in order. Columns that are already
+    returns null for it, trying ISO forms (any fraction, zone ignored) and then
+    ``formats`` in order, with day and month exchanged first if ``day_first``. Columns that are already
     dates or timestamps are cast directly.
     """
     col = _col(c)
@@ -44,8 +47,11 @@ def to_ts(c: ColumnOrName, strict: bool = True, formats: list[str] | None = None
     if strict:
         return col.cast("timestamp_ntz")
     fmts = formats or DEFAULT_TIMESTAMP_FORMATS
-    tries = [F.try_to_timestamp(col, F.lit(f)) for f in fmts]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    if day_first:
+        fmts = [f.replace("M/d/", "d/M/") for f in fmts] + [f for f in fmts if "M/d/" in f]
+    tries = [F.try_to_timestamp(col, F.lit(f)).cast("timestamp_ntz") for f in fmts]
+    iso = [] if formats else [F.when(col.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}"), col.try_cast("timestamp_ntz"))]
+    return F.coalesce(*iso, *tries)
 
 
 def to_number(c: ColumnOrName) -> Column:
@@ -55,10 +61,13 @@ def to_number(c: ColumnOrName) -> Column:
 
 
 def to_quantity(c: ColumnOrName) -> Column:
-    """Parse, unparsable/NaN/infinite -> 0, truncate toward zero to long."""
+    """Parse, unparsable/NaN/infinite -> 0, truncate toward zero to long.
+    Whole-number text is read exactly; a number outside the long range raises."""
+    text = F.trim(_col(c).cast("string"))
     x = to_number(c)
-    ok = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(9.2e18))
-    return F.when(ok, x.cast("long")).otherwise(F.lit(0).cast("long"))
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    return (F.when(text.rlike(r"^[+-]?\d+$"), text.cast("long"))
+            .when(finite, x.cast("long")).otherwise(F.lit(0).cast("long")))
 
 
 def to_dollars(c: ColumnOrName) -> Column:

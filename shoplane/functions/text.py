@@ -57,14 +57,10 @@ def strip_prefix(c: ColumnOrName, prefixes: list[str] = W.BRAND_PREFIXES,
     prefix.
     """
     col = _col(c)
-    low = F.lower(col)
-    out = col
-    for p in reversed(prefixes):
-        cond = low.startswith(p.lower())
-        if word_boundary:
-            cond = low.rlike("(?U)^" + regex_escape(p.lower()) + r"(\W|$)")
-        out = F.when(cond, strip_ws(F.substring(col, len(p) + 1, 1 << 30))).otherwise(out)
-    return F.when(col.isNull(), F.lit(None).cast("string")).otherwise(out)
+    # one ordered alternation: the first listed prefix that fits is taken off
+    end = r"(?=\W|$)" if word_boundary else ""
+    pattern = ("(?iuU)^(?:" if word_boundary else "(?iu)^(?:") + "|".join(regex_escape(p) for p in prefixes) + ")" + end
+    return F.when(col.rlike(pattern), strip_ws(F.regexp_replace(col, pattern, ""))).otherwise(col)
 
 
 def descriptor_pattern(descriptors: list[str] = W.BRAND_DESCRIPTORS) -> str:

@@ -62,7 +62,7 @@ def resolve_brands(texts: DataFrame, text_col: str, dictionary: DataFrame,
                                            F.struct(F.col("_k"), -F.col("_s"))).alias("_m"))
     res = toks.join(best, "_t", "left")
     model = F.array_join(F.concat(F.slice("_tok", 1, F.col("_m._s")),
-                                  F.slice("_tok", F.col("_m._s") + F.col("_m._k") + 1, 1 << 20)), " ")
+                                  F.slice("_tok", F.col("_m._s") + F.col("_m._k") + 1, F.size("_tok"))), " ")
     return res.select(
         "_t",
         F.coalesce(F.col("_m.brand"), F.lit("Unknown")).alias("brand"),

@@ -140,7 +140,7 @@ class FeatureCounter(Transformer, HasInputCol, _RW):
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        log.info("Number of features after preprocessing: %s", vector_size(df, self.getInputCol()))
+        log.info("assembled vector has %s slots", vector_size(df, self.getInputCol()))
         return df
 
 

@@ -43,7 +43,7 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def exact_median(df: DataFrame, value: str, by: list[str] | None = None,
                  out: str = "median", grid: int = 1000, accuracy: int = 20000,
-                 max_bracket_rows: int = 2_000_000, max_iter: int = 6) -> DataFrame:
+                 max_bracket_rows: int = 2_000_000) -> DataFrame:
     """A5 helper: exact median (mean of the two middle values when the count
     is even) per group, with bounded per-task memory.
 
@@ -73,11 +73,13 @@ def exact_median(df: DataFrame, value: str, by: list[str] | None = None,
                 & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
 
     pcts = [i / grid for i in range(grid + 1)]
-    for _ in range(max_iter):
+    last = None
+    while True:  # until every bracket is within its bound, or nothing narrows any more
         worst = state.agg(F.max(F.when(F.col("_lo").isNull() | (F.col("_lo") < F.col("_hi")),
                                        F.col("_m")))).first()[0]
-        if worst is None or worst <= max_bracket_rows:
+        if worst is None or worst <= max_bracket_rows or worst == last:
             break
+        last = worst
         inb = base.join(state, keys).filter(in_bracket(base))
         qs = inb.groupBy(*keys).agg(
             F.percentile_approx("_v", pcts, accuracy).alias("_q"))
@@ -130,10 +132,12 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = Non
     ``n, mae, median_ae, mse, rmse, r2, explained_variance, mape``.
 
     R2 and explained variance follow the finite convention for a constant
-    target: 1.0 when the errors are all zero, else 0.0. MAPE (percent) is over
+    target: 1.0 when the errors are all zero, else 0.0. Rows with a null or NaN
+    label or prediction count nowhere. MAPE (percent) is over
     rows with a non-zero target and null when there are none.
     """
     Y, P = col(y).cast("double"), col(p).cast("double")
+    df = df.where(Y.isNotNull() & P.isNotNull() & ~F.isnan(Y) & ~F.isnan(P))  # valid pairs only
     e = Y - P
     agg = [
         F.count(F.lit(1)).alias("n"),
@@ -167,7 +171,7 @@ def residual_histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """Equal-width histogram over [min, max] (max falls in the last bin;
     a constant column uses [v-0.5, v+0.5]). All ``bins`` rows are returned."""
     x = col(value).cast("double")
-    src = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+    src = df.select(x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     mm = src.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
     lo0, hi0 = mm.select("lo").scalar(), mm.select("hi").scalar()
     lo = F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0)
@@ -193,7 +197,7 @@ def density_curve(df: DataFrame, value: str, points: int = 200, bins: int = 2048
     whatever the row count); the kernel sum runs over those bins.
     """
     x = col(value).cast("double")
-    src = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+    src = df.select(x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     st = src.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_x").alias("s"),
                  F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
     spark = df.sparkSession
@@ -217,7 +221,8 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     """2-D equal-width bin counts of (x, y) -- the data of an
     actual-vs-predicted or residual scatter plot, bounded in size."""
     X, Y = col(x).cast("double"), col(y).cast("double")
-    src = df.select(X.alias("_x"), Y.alias("_y")).filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    src = df.select(X.alias("_x"), Y.alias("_y")).filter(
+        F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
     mm = src.agg(F.min("_x").alias("a"), F.max("_x").alias("b"),
                  F.min("_y").alias("c"), F.max("_y").alias("d"))
     xa, xb, ya, yb = (mm.select(k).scalar() for k in "abcd")

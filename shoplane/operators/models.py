@@ -53,16 +53,17 @@ def _grid(**axes) -> list[dict]:
 
 
 # Penalty alpha maps to Spark's regParam as the survey measured:
-# ridge regParam = alpha * std_y / n (normal solver, population std); lasso
+# ridge regParam = alpha * std_y / n (population std; the default solver is the
+# normal equations up to 4,096 feature slots and l-bfgs beyond, same mapping); lasso
 # regParam = alpha; elastic net reg = alpha*rho + alpha*(1-rho)*std_y with
 # elasticNetParam = alpha*rho / reg.
 REGISTRY: dict[str, ModelSpec] = {
     "Linear Regression": ModelSpec(
-        "Linear Regression", lambda p, s: _lr(regParam=0.0, elasticNetParam=0.0, solver="normal")),
+        "Linear Regression", lambda p, s: _lr(regParam=0.0, elasticNetParam=0.0)),
     "Ridge Regression": ModelSpec(
         "Ridge Regression",
         lambda p, s: _lr(regParam=p["alpha"] * s["std_y_pop"] / s["n"], elasticNetParam=0.0,
-                         solver="normal", standardization=False),
+                         standardization=False),
         _grid(alpha=[0.1, 1.0, 10.0, 100.0])),
     "Lasso Regression": ModelSpec(
         "Lasso Regression",
@@ -72,7 +73,7 @@ REGISTRY: dict[str, ModelSpec] = {
         "Elastic Net",
         lambda p, s: (lambda reg: _lr(regParam=reg, elasticNetParam=p["alpha"] * p["l1_ratio"] / reg,
                                       standardization=False, maxIter=1000))(
-            p["alpha"] * p["l1_ratio"] + p["alpha"] * (1 - p["l1_ratio"]) * s["std_y_samp"]),
+            p["alpha"] * p["l1_ratio"] + p["alpha"] * (1 - p["l1_ratio"]) * s["std_y_pop"]),
         _grid(alpha=[0.1, 1.0, 10.0], l1_ratio=[0.2, 0.5, 0.8])),
     "Decision Tree": ModelSpec(
         "Decision Tree",
@@ -120,11 +121,11 @@ def time_series_grid_search(train: DataFrame, n: int, stages: Callable[[Estimato
     training rows (the feature stages are refitted per fold) and scored by MAE
     on the fold's test rows; the best mean MAE wins and is refitted on all of
     ``train``. ``train`` must carry ``index_col`` (0..n-1 in time order)."""
-    stats = label_stats(train, label)
-    folds = fold_frames(train, n, n_splits, index_col)
+    # a penalty is scaled by the rows it is fitted on: each fold has its own statistics
+    folds = [(tr, te, label_stats(tr, label)) for tr, te in fold_frames(train, n, n_splits, index_col)]
 
     def score(job):
-        params, (tr, te) = job
+        params, (tr, te, stats) = job
         model = stages(spec.build(params, stats)).fit(tr)
         return fold_mae(model.transform(te), label)
     jobs = [(p, f) for p in spec.grid for f in folds]
@@ -134,7 +135,7 @@ def time_series_grid_search(train: DataFrame, n: int, stages: Callable[[Estimato
     k = len(folds)
     results = [{"params": p, "cv_mae": sum(maes[i * k:(i + 1) * k]) / k} for i, p in enumerate(spec.grid)]
     best = min(results, key=lambda r: r["cv_mae"])
-    final = stages(spec.build(best["params"], stats)).fit(train)
+    final = stages(spec.build(best["params"], label_stats(train, label))).fit(train)
     return final, best["params"], best["cv_mae"], results
 
 

@@ -23,7 +23,6 @@ The data are shuffled once (step 4); steps 1-3 read only key/value columns.
 
 from __future__ import annotations
 
-import bisect
 import math
 from dataclasses import dataclass
 
@@ -36,13 +35,19 @@ from pyspark.sql import types as T
 from shoplane.functions.dates import wall_clock_micros
 from shoplane.operators.schema import col
 
-DEFAULT_ROWS_PER_BUCKET = 2_000_000
+DEFAULT_ROWS_PER_BUCKET = 250_000
 SAMPLE_PER_BUCKET = 32
 MAX_SAMPLE = 8_000_000
 
 
 # ------------------------------------------------------------ key handling
 
+def _whole(x: Column) -> Column:
+    """Never null (the null flag beside it orders nulls): a null in an Arrow batch
+    would turn the whole batch into floats, which round longs above 2**53."""
+    return F.coalesce(x.cast("long"), F.lit(0).cast("long"))
+
+
 def _components(df: DataFrame, cols: list[str]) -> tuple[list[Column], list[str]]:
     """Sortable primitive components of the order (nulls last, NaN after all
     numbers, as Spark sorts ascending with nulls last) and their kinds."""
@@ -55,105 +60,86 @@ def _components(df: DataFrame, cols: list[str]) -> tuple[list[Column], list[str]
         if isinstance(dt, (T.FloatType, T.DoubleType)):
             comps.append(F.coalesce(F.isnan(x), F.lit(False)).cast("int"))
             kinds.append("int")
-            comps.append(F.when(~F.isnan(x), x.cast("double")))
+            comps.append(F.coalesce(F.when(~F.isnan(x), x.cast("double")), F.lit(0.0)))
             kinds.append("float")
         elif isinstance(dt, T.TimestampNTZType):
-            comps.append(wall_clock_micros(x))
+            comps.append(_whole(wall_clock_micros(x)))
             kinds.append("int")
         elif isinstance(dt, T.TimestampType):
-            comps.append(F.unix_micros(x))
+            comps.append(_whole(F.unix_micros(x)))
             kinds.append("int")
         elif isinstance(dt, T.DateType):
-            comps.append(F.unix_date(x).cast("long"))
+            comps.append(_whole(F.unix_date(x)))
             kinds.append("int")
         elif isinstance(dt, T.BooleanType):
-            comps.append(x.cast("int"))
+            comps.append(_whole(x.cast("int")))
             kinds.append("int")
         elif isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            comps.append(x.cast("long"))
+            comps.append(_whole(x))
             kinds.append("int")
         elif isinstance(dt, T.DecimalType):
-            comps.append(x.cast("double"))
+            comps.append(F.coalesce(x.cast("double"), F.lit(0.0)))
             kinds.append("float")
         elif isinstance(dt, T.StringType):
-            comps.append(x)
+            comps.append(F.coalesce(x, F.lit("")))
             kinds.append("str")
         else:
             raise TypeError(f"unsupported order column type {dt} for {c}")
     return comps, kinds
 
 
-def _rank_codes(values: list, uniq: np.ndarray, kind: str) -> np.ndarray:
-    """Map one key dimension into the rank space of the cut values: None -> 0,
-    equal to cut value i -> 2i+2, strictly between -> odd."""
-    arr = pd.Series(values)
-    out = np.zeros(len(arr), dtype=np.int64)
-    mask = arr.notna().to_numpy()
-    if mask.any() and len(uniq):
-        v = arr[mask].to_numpy()
-        if kind == "int":
-            v = v.astype(np.int64)
-        elif kind == "float":
-            v = v.astype(np.float64)
-        else:
-            v = v.astype(object)
-        i = np.searchsorted(uniq, v, side="left")
-        eq = np.zeros(len(v), dtype=bool)
-        inr = i < len(uniq)
-        eq[inr] = uniq[i[inr]] == v[inr]
-        out[mask] = np.where(eq, 2 * i + 2, 2 * i + 1)
-    elif mask.any():
-        out[mask] = 1
-    return out
+def _rank_codes(values: np.ndarray, uniq: np.ndarray) -> np.ndarray:
+    """One key dimension in the rank space of its cut values: equal to cut value
+    i -> 2i+1, strictly between (or outside) -> even."""
+    i = np.searchsorted(uniq, values, side="left")
+    hit = np.zeros(len(values), dtype=bool)
+    inside = i < len(uniq)
+    hit[inside] = uniq[i[inside]] == values[inside]
+    return 2 * i.astype(np.int64) + hit
+
+
+_DTYPES = {"int": np.int64, "float": np.float64, "str": object}
 
 
 @dataclass
 class _Cuts:
+    """Ascending cut tuples. A row's bucket is the number of cuts at or below it,
+    found one key dimension at a time: among the cuts that agree with the row so
+    far, ``searchsorted`` either settles its place or names the next agreeing run."""
+
     cuts: list[tuple]
     kinds: list[str]
 
     def prepare(self):
-        dims = len(self.kinds)
-        self.uniq = []
-        for j in range(dims):
-            vals = sorted({c[j] for c in self.cuts if c[j] is not None})
-            if self.kinds[j] == "int":
-                u = np.array(vals, dtype=np.int64)
-            elif self.kinds[j] == "float":
-                u = np.array(vals, dtype=np.float64)
-            else:
-                u = np.array(vals, dtype=object)
-            self.uniq.append(u)
-        self.card = [2 * len(u) + 2 for u in self.uniq]
-        bits = sum(math.log2(c) for c in self.card)
-        self.packed = bits < 62
-        cut_ranks = np.stack([_rank_codes([c[j] for c in self.cuts], self.uniq[j], self.kinds[j])
-                              for j in range(dims)], axis=1)
-        if self.packed:
-            self.cut_codes = self._pack(cut_ranks)
-        else:
-            self.cut_tuples = [tuple(r) for r in cut_ranks.tolist()]
+        run = np.zeros(len(self.cuts), np.int64)  # cuts equal in all earlier dimensions share a run
+        self.uniq, self.codes, self.runs = [], [], []
+        for j, kind in enumerate(self.kinds):
+            values = np.array([c[j] for c in self.cuts], dtype=_DTYPES[kind])
+            uniq = np.array(sorted(set(values.tolist())), dtype=_DTYPES[kind])
+            codes = run * (2 * len(uniq) + 2) + _rank_codes(values, uniq)
+            run = np.cumsum(np.r_[False, codes[1:] != codes[:-1]])
+            self.uniq.append(uniq)
+            self.codes.append(codes)
+            self.runs.append(run)
         return self
 
-    def _pack(self, ranks: np.ndarray) -> np.ndarray:
-        code = np.zeros(ranks.shape[0], dtype=np.int64)
-        for j in range(ranks.shape[1]):
-            code = code * self.card[j] + ranks[:, j]
-        return code
-
     def assign(self, cols: list[pd.Series]) -> np.ndarray:
-        ranks = np.stack([_rank_codes(list(s), self.uniq[j], self.kinds[j])
-                          for j, s in enumerate(cols)], axis=1)
-        if self.packed:
-            return np.searchsorted(self.cut_codes, self._pack(ranks), side="right").astype(np.int32)
-        return np.array([bisect.bisect_right(self.cut_tuples, tuple(r)) for r in ranks.tolist()],
-                        dtype=np.int32)
+        n = len(cols[0])
+        place, run, open_rows = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+        for series, kind, uniq, codes, runs in zip(cols, self.kinds, self.uniq, self.codes, self.runs):
+            values = series.to_numpy(dtype=_DTYPES[kind])[open_rows]
+            code = run[open_rows] * (2 * len(uniq) + 2) + _rank_codes(values, uniq)
+            left, right = (np.searchsorted(codes, code, side=side) for side in ("left", "right"))
+            place[open_rows] = right
+            meets = left < right
+            run[open_rows[meets]] = runs[left[meets]]
+            open_rows = open_rows[meets]
+        return place.astype(np.int32)
 
 
 def _sort_key(t: tuple) -> tuple:
-    # components come in (flag, value) runs; a None value only follows a set
-    # flag, so plain tuple order is the Spark order
-    return tuple((0, "") if v is None else (1, v) for v in t)
+    # components are (flag, value) runs without nulls: tuple order is Spark's order
+    return t
 
 
 def assign_buckets(df: DataFrame, keys: list[str], rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
@@ -169,10 +155,12 @@ def assign_buckets(df: DataFrame, keys: list[str], rows_per_bucket: int = DEFAUL
     frac = min(1.0, want / n)
     # the bounded key sample travels as Arrow and is sorted column-wise
     # (nulls only sit behind a set null flag, so their placement is moot)
-    tbl = df.select(*[c.alias(f"c{i}") for i, c in enumerate(comps)]).sample(False, frac, seed).toArrow()
+    key_frame = df.select(*[c.alias(f"c{i}") for i, c in enumerate(comps)])
+    tbl = key_frame.sample(False, frac, seed).toArrow()
+    while tbl.num_rows == 0:  # an unlucky draw: take a larger one rather than one bucket
+        frac, seed = min(1.0, 4 * frac), seed + 1
+        tbl = key_frame.sample(False, frac, seed).toArrow()
     m = tbl.num_rows
-    if m == 0:
-        return df.withColumn(bucket_col, F.lit(0)), 1
     import pyarrow.compute as pc
     order_ix = pc.sort_indices(tbl, sort_keys=[(f"c{i}", "ascending") for i in range(len(comps))],
                                null_placement="at_start")

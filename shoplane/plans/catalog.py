@@ -59,7 +59,7 @@ def notes_frame(spark, d) -> DataFrame:
     j = docs.join(orders, docs.doc_id == orders.o_orderkey, "left")
 
     def cap(c):
-        return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 20))
+        return F.concat(F.upper(F.substring(c, 1, 1)), c.substr(F.lit(2), F.length(c)))
     header = F.concat(cap(F.col("lang")), F.lit(" "), cap(F.col("source")), F.lit(" ("),
                       F.date_format("o_orderdate", "d/M/yyyy HH:mm:ss"), F.lit(")"))
     note = (F.when(F.col("o_orderdate").isNull(), F.col("text"))
@@ -1114,6 +1114,133 @@ def q_clean_job(spark, d):
                       F.col("Note Date").alias("note_date"))
 
 
+# ------------------------------------- awkward inputs: wide nullable keys, dirty pairs, mixed date forms
+
+SQL_WIDE = """
+FROM (SELECT o_orderkey, o_totalprice AS v,
+             CASE WHEN o_orderkey % 7 <> 0 THEN 1152921504606846976 + (o_orderkey * 7919) % 1000003 END AS k FROM orders)
+"""
+SQL_WIDE_W = "OVER (ORDER BY k NULLS LAST, o_orderkey)"
+
+
+def wide_key_frame(spark, d) -> DataFrame:
+    """Orders with a nullable key above 2**53, where doubles can't tell neighbours apart."""
+    k = F.lit(1152921504606846976) + (F.col("o_orderkey") * 7919) % 1000003
+    return t(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("v"),
+                                        F.when(F.col("o_orderkey") % 7 != 0, k).alias("k"))
+
+
+@query("w5_nullable_bigint_key", f"""
+SELECT o_orderkey, CAST(row_number() {SQL_WIDE_W} - 1 AS BIGINT) AS row_idx {SQL_WIDE}
+""")
+def q_w5_wide(spark, d):
+    from shoplane.operators.ordered import ordered_index
+    return ordered_index(wide_key_frame(spark, d), ["k", "o_orderkey"], rows_per_bucket=ROWS_PER_BUCKET).select("o_orderkey", "row_idx")
+
+
+@query("w1_lag_nullable_bigint_key", f"""
+SELECT o_orderkey, round(lag(v, 1) {SQL_WIDE_W}, 6) AS lag_1 {SQL_WIDE}
+""")
+def q_w1_wide(spark, d):
+    from shoplane.operators.ordered import ordered_features
+    out = ordered_features(wide_key_frame(spark, d), ["k", "o_orderkey"], lag_col="v", lags=(1,), rows_per_bucket=ROWS_PER_BUCKET)
+    return out.select("o_orderkey", F.round("lag_1", 6).alias("lag_1"))
+
+
+@query("a10_metrics_dirty_pairs", """
+SELECT CAST(count(*) AS BIGINT) AS n, round(avg(abs(y - p)), 6) AS mae,
+       round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 8) AS r2, round(median(abs(y - p)), 6) AS median_ae
+FROM (SELECT CASE WHEN l_orderkey % 5 <> 0 THEN l_extendedprice / 1000 END AS y,
+             CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity * 1.5 END AS p FROM lineitem)
+WHERE y IS NOT NULL AND p IS NOT NULL
+""")
+def q_a10_dirty(spark, d):
+    k = F.col("l_orderkey")
+    pairs = t(spark, d, "lineitem").select(F.when(k % 5 != 0, F.col("l_extendedprice") / 1000).alias("y"),
+                                           F.when(k % 7 != 0, F.col("l_quantity") * 1.5).otherwise(F.lit(float("nan"))).alias("p"))
+    m = M.regression_metrics(pairs, "y", "p")
+    return m.select("n", F.round("mae", 6).alias("mae"), F.round("r2", 8).alias("r2"), F.round("median_ae", 6).alias("median_ae"))
+
+
+@query("p6_day_first_and_iso_forms", """
+SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 6 IN (2, 4) THEN date_trunc('minute', CAST(o_orderdate AS TIMESTAMP))
+                                 ELSE CAST(o_orderdate AS TIMESTAMP) END, '%Y-%m-%d %H:%M:%S') AS date_in FROM orders
+""")
+def q_p6_forms(spark, d):
+    o, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    forms = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm", "d/M/yyyy H:mm:ss", "d/M/yyyy h:mm a",
+             "yyyy-MM-dd'T'HH:mm:ss.SSS"]
+    text = F.date_format(o, forms[0])
+    for i, f in enumerate(forms[1:], 1):
+        text = F.when(k == i, F.date_format(o, f)).otherwise(text)
+    parsed = C.to_ts(F.col("txt"), strict=False, day_first=True)
+    return (t(spark, d, "orders").select("o_orderkey", text.alias("txt"))
+            .select("o_orderkey", F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("date_in")))
+
+
+@query("p7_exact_integers", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 9007199254740993 + o_orderkey END AS qty FROM orders
+""")
+def q_p7_exact(spark, d):
+    k = F.col("o_orderkey")
+    text = F.when(k % 3 == 0, F.lit("n/a")).otherwise((F.lit(9007199254740993) + k).cast("string"))
+    return t(spark, d, "orders").select("o_orderkey", C.to_quantity(text).alias("qty"))
+
+
+# ------------------------------------- penalised models with one feature: closed forms
+
+SQL_XY = "SELECT l_orderkey, l_linenumber, l_quantity / 100.0 AS x, l_extendedprice / 1000.0 AS y FROM lineitem"
+
+
+def one_feature_frame(spark, d) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 100).alias("x"),
+                                        (F.col("l_extendedprice") / 1000).alias("label"))
+    return VectorAssembler(inputCols=["x"], outputCol="features").transform(li)
+
+
+def _line(spark, d, model, params) -> DataFrame:
+    from shoplane.operators.models import REGISTRY, label_stats
+    xy = one_feature_frame(spark, d)
+    m = REGISTRY[model].build(params, label_stats(xy)).fit(xy)
+    return spark.createDataFrame([(round(float(m.coefficients[0]), 6), round(float(m.intercept), 6))], "slope double, intercept double")
+
+
+@query("m9_ridge_one_feature", f"""
+WITH s AS (SELECT covar_pop(y, x) * count(*) / (var_pop(x) * count(*) + 100.0) AS b, avg(y) AS my, avg(x) AS mx FROM ({SQL_XY}))
+SELECT round(b, 6) AS slope, round(my - b * mx, 6) AS intercept FROM s
+""")
+def q_m9(spark, d):
+    return _line(spark, d, "Ridge Regression", {"alpha": 100.0})
+
+
+@query("m10_lasso_one_feature", f"""
+WITH s AS (SELECT sign(covar_pop(y, x)) * greatest(abs(covar_pop(y, x)) - 0.1, 0) / var_pop(x) AS b, avg(y) AS my, avg(x) AS mx FROM ({SQL_XY}))
+SELECT round(b, 6) AS slope, round(my - b * mx, 6) AS intercept FROM s
+""")
+def q_m10(spark, d):
+    return _line(spark, d, "Lasso Regression", {"alpha": 0.1})
+
+
+@query("m16_ridge_cv_mae", f"""
+WITH r AS (SELECT x, y, row_number() OVER (ORDER BY l_orderkey, l_linenumber, x, y) - 1 AS i, count(*) OVER () AS n FROM ({SQL_XY})),
+f AS (SELECT k, max(n) - (5 - k) * (max(n) // 6) AS s, max(n) // 6 AS ts FROM r, range(0, 5) AS g(k) GROUP BY k),
+a AS (SELECT unnest([0.1, 1.0, 10.0, 100.0]) AS alpha),
+m AS (SELECT k, alpha, covar_pop(y, x) * count(*) / (var_pop(x) * count(*) + alpha) AS b, avg(y) AS my, avg(x) AS mx
+      FROM r JOIN f ON r.i < f.s, a GROUP BY k, alpha),
+e AS (SELECT m.k, alpha, avg(abs(y - (my + b * (x - mx)))) AS mae
+      FROM m JOIN f ON m.k = f.k JOIN r ON r.i >= f.s AND r.i < f.s + f.ts GROUP BY m.k, alpha)
+SELECT CAST(alpha AS DOUBLE) AS alpha, round(avg(mae), 5) AS cv_mae FROM e GROUP BY alpha
+""")
+def q_m16(spark, d):
+    from pyspark.ml import Pipeline
+    from shoplane.operators.models import REGISTRY, time_series_grid_search
+    from shoplane.operators.ordered import ordered_index
+    xy = ordered_index(one_feature_frame(spark, d), ["l_orderkey", "l_linenumber", "x", "label"]).select("features", "label", "row_idx").checkpoint()
+    _, _, _, results = time_series_grid_search(xy, xy.count(), lambda est: Pipeline(stages=[est]), REGISTRY["Ridge Regression"])
+    return spark.createDataFrame([(r["params"]["alpha"], round(r["cv_mae"], 5)) for r in results], "alpha double, cv_mae double")
+
+
 # ------------------------------------------------------------ registration
 
 def register_all(queries: dict, oracles: dict, table_reader: Callable) -> None:

@@ -36,8 +36,9 @@ def get_spark(app_name: str = "shoplane", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    The cluster's ``spark.checkpoint.dir`` wins; only when it is unset (local
-    tests) a private folder is created so ``checkpoint()`` works.
+    The cluster's ``spark.checkpoint.dir`` wins. Where it is unset a private
+    folder is made in local mode only; on a cluster that folder would be on one
+    machine, so it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="shoplane-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

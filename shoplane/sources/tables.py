@@ -34,10 +34,11 @@ def read_sheet(spark: SparkSession, path: str | Sequence[str],
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     if schema is not None:
         reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", False)
     paths = [path] if isinstance(path, str) else list(path)
-    return reader.csv(paths)
+    if schema is None:  # the first file's header names the columns, all text
+        reader = reader.schema(reader.option("inferSchema", False).csv(paths[0]).schema)
+    # a file whose header differs in names or order fails instead of filling the wrong columns
+    return reader.option("enforceSchema", False).csv(paths)
 
 
 def records_to_df(spark: SparkSession, records: list[dict] | dict,

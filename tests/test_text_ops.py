@@ -58,17 +58,17 @@ def test_clean_brand_model_chain(spark, tmp_path):
 
 
 def test_split_note(spark):
-    notes = ["attempt to fix shifter case\nDimitri Politis (6/10/2021 12:03:53)",
-             "Mathieu Gosbee (16/12/2021 18:23:10)\nCX bought a brake lever.\nLook at the wheel.",
-             "CX bought a brake lever from us.", None]
+    notes = ["swapped the worn bell\nOrla Finch (6/10/2021 12:03:53)",
+             "Tobin Vale (16/12/2021 18:23:10)\nCustomer wants a new basket.\nCheck the mudguard.",
+             "Customer brought own saddle.", None]
     df = spark.createDataFrame([(n,) for n in notes], "n string")
     got = [tuple(r.s) for r in df.select(split_note(F.col("n")).alias("s")).collect()]
-    assert got[0] == ("attempt to fix shifter case", "Dimitri Politis", "6/10/2021 12:03:53")
-    assert got[1] == ("CX bought a brake lever.\nLook at the wheel.", "Mathieu Gosbee", "16/12/2021 18:23:10")
-    assert got[2] == ("CX bought a brake lever from us.", "", "")
+    assert got[0] == ("swapped the worn bell", "Orla Finch", "6/10/2021 12:03:53")
+    assert got[1] == ("Customer wants a new basket.\nCheck the mudguard.", "Tobin Vale", "16/12/2021 18:23:10")
+    assert got[2] == ("Customer brought own saddle.", "", "")
     assert got[3] == ("", "", "")
     fb = [tuple(r.s) for r in df.select(note_fallback(F.col("n")).alias("s")).collect()]
-    assert fb[1] == ("CX bought a brake lever.\nLook at the wheel.", "", "")
+    assert fb[1] == ("Customer wants a new basket.\nCheck the mudguard.", "", "")
 
 
 def test_extract_struct_isolates_failures(spark):
