@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplane.llm.common import fold, worker_state
+from shoplane.llm.common import fold, materialize, worker_state
 
 UNDETERMINED = "und"
 _SPACE = 32
@@ -106,8 +106,15 @@ def _encoder(dim: int, ngram: int, seed: int) -> Hypervectors:
 def training_rows(docs: DataFrame, where, per_language: int, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """(t_id, t_lang): at most ``per_language`` ids of each language, lowest id hash first."""
     ids = docs.where(where & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("t_id"), F.col(lang_col).alias("t_lang"))
-    order = Window.partitionBy("t_lang").orderBy(F.xxhash64("t_id"), "t_id")
-    return ids.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= F.lit(per_language)).drop("rn").distinct()
+    ids = ids.withColumn("place", F.pmod(F.xxhash64("t_id"), F.lit(1 << 30)))
+    # about 4 times the wanted rows of a language, by a hash threshold from its count, so no language fills one task
+    sizes = materialize(ids.groupBy("t_lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
+    if sizes.count() <= 100_000:  # a row a language; else joined by shuffle
+        sizes = F.broadcast(sizes)
+    near = ids.join(sizes, "t_lang").where(F.col("place") * F.col("n").cast("double") < F.lit(float((1 << 30) * 4 * per_language)))
+    order = Window.partitionBy("t_lang").orderBy("place", "t_id")
+    chosen = near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= F.lit(per_language))
+    return chosen.select("t_id", "t_lang").distinct()
 
 
 def learn_prototypes(docs: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
