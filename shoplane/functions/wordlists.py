@@ -32,6 +32,9 @@ BRAND_DESCRIPTORS = [
     "non-motor", "multi", "unknown", "split", "fold", "flip", "new",
 ]
 
+# Brand names that are ordinary words: matched in leading position only.
+COMMON_WORD_BRANDS = ["time", "look", "solar"]
+
 # FIXED VALUES -- heading line of a brand-dictionary section:
 # "Known <section> brands:".
 BRAND_SECTION_HEADING = r"^Known (.+) brands:$"

@@ -10,7 +10,6 @@ training table, folds are index predicates (never shuffled k-fold).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -118,20 +117,25 @@ def time_series_grid_search(train: DataFrame, n: int, stages: Callable[[Estimato
                             label: str = "label", parallelism: int = 4
                             ) -> tuple[PipelineModel, dict, float, list[dict]]:
     """Every parameter set is fitted on each expanding-window fold's
-    training rows (the feature stages are refitted per fold) and scored by MAE
-    on the fold's test rows; the best mean MAE wins and is refitted on all of
-    ``train``. ``train`` must carry ``index_col`` (0..n-1 in time order)."""
+    training rows and scored by MAE on the fold's test rows; the best mean MAE
+    wins and is refitted on all of ``train``. ``train`` must carry ``index_col``
+    (0..n-1 in time order). The feature stages depend on the fold only: they are
+    fitted once per fold, and the fold's vectors are checkpointed for the grid."""
     # a penalty is scaled by the rows it is fitted on: each fold has its own statistics
     folds = [(tr, te, label_stats(tr, label)) for tr, te in fold_frames(train, n, n_splits, index_col)]
 
+    def vectors(fold):
+        tr, te, stats = fold
+        model = Pipeline(stages=stages(spec.build(spec.grid[0], stats)).getStages()[:-1]).fit(tr)
+        return (*[model.transform(x).select("features", label).checkpoint(eager=True) for x in (tr, te)], stats)
+
     def score(job):
         params, (tr, te, stats) = job
-        model = stages(spec.build(params, stats)).fit(tr)
-        return fold_mae(model.transform(te), label)
-    jobs = [(p, f) for p in spec.grid for f in folds]
+        return fold_mae(spec.build(params, stats).fit(tr).transform(te), label)
     # independent fits run as concurrent Spark jobs from a small driver pool
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        maes = list(pool.map(score, jobs))
+        ready = list(pool.map(vectors, folds))
+        maes = list(pool.map(score, [(p, f) for p in spec.grid for f in ready]))
     k = len(folds)
     results = [{"params": p, "cv_mae": sum(maes[i * k:(i + 1) * k]) / k} for i, p in enumerate(spec.grid)]
     best = min(results, key=lambda r: r["cv_mae"])
@@ -186,7 +190,3 @@ def compare_models(train: DataFrame, test: DataFrame, n_train: int,
         models[name] = model
     table = union_by_name(rows)
     return rank_models(table, "mae"), models
-
-
-def nan_safe(x: float | None) -> float | None:
-    return None if x is None or (isinstance(x, float) and math.isnan(x)) else x

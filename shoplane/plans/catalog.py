@@ -760,10 +760,80 @@ def q_j4(spark, d):
 def q_e2(spark, d):
     from shoplane.operators.brands import clean_brand_model
     b = brand_text_frame(spark, d)
-    r = clean_brand_model(b, "brand_text", brand_dictionary_frame(spark, d))
+    r = clean_brand_model(b, "brand_text", brand_dictionary_frame(spark, d), faithful=True)
     return r.select("p_partkey", F.col("Cleaned Brand").alias("brand"), F.col("Cleaned Model").alias("model"))
 
 
+@query("e2_clean_brand_model_boundaries", f"""
+SELECT p_partkey,
+  CASE p_partkey % 4 WHEN 0 THEN 'Es' || lower(p_type) WHEN 1 THEN 'Green ' || p_type
+       WHEN 2 THEN 'Unknown' ELSE 'Time' END AS brand,
+  CASE p_partkey % 4 WHEN 2 THEN 'old part time ' || {_sql_descriptors("p_name")}
+       ELSE {_sql_descriptors("p_name")} END AS model
+FROM part
+""")
+def q_e2_boundaries(spark, d):
+    """Brand names that look like a stock prefix, hold a descriptor or are an
+    ordinary word, derived from the part types."""
+    from shoplane.operators.brands import clean_brand_model
+    from shoplane.sources import brand_norm
+    p = t(spark, d, "part")
+    b = p.select("p_type", F.explode(F.array(
+        F.concat(F.lit("Es"), F.lower("p_type")), F.concat(F.lit("Green "), F.col("p_type")), F.lit("Time"))).alias("brand"))
+    dictionary = b.select("brand", F.col("p_type").alias("section"), brand_norm(F.col("brand")).alias("norm"))
+    k = F.col("p_partkey") % 4
+    txt = (F.when(k == 0, F.concat(F.lit("Es"), F.lower("p_type"), F.lit(" "), F.col("p_name"), F.lit(" black")))
+           .when(k == 1, F.concat(F.lit("BK-Green "), F.col("p_type"), F.lit(" "), F.col("p_name"), F.lit(" Pro non-motor")))
+           .when(k == 2, F.concat(F.lit("old part time "), F.col("p_name")))
+           .otherwise(F.concat(F.lit("EBK Time "), F.col("p_name"), F.lit(" black edition"))))
+    r = clean_brand_model(p.select("p_partkey", txt.alias("brand_text")), "brand_text", dictionary)
+    return r.select("p_partkey", F.col("Cleaned Brand").alias("brand"), F.col("Cleaned Model").alias("model"))
+
+
+@query("plan_evaluate_prepare", """
+WITH m AS (
+  SELECT l.l_orderkey, l.l_linenumber, CAST(l.l_extendedprice AS DOUBLE) AS labor,
+         CASE WHEN l.l_linenumber = 7 THEN NULL
+              WHEN l.l_quantity >= 50 THEN CAST(l.l_extendedprice AS DOUBLE) * 10
+              ELSE CAST(l.l_extendedprice AS DOUBLE) END AS total,
+         greatest(0, CAST(floor((epoch_us(l.l_shipdate) - epoch_us(o.o_orderdate)) / 86400000000.0) AS BIGINT))
+           + CASE WHEN l.l_quantity = 49 AND l.l_linenumber = 1 THEN 1000 ELSE 0 END AS dur
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+a AS (SELECT * FROM m WHERE dur IS NOT NULL AND total IS NOT NULL),
+b AS (SELECT a.* FROM a, (SELECT avg(dur) AS mu, stddev_pop(dur) AS sd FROM a) s WHERE abs((dur - mu) / sd) < 3),
+c AS (SELECT b.* FROM b, (SELECT avg(total) AS mu, stddev_pop(total) AS sd FROM b) s WHERE abs((total - mu) / sd) < 3)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(dur AS BIGINT) AS duration,
+       round(labor, 2) AS labor, round(total, 2) AS total,
+       (SELECT count(*) FROM a) - (SELECT count(*) FROM b) > 0 AS duration_removes,
+       (SELECT count(*) FROM b) - (SELECT count(*) FROM c) > 0 AS total_removes
+FROM c
+""")
+def q_evaluate_prepare(spark, d):
+    """Lines as evaluation rows: money as text, some totals not a number, some
+    durations and totals far out, so that both outlier steps remove rows."""
+    from shoplane.operators.filters import remove_outliers
+    from shoplane.plans.workflow import prepare_evaluation
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+    o = t(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("Date In"))
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    late = F.when((F.col("l_quantity") == 49) & (F.col("l_linenumber") == 1), 1000).otherwise(0)
+    base = F.greatest(F.col("l_shipdate").cast("timestamp_ntz"), F.col("Date In").cast("timestamp_ntz"))
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "Date In",
+        (base + F.make_dt_interval(late)).alias("Date"),
+        F.concat(F.lit("$"), F.format_number(price, 2)).alias("Labor"),
+        F.when(F.col("l_linenumber") == 7, F.lit("(n/a)"))
+        .when(F.col("l_quantity") >= 50, F.concat(F.lit("$"), F.format_number(price * 10, 2)))
+        .otherwise(F.concat(F.lit("$"), F.format_number(price, 2))).alias("Total_y "))
+    done = prepare_evaluation(rows)
+    kept = done.select("l_orderkey", "l_linenumber", F.col("Repair Duration").cast("long").alias("duration"),
+                       F.round("Labor", 2).alias("labor"), F.round("Total_y", 2).alias("total"))
+    valid = prepare_evaluation(rows, outlier_threshold=float("inf"))
+    first = remove_outliers(valid, "Repair Duration", 3.0)
+    a, b, c = valid.count(), first.count(), done.count()
+    return kept.withColumn("duration_removes", F.lit(a > b)).withColumn("total_removes", F.lit(b > c))
+
+
 SQL_LEAD = r"(?s)\A\s*(\w+\s+\w+)\s+\((\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}:\d{2})\)[ \t]*(?:\r?\n|\z)(.*)\z"
 SQL_TRAIL = r"(?s)\A(.*?)(?:\r?\n|\A)[ \t]*(\w+\s+\w+)\s+\((\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}:\d{2})\)\s*\z"
 
@@ -1108,7 +1178,7 @@ def q_clean_job(spark, d):
     notes = notes_frame(spark, d).select("doc_id", F.col("note").alias("Work Order Internal Note"))
     bt = brand_text_frame(spark, d).select("p_partkey", F.col("brand_text").alias("Brand and model "))
     wo = notes.join(bt, notes["doc_id"] == bt["p_partkey"]).drop("p_partkey")
-    out = clean_work_orders(wo, brand_dictionary_frame(spark, d), split_notes=True)
+    out = clean_work_orders(wo, brand_dictionary_frame(spark, d), split_notes=True, faithful=True)
     return out.select("doc_id", F.col("Cleaned Brand").alias("cleaned_brand"),
                       F.col("Cleaned Model").alias("cleaned_model"), F.col("Note Author").alias("note_author"),
                       F.col("Note Date").alias("note_date"))

@@ -46,12 +46,13 @@ def merge_sheet_files(spark: SparkSession, lines_path: str, orders_path: str, ou
 
 def clean_work_orders(df: DataFrame, dictionary: DataFrame,
                       note_col: str = "Work Order Internal Note",
-                      brand_col: str = "Brand and model ", split_notes: bool = False) -> DataFrame:
+                      brand_col: str = "Brand and model ", split_notes: bool = False,
+                      faithful: bool = False) -> DataFrame:
     """Usable notes only (F1), required columns (P2), brand/model resolved
-    (E2); with ``split_notes`` also the note split (E3)."""
+    (E2, ``faithful`` as there); with ``split_notes`` also the note split (E3)."""
     S.require_columns(df, [note_col, brand_col], error=ValueError)
     out = FL.usable_notes(df, note_col)
-    out = clean_brand_model(out, brand_col, dictionary)
+    out = clean_brand_model(out, brand_col, dictionary, faithful=faithful)
     if split_notes:
         out = split_note_columns(out, note_col)
     return out
@@ -111,12 +112,16 @@ def full_stages(regressor, max_features: int = 100) -> Pipeline:
 
 def train_duration_models(df: DataFrame, order: list[str], models=("Linear Regression",),
                           ratio: float = 0.9, n_splits: int = 5, max_features: int = 100,
-                          rows_per_bucket: int = 1_000_000, registry=None, parallelism: int = 4):
+                          rows_per_bucket: int = 1_000_000, registry=None, parallelism: int = 4,
+                          categorical=CATEGORICAL):
     """3.3: prepare, index in time order (W5), hold out the last 10% (O2),
     grid-search each model on expanding folds (M16), score the hold-out, and
     return (metrics table ranked by MAE, fitted raw-column models)."""
     prefix = raw_stages()
-    rows = PipelineModel(stages=prefix).transform(prepare_training(df))
+    rows = PipelineModel(stages=prefix).transform(prepare_training(df, categorical=categorical))
+    # the models read these columns only: raw notes are not checkpointed
+    rows = rows.select(*[S.col(c) for c in dict.fromkeys(
+        [*order, "Processed_Repair_Description", *NUMERIC, *categorical, "label"])])
     ix = ordered_index(rows, order, index_col="row_idx", rows_per_bucket=rows_per_bucket)
     ix = ix.checkpoint(eager=True)  # reused by every fold fit; survives executor loss
     n = ix.count()
@@ -124,13 +129,37 @@ def train_duration_models(df: DataFrame, order: list[str], models=("Linear Regre
     train, test = ix.filter(F.col("row_idx") < cut), ix.filter(F.col("row_idx") >= cut)
 
     def stages(est):
-        return duration_stages(est, max_features)
+        return duration_stages(est, max_features, categorical=categorical)
     return compare_models(train, test, cut, stages, list(models), n_splits, "row_idx", "label",
                           registry or REGISTRY, prefix=prefix, parallelism=parallelism)
 
 
 # ------------------------------------------------------------ 3.4 evaluate
 
+MONEY = ["Labor", "Parts", "Subtotal", "Total_y"]
+
+
+def prepare_evaluation(df: DataFrame, money=MONEY, total: str = "Total_y", outlier_threshold: float = 3.0,
+                       date_in: str = "Date In", date_out: str = "Date",
+                       duration: str = "Repair Duration") -> DataFrame:
+    """Rows to score: dates parsed (P6), money text to numbers (X5), duration
+    (X15/X16), rows without duration or ``total`` dropped (F2), outliers of the
+    duration and then, among the survivors, of ``total`` removed (F3 twice).
+    A ``total`` that isn't a number counts as missing."""
+    df = S.trim_column_names(df)
+    S.require_columns(df, [date_in, date_out, total])
+    for c in (date_in, date_out):
+        df = df.withColumn(c, C.to_ts(S.col(c), strict=False, dtype=df.schema[c].dataType))
+    for c in money:
+        if c in df.columns:
+            df = df.withColumn(c, C.money_to_double(S.col(c)))
+    df = df.withColumn(duration, repair_duration(S.col(date_in), S.col(date_out)))
+    df = FL.drop_nulls(df, [duration, total])
+    for c in (duration, total):
+        df = FL.remove_outliers(df, c, outlier_threshold)
+    return df
+
+
 def evaluate_model(model: PipelineModel, df: DataFrame, top_k: int = 20, bins: int = 50,
                    label: str = "label"):
     """Scores (M17), metrics (A10), residual histogram (A11), top-k

@@ -4,24 +4,20 @@ File format: plain text, one brand per line, grouped under heading lines
 ``Known <section> brands:``; blank lines are ignored. A brand can be listed in
 several sections.
 
-The file is read line by line (not as one whole-text record, so a large
-dictionary is split across tasks). Line order within a file comes from the
-scan itself: ``monotonically_increasing_id`` grows with the split offset of a
-single file. Heading lines are few (one per section); they are collected with
-a hard bound and matched back to every brand line as "last heading before this
-line in the same file".
+A dictionary file is one record of the scan (files below 2 GB; a dictionary may
+be many files), so line order within it is exact whatever the split size. A
+line belongs to the last heading before it in its file, found by a window over
+the file; headings are never collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoplane.functions.text import collapse_ws, normalize_separators
 from shoplane.functions import wordlists as W
 
-MAX_SECTIONS = 10_000
-
 # Generic words that may trail a brand name; the name without them is added as
 # an alias so "Fuji Bikes" also matches plain "Fuji".
 GENERIC_BRAND_TAILS = ["bikes", "bike", "bicycles", "bicycle", "bicycle company",
@@ -37,29 +33,24 @@ def brand_norm(c) -> F.Column:
 
 def read_brand_dictionary(spark: SparkSession, path: str, with_aliases: bool = True) -> DataFrame:
     """S3: ``(brand, section, norm)`` rows, duplicates removed."""
-    lines = (spark.read.text(path)
+    lines = (spark.read.text(path, wholetext=True)
              .select(F.col("_metadata.file_path").alias("file"),
-                     F.monotonically_increasing_id().alias("pos"),
-                     collapse_ws(F.col("value")).alias("line"))
+                     F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("pos", "raw"))
+             .select("file", "pos", collapse_ws(F.col("raw")).alias("line"))
              .filter(F.col("line") != ""))
     heading = F.regexp_extract("line", W.BRAND_SECTION_HEADING, 1)
-    lines = lines.withColumn("heading", F.when(heading != "", heading))
-    heads = lines.filter(F.col("heading").isNotNull()).select("file", "pos", "heading") \
-        .limit(MAX_SECTIONS + 1).collect()
-    if len(heads) > MAX_SECTIONS:
-        raise ValueError(f"more than {MAX_SECTIONS} section headings in {path}")
-    section = F.lit(None).cast("string")
-    for h in sorted(heads, key=lambda r: (r["file"], r["pos"])):
-        section = F.when((F.col("file") == h["file"]) & (F.col("pos") > h["pos"]),
-                         F.lit(h["heading"])).otherwise(section)
-    brands = (lines.filter(F.col("heading").isNull())
-              .select(F.col("line").alias("brand"), section.alias("section")))
+    above = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = (lines.withColumn("heading", F.when(heading != "", heading))
+             .withColumn("section", F.last("heading", ignorenulls=True).over(above)))
+    brands = lines.filter(F.col("heading").isNull()).select(F.col("line").alias("brand"), "section")
     out = brands.withColumn("norm", brand_norm(F.col("brand")))
     if with_aliases:
         tails = "|".join(GENERIC_BRAND_TAILS)
         alias = F.regexp_replace("norm", rf"\s+({tails})$", "")
-        extra = out.withColumn("norm", alias).filter(F.col("norm") != "")
-        out = out.unionByName(extra)
+        # a bare descriptor or ordinary word ("Green Bike" -> "green") is no alias
+        plain = [*W.BRAND_DESCRIPTORS, *W.COMMON_WORD_BRANDS]
+        extra = out.withColumn("norm", alias).filter((F.col("norm") != "") & ~F.col("norm").isin(*plain))
+        out = out.unionByName(extra)  # rows without a tail repeat; duplicates go below
     return out.dropDuplicates(["brand", "section", "norm"])
 
 

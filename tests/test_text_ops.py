@@ -1,5 +1,7 @@
 """Brand matching, note splitting, extraction, dictionary source."""
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from shoplane.operators.brands import BRAND_MODEL, clean_brand_model, match_brand
@@ -57,6 +59,26 @@ def test_clean_brand_model_chain(spark, tmp_path):
     assert [(x["Cleaned Brand"], x["Cleaned Model"]) for x in r] == [("Trek", "FX"), ("Ninebot", "g30")]
 
 
+def test_clean_brand_model_boundaries(spark):
+    names = ["Espin", "Green Bike", "Swift Folder", "Time", "Trek"]
+    d = spark.createDataFrame([(n, "Bicycle", n.lower()) for n in names], "brand string, section string, norm string")
+    rows = {"Espin Sport": ("Espin", "Sport"), "Green Bike GB1": ("Green Bike", "GB1"),
+            "BK-Swift Folder 8 black": ("Swift Folder", "8"), "old part time bike": ("Unknown", "old part time bike"),
+            "Time Edge non-motor": ("Time", "Edge"), "Green black Bike": ("Unknown", "Bike"),
+            "black": ("", ""), " \n": ("", ""), "old Trek-520": ("Trek", "old 520")}
+    df = spark.createDataFrame([(k,) for k in rows] + [(None,)], "t string")
+    got = {r.t: (r["Cleaned Brand"], r["Cleaned Model"]) for r in clean_brand_model(df, "t", d).collect()}
+    assert got == {**rows, None: ("", "")}
+
+
+def test_dictionary_with_many_sections(spark, tmp_path):
+    from shoplane.sources import read_brand_dictionary
+    path = tmp_path / "many.txt"
+    path.write_text("\n\n".join(f"Known S{i} brands:\nMarque {i}" for i in range(1500)))
+    rows = read_brand_dictionary(spark, str(path)).collect()
+    assert {(r.brand, r.section) for r in rows} == {(f"Marque {i}", f"S{i}") for i in range(1500)}
+
+
 def test_split_note(spark):
     notes = ["swapped the worn bell\nOrla Finch (6/10/2021 12:03:53)",
              "Tobin Vale (16/12/2021 18:23:10)\nCustomer wants a new basket.\nCheck the mudguard.",
@@ -90,5 +112,21 @@ def test_extract_struct_isolates_failures(spark):
                           ("", "", ""), ("<null>", "", "")])
 
 
+def test_extractor_partitions_and_outage(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(2000).select(F.concat(F.lit("t"), F.col("id")).alias("t"))
+
+    def where(texts):
+        from pyspark import TaskContext
+        return [{"brand": str(TaskContext.get().partitionId()), "model": x} for x in texts]
+    r = extract_struct(df, "t", BRAND_MODEL, where, out="s", parallelism=6)
+    assert r.select("s.brand").distinct().count() == 6
+
+    def down(texts):
+        raise RuntimeError("down")
+    with pytest.raises(RuntimeError, match="2000 of 2000"):
+        extract_struct(df, "t", BRAND_MODEL, down, out="s")
+
+
 def test_scratch_is_under_checkpoint_dir(spark):
     assert scratch_path(spark, "x").startswith(spark.sparkContext.getCheckpointDir().rstrip("/"))
