@@ -4,8 +4,7 @@
 side is small by statistics, else sort-merge on the key, and AQE's skew-join
 handling splits a hot key's partition (a key holding a third of all rows is
 spread over several tasks; the other side's rows for it are replicated).
-Nothing here forces a broadcast: a side is only broadcast when the caller
-passes ``broadcast_max_rows`` and the side's row count is under it.
+Nothing here forces a broadcast.
 """
 
 from __future__ import annotations
@@ -20,8 +19,7 @@ from shoplane.operators.schema import q
 
 def merge_on(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
              how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y"),
-             drop: tuple[str, ...] = ("ID_y",), null_safe: bool = False,
-             broadcast_max_rows: int | None = None) -> DataFrame:
+             drop: tuple[str, ...] = ("ID_y",), null_safe: bool = False) -> DataFrame:
     """Equi-join on differently (or equally) named keys with dataframe-
     merge naming: columns present on both sides get ``suffixes``; with equal
     key names one key column is kept. Duplicate keys multiply. Columns listed
@@ -37,8 +35,6 @@ def merge_on(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     L = left.select(*[F.col(q(c)).alias(lname[c]) for c in left.columns])
     R = right.select(*[F.col(q(c)).alias(rkey_tmp if (same_key and c == right_on) else rname[c])
                        for c in right.columns])
-    if broadcast_max_rows is not None and R.count() <= broadcast_max_rows:
-        R = F.broadcast(R)
     lk, rk = L[q(lname[left_on])], R[q(rkey_tmp)]
     cond = lk.eqNullSafe(rk) if null_safe else lk == rk
     joined = L.join(R, cond, how)

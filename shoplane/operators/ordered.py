@@ -4,9 +4,9 @@
 total order (``by`` keys, then ``order`` columns ending in a unique key) is
 cut into balanced range buckets instead:
 
-1. cut points come from a bounded sample of the (pruned) key columns
-   (``rows_per_bucket`` sets how many buckets; the sample is ~64 keys per
-   bucket), and each row's bucket is found by a vectorised binary search in an
+1. cut points come from a sample of the (pruned) key columns, 32 keys a bucket
+   (``rows_per_bucket`` sets how many buckets), which Spark sorts; one key a
+   bucket reaches the driver. Each row's bucket is found by a vectorised binary search in an
    Arrow-batched pandas UDF that only sees the key columns. Ties on a leading
    column are split by the later ones, so a value shared by a third of the
    rows still spreads over many buckets;
@@ -37,7 +37,8 @@ from shoplane.operators.schema import col
 
 DEFAULT_ROWS_PER_BUCKET = 250_000
 SAMPLE_PER_BUCKET = 32
-MAX_SAMPLE = 8_000_000
+#: Sampled keys a task sorts.
+SAMPLE_PER_TASK = 1 << 16
 
 
 # ------------------------------------------------------------ key handling
@@ -137,9 +138,16 @@ class _Cuts:
         return place.astype(np.int32)
 
 
-def _sort_key(t: tuple) -> tuple:
-    # components are (flag, value) runs without nulls: tuple order is Spark's order
-    return t
+def _cut_points(keys: DataFrame, share: float, every: int, expected: int, seed: int) -> list[tuple]:
+    """Every ``every``-th key of a sorted sample of ``keys``, ascending and
+    distinct. Spark sorts the sample in ranges; a range's last, shorter run of
+    keys joins the next range's first."""
+    names = keys.columns
+    ranges = max(1, math.ceil(expected / SAMPLE_PER_TASK))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the range
+    picked = (keys.sample(False, share, seed).repartitionByRange(ranges, *names).sortWithinPartitions(*names)
+              .withColumn("_place", place).where(F.col("_place") % every == every - 1).drop("_place"))
+    return sorted({tuple(r.values()) for r in picked.toArrow().to_pylist()})
 
 
 def assign_buckets(df: DataFrame, keys: list[str], rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
@@ -147,29 +155,16 @@ def assign_buckets(df: DataFrame, keys: list[str], rows_per_bucket: int = DEFAUL
     """Add ``bucket_col``: range bucket of the row in the order of ``keys``.
     Returns the frame and the number of buckets."""
     comps, kinds = _components(df, keys)
-    n = df.select(*[col(k) for k in keys[:1]]).count()
-    nb = max(1, math.ceil(n / max(1, rows_per_bucket)))
-    if nb == 1:
-        return df.withColumn(bucket_col, F.lit(0)), 1
-    want = min(MAX_SAMPLE, nb * SAMPLE_PER_BUCKET)
-    frac = min(1.0, want / n)
-    # the bounded key sample travels as Arrow and is sorted column-wise
-    # (nulls only sit behind a set null flag, so their placement is moot)
     key_frame = df.select(*[c.alias(f"c{i}") for i, c in enumerate(comps)])
-    tbl = key_frame.sample(False, frac, seed).toArrow()
-    while tbl.num_rows == 0:  # an unlucky draw: take a larger one rather than one bucket
-        frac, seed = min(1.0, 4 * frac), seed + 1
-        tbl = key_frame.sample(False, frac, seed).toArrow()
-    m = tbl.num_rows
-    import pyarrow.compute as pc
-    order_ix = pc.sort_indices(tbl, sort_keys=[(f"c{i}", "ascending") for i in range(len(comps))],
-                               null_placement="at_start")
-    picks = order_ix.take([min(m - 1, (i * m) // nb) for i in range(1, nb)])
-    cand = [tuple(r.values()) for r in tbl.take(picks).to_pylist()]
-    cuts = []
-    for c in cand:
-        if not cuts or _sort_key(c) > _sort_key(cuts[-1]):
-            cuts.append(c)
+    n = key_frame.count()
+    nb = max(1, math.ceil(n / max(1, rows_per_bucket)))
+    cuts: list[tuple] = []
+    share = min(1.0, nb * SAMPLE_PER_BUCKET / max(1, n))
+    while nb > 1:
+        cuts = _cut_points(key_frame, share, max(1, int(share * rows_per_bucket)), int(share * n), seed)
+        if cuts or share == 1.0:
+            break
+        share, seed = min(1.0, 4 * share), seed + 1  # an unlucky draw: take a larger one rather than one bucket
     if not cuts:
         return df.withColumn(bucket_col, F.lit(0)), 1
     spec = _Cuts(cuts, kinds).prepare()
@@ -206,7 +201,7 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
                      rolling: int = 0, rolling_name: str | None = None,
                      fill_cols: list[str] | None = None,
                      rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, seed: int = 42,
-                     summary_broadcast_rows: int = 2_000_000) -> DataFrame:
+                     summary_broadcast_bytes: int = 32 << 20) -> DataFrame:
     """All ordered operators in one pass.
 
     ``order`` must end in a unique key (total order). Adds ``index_col``
@@ -254,8 +249,13 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
         summ = summ.select("*", *[F.lead("_b", k).over(gw).alias(f"_nb{k}") for k in range(1, reach + 1)],
                            *[F.lead("_start", k).over(gw).alias(f"_ns{k}") for k in range(1, reach + 1)])
     summ = summ.checkpoint(eager=True)
-    # the summary has one row per (group, bucket): broadcast only under a checked bound
-    small = F.broadcast(summ) if summ.count() <= summary_broadcast_rows else summ
+    # the summary has one row per (group, bucket): broadcast only under a measured bound
+    width = F.lit(16 * len(summ.columns))
+    for f in summ.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(col(f.name)), F.lit(0))
+    measured = summ.agg(F.sum(width.cast("long"))).first()[0] or 0
+    small = F.broadcast(summ) if measured <= summary_broadcast_bytes else summ
 
     base = bdf.withColumn("_halo", F.lit(False))
     if reach:

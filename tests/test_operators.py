@@ -108,10 +108,10 @@ def test_ordered_equals_single_partition(spark, rows_per_bucket):
          .cast("timestamp_ntz").alias("d"),
         F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("id") * 1.5).alias("v"),
         F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("id") % 2).alias("g"))
-    for by, bcast in (([], 2_000_000), (["g"], 2_000_000), (["g"], 0)):
+    for by, bcast in (([], 32 << 20), (["g"], 32 << 20), (["g"], 0)):
         res = ordered_features(base, ["d", "k"], by, index_col="idx", lag_col="v", lags=(1, 2),
                                rolling=3, rolling_name="r3", fill_cols=["v"],
-                               rows_per_bucket=rows_per_bucket, summary_broadcast_rows=bcast)
+                               rows_per_bucket=rows_per_bucket, summary_broadcast_bytes=bcast)
         w = Window.partitionBy(*by).orderBy(F.col("d").asc_nulls_last(), "k")
         rw = w.rowsBetween(-2, 0)
         ref = base.select(
