@@ -107,12 +107,16 @@ def remove_stop_words(tokens: ColumnOrName, stop_words: list[str] = W.ENGLISH_ST
 
 
 def lemmatize_nouns(tokens: ColumnOrName, rules=W.NOUN_SUFFIX_RULES,
-                    keep_endings=W.NOUN_KEEP_ENDINGS, min_stem: int = 2) -> Column:
-    """Rule-based noun lemmatisation (longest matching suffix first).
+                    keep_endings=W.NOUN_KEEP_ENDINGS, min_stem: int = 2,
+                    lemmas: dict[str, str] = W.NOUN_LEMMAS) -> Column:
+    """Noun lemmas from the table ``lemmas``, for other words by suffix
+    rules (longest matching suffix first).
 
     A rule applies only if at least ``min_stem`` characters remain; the bare
     "s" rule skips words ending in ``keep_endings``.
     """
+    known = F.create_map(*[F.lit(x) for kv in sorted(lemmas.items()) for x in kv]) if lemmas else None
+
     def one(w: Column) -> Column:
         out = w
         for suffix, repl in reversed(rules):
@@ -122,7 +126,7 @@ def lemmatize_nouns(tokens: ColumnOrName, rules=W.NOUN_SUFFIX_RULES,
                     cond = cond & ~w.endswith(k)
             stem = w.substr(F.lit(1), F.length(w) - len(suffix))
             out = F.when(cond, F.concat(stem, F.lit(repl))).otherwise(out)
-        return out
+        return out if known is None else F.coalesce(F.try_element_at(known, w), out)
     return F.transform(_col(tokens), one)
 
 

@@ -74,15 +74,22 @@ TOKEN_CONTRACTIONS = [
     ("lem", "me"), ("wan", "na"),
 ]
 
-# FIXED VALUES -- noun plural detachment rules (suffix, replacement), tried
-# longest suffix first. WordNet's lexicon is not available, so every rule
-# applies without a dictionary check (declared deviation).
+# Noun plural rules (suffix, replacement), tried longest suffix first. WordNet's
+# lexicon is not available, so every rule applies without a dictionary check
+# (declared deviation); words the rules would damage stand in NOUN_LEMMAS.
 NOUN_SUFFIX_RULES = [
-    ("ches", "ch"), ("shes", "sh"), ("ies", "y"), ("ses", "s"),
-    ("xes", "x"), ("zes", "z"), ("men", "man"), ("s", ""),
+    ("sses", "ss"), ("ches", "ch"), ("shes", "sh"), ("xes", "x"), ("ies", "y"), ("s", ""),
 ]
 # Words ending in these are left alone by the bare "s" rule.
 NOUN_KEEP_ENDINGS = ["ss", "us", "is"]
+# Irregular nouns (word: lemma), looked up before the rules; a default that callers can replace.
+NOUN_LEMMAS = {
+    "axes": "axis", "buses": "bus", "calves": "calf", "children": "child", "elves": "elf", "feet": "foot",
+    "gas": "gas", "gases": "gas", "geese": "goose", "halves": "half", "knives": "knife", "leaves": "leaf",
+    "lens": "lens", "lenses": "lens", "lives": "life", "loaves": "loaf", "men": "man", "mice": "mouse",
+    "movies": "movie", "series": "series", "shelves": "shelf", "species": "species", "statuses": "status",
+    "teeth": "tooth", "thieves": "thief", "ties": "tie", "wives": "wife", "wolves": "wolf", "women": "woman",
+}
 
 # Token pattern of the TF-IDF vectoriser: two or more word characters.
 TFIDF_TOKEN_PATTERN = r"(?U)\b\w\w+\b"

@@ -899,7 +899,7 @@ def q_e1(spark, d):
 # ---------------------------------------------- 2.10 E8, 2.11 M1-M19
 
 def _sql_lemma(w: str) -> str:
-    parts = []
+    parts = [f"WHEN {w} = '{k}' THEN '{v}'" for k, v in W.NOUN_LEMMAS.items()]
     for suffix, repl in W.NOUN_SUFFIX_RULES:
         cond = f"ends_with({w}, '{suffix}') AND length({w}) - {len(suffix)} >= 2"
         if suffix == "s":

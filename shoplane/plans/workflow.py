@@ -17,11 +17,12 @@ from shoplane.operators.brands import clean_brand_model
 from shoplane.operators.features import (FeatureCounter, FeatureEngineer, ModeImputer,
                                          PopStandardScaler, TextPreprocessor, TfidfTop)
 from shoplane.operators.joins import merge_on
-from shoplane.operators.metrics import regression_metrics, residual_histogram
+from shoplane.operators.metrics import density_curve, regression_metrics, residual_histogram, scatter_bins
 from shoplane.operators.models import (REGISTRY, coefficients, compare_models, top_coefficients)
 from shoplane.operators.notes import split_note_columns
 from shoplane.operators.ordered import ordered_index
 
+# FIXED VALUES -- feature columns.
 NUMERIC = ["Year", "Month", "WeekOfYear", "DayOfWeek", "Quarter", "IsWeekend"]
 CATEGORICAL = ["Brand and model", "Type", "Shop"]
 
@@ -58,6 +59,13 @@ def clean_work_orders(df: DataFrame, dictionary: DataFrame,
     return out
 
 
+def clean_work_order_files(spark: SparkSession, in_path: str, dictionary_path: str, out_path: str, **options) -> None:
+    """Sheet and dictionary files -> cleaned table (``options`` as in ``clean_work_orders``)."""
+    from shoplane.sources import read_brand_dictionary, read_sheet, write_table
+    cleaned = clean_work_orders(read_sheet(spark, in_path), read_brand_dictionary(spark, dictionary_path), **options)
+    write_table(cleaned, out_path)
+
+
 # --------------------------------------------------------------- 3.3 train
 
 def prepare_training(df: DataFrame, outlier_threshold: float = 3.0, categorical=CATEGORICAL,
@@ -172,12 +180,52 @@ def evaluate_model(model: PipelineModel, df: DataFrame, top_k: int = 20, bins: i
     return metrics, hist, coefs
 
 
-def score_records(spark: SparkSession, model: PipelineModel, records, schema) -> DataFrame:
-    """predict: records (dicts) -> one-row/many-row frame (S4) -> scores."""
-    from shoplane.sources import records_to_df
-    df = records_to_df(spark, records, schema)
+def evaluation_tables(scored: DataFrame, label: str = "label", bins: int = 50) -> dict[str, DataFrame]:
+    """Metrics (A10), residual histogram (A11) and density (A12), and the 2-D
+    bins of actual and residual against predicted (A14) of scored rows."""
+    pairs = FL.drop_nan(scored, [label, "prediction"]).select(
+        S.col(label).alias("actual"), "prediction", (S.col(label) - F.col("prediction")).alias("residual"))
+    return {"metrics": regression_metrics(pairs, "actual", "prediction"),
+            "residual_histogram": residual_histogram(pairs, "residual", bins),
+            "residual_density": density_curve(pairs, "residual"),
+            "actual_by_predicted": scatter_bins(pairs, "prediction", "actual", bins),
+            "residual_by_predicted": scatter_bins(pairs, "prediction", "residual", bins)}
+
+
+def evaluate_files(spark: SparkSession, model_path: str, in_path: str, out_path: str, top_k: int = 20,
+                   bins: int = 50, label: str = "Repair Duration", categorical=CATEGORICAL) -> None:
+    """Sheet of finished work orders -> prepared rows scored by a saved model;
+    the scores (Parquet) and each evaluation table (CSV) under ``out_path``."""
+    from shoplane.sources import load_model, read_sheet, read_table, write_csv, write_table
+    rows = prepare_evaluation(read_sheet(spark, in_path))
+    rows = S.build_text(rows, "Repair_Description", "Description", "Cleaned Work Order Internal Note")
+    rows = S.fill_unknown(rows, [c for c in categorical if c in rows.columns])
+    model = load_model(model_path)
+    scored = model.transform(rows)
+    write_table(scored.select(S.col(label).cast("double").alias("actual"), "prediction"), f"{out_path}/scores")
+    scores = read_table(spark, f"{out_path}/scores")  # scored once, read by every table
+    for name, table in evaluation_tables(scores, "actual", bins).items():
+        write_csv(table, f"{out_path}/{name}")
+    if hasattr(model.stages[-1], "coefficients"):
+        write_csv(top_coefficients(coefficients(model, scored), top_k), f"{out_path}/top_coefficients")
+
+
+def score_files(spark: SparkSession, model_path: str, in_path: str, out_path: str) -> None:
+    """Sheet of new work orders -> its columns and the saved model's ``prediction``."""
+    from shoplane.sources import load_model, read_sheet, write_table
+    rows = read_sheet(spark, in_path)
+    write_table(_score(load_model(model_path), rows).select(*[S.col(c) for c in rows.columns], "prediction"), out_path)
+
+
+def _score(model: PipelineModel, df: DataFrame) -> DataFrame:
     S.require_columns(df, ["Date In", "Description", "Cleaned Work Order Internal Note",
                            "Brand and model", "Type", "Shop"])
     df = S.build_text(df, "Repair_Description", "Description", "Cleaned Work Order Internal Note")
     df = df.withColumn("Date In", C.to_ts(S.col("Date In"), strict=True, dtype=df.schema["Date In"].dataType))
     return model.transform(df)
+
+
+def score_records(spark: SparkSession, model: PipelineModel, records, schema) -> DataFrame:
+    """predict: records (dicts) -> one-row/many-row frame (S4) -> scores."""
+    from shoplane.sources import records_to_df
+    return _score(model, records_to_df(spark, records, schema))
