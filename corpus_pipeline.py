@@ -45,7 +45,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids written in the operator's file format; the index read back from them."""
     from shoplane.llm.token_file import read_documents, write_token_files
     path = scratch_path(spark, "token-files")
-    write_token_files(docs, path, TOKENIZER, end_id=1)
+    write_token_files(docs, path, TOKENIZER, end_id=1, max_words=100_000)
     return read_documents(spark, path)
 
 

@@ -25,6 +25,8 @@ UNDETERMINED = "und"
 _SPACE = 32
 #: Characters of text handled at once.
 _BATCH_CHARS = 120_000
+#: n-gram vectors held at once.
+_GRAMS = 4096
 #: Prototype sums are rounded to this grain, so that their order of addition doesn't matter.
 _GRAIN = 1e6
 
@@ -77,14 +79,17 @@ class Hypervectors:
             code = code * len(letters) + p
         which, distinct = pd.factorize(code)
         rows = self._rows(letters)
-        product = None
-        for i in range(n - 1, -1, -1):
-            letter = np.roll(self.table[rows], i, axis=1)[distinct % len(letters)]
-            distinct = distinct // len(letters)
-            product = letter if product is None else product * letter
-        product = product.astype(np.float32)
-        counts = np.bincount(owner * len(product) + which, minlength=len(texts) * len(product))
-        return counts.reshape(len(texts), -1).astype(np.float32) @ product, has
+        counts = np.bincount(owner * len(distinct) + which, minlength=len(texts) * len(distinct))
+        counts = counts.reshape(len(texts), -1).astype(np.float32)
+        rolled = [np.roll(self.table[rows], i, axis=1) for i in range(n)]
+        for lo in range(0, len(distinct), _GRAMS):  # whole numbers below 2**24: the order of addition doesn't matter
+            part = distinct[lo:lo + _GRAMS]
+            product = rolled[n - 1][part % len(letters)]
+            for i in range(n - 2, -1, -1):
+                part = part // len(letters)
+                product *= rolled[i][part % len(letters)]
+            out += counts[:, lo:lo + _GRAMS] @ product.astype(np.float32)
+        return out, has
 
 
 def _batches(texts: list[str], most: int = 32):
@@ -205,12 +210,13 @@ def reject_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches):
         encoder = _encoder(*made)
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
             keep: list[bool] = []
-            for lo, hi in _batches(texts):
-                v, has = encoder.vectors(texts[lo:hi])
-                best = (v @ prototypes.T).max(axis=1) if known else np.zeros(hi - lo)
-                keep += (has & known & np.isfinite(best)).tolist()
+            for first in range(0, batch.num_rows, 256):  # few texts at a time as Python strings
+                texts = [t or "" for t in batch.column(at).slice(first, 256).to_pylist()]
+                for lo, hi in _batches(texts):
+                    v, has = encoder.vectors(texts[lo:hi])
+                    best = (v @ prototypes.T).max(axis=1) if known else np.zeros(hi - lo)
+                    keep += (has & known & np.isfinite(best)).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
