@@ -11,8 +11,10 @@ fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hg
 search section select summary table tbody td tfoot th thead title tr ul video audio canvas object""".split())
 #: Elements without content or end tag (fixed values of the HTML standard).
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is not text of the page.
-RAW_TAGS = frozenset("script style template noscript textarea iframe svg math object select title".split())
+#: Elements whose content is plain characters up to the end tag, or to the page's end without one (HTML standard); not text of the page.
+RAW_TAGS = frozenset("script style textarea iframe title".split())
+#: Elements whose content is markup but not text of the page. Without an end tag they hold nothing.
+HIDDEN_TAGS = frozenset("template noscript svg object select".split())
 #: Start tags that end an open paragraph (fixed values of the HTML standard).
 _ENDS_P = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5
 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt""".split())
@@ -29,16 +31,40 @@ def _path_words(tag: str, attributes: str) -> tuple[str, ...]:
     return (tag, *("." + n for n in found))
 
 
+def _hidden_ends(html: str, at: int, tag: str) -> dict[int, int]:
+    """Where each closed ``tag`` element from ``at`` on starts and ends. An end tag
+    closes the last open start tag, so unclosed ones have no entry."""
+    pattern = re.compile(rf"""<!--.*?(?:--!?>|\Z)|<(/?){tag}(?=[\s/>])(?:((?:[^>"']++|"[^"]*+"|'[^']*+')*+)|([^>]*+))>""", re.I | re.S)
+    ends: dict[int, int] = {}
+    opened: list[int] = []
+    for m in pattern.finditer(html, at):
+        if m[1] is None:
+            continue
+        if m[1]:
+            if opened:
+                ends[opened.pop()] = m.end()
+        elif not _empty_svg(tag, m[2] or m[3] or ""):
+            opened.append(m.start())
+    return ends
+
+
+def _empty_svg(tag: str, attributes: str) -> bool:
+    """Whether a hidden element is over with its start tag: only foreign elements have the self-closing form."""
+    return tag == "svg" and attributes.endswith("/")
+
+
 def blocks(html: str) -> list[tuple[tuple[str, ...], str]]:
     """(path words, text) of every non-empty block in page order. A path word is an
     open element's tag or, after a dot, a word of its class, id or role.
 
     Character references are decoded and white space becomes single spaces.
-    Unclosed, misnested and cut-off markup is read to its end."""
+    Unclosed, misnested and cut-off markup is read to its end; only the content of
+    ``RAW_TAGS`` and of closed ``HIDDEN_TAGS`` is left out."""
     out: list[tuple[tuple[str, ...], str]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     path: tuple[str, ...] = ()
+    hidden: dict[str, dict[int, int]] = {}
     at, size = 0, len(html)
 
     def flush():
@@ -73,6 +99,14 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str]]:
             end = re.compile(rf"</{re.escape(tag)}\s*+[^>]*+>", re.I).search(html, at)
             at = end.end() if end else size
             continue
+        if tag in HIDDEN_TAGS:
+            if tag in BLOCK_TAGS:
+                flush()
+            if not _empty_svg(tag, m[3] or m[6] or ""):
+                if tag not in hidden:
+                    hidden[tag] = _hidden_ends(html, m.start(), tag)
+                at = hidden[tag].get(m.start(), at)
+            continue
         if tag in BLOCK_TAGS:
             flush()
         if tag in _ENDS_P:

@@ -34,6 +34,18 @@ def test_blocks_of_odd_markup():
     assert blocks("<ul><li>a<li>b</ul>c") == [(("ul", "li"), "a"), (("ul", "li"), "b"), ((), "c")]
     assert blocks("<div title='unclosed>text") == [(("div",), "text")]
     assert blocks("<style>p{") == [] and blocks("a&nbsp;&lt;b") == [((), "a <b")]
+    three = [(("p",), "One two"), (("p",), "Three")]
+    for icon in ('<svg class="i"/>', "<SVG/>", '<svg><path d="M0"/></svg>', "<svg><svg>a</svg>b</svg>", "<svg><!-- </svg> -->c</svg>", "<svg>", "<math/>",
+                 "<noscript>", "<template>", "<noscript><img></noscript>"):
+        assert blocks(f"<p>One {icon} two</p><p>Three</p>") == three, icon
+        assert blocks(f"<p>One {icon} two</p><p>Three</p><svg>x</svg><select>y</select>") == three, icon
+    for field in ("<select>", "<select><option>a</select>"):  # breaks the line
+        assert blocks(f"<p>One {field} two</p><p>Three</p>") == [(("p",), "One"), (("p",), "two"), (("p",), "Three")]
+    assert blocks("<p>One</p><object data=x><p>two</p>") == [(("p",), "One"), (("p",), "two")]
+    assert blocks("<p>One</p><object><object>x</object>y</object><p>two</p>") == [(("p",), "One"), (("p",), "two")]
+    assert blocks("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == [(("p",), "So x=1 holds")]
+    assert blocks("<p>a<svg data-x='>'/>b<svgs>c</svgs>") == [(("p",), "abc")]
+    assert len(blocks("<p>x<select><svg><object>" * 20000)) == 20000
     assert len(blocks("<p>x" * 20000)) == 20000
     assert blocks("<" * 50000 + "p")[0][1] == "<" * 50000 + "p"
 
