@@ -71,10 +71,13 @@ def varied(page, rng: random.Random, words: list[str]):
     return [(p, t) for p, t, _ in out], [y for _, _, y in out]
 
 
-def train_labeller(pages: DataFrame, fit_pages: int, rounds: int, seed: int, html_col: str = "html", id_col: str = "page_id"):
-    """The network, trained on at most ``fit_pages`` pages (lowest id hash first)."""
-    chosen = (pages.where(F.col(html_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("f_id"))
-              .orderBy(F.xxhash64("f_id"), "f_id").limit(fit_pages))
+def _marked(page) -> bool:
+    return any(teacher_label(p) for p, _ in page)
+
+
+def _sample(pages: DataFrame, candidates: DataFrame, fit_pages: int, html_col: str, id_col: str) -> list:
+    """(id, blocks) of at most ``fit_pages`` pages whose id is in ``candidates``, lowest id hash first."""
+    chosen = candidates.select(F.col(id_col).alias("f_id")).orderBy(F.xxhash64("f_id"), "f_id").limit(fit_pages)
     rows = pages.select(F.col(id_col).alias("p_id"), F.col(html_col).alias("h")).join(F.broadcast(chosen), F.col("p_id") == F.col("f_id"))
 
     def run(batches):
@@ -85,9 +88,26 @@ def train_labeller(pages: DataFrame, fit_pages: int, rounds: int, seed: int, htm
                  pa.array([[t for _, t in b] for b in pages_], pa.list_(pa.string()))],
                 names=["p", "paths", "texts"])
 
-    got = rows.select("p_id", "h").mapInArrow(run, "p string, paths array<string>, texts array<string>").collect()
-    got = sorted(((r.p, [(tuple(p.split()), t) for p, t in zip(r.paths, r.texts)]) for r in got), key=str)
-    known = [page for _, page in got if any(teacher_label(p) for p, _ in page)]
+    got = rows.where("h is not null").select("p_id", "h").mapInArrow(run, "p string, paths array<string>, texts array<string>").collect()
+    return sorted(((r.p, [(tuple(p.split()), t) for p, t in zip(r.paths, r.texts)]) for r in got), key=str)
+
+
+def train_labeller(pages: DataFrame, fit_pages: int, rounds: int, seed: int, html_col: str = "html", id_col: str = "page_id"):
+    """The network, trained on at most ``fit_pages`` of the pages that say what
+    their parts are (lowest id hash first); None if the table has no such page.
+
+    The first draw is from all pages. Only if it meets a page without such marks is
+    the table read for the marked ones and the sample drawn from them."""
+    given = pages.where(F.col(html_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, html_col)
+    got = _sample(pages, given, fit_pages, html_col, id_col)
+    known = [page for _, page in got if _marked(page)]
+    if len(known) < len(got) and len(got) >= fit_pages:
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array([_marked(blocks(h)) for h in batch.column(1).to_pylist()], pa.bool_()))
+
+        got = _sample(pages, given.mapInArrow(run, given.schema), fit_pages, html_col, id_col)
+        known = [page for _, page in got if _marked(page)]
     net = bilstm.BiLstm(seed)
     if not known:
         return None
@@ -110,8 +130,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """(id, url, text, n_chars, n_blocks) for every row of ``pages``.
 
     Null and empty pages, and pages without main text, give the empty text.
-    Repeated rows each get a row; extra columns are ignored. If no page says what
-    its parts are, nothing can be learned and the markup rule decides alone."""
+    Repeated rows each get a row; extra columns are ignored. If no page with an id
+    says what its parts are, nothing can be learned: the markup rule decides alone
+    and gives the empty text to every page without such marks."""
     net = train_labeller(pages, fit_pages, rounds, seed, html_col, id_col)
 
     def run(batches):

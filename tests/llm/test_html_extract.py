@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from shoplane.llm import bilstm
 from shoplane.llm.html_blocks import blocks
-from shoplane.llm.html_extract import extract_text
+from shoplane.llm.html_extract import extract_text, train_labeller
 from tests.conftest import SF_ORACLE
 
 PAGE = ('<html><body><header><h1>Site name</h1></header><div id="menu"><a href=x>One</a> <a href=y>Two</a></div><{0}><h2>The title &amp; more</h2>'
@@ -90,3 +90,12 @@ def test_pages_and_awkward_rows(spark):
     assert [got[i] for i in (-5, -6, -7)] == [WANT] * 3
     assert len(got[-8].split()) == 7 * 3000
     assert extract_text(more.limit(0)).count() == 0
+
+
+def test_one_marked_page_among_unmarked_ones_is_found(spark):
+    text = "<h2>A title</h2>" + "<p>Some words of an article go on here for a while.</p>" * 3
+    rows = [(i, f"u{i}", f"<div>{text}</div>") for i in range(60)] + [(60, "u60", f"<article>{text}</article>"), (61, "u61", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert train_labeller(pages.where("page_id < 60"), 2, 1, 7) is None
+    for fit in (1, 2, 5):
+        assert train_labeller(pages, fit, 1, 7) is not None
