@@ -122,35 +122,31 @@ def simhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other. Null ids never name a component unless it has no other (then NULL).
     Repeated rows each get a row. Extra columns are ignored."""
     per_row = materialize(fingerprints(docs, id_col, text_col, ngram, seed), "simhash-rows")
-    nodes = materialize(per_row.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
-    roots = link_fingerprints(nodes, max_bits, blocks)
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    component = named.join(lowest, "root").select(F.col("fp").alias("c_fp"), "component_id")
+    component = _lowest(per_row, max_bits, blocks)
     return (per_row.join(component, per_row["fp"] == component["c_fp"], "left")
             .select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The columns of ``docs``, one row of each component: the row whose id names
-    it. Rows that share that id count as one document; one of them stays. A
-    component of null ids only keeps one row of them."""
-    found = simhash_duplicates(docs, id_col, text_col, **how)
-    keep, mark = fresh(docs, "kept_id"), fresh(docs, "kept_null")
-    names = found.groupBy(F.col("component_id").alias(keep)).agg(F.lit(True).alias(mark))
-    named = docs.join(names.where(F.col(keep).isNotNull()), F.col(id_col) == F.col(keep)).select(*[docs[c] for c in docs.columns])
-    named = named.dropDuplicates([id_col])
-    return named.unionByName(_null_survivors(docs, found, id_col, text_col, how))
-
-
-def _null_survivors(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: dict) -> DataFrame:
-    """Rows without any id, one of each component that has no id at all."""
-    nameless = found.where(F.col("component_id").isNull()).select("fingerprint").distinct()
-    if nameless.isEmpty():
-        return docs.limit(0)
-    rows = docs.where(F.col(id_col).isNull())
-    at = fresh(rows, "row_at")
-    rows = materialize(rows.withColumn(at, F.monotonically_increasing_id()), "simhash-nameless")
-    again = simhash_duplicates(rows.select(at, F.col(text_col)), at, text_col, **how)
-    keep = (again.join(nameless, "fingerprint", "left_semi").select(F.col("component_id").alias("kept_at")).distinct())
-    return rows.join(keep, rows[at] == keep["kept_at"], "left_semi").drop(at)
+def _lowest(per_row: DataFrame, max_bits: int, blocks: int) -> DataFrame:
+    """(c_fp, component_id): every fingerprint of ``per_row`` (id, fp) and the smallest id of its component."""
+    nodes = materialize(per_row.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    roots = link_fingerprints(nodes, max_bits, blocks)
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return named.join(lowest, "root").select(F.col("fp").alias("c_fp"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, seed: int = 42,
+                         max_bits: int = 3, blocks: int = 6) -> DataFrame:
+    """The columns of ``docs``, one row of each component: the one of the smallest
+    id, ties by the text's MD5, null ids last. Rows are told apart by id and text,
+    so other texts of a repeated or null id stay or go with their own component;
+    of rows equal in both any one stays."""
+    key, kept = fresh(docs, "row_key"), fresh(docs, "kept_key")
+    row_key = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.md5(F.col(text_col).cast("binary")).alias("h"))
+    keyed = docs.withColumn(key, row_key)
+    per_row = materialize(fingerprints(keyed, key, text_col, ngram, seed), "simhash-rows")
+    names = _lowest(per_row, max_bits, blocks).select(F.col("component_id").alias(kept)).distinct()
+    # structs are equal where their nulls are; equal keys have equal texts, so one component
+    rows = keyed.join(names, F.col(key) == F.col(kept), "left_semi")
+    return rows.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,5 +1,6 @@
 """SimHash links against all pairs on small inputs."""
 
+import hashlib
 import random
 
 import xxhash
@@ -104,3 +105,22 @@ def test_survivors(spark, awkward, none):
     assert [r.text for r in rows if r.doc_id is None] == ["un deux trois"]
     assert drop_near_duplicates(none).count() == 0
     assert fingerprints(none).count() == 0
+
+
+def test_survivors_of_an_id_with_several_texts(spark):
+    """Ids shared by texts of different components, hot and null ids among them."""
+    a, b = "un deux trois quatre cinq six sept huit", "The quick brown fox jumps over the lazy dog and then it runs away home"
+    rows = [(7, a), (7, "other words stand here now"), (3, b), (5, b.upper()), (5, "five has one text of its own"), (5, "and a second one too"),
+            (None, b.lower()), (None, "no id at all"), (None, "no id AT all"), (None, "nor has this one any"), (8, None), (8, ""), (8, "eight")]
+    rows += [(1, f"text {i} of the hot id {i * i} and {i % 7}") for i in range(40)] * 2
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id bigint, text string, row_key string")
+    comp = brute_components([brute_fingerprint(t) for _, t in rows])
+    want = {}
+    for (i, t), c in zip(rows, comp):
+        rank = (i is None, i or 0, t is not None, hashlib.md5((t or "").encode()).hexdigest())
+        want[c] = min(want.get(c, (rank, i, t)), (rank, i, t), key=lambda x: x[0])
+    for parts in (1, 5):
+        got = drop_near_duplicates(docs.repartition(parts))
+        assert got.columns == docs.columns
+        assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(i), str(t)) for _, i, t in want.values())
+    assert len(want) > 45
