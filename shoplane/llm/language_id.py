@@ -199,7 +199,9 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def reject_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                         folds: int = 3, held: int = 1, **model) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a determinable language.
+    """The rows of ``docs``, all columns, whose text has a determinable language:
+    those with a letter. Where no language was learned, none can be told from
+    another, and all texts with a letter stay.
     Rows are judged where they are read: nothing is joined or shuffled."""
     seen = F.coalesce(fold(id_col, folds) != F.lit(held), F.lit(False))
     langs, prototypes = learn_prototypes(docs, seen, id_col, text_col, lang_col, **model)
@@ -216,7 +218,7 @@ def reject_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 for lo, hi in _batches(texts):
                     v, has = encoder.vectors(texts[lo:hi])
                     best = (v @ prototypes.T).max(axis=1) if known else np.zeros(hi - lo)
-                    keep += (has & known & np.isfinite(best)).tolist()
+                    keep += (has & np.isfinite(best)).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

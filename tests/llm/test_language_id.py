@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from shoplane.llm.language_id import Hypervectors, identify_languages
+from shoplane.llm.language_id import Hypervectors, identify_languages, reject_undetermined
 from tests.conftest import SF_ORACLE
 
 
@@ -47,3 +47,9 @@ def test_awkward_rows(spark, awkward, none):
     assert identify_languages(none).count() == 0
     unlabelled = awkward.drop("lang").selectExpr("*", "cast(null as string) lang")
     assert {r.lang_pred for r in identify_languages(unlabelled).collect()} == {"und"}
+
+
+def test_no_learned_language_drops_only_texts_without_a_letter(spark):
+    rows = [(i, t, None) for i, t in enumerate(("a few words", "", None, "12 34", "日本語"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in reject_undetermined(docs, per_language=5, dim=64, ngram=3).collect()) == [0, 4]
