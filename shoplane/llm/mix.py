@@ -7,19 +7,23 @@ gives, is exploded by the count, and all copies are put in a global hash order.
 
 A rate above ``STEP`` is drawn as the sum of equal independent Poisson parts (a
 sum of Poissons is Poisson), so the inversion table stays short at any rate.
+Documents of more than ``CHUNK`` parts (tiny sources) are drawn and exploded in
+chunks of so many parts, dealt to tasks by hash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplane.llm.common import fresh, text_or_empty
+from shoplane.llm.common import fresh, materialize, text_or_empty
 
 #: Largest mean that one inversion draws.
 STEP = 8.0
 #: Entries of the inversion table: P(X > 79) < 1e-45 for a mean of 8, far below the 2**-52 grain of a draw.
 TABLE = 80
+#: Parts that one row draws at once; about eight times as many copies are exploded at once.
+CHUNK = 1_250
 #: Up to so many sources the rate table (a few hundred bytes a source) is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -60,10 +64,17 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, seed: int = 42, id
     (from 1) and its place key, in the global order of that key.
 
     A null source is a source of its own; a null id draws as the empty text, and
-    rows with equal ids draw alike; null and empty texts have size 0; an empty
-    table gives an empty result. Column names of ``docs`` are left as they are
-    (``copy_col`` and ``order_col`` must not be among them)."""
-    rates = source_rates(docs, weights, source_col, text_col, target_chars)
+    rows with equal ids draw alike; null and empty texts have size 0; an empty table gives an empty result.
+    Column names of ``docs`` are left as they are (``copy_col`` and ``order_col``
+    must not be among them)."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    out = _replicated(docs, source_rates(docs, weights, source_col, text_col, target_chars), key, seed, source_col, copy_col)
+    place = F.md5(F.concat(F.lit(f"{seed}>"), key, F.lit(":"), F.col(copy_col).cast("string")).cast("binary"))
+    return out.withColumn(order_col, place).orderBy(order_col)
+
+
+def _replicated(docs: DataFrame, rates: DataFrame, key: Column, seed: int, source_col: str, copy_col: str) -> DataFrame:
+    """The columns of ``docs`` and the copy's number, a row per drawn copy."""
     r_src, parts, cdf, count = (fresh(docs, n) for n in ("rate_source", "rate_parts", "rate_cdf", "n_copies"))
     n_parts = F.greatest(F.ceil(F.col("rate") / F.lit(STEP)), F.lit(1)).cast("int")
     # cumulative Poisson probabilities of the part's mean: p(0) = exp(-m), p(k) = p(k-1) * m / k
@@ -73,18 +84,40 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, seed: int = 42, id
         lambda acc, k: F.struct((acc["p"] * F.col("mean") / k).alias("p"),
                                 F.concat(acc["c"], F.array(F.element_at(acc["c"], -1) + acc["p"] * F.col("mean") / k)).alias("c")),
         lambda acc: acc["c"])
-    rates = (rates.withColumn(parts, n_parts).withColumn("mean", F.col("rate") / F.col(parts))
-             .select(F.col("source").alias(r_src), parts, table.alias(cdf)))
-    if rates.select(r_src).count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col(parts)), F.lit(0),
-        lambda acc, j: acc + F.size(F.filter(F.col(cdf), lambda c: c <= uniform(
-            F.concat(F.lit(f"{seed}:"), j.cast("string"), F.lit(":"), key)))))
-    out = (docs.join(rates, F.col(source_col).eqNullSafe(F.col(r_src)))
-           .withColumn(count, drawn).where(F.col(count) > 0)
-           .select(*[F.col(f"`{c}`") for c in docs.columns],
-                   F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(count).cast("bigint"))).alias(copy_col)))
-    place = F.md5(F.concat(F.lit(f"{seed}>"), key, F.lit(":"), F.col(copy_col).cast("string")).cast("binary"))
-    return out.withColumn(order_col, place).orderBy(order_col)
+    rates = materialize(rates.withColumn(parts, n_parts).withColumn("mean", F.col("rate") / F.col(parts))
+                        .select(F.col("source").alias(r_src), parts, table.alias(cdf)), "mix-rates")
+    size = rates.agg(F.count(F.lit(1)).alias("n"), F.max(parts).alias("most")).first()
+
+    def met(some: DataFrame, rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(some) if size["n"] <= BROADCAST_SOURCES else some, F.col(source_col).eqNullSafe(F.col(r_src)))
+
+    def drawn(first: Column, last: Column, of: Column) -> Column:
+        draws = F.transform(F.sequence(first, last), lambda j: uniform(F.concat(F.lit(f"{seed}:"), j.cast("string"), F.lit(":"), of)))
+        return F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(cdf), lambda c: c <= u)))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = (met(rates.where(F.col(parts) <= CHUNK), docs)
+           .withColumn(count, drawn(F.lit(1), F.col(parts), key)).where(F.col(count) > 0)
+           .select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(count).cast("bigint"))).alias(copy_col)))
+    if (size["most"] or 0) <= CHUNK:
+        return out
+    # Draws depend on source and key only: a row per chunk of parts, with the copies before it and its own.
+    # With a number the partitions aren't merged for being small: the chunks are, what they make isn't.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many, draw = rates.where(F.col(parts) > CHUNK), fresh(docs, "draw_key")
+    rows = met(many.select(r_src), docs.withColumn(draw, key)).select(*columns, draw)
+    chunks = (met(many, rows.select(F.col(f"`{source_col}`"), draw).distinct())
+              .select(F.col(r_src).alias("s"), F.col(draw).alias("k"), cdf, parts,
+                      F.explode(F.sequence(F.lit(1), F.col(parts), F.lit(CHUNK))).alias("first"))
+              .repartition(tasks, "k", "first")
+              .select("s", "k", "first", drawn(F.col("first"), F.least(F.col("first") + F.lit(CHUNK - 1), F.col(parts)), F.col("k"))
+                      .cast("bigint").alias("own")))
+    chunks = materialize(chunks, "mix-chunks")
+    upto = F.sum("own").over(Window.partitionBy("s", "k").orderBy("first").rowsBetween(Window.unboundedPreceding, 0))
+    spans = chunks.withColumn("upto", upto).where("own > 0").select(
+        *[F.col(c).alias(fresh(rows, f"span_{c}")) for c in ("s", "k", "first", "own", "upto")])
+    s, k, first, own, upto = spans.columns
+    copies = (rows.join(spans, F.col(f"`{source_col}`").eqNullSafe(F.col(s)) & (F.col(draw) == F.col(k)))
+              .repartition(tasks, F.col(k), F.col(first))
+              .select(*columns, F.explode(F.sequence(F.col(upto) - F.col(own) + F.lit(1), F.col(upto))).alias(copy_col)))
+    return out.unionByName(copies)

@@ -1,8 +1,12 @@
 """Poisson replication: the distribution, the mix and awkward rows."""
 
 import collections
+import hashlib
 import math
 
+from pyspark.sql import functions as F
+
+from shoplane.llm import mix
 from shoplane.llm.mix import mix_sources, source_rates
 from tests.llm.conftest import AWKWARD
 
@@ -47,3 +51,33 @@ def test_awkward_rows(spark, awkward, none):
     assert [tuple(r) for r in mix_sources(awkward, seed=1).collect()] == [tuple(r) for r in rows]
     assert mix_sources(none).count() == 0
     assert mix_sources(awkward, {"a": 1.0}).where("source <> 'a'").count() == 0
+
+
+def brute_copies(key, rate, seed=42):
+    """Sum of inversions at the hashed uniforms."""
+    parts = max(math.ceil(rate / 8), 1)
+    cdf = [math.exp(-rate / parts)]
+    p = cdf[0]
+    for k in range(1, 80):
+        p = p * (rate / parts) / k
+        cdf.append(cdf[-1] + p)
+    return sum(sum(c <= int(hashlib.md5(f"{seed}:{j}:{key}".encode()).hexdigest()[:13], 16) / 2**52 for c in cdf) for j in range(1, parts + 1))
+
+
+def test_copies_of_a_tiny_source_come_from_several_tasks(spark):
+    rows = [(i, "x" * 20_000, "big", "k") for i in range(3)] + [(5, "y", "tiny", "k"), (None, "z", None, "k"), (6, "w", "tiny", "k"), (6, "v", "tiny", "k")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, span_s string")
+    rates = {r.source: r.rate for r in source_rates(docs, None, "source", "text", None).collect()}
+    assert rates[None] / 8 > mix.CHUNK and rates["big"] < 1
+    got = mix_sources(docs)
+    assert got.columns == [*docs.columns, "copy_no", "shuffle_key"]
+    by = collections.defaultdict(list)
+    for r in got.select("doc_id", "text", "source", "copy_no").collect():
+        by[r.doc_id, r.text, r.source].append(r.copy_no)
+    for i, t, s, _ in rows:
+        n = brute_copies("" if i is None else i, rates[s])
+        assert sorted(by[i, t, s]) == list(range(1, n + 1)), (i, s)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    at = (mix._replicated(docs, source_rates(docs, None, "source", "text", None), key, 42, "source", "copy_no")
+          .where("doc_id is null").groupBy(F.spark_partition_id()).count().collect())
+    assert len(at) > 1
