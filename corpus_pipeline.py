@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents, so that every source has an equal share of the characters on average."""
     from shoplane.llm.mix import mix_sources
     copy_col, order_col = fresh(docs, "copy_no"), fresh(docs, "shuffle_key")
-    return mix_sources(docs, weights=None, seed=42, copy_col=copy_col, order_col=order_col).drop(copy_col, order_col)
+    return mix_sources(docs, weights=None, seed=42, copy_col=copy_col, order_col=order_col, by_text=True).drop(copy_col, order_col)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

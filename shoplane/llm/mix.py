@@ -59,15 +59,18 @@ def source_rates(docs: DataFrame, weights: dict | None, source_col: str, text_co
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, seed: int = 42, id_col: str = "doc_id",
                 source_col: str = "source", text_col: str = "text", target_chars: int | None = None,
-                copy_col: str = "copy_no", order_col: str = "shuffle_key") -> DataFrame:
+                copy_col: str = "copy_no", order_col: str = "shuffle_key", by_text: bool = False) -> DataFrame:
     """All columns of ``docs``, a row per drawn copy, with the copy's number
     (from 1) and its place key, in the global order of that key.
 
     A null source is a source of its own; a null id draws as the empty text, and
-    rows with equal ids draw alike; null and empty texts have size 0; an empty table gives an empty result.
+    rows with equal ids draw alike (``by_text``: only those whose texts are equal
+    too); null and empty texts have size 0; an empty table gives an empty result.
     Column names of ``docs`` are left as they are (``copy_col`` and ``order_col``
     must not be among them)."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    if by_text:
+        key = F.concat(key, F.lit(":"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")))
     out = _replicated(docs, source_rates(docs, weights, source_col, text_col, target_chars), key, seed, source_col, copy_col)
     place = F.md5(F.concat(F.lit(f"{seed}>"), key, F.lit(":"), F.col(copy_col).cast("string")).cast("binary"))
     return out.withColumn(order_col, place).orderBy(order_col)

@@ -81,3 +81,11 @@ def test_copies_of_a_tiny_source_come_from_several_tasks(spark):
     at = (mix._replicated(docs, source_rates(docs, None, "source", "text", None), key, 42, "source", "copy_no")
           .where("doc_id is null").groupBy(F.spark_partition_id()).count().collect())
     assert len(at) > 1
+
+
+def test_rows_without_an_id_draw_by_their_text(spark):
+    rows = [(None, f"text {i:04}", "large") for i in range(2000)] + [(1, "small", "small")] + [(9, f"more {i:04}", "large") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mix_sources(docs, {"large": 1, "small": 9}, target_chars=20 * 4000, by_text=True).where("source = 'large'")
+    n = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
+    assert all(abs(n[i] / 2000 - 0.22) < 0.06 for i in (None, 9)), n
