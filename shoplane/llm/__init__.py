@@ -10,6 +10,7 @@ decontaminate   positional inverted index against a benchmark          (native)
 line_crf        linear-chain CRF over lines, aggregated to a document score
 token_count     token counts in byte-balanced Arrow batches
 mix             Poisson replication towards target source weights      (native)
+conversations   conversation repair by cheapest edits; survivors holds its back-pointer tree
 queries         the registered queries and their SQL twins
 
 Nothing outside this folder imports it but the driver contract's guarded entry.

@@ -119,6 +119,13 @@ def op10_mix_sources(spark, d):
                         F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark, d):
+    from shoplane.llm.conversations import conversation_digest, damage, repair_conversations
+    ensure_checkpoint_dir(spark)
+    return conversation_digest(repair_conversations(damage(table(spark, d, "conversations"))))
+
+
 def register(queries: dict, oracles: dict) -> None:
     queries.update(QUERIES)
     oracles.update(SQL)
