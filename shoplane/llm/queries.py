@@ -126,6 +126,30 @@ def op11_conversation_repair(spark, d):
     return conversation_digest(repair_conversations(damage(table(spark, d, "conversations"))))
 
 
+SQL_RANK = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, text FROM documents),
+a AS (SELECT doc_id, r, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+tf AS (SELECT doc_id, r, term, count(*) AS tf FROM a WHERE term <> '' GROUP BY ALL),
+dn AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY r),
+s AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM dn),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, s GROUP BY term, nd),
+i AS (SELECT item_id, term, count(*) AS c FROM
+      (SELECT item_id, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) WHERE term <> '' GROUP BY ALL),
+p AS (SELECT item_id, tf.doc_id, r, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l)))) AS BIGINT) AS score
+      FROM i JOIN w USING (term) JOIN tf USING (term) JOIN dn USING (r), s GROUP BY item_id, tf.doc_id, r),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM p WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10
+"""
+
+
+@query("op12_lexical_search", SQL_RANK)
+def op12_lexical_search(spark, d):
+    from shoplane.llm.lexical import rank_documents
+    return rank_documents(_docs(spark, d), table(spark, d, "benchmark"), k=10)
+
+
 def register(queries: dict, oracles: dict) -> None:
     queries.update(QUERIES)
     oracles.update(SQL)
