@@ -12,6 +12,7 @@ token_count     token counts in byte-balanced Arrow batches
 mix             Poisson replication towards target source weights      (native)
 conversations   conversation repair by cheapest edits; survivors holds its back-pointer tree
 lexical         ranked lexical search by classes of equal item vectors
+vector_search   exact top-k inner products by columnar branch and bound
 queries         the registered queries and their SQL twins
 
 Nothing outside this folder imports it but the driver contract's guarded entry.

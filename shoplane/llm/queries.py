@@ -150,6 +150,24 @@ def op12_lexical_search(spark, d):
     return rank_documents(_docs(spark, d), table(spark, d, "benchmark"), k=10)
 
 
+SQL_TOP = """
+WITH e AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT DISTINCT vec_id, v, embedding FROM e WHERE vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_inner_product(q.v, e.v) AS BIGINT) AS score
+      FROM q JOIN e ON q.vec_id IS DISTINCT FROM e.vec_id AND len(q.v) = len(e.v)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+@query("op13_vector_search", SQL_TOP)
+def op13_vector_search(spark, d):
+    from shoplane.llm.vector_search import top_k
+    ensure_checkpoint_dir(spark)
+    return top_k(table(spark, d, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
 def register(queries: dict, oracles: dict) -> None:
     queries.update(QUERIES)
     oracles.update(SQL)
