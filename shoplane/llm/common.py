@@ -44,3 +44,12 @@ def worker_state() -> dict:
     """A dictionary that outlives a task in a reused Python worker (models and
     tokenizers load once per worker, not once per task)."""
     return sys.modules.setdefault("_shoplane_worker_state", types.ModuleType("_shoplane_worker_state")).__dict__
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a vocabulary file on the machine that asks: a name is looked up among the installed public
+    tokenizers, a path stays."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+    return public_tokenizers.path(name)

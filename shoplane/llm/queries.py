@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from shoplane.llm.common import table
 from shoplane.session import ensure_checkpoint_dir, scratch_path
 
-#: Folder of the public vocabulary files.
-TOKENIZERS = "/opt/tokenizers"
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -42,7 +39,7 @@ def op1_pii(spark, d):
 def op2_token_file(spark, d):
     from shoplane.llm.token_file import read_documents, write_token_files
     path = scratch_path(spark, "token-files")
-    write_token_files(_docs(spark, d), path, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+    write_token_files(_docs(spark, d), path, "word_bpe_49k.json", end_id=1)
     return read_documents(spark, path)
 
 
@@ -86,7 +83,7 @@ def op8_line_crf(spark, d):
 @query("op9_token_count")
 def op9_token_count(spark, d):
     from shoplane.llm.token_count import count_tokens
-    return count_tokens(_docs(spark, d), f"{TOKENIZERS}/byte_bpe_50k.json", limit=1024)
+    return count_tokens(_docs(spark, d), "byte_bpe_50k.json", limit=1024)
 
 
 #: Every source gets an equal share of the characters; the mix has as many characters as the corpus, on average.

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplane.llm.common import worker_state
+from shoplane.llm.common import tokenizer_file, worker_state
 
 #: A space before which a cut would not be safe: white space or the end follows.
 _UNSAFE = re.compile(r" (?=\s|$)")
@@ -39,19 +39,23 @@ class UnitCounter:
 
     def __init__(self, path: str, max_units: int, max_unit_chars: int = 64):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(tokenizer_file(path))
         self.max_units, self.max_unit_chars = max_units, max_unit_chars
+        # two generations: units in use are in the first or move there; when it is full it becomes the second
         self.known: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def _encode(self, units: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
     def counts(self, texts: list[str]) -> list[int]:
         split = [re.split(_SAFE_CUT, t) if _UNSAFE.search(t) else _spaced(t) for t in texts]
-        if len(self.known) > self.max_units:
-            self.known = {}
-        known = self.known
-        missing = list({u for units in split for u in units if u not in known})
+        if len(self.known) > self.max_units // 2:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        missing = {u for units in split for u in units if u not in known}
+        known.update((u, old[u]) for u in missing & old.keys())
+        missing = list(missing - old.keys())
         missing.sort(key=len)  # encoded beside units of like length
         for lo in range(0, len(missing), 4096):
             part = missing[lo:lo + 4096]
@@ -70,7 +74,7 @@ def _spaced(text: str) -> list[str]:
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-                 limit: int = 1024, batch_bytes: int = 1 << 20, max_units: int = 400_000) -> DataFrame:
+                 limit: int = 1024, batch_bytes: int = 1 << 20, max_units: int = 800_000) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row of ``docs``.
 
     Null and empty texts count 0 tokens; repeated rows are counted each; extra

@@ -11,17 +11,55 @@ the parts' and segments' sizes, which are the only things summed across files.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoplane.llm import dac
-from shoplane.llm.common import worker_state
+from shoplane.llm.common import tokenizer_file, worker_state
+from shoplane.llm.token_count import byte_groups
+
+#: Text encoded at once.
+_GROUP_BYTES = 4 << 20
+
+
+class _Words:
+    """Token ids of words: word -> place, and each place's run in one array of ids."""
+
+    #: Bytes of a dictionary slot, a key's head and a place.
+    ENTRY = 190
+
+    def __init__(self):
+        self.place: dict[bytes, int] = {}
+        self.starts, self.ids, self.used, self.held = np.zeros(1025, np.int64), np.zeros(4096, "<u4"), 0, 0
+
+    def add(self, words: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
+        n, end = len(self.place), len(self.place) + len(words)
+        while end >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), "<u4")])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.starts[n + 1:end + 1] = self.used + np.cumsum(counts)
+        self.used += len(ids)
+        self.place.update(zip(words, range(n, end)))
+        self.held += self.ENTRY * len(words) + sum(map(len, words)) + 4 * len(ids)
+
+    def runs(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, ids) of ``places``, ids in one array."""
+        counts = self.starts[places + 1] - self.starts[places]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return counts, self.ids[np.repeat(self.starts[places] - ends + counts, counts) + np.arange(total)]
+
 
 #: A plain word (lower-case Latin letters after lower-casing) and trailing punctuation: each becomes one pre-token.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,!*$%&#;:?]*)")
@@ -31,76 +69,109 @@ class WordEncoder:
     """Token ids of texts from the ids of their words.
 
     The vocabulary's pre-tokenizer drops white space and never joins across it,
-    so a text's ids are its white-space separated words' ids in order. Words are
-    encoded by the tokenizers library once per worker; plain words many at a
-    time, cut apart again at the vocabulary's end-of-word marks."""
+    so a text's ids are its white-space separated words' ids in order. The tokenizers library encodes
+    plain words many at a time, with the vocabulary's merges alone, cut apart again at the end-of-word marks; others go through all
+    its steps one by one. Their ids stay in a table of two generations of ``max_bytes`` together (and one batch's words):
+    words in use are in the young one, or move there; when that is full it becomes the old one, and what the old one still held goes."""
 
-    def __init__(self, path: str, max_words: int):
+    def __init__(self, path: str, max_bytes: int):
         import json
+        import os
 
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.max_words = max_words
-        self.words: dict[bytes, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core already
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.tokenizer, self.max_bytes = Tokenizer.from_file(tokenizer_file(path)), max_bytes
+        self.young, self.old = _Words(), _Words()
         model = json.loads(self.tokenizer.to_str())
         mark = model["model"].get("end_of_word_suffix")
-        lowers = "Lowercase" in json.dumps(model.get("normalizer"))
+        self.lowers = "Lowercase" in json.dumps(model.get("normalizer"))
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = None
-        if mark and lowers:
+        if mark and self.lowers and "ByteLevel" in json.dumps(model.get("pre_tokenizer")):
             vocab = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for w, i in vocab.items() if w.endswith(mark)]] = True
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_plain(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 8192):
-            groups = [words[k:k + 64] for k in range(lo, min(lo + 8192, len(words)), 64)]
-            for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
-                cut = np.flatnonzero(self.ends[ids]) + 1
-                if len(cut) == len(group):
-                    self.plain.update(zip(group, (p.tobytes() for p in np.split(ids, cut[:-1]))))
-                else:  # a marked token inside a word: one by one
-                    self.plain.update(zip(group, self._ids(group)))
-
-    def _learn(self, words: list[bytes]) -> None:
-        odd, parts = [], []
+            self.merges = Tokenizer(self.tokenizer.model)
+            self.merges.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _each(self, words: list[str]) -> tuple[list[int], list[np.ndarray]]:
+        ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return list(map(len, ids)), ids
+
+    def _plain(self, words: list[str]) -> tuple[list[int], list[np.ndarray]]:
+        """(counts, ids) of lower-case words of letters."""
+        counts, ids = [], []
+        groups = [words[k:k + 64] for k in range(0, len(words), 64)]
+        for group, e in zip(groups, self.merges.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            found = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[found])
+            if len(ends) == len(group):
+                counts += np.diff(ends, prepend=-1).tolist()
+                ids.append(found)
+            else:  # a marked token inside a word: one by one
+                one, each = self._each(group)
+                counts += one
+                ids += each
+        return counts, ids
+
+    def _encode(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(words in another order, counts, ids)."""
+        plain, odd = [], []
         for w in words:
-            s = w.decode()
-            m = _PLAIN.fullmatch(s.lower()) if self.ends is not None else None
-            (parts.append((w, m[1], m[2])) if m else odd.append((w, s)))
-        need = {p for _, base, tail in parts for p in (base, tail) if p and p not in self.plain}
-        tails = [p for p in need if not p[0].isalpha()]
-        self.plain.update(zip(tails, self._ids(tails)))
-        self._learn_plain([p for p in need if p[0].isalpha()])
-        for w, base, tail in parts:
-            self.words[w] = self.plain[base] + (self.plain[tail] if tail else b"")
-        for (w, _), ids in zip(odd, self._ids([s for _, s in odd])):
-            self.words[w] = ids
+            m = _PLAIN.fullmatch(w.decode().lower()) if self.ends is not None else None
+            (plain.append((w, m[1], m[2])) if m else odd.append(w))
+        parts, bases, tails = _Words(), list({p[1] for p in plain}), list({p[2] for p in plain})
+        counts, ids = self._plain(bases)
+        more, tail_ids = self._each(tails)
+        parts.add(bases + tails, np.array(counts + more, np.int64), np.concatenate([*ids, *tail_ids, np.empty(0, "<u4")]))
+        place = np.array([parts.place[x] for _, base, tail in plain for x in (base, tail)], np.int64)
+        counts, ids = parts.runs(place)
+        more, odd_ids = self._each([w.decode() for w in odd])
+        return ([p[0] for p in plain] + odd, np.concatenate([counts.reshape(-1, 2).sum(axis=1), np.array(more, np.int64)]),
+                np.concatenate([ids, *odd_ids]))
+
+    def _need(self, words: list[bytes]) -> None:
+        """Put words into the young generation: from the old one, or encoded."""
+        again = [w for w in words if w in self.old.place]
+        if again:
+            self.young.add(again, *self.old.runs(np.array([self.old.place[w] for w in again])))
+        new = [w for w in words if w not in self.old.place]
+        if new:
+            self.young.add(*self._encode(new))
+
+    def _folded(self, text: bytes) -> bytes:
+        """The text with A-Z in lower case where the vocabulary does no more than that to them: not before combining marks, with which
+        letters are composed first (their UTF-8 begins with CC or CD), nor where an added token would come about."""
+        low = text.lower()
+        return text if b"\xcc" in text or b"\xcd" in text or any(a in low for a in self.added) else low
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each UTF-8 text."""
-        if len(self.words) > self.max_words:
-            self.words = {}
-        if len(self.plain) > 2 * self.max_words:
-            self.plain = {}
+        gc.disable()  # nothing here makes cycles, and the collector would walk the tables again and again
+        try:
+            return self._ids_of([self._folded(t) for t in texts] if self.lowers else texts)
+        finally:
+            gc.enable()
+
+    def _ids_of(self, texts: list[bytes]) -> list[bytes]:
+        if self.young.held > self.max_bytes // 2:
+            self.young, self.old = _Words(), self.young
         split = [t.split() for t in texts]  # bytes: ASCII white space only
-        known = self.words
-        missing = list({w for words in split for w in words if w not in known})
+        words = list(chain.from_iterable(split))
+        places = np.fromiter(map(self.young.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(places < 0).tolist()
         if missing:
-            self._learn(missing)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in missing:
-            if len(w) > 64:
-                del known[w]
-        return out
+            self._need(list({words[i] for i in missing}))
+            places[missing] = [self.young.place[words[i]] for i in missing]
+        counts, ids = self.young.runs(places)
+        cuts = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)] * 4
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id",
-                      text_col: str = "text", segment_tokens: int = 1 << 18, max_words: int = 300_000) -> None:
+                      text_col: str = "text", segment_tokens: int = 1 << 18, max_bytes: int = 192 << 20) -> None:
     """Encode every row of ``docs`` (null: empty text), append ``end_id`` to each
     and write the segments under ``path``, in ascending id order (null ids first,
     ties by text). Repeated rows are each written; an empty table writes no
@@ -112,7 +183,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         state = worker_state()
         key = f"word_encoder:{tokenizer_path}"
         if key not in state:
-            state[key] = WordEncoder(tokenizer_path, max_words)
+            state[key] = WordEncoder(tokenizer_path, max_bytes)
         encoder, part, seg = state[key], TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         ids, counts, codes, held = [], [], [], 0
@@ -127,9 +198,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         for batch in batches:
             id_arrow = batch.schema.field(0).type
             texts = batch.column(1).cast(pa.binary())
-            for lo in range(0, batch.num_rows, 256):
-                some = [t.as_py() or b"" for t in texts[lo:lo + 256]]
-                for doc_id, code in zip(batch.column(0)[lo:lo + 256].to_pylist(), encoder.encode(some)):
+            for lo, hi in byte_groups(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), _GROUP_BYTES):
+                some = [t.as_py() or b"" for t in texts[lo:hi]]
+                for doc_id, code in zip(batch.column(0)[lo:hi].to_pylist(), encoder.encode(some)):
                     ids.append(doc_id)
                     codes.append(code + end)
                     counts.append(len(code) // 4 + 1)

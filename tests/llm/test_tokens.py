@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
@@ -15,9 +16,10 @@ from shoplane.session import scratch_path
 from tests.conftest import SF_SMALL
 from tests.llm.conftest import AWKWARD
 
-BYTE, WORD = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/word_bpe_49k.json"
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", " ", "\u0085", " ", "'s", "'LL", "don't", "Été", "é",
-       "a", "the.", "12", "<|endoftext|>", "<|startoftext|>", "日本", "ΑΣ", "İ", "K", "...", "***", "_", "\U0001F600", "ǅ", "ﬁ"]
+       "a", "the.", "12", "<|endoftext|>", "<|startoftext|>", "日本", "ΑΣ", "İ", "K", "...", "***", "_", "\U0001F600", "ǅ", "ﬁ",
+       "J\u030c", "j\u030c", "E\u0301", "K\u0338", "<|EndOfText|>", "ÀB", "İ", "The", "THE'S"]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -26,12 +28,39 @@ def test_units_count_like_the_library(seed):
     texts = ["".join(rng.choice(ODD + [" "] * 8) for _ in range(rng.randrange(30))) for _ in range(400)]
     byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
     assert UnitCounter(BYTE, 1000).counts(texts) == [len(e.ids) for e in byte.encode_batch(texts, add_special_tokens=False)]
-    encoder = WordEncoder(WORD, 1000)
+    encoder = WordEncoder(WORD, 1 << 20)
     for _ in range(2):  # learned, then known
         got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode([t.encode() for t in texts])]
         assert got == [e.ids for e in word.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("max_bytes", [0, 300_000, 1 << 24])
+def test_words_come_back_from_any_generation(max_bytes):
+    """Batches of new, recent and long unused words, with a table too small for them all."""
+    rng = random.Random(max_bytes)
+    word = Tokenizer.from_file(WORD)
+    encoder, flips = WordEncoder(WORD, max_bytes), 0
+    for batch in range(40):
+        texts = [" ".join(rng.choice(["", "The ", "İ", "K9, "]) + rng.choice(ODD) + f"word{rng.randrange(batch * 20 + 1)}" + rng.choice(["", ".", "!?", "été"])
+                          + "abcdefghij"[rng.randrange(10):] for _ in range(rng.randrange(30))) for _ in range(20)] + ["", "   "]
+        young = encoder.young
+        got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode([t.encode() for t in texts])]
+        assert got == [e.ids for e in word.encode_batch(texts, add_special_tokens=False)]
+        flips += encoder.young is not young
+        assert max_bytes > 300_000 or encoder.young.held < max_bytes + 500_000
+    assert (flips > 3) == (max_bytes <= 300_000)
+
+
+@pytest.mark.parametrize("max_units", [0, 300, 10**6])
+def test_units_come_back_from_any_generation(max_units):
+    rng, byte = random.Random(max_units), Tokenizer.from_file(BYTE)
+    counter = UnitCounter(BYTE, max_units)
+    for batch in range(30):
+        texts = [" ".join(rng.choice(ODD) + f"word{rng.randrange(batch * 20 + 1)}" for _ in range(rng.randrange(30))) for _ in range(20)] + [""]
+        assert counter.counts(texts) == [len(e.ids) for e in byte.encode_batch(texts, add_special_tokens=False)]
+    assert bool(counter.old) == (max_units <= 300)
+
+
 def test_byte_groups_cover_all_rows():
     assert list(byte_groups([5, 5, 100, 1, 1], 10)) == [(0, 2), (2, 3), (3, 5)]
     assert list(byte_groups([], 10)) == []
@@ -44,7 +73,7 @@ def _texts(spark, path):
 def test_count_tokens(spark, awkward, none):
     byte = Tokenizer.from_file(BYTE)
     want = sorted((str(i), len((t or "").encode()), len(byte.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in AWKWARD)
-    got = count_tokens(awkward, BYTE, limit=20).collect()
+    got = count_tokens(awkward, "byte_bpe_50k.json", limit=20).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == want
     assert all(r.over_limit == (r.n_tokens > 20) for r in got)
     assert count_tokens(none, BYTE).count() == 0
