@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shoplane.llm.common import fresh, materialize, table
 from shoplane.session import ensure_checkpoint_dir, scratch_path
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids written in the operator's file format; the index read back from them."""
     from shoplane.llm.token_file import read_documents, write_token_files
     path = scratch_path(spark, "token-files")
-    write_token_files(docs, path, TOKENIZER, end_id=1, max_words=100_000)
+    write_token_files(docs, path, TOKENIZER, end_id=1, max_bytes=96 << 20)
     return read_documents(spark, path)
 
 
