@@ -1,9 +1,8 @@
 """Aggregates: regression metrics, exact median, residual summaries.
 
 Every metric is a partial/final hash aggregate (map-side combine, one small
-shuffle of per-group partial states). The exact median never buffers a whole
-group: it narrows a value bracket with approximate quantiles, verifies the
-bracket with exact counts, and only ranks the few distinct values left in it.
+shuffle of per-group partial states). The exact median is found by radix
+selection (``selection``), which never buffers or sorts a group.
 """
 
 from __future__ import annotations
@@ -11,11 +10,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from shoplane.operators.schema import col
+from shoplane.operators.selection import exact_median
 
 
 def _grp(by):
@@ -41,91 +40,6 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(col(column)).distinct()
 
 
-def exact_median(df: DataFrame, value: str, by: list[str] | None = None,
-                 out: str = "median", grid: int = 1000, accuracy: int = 20000,
-                 max_bracket_rows: int = 2_000_000) -> DataFrame:
-    """A5 helper: exact median (mean of the two middle values when the count
-    is even) per group, with bounded per-task memory.
-
-    Each round computes ``grid`` approximate quantiles of the rows still inside
-    each group's bracket, picks neighbouring grid points around the target
-    ranks as the new bracket and checks it with exact counts (a bracket that
-    fails the check is kept). The last step ranks distinct values inside the
-    bracket, so a hot value costs one row, not a third of the table.
-    """
-    by = list(by or [])
-    keys = by if by else ["_g"]
-    base = df.select(*[col(b) for b in by], col(value).cast("double").alias("_v"))
-    if not by:
-        base = base.withColumn("_g", F.lit(0))
-    base = base.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    state = (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-             .withColumn("_k1", F.floor((F.col("_n") - 1) / 2).cast("long"))
-             .withColumn("_k2", F.floor(F.col("_n") / 2).cast("long"))
-             .withColumn("_lo", F.lit(None).cast("double"))
-             .withColumn("_hi", F.lit(None).cast("double"))
-             .withColumn("_below", F.lit(0).cast("long"))
-             .withColumn("_m", F.col("_n")))
-    state = state.checkpoint(eager=True)
-
-    def in_bracket(frame: DataFrame) -> Column:
-        return ((F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")))
-                & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
-
-    pcts = [i / grid for i in range(grid + 1)]
-    last = None
-    while True:  # until every bracket is within its bound, or nothing narrows any more
-        worst = state.agg(F.max(F.when(F.col("_lo").isNull() | (F.col("_lo") < F.col("_hi")),
-                                       F.col("_m")))).first()[0]
-        if worst is None or worst <= max_bracket_rows or worst == last:
-            break
-        last = worst
-        inb = base.join(state, keys).filter(in_bracket(base))
-        qs = inb.groupBy(*keys).agg(
-            F.percentile_approx("_v", pcts, accuracy).alias("_q"))
-        cand = state.join(qs, keys, "left").select(
-            *keys, "_n", "_k1", "_k2", "_lo", "_hi", "_below", "_m",
-            F.when(F.col("_q").isNull(), F.col("_lo")).otherwise(F.element_at(
-                "_q", F.greatest(F.lit(1), F.floor((F.col("_k1") - F.col("_below"))
-                                                   / F.col("_m") * grid).cast("int")))
-            ).alias("_nlo"),
-            F.when(F.col("_q").isNull(), F.col("_hi")).otherwise(F.element_at(
-                "_q", F.least(F.lit(grid + 1), F.ceil((F.col("_k2") - F.col("_below") + 1)
-                                                      / F.col("_m") * grid).cast("int") + 2))
-            ).alias("_nhi"))
-        chk = (base.join(cand, keys).filter(in_bracket(base))
-               .groupBy(*keys).agg(
-                   F.count(F.when(F.col("_v") < F.col("_nlo"), 1)).alias("_nb"),
-                   F.count(F.when((F.col("_v") >= F.col("_nlo")) & (F.col("_v") <= F.col("_nhi")), 1)
-                           ).alias("_nm")))
-        nxt = cand.join(chk, keys, "left").select(
-            *keys, "_n", "_k1", "_k2", "_lo", "_hi", "_below", "_m", "_nlo", "_nhi",
-            (F.col("_below") + F.coalesce("_nb", F.lit(0))).alias("_b2"),
-            F.coalesce("_nm", F.lit(0)).alias("_m2"))
-        ok = (F.col("_b2") <= F.col("_k1")) & (F.col("_b2") + F.col("_m2") >= F.col("_k2") + 1)
-        state = nxt.select(
-            *keys, "_n", "_k1", "_k2",
-            F.when(ok, F.col("_nlo")).otherwise(F.col("_lo")).alias("_lo"),
-            F.when(ok, F.col("_nhi")).otherwise(F.col("_hi")).alias("_hi"),
-            F.when(ok, F.col("_b2")).otherwise(F.col("_below")).alias("_below"),
-            F.when(ok, F.col("_m2")).otherwise(F.col("_m")).alias("_m"))
-        state = state.checkpoint(eager=True)
-    # Final: rank distinct values inside the bracket (hot values are one row).
-    vals = (base.join(state, keys).filter(in_bracket(base))
-            .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"),
-                                      F.first("_below").alias("_below"),
-                                      F.first("_k1").alias("_k1"),
-                                      F.first("_k2").alias("_k2")))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = vals.withColumn("_cum", F.sum("_c").over(w) + F.col("_below"))
-    # value at 0-based rank k is the first distinct value whose cumulative count > k
-    pick = ranked.groupBy(*keys).agg(
-        F.min(F.when(F.col("_cum") > F.col("_k1"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > F.col("_k2"), F.col("_v"))).alias("_b"))
-    res = pick.select(*keys, ((F.col("_a") + F.col("_b")) / 2).alias(out))
-    return res.drop("_g") if not by else res
-
-
 def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None,
                        with_median: bool = True) -> DataFrame:
     """A4-A10 in one aggregate pass (plus the exact median, joined on ``by``):
@@ -161,9 +75,11 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = Non
     if with_median:
         med = exact_median(df.select(*g, F.abs(e).alias("_ae")), "_ae", by, out="median_ae")
         if by:
-            out = out.join(med, by, "left")
+            med = med.select("median_ae", *[col(b).alias(f"_m{i}") for i, b in enumerate(by)])
+            same = [col(b).eqNullSafe(F.col(f"_m{i}")) for i, b in enumerate(by)]  # a null group has a median too
+            out = out.join(med, same, "left").drop(*[f"_m{i}" for i in range(len(by))])
         else:
-            out = out.withColumn("median_ae", med.select("median_ae").scalar())
+            out = out.withColumn("median_ae", F.lit(med.first()["median_ae"]).cast("double"))
     return out
 
 

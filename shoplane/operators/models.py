@@ -3,9 +3,9 @@
 
 Models are Spark ML estimators (distributed fits: normal-equation OLS/ridge
 aggregates a d x d Gram matrix; L1/elastic net run OWL-QN; trees are
-distributed histogram trees). The grid search is a driver loop over
-(parameter set x fold); each fit is a distributed job over a checkpointed
-training table, folds are index predicates (never shuffled k-fold).
+distributed histogram trees). The grid search solves linear models from sums of products
+(``gram``); others are a driver loop over (parameter set x fold), each fit a distributed job over a
+checkpointed training table. Folds are predicates on a time segment (never shuffled k-fold).
 """
 
 from __future__ import annotations
@@ -14,26 +14,29 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplane.operators.features import vector_names
+from shoplane.operators.gram import MAX_SLOTS, grid_errors, slots_of
 from shoplane.operators.joins import union_by_name
 from shoplane.operators.metrics import regression_metrics
-from shoplane.operators.ordered import fold_frames
+from shoplane.operators.ordered import time_folds
 
 
 @dataclass
 class ModelSpec:
     """A named model with its hyper-parameter grid. ``build(params, stats)``
     returns the estimator; ``stats`` = {"n", "std_y_pop", "std_y_samp"} of the
-    training label, needed to map penalty conventions onto Spark's."""
+    training label, needed to map penalty conventions onto Spark's. A linear model's
+    ``penalty(params, n)`` gives (l1, l2) per row for ``gram.solve``: its grid is then searched on sums of products."""
     name: str
     build: Callable[[dict, dict], Estimator]
     grid: list[dict] = field(default_factory=lambda: [{}])
+    penalty: Callable[[dict, float], tuple[float, float]] | None = None
 
 
 def _lr(**kw):
@@ -58,22 +61,24 @@ def _grid(**axes) -> list[dict]:
 # elasticNetParam = alpha*rho / reg.
 REGISTRY: dict[str, ModelSpec] = {
     "Linear Regression": ModelSpec(
-        "Linear Regression", lambda p, s: _lr(regParam=0.0, elasticNetParam=0.0)),
+        "Linear Regression", lambda p, s: _lr(regParam=0.0, elasticNetParam=0.0),
+        penalty=lambda p, n: (0.0, 0.0)),
     "Ridge Regression": ModelSpec(
         "Ridge Regression",
         lambda p, s: _lr(regParam=p["alpha"] * s["std_y_pop"] / s["n"], elasticNetParam=0.0,
                          standardization=False),
-        _grid(alpha=[0.1, 1.0, 10.0, 100.0])),
+        _grid(alpha=[0.1, 1.0, 10.0, 100.0]), lambda p, n: (0.0, p["alpha"] / n)),
     "Lasso Regression": ModelSpec(
         "Lasso Regression",
         lambda p, s: _lr(regParam=p["alpha"], elasticNetParam=1.0, standardization=False, maxIter=1000),
-        _grid(alpha=[0.1, 1.0, 10.0, 100.0])),
+        _grid(alpha=[0.1, 1.0, 10.0, 100.0]), lambda p, n: (p["alpha"], 0.0)),
     "Elastic Net": ModelSpec(
         "Elastic Net",
         lambda p, s: (lambda reg: _lr(regParam=reg, elasticNetParam=p["alpha"] * p["l1_ratio"] / reg,
                                       standardization=False, maxIter=1000))(
             p["alpha"] * p["l1_ratio"] + p["alpha"] * (1 - p["l1_ratio"]) * s["std_y_pop"]),
-        _grid(alpha=[0.1, 1.0, 10.0], l1_ratio=[0.2, 0.5, 0.8])),
+        _grid(alpha=[0.1, 1.0, 10.0], l1_ratio=[0.2, 0.5, 0.8]),
+        lambda p, n: (p["alpha"] * p["l1_ratio"], p["alpha"] * (1 - p["l1_ratio"]))),
     "Decision Tree": ModelSpec(
         "Decision Tree",
         lambda p, s: DecisionTreeRegressor(featuresCol="features", labelCol="label", seed=42,
@@ -114,30 +119,64 @@ def fold_mae(pred: DataFrame, label: str = "label") -> float:
 
 def time_series_grid_search(train: DataFrame, n: int, stages: Callable[[Estimator], Pipeline],
                             spec: ModelSpec, n_splits: int = 5, index_col: str = "row_idx",
-                            label: str = "label", parallelism: int = 4
+                            label: str = "label", parallelism: int = 4, segment_col: str | None = None
                             ) -> tuple[PipelineModel, dict, float, list[dict]]:
     """Every parameter set is fitted on each expanding-window fold's
     training rows and scored by MAE on the fold's test rows; the best mean MAE
-    wins and is refitted on all of ``train``. ``train`` must carry ``index_col``
-    (0..n-1 in time order). The feature stages depend on the fold only: they are
-    fitted once per fold, and the fold's vectors are checkpointed for the grid."""
-    # a penalty is scaled by the rows it is fitted on: each fold has its own statistics
-    folds = [(tr, te, label_stats(tr, label)) for tr, te in fold_frames(train, n, n_splits, index_col)]
-
-    def vectors(fold):
-        tr, te, stats = fold
-        model = Pipeline(stages=stages(spec.build(spec.grid[0], stats)).getStages()[:-1]).fit(tr)
-        return (*[model.transform(x).select("features", label).checkpoint(eager=True) for x in (tr, te)], stats)
-
-    def score(job):
-        params, (tr, te, stats) = job
-        return fold_mae(spec.build(params, stats).fit(tr).transform(te), label)
-    # independent fits run as concurrent Spark jobs from a small driver pool
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        ready = list(pool.map(vectors, folds))
-        maes = list(pool.map(score, [(p, f) for p in spec.grid for f in ready]))
-    k = len(folds)
-    results = [{"params": p, "cv_mae": sum(maes[i * k:(i + 1) * k]) / k} for i, p in enumerate(spec.grid)]
+    wins and is refitted on all of ``train``. ``train`` carries ``segment_col`` (``ordered.time_segments``) or else
+    ``index_col`` (0..n-1 in time order).
+
+    Where the feature stages have nothing to fit, the rows are transformed once; else they are fitted once per fold, and the fold's
+    vectors are checkpointed for the grid. Linear models of up to ``gram.MAX_SLOTS`` slots get all their fits of a fold from
+    one aggregate of sums of products (``gram``); the others are fitted one by one."""
+    if segment_col is None:
+        segment_col, at = "_segment", F.lit(0)
+        for start, *_ in time_folds(n, n_splits):
+            at = at + (F.col(index_col) >= start).cast("int")
+        train = train.withColumn(segment_col, at)
+    features = lambda stats: stages(spec.build(spec.grid[0], stats)).getStages()[:-1]
+    stateless = all(isinstance(s, Transformer) for s in features({"n": 1, "std_y_pop": 1.0, "std_y_samp": 1.0}))
+    penalties = [lambda m, p=p: spec.penalty(p, m) for p in spec.grid]
+
+    def vectors(i):
+        """(vectors of fold i's rows, the training label's statistics)."""
+        rows = train.filter(F.col(segment_col) <= i)
+        fitted = rows.filter(F.col(segment_col) < i)
+        # a penalty is scaled by the rows it is fitted on: each fold has its own statistics
+        stats = label_stats(fitted, label)
+        model = Pipeline(stages=features(stats)).fit(fitted)
+        return model.transform(rows).select("features", label, segment_col).checkpoint(eager=True), stats
+
+    def solvable(rows):
+        return spec.penalty is not None and slots_of(rows) <= MAX_SLOTS
+
+    def fit_each(i, rows, stats):
+        tr, te = rows.filter(F.col(segment_col) < i), rows.filter(F.col(segment_col) == i)
+        return [fold_mae(spec.build(p, stats).fit(tr).transform(te), label) for p in spec.grid]
+
+    def fold(i):
+        rows, stats = vectors(i)
+        if solvable(rows):  # this fold's rows only: all of its training segments count as segment 0
+            one = rows.withColumn("_fold", (F.col(segment_col) == i).cast("int"))
+            return grid_errors(one, penalties, 1, "features", label, "_fold")[0]
+        return fit_each(i, rows, stats)
+
+    def shared(i):
+        return fit_each(i, whole, label_stats(whole.filter(F.col(segment_col) < i), label))
+
+    whole = None
+    if stateless:
+        whole = Pipeline(stages=features({"n": 1, "std_y_pop": 1.0, "std_y_samp": 1.0})).fit(train).transform(train)
+        whole = whole.select("features", label, segment_col)
+    if whole is not None and solvable(whole):
+        maes = grid_errors(whole, penalties, n_splits, "features", label, segment_col)
+    else:
+        if whole is not None:
+            whole = whole.checkpoint(eager=True)
+        # independent fits run as concurrent Spark jobs from a small driver pool
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            maes = list(pool.map(fold if whole is None else shared, range(1, n_splits + 1)))
+    results = [{"params": p, "cv_mae": sum(m[i] for m in maes) / n_splits} for i, p in enumerate(spec.grid)]
     best = min(results, key=lambda r: r["cv_mae"])
     final = stages(spec.build(best["params"], label_stats(train, label))).fit(train)
     return final, best["params"], best["cv_mae"], results
@@ -172,7 +211,7 @@ def compare_models(train: DataFrame, test: DataFrame, n_train: int,
                    stages: Callable[[Estimator], Pipeline], names: list[str],
                    n_splits: int = 5, index_col: str = "row_idx", label: str = "label",
                    registry: dict[str, ModelSpec] | None = None, prefix: list | None = None,
-                   parallelism: int = 4):
+                   parallelism: int = 4, segment_col: str | None = None):
     """M19 + U2: grid-search each named model, score the test rows (NaN
     predictions dropped per model, F6) and collect one metrics row per model."""
     reg = registry or REGISTRY
@@ -180,7 +219,7 @@ def compare_models(train: DataFrame, test: DataFrame, n_train: int,
     for name in names:
         spec = reg[name]
         model, params, cv, _ = time_series_grid_search(train, n_train, stages, spec, n_splits,
-                                                      index_col, label, parallelism)
+                                                      index_col, label, parallelism, segment_col)
         pred = model.transform(test).filter(~F.isnan("prediction"))
         if prefix:  # the saved model scores raw rows: stateless stages first
             model = PipelineModel(stages=list(prefix) + list(model.stages))

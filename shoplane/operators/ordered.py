@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from shoplane.functions.dates import wall_clock_micros
 from shoplane.operators.schema import col
+from shoplane.operators.selection import before, cut_keys, segment
 
 DEFAULT_ROWS_PER_BUCKET = 250_000
 SAMPLE_PER_BUCKET = 32
@@ -49,6 +50,19 @@ def _whole(x: Column) -> Column:
     return F.coalesce(x.cast("long"), F.lit(0).cast("long"))
 
 
+def _decimal_parts(x: Column, dt: T.DecimalType) -> list[Column]:
+    """The unscaled number as one long, or from its digits as three longs of 13 digits, each with its
+    sign: they sort as the decimals do, exactly (a double holds 53 bits, a long 18 digits)."""
+    if dt.precision <= 18:
+        scale = F.lit("1" + "0" * dt.scale).cast(T.DecimalType(dt.scale + 1, 0))
+        return [_whole(x * scale)]
+    whole = dt.precision - dt.scale
+    digits = F.to_char(x, F.lit("MI" + "0" * whole + ("D" + "0" * dt.scale if dt.scale else "")))
+    digits = F.lpad(F.regexp_replace(digits, "[^0-9]", ""), 39, "0")
+    sign = F.when(x < 0, F.lit(-1)).otherwise(F.lit(1))
+    return [_whole(sign * digits.substr(k, 13).cast("long")) for k in (1, 14, 27)]
+
+
 def _components(df: DataFrame, cols: list[str]) -> tuple[list[Column], list[str]]:
     """Sortable primitive components of the order (nulls last, NaN after all
     numbers, as Spark sorts ascending with nulls last) and their kinds."""
@@ -79,8 +93,9 @@ def _components(df: DataFrame, cols: list[str]) -> tuple[list[Column], list[str]
             comps.append(_whole(x))
             kinds.append("int")
         elif isinstance(dt, T.DecimalType):
-            comps.append(F.coalesce(x.cast("double"), F.lit(0.0)))
-            kinds.append("float")
+            parts = _decimal_parts(x, dt)
+            comps += parts
+            kinds += ["int"] * len(parts)
         elif isinstance(dt, T.StringType):
             comps.append(F.coalesce(x, F.lit("")))
             kinds.append("str")
@@ -332,13 +347,18 @@ def sort_by(df: DataFrame, order: list[str]) -> DataFrame:
     return df.orderBy(*_order_spec(order))
 
 
-def time_split(df: DataFrame, order: list[str], ratio: float = 0.9,
-               index_col: str = "row_idx", **kw) -> tuple[DataFrame, DataFrame]:
-    """O2: first ``int(ratio * n)`` rows (in order) train, the rest test."""
-    idx = ordered_index(df, order, index_col=index_col, **kw)
-    n = df.count()
-    cut = int(ratio * n)
-    return idx.filter(F.col(index_col) < cut), idx.filter(F.col(index_col) >= cut)
+def time_split(df: DataFrame, order: list[str], ratio: float = 0.9, index_col: str | None = None,
+               **kw) -> tuple[DataFrame, DataFrame]:
+    """O2: first ``int(ratio * n)`` rows (in order) train, the rest test. Both are the table behind a predicate
+    on its order columns: the key at the cut is found by radix selection (``selection``), no row is numbered. With ``index_col`` the
+    rows also carry their position (W5; ``kw`` as there)."""
+    if index_col:
+        df = ordered_index(df, order, index_col=index_col, **kw)
+    n, keys = cut_keys(df, order, lambda n: [int(ratio * n)] if int(ratio * n) < n else [])
+    if not keys:
+        return df, df.limit(0)
+    train = before(df, order, keys[0])
+    return df.where(train), df.where(~train)
 
 
 def time_folds(n: int, n_splits: int = 5) -> list[tuple[int, int, int]]:
@@ -356,3 +376,17 @@ def fold_frames(indexed: DataFrame, n: int, n_splits: int = 5, index_col: str =
     ix = F.col(index_col)
     return [(indexed.filter(ix < tr_end), indexed.filter((ix >= s) & (ix < e)))
             for tr_end, s, e in time_folds(n, n_splits)]
+
+
+def time_segments(df: DataFrame, order: list[str], n_splits: int = 5, segment_col: str = "segment") -> tuple[DataFrame, int]:
+    """O3 as one column: ``segment_col`` is 0 for rows before the first fold's test rows and ``i`` for the test rows of fold
+    ``i`` (from 1). Fold i trains on all segments below i. Returns the frame and the number of rows. The fold bounds are keys
+    found together by radix selection; a row's segment is a sum of predicates on its order columns."""
+    n, keys = cut_keys(df, order, lambda n: [start for start, *_ in time_folds(n, n_splits)])
+    return df.withColumn(segment_col, segment(df, order, keys)), n
+
+
+def segment_folds(segmented: DataFrame, n_splits: int = 5, segment_col: str = "segment"):
+    """(train, test) frames of each fold of ``time_segments``."""
+    at = F.col(segment_col)
+    return [(segmented.filter(at < i), segmented.filter(at == i)) for i in range(1, n_splits + 1)]

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -451,10 +451,10 @@ SELECT round((SELECT median(l_extendedprice) FROM lineitem), 6) AS median_price,
 def q_a5(spark, d):
     li = t(spark, d, "lineitem")
     od = t(spark, d, "orders")
-    a = M.exact_median(li, "l_extendedprice", out="median_price", max_bracket_rows=1000)
+    a = M.exact_median(li, "l_extendedprice", out="median_price")
     b = M.exact_median(od, "o_totalprice", out="median_total")
-    return a.select(r6("median_price").alias("median_price"),
-                    F.round(b.select("median_total").scalar(), 6).alias("median_total"))
+    total = b.first()["median_total"]
+    return a.select(r6("median_price").alias("median_price"), F.round(F.lit(total), 6).alias("median_total"))
 
 
 @query("a11_residual_histogram", f"""
@@ -674,7 +674,7 @@ FROM orders
 def q_o2(spark, d):
     from shoplane.operators.ordered import time_split
     o = t(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    train, test = time_split(o, ORDER, 0.9, rows_per_bucket=ROWS_PER_BUCKET)
+    train, test = time_split(o, ORDER, 0.9)
     return train.select("o_orderkey", F.lit("train").alias("part")).unionByName(
         test.select("o_orderkey", F.lit("test").alias("part")))
 
@@ -691,19 +691,15 @@ SELECT CAST(b.fold AS BIGINT) AS fold, CAST(count(*) FILTER (WHERE i < s) AS BIG
 FROM b, ix GROUP BY b.fold
 """)
 def q_o3(spark, d):
-    from shoplane.operators.ordered import fold_frames, ordered_index
+    from shoplane.operators.ordered import time_segments
     o = t(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    ix = ordered_index(o, ORDER, rows_per_bucket=ROWS_PER_BUCKET)
-    n = o.count()
-    parts = []
-    for i, (tr, te) in enumerate(fold_frames(ix, n, 5)):
-        a = tr.agg(F.count(F.lit(1)).alias("train_rows"))
-        b = te.agg(F.count(F.lit(1)).alias("test_rows"), F.min("o_orderkey").alias("test_min_key"),
-                   F.sum("o_orderkey").alias("test_key_sum"))
-        parts.append(b.select(F.lit(i).cast("long").alias("fold"),
-                              F.lit(a.select("train_rows").scalar()).alias("train_rows"), "*"))
-    from shoplane.operators.joins import union_by_name
-    return union_by_name(parts)
+    seg, n = time_segments(o, ORDER, 5)
+    k = F.col("o_orderkey")
+    parts = seg.groupBy("segment").agg(F.count(k).alias("rows"), F.min(k).alias("test_min_key"), F.sum(k).alias("test_key_sum"))
+    # expanding folds: all segments before the test segment are training rows; six rows, so one task is enough
+    earlier = F.sum("rows").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
+    return (parts.withColumn("train_rows", earlier).where("segment > 0")
+            .select((F.col("segment") - 1).cast("long").alias("fold"), "train_rows", F.col("rows").alias("test_rows"), "test_min_key", "test_key_sum"))
 
 
 # ------------------------------------------- 2.4 J4, 2.10 E1-E4 (text)
@@ -1054,8 +1050,7 @@ WO_ORDER = ["Date In", "WO#", "Item"]
 def q_m19(spark, d):
     from shoplane.plans.workflow import train_duration_models
     table, _ = train_duration_models(work_orders_frame(spark, d), WO_ORDER,
-                                     models=("Linear Regression", "Ridge Regression"),
-                                     rows_per_bucket=20000)
+                                     models=("Linear Regression", "Ridge Regression"))
     return table
 
 
@@ -1064,7 +1059,7 @@ def q_m17(spark, d):
     from shoplane.plans.workflow import evaluate_model, train_duration_models
     from shoplane.sources import load_model, save_model
     wo = work_orders_frame(spark, d)
-    _, models = train_duration_models(wo, WO_ORDER, models=("Linear Regression",), rows_per_bucket=20000)
+    _, models = train_duration_models(wo, WO_ORDER, models=("Linear Regression",))
     path = save_model(models["Linear Regression"], scratch_path(spark, "model"))
     model = load_model(path)
     from shoplane.plans.workflow import prepare_training
@@ -1232,6 +1227,50 @@ def q_a10_dirty(spark, d):
     return m.select("n", F.round("mae", 6).alias("mae"), F.round("r2", 8).alias("r2"), F.round("median_ae", 6).alias("median_ae"))
 
 
+SQL_WIDE = "CAST(CAST(o_orderkey % 97 AS DECIMAL(32,0)) * 100000000000000000000 + o_orderkey % 1009 - CAST(o_custkey AS DECIMAL(32,0)) * 7 AS DECIMAL(32,0))"
+
+
+def _wide_orders(spark, d) -> DataFrame:
+    """Orders with a decimal key of 22 digits, whose neighbours no double tells apart."""
+    key = ((F.col("o_orderkey") % 97).cast("decimal(11,0)") * F.lit("1" + "0" * 20).cast("decimal(21,0)")
+           + (F.col("o_orderkey") % 1009).cast("decimal(20,0)") - F.col("o_custkey").cast("decimal(19,0)") * F.lit(7).cast("decimal(1,0)"))
+    return t(spark, d, "orders").select("o_orderkey", "o_totalprice", key.cast("decimal(32,0)").alias("wide"), (-F.col("o_orderkey")).alias("tie"))
+
+
+@query("w5_wide_decimal_key", f"""
+SELECT o_orderkey, CAST(row_number() OVER (ORDER BY {SQL_WIDE}, -o_orderkey) - 1 AS BIGINT) AS row_idx FROM orders
+""")
+def q_w5_wide(spark, d):
+    from shoplane.operators.ordered import ordered_index
+    return ordered_index(_wide_orders(spark, d), ["wide", "tie"], rows_per_bucket=ROWS_PER_BUCKET).select("o_orderkey", "row_idx")
+
+
+@query("w1_lag_wide_decimal_key", f"""
+SELECT o_orderkey, round(lag(o_totalprice, 1) OVER w, 6) AS lag_1, round(lag(o_totalprice, 2) OVER w, 6) AS lag_2
+FROM orders WINDOW w AS (ORDER BY {SQL_WIDE}, -o_orderkey)
+""")
+def q_w1_wide(spark, d):
+    from shoplane.operators.ordered import lag_features
+    r = lag_features(_wide_orders(spark, d), "o_totalprice", ["wide", "tie"], rows_per_bucket=ROWS_PER_BUCKET)
+    return r.select("o_orderkey", r6("lag_1").alias("lag_1"), r6("lag_2").alias("lag_2"))
+
+
+@query("a10_null_group", """
+SELECT g, CAST(count(*) AS BIGINT) AS n, round(avg(abs(y - p)), 6) AS mae, round(median(abs(y - p)), 6) AS median_ae
+FROM (SELECT CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 3 = 1 THEN 'hot' ELSE l_returnflag END AS g,
+             l_extendedprice / 1000 AS y, CASE WHEN l_quantity > 25 THEN l_extendedprice / 1000 ELSE l_quantity * 1.5 END AS p FROM lineitem)
+GROUP BY g
+""")
+def q_a10_null_group(spark, d):
+    """A third of the rows in the null group, a third in one other; half of all errors are zero."""
+    k, y = F.col("l_orderkey") % 3, F.col("l_extendedprice") / 1000
+    pairs = t(spark, d, "lineitem").select(
+        F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.lit("hot")).otherwise(F.col("l_returnflag")).alias("g"),
+        y.alias("y"), F.when(F.col("l_quantity") > 25, y).otherwise(F.col("l_quantity") * 1.5).alias("p"))
+    m = M.regression_metrics(pairs, "y", "p", ["g"])
+    return m.select("g", "n", r6("mae").alias("mae"), r6("median_ae").alias("median_ae"))
+
+
 @query("p6_day_first_and_iso_forms", """
 SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 6 IN (2, 4) THEN date_trunc('minute', CAST(o_orderdate AS TIMESTAMP))
                                  ELSE CAST(o_orderdate AS TIMESTAMP) END, '%Y-%m-%d %H:%M:%S') AS date_in FROM orders
@@ -1303,12 +1342,72 @@ e AS (SELECT m.k, alpha, avg(abs(y - (my + b * (x - mx)))) AS mae
 SELECT CAST(alpha AS DOUBLE) AS alpha, round(avg(mae), 5) AS cv_mae FROM e GROUP BY alpha
 """)
 def q_m16(spark, d):
+    return _cv(spark, one_feature_frame(spark, d), "Ridge Regression", ["alpha"])
+
+
+def _cv(spark, xy, model, names) -> DataFrame:
+    """Mean absolute error of a registry model's whole grid over five expanding folds."""
     from pyspark.ml import Pipeline
     from shoplane.operators.models import REGISTRY, time_series_grid_search
-    from shoplane.operators.ordered import ordered_index
-    xy = ordered_index(one_feature_frame(spark, d), ["l_orderkey", "l_linenumber", "x", "label"]).select("features", "label", "row_idx").checkpoint()
-    _, _, _, results = time_series_grid_search(xy, xy.count(), lambda est: Pipeline(stages=[est]), REGISTRY["Ridge Regression"])
-    return spark.createDataFrame([(r["params"]["alpha"], round(r["cv_mae"], 5)) for r in results], "alpha double, cv_mae double")
+    from shoplane.operators.ordered import time_segments
+    xy, n = time_segments(xy.select("l_orderkey", "l_linenumber", "x", "features", "label"), ["l_orderkey", "l_linenumber", "x", "label"], 5)
+    _, _, _, results = time_series_grid_search(xy, n, lambda est: Pipeline(stages=[est]), REGISTRY[model], segment_col="segment")
+    return spark.createDataFrame([(*(r["params"][k] for k in names), round(r["cv_mae"], 5)) for r in results],
+                                 ", ".join(f"{k} double" for k in names) + ", cv_mae double")
+
+
+def _sql_folds(xy: str) -> str:
+    """Rows of ``xy`` with their index, and the folds' bounds."""
+    return f"""r AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, x, y) - 1 AS i, count(*) OVER () AS n FROM ({xy})),
+f AS (SELECT k, max(n) - (5 - k) * (max(n) // 6) AS s, max(n) // 6 AS ts FROM r, range(0, 5) AS g(k) GROUP BY k)"""
+
+
+@query("m11_elastic_net_one_feature", f"""
+WITH s AS (SELECT sign(covar_pop(y, x)) * greatest(abs(covar_pop(y, x)) - 0.1 * 0.2, 0) / (var_pop(x) + 0.1 * 0.8) AS b,
+                  avg(y) AS my, avg(x) AS mx FROM ({SQL_XY}))
+SELECT round(b, 6) AS slope, round(my - b * mx, 6) AS intercept FROM s
+""")
+def q_m11(spark, d):
+    from shoplane.operators.gram import segment_moments, solve
+    from shoplane.operators.models import REGISTRY
+    m = segment_moments(one_feature_frame(spark, d).withColumn("segment", F.lit(0)))[0]
+    w, b = solve(m, *REGISTRY["Elastic Net"].penalty({"alpha": 0.1, "l1_ratio": 0.2}, m.n))
+    return spark.createDataFrame([(round(float(w[0]), 6), round(float(b), 6))], "slope double, intercept double")
+
+
+@query("m11_elastic_net_cv_mae", f"""
+WITH {_sql_folds(SQL_XY)},
+a AS (SELECT alpha, l1_ratio FROM (SELECT unnest([0.1, 1.0, 10.0]) AS alpha), (SELECT unnest([0.2, 0.5, 0.8]) AS l1_ratio)),
+m AS (SELECT k, alpha, l1_ratio, sign(covar_pop(y, x)) * greatest(abs(covar_pop(y, x)) - alpha * l1_ratio, 0)
+             / (var_pop(x) + alpha * (1 - l1_ratio)) AS b, avg(y) AS my, avg(x) AS mx
+      FROM r JOIN f ON r.i < f.s, a GROUP BY k, alpha, l1_ratio),
+e AS (SELECT m.k, alpha, l1_ratio, avg(abs(y - (my + b * (x - mx)))) AS mae
+      FROM m JOIN f ON m.k = f.k JOIN r ON r.i >= f.s AND r.i < f.s + f.ts GROUP BY m.k, alpha, l1_ratio)
+SELECT CAST(alpha AS DOUBLE) AS alpha, CAST(l1_ratio AS DOUBLE) AS l1_ratio, round(avg(mae), 5) AS cv_mae FROM e GROUP BY alpha, l1_ratio
+""")
+def q_m11_cv(spark, d):
+    return _cv(spark, one_feature_frame(spark, d), "Elastic Net", ["alpha", "l1_ratio"])
+
+
+SQL_XXY = "SELECT l_orderkey, l_linenumber, l_quantity / 100.0 AS x, l_discount * l_quantity AS z, l_extendedprice / 1000.0 AS y FROM lineitem"
+
+
+@query("m16_ridge_cv_mae_two_features", f"""
+WITH {_sql_folds(SQL_XXY)},
+a AS (SELECT unnest([0.1, 1.0, 10.0, 100.0]) AS alpha),
+c AS (SELECT k, alpha, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) * count(*) + alpha AS xx, var_pop(z) * count(*) + alpha AS zz,
+             covar_pop(x, z) * count(*) AS xz, covar_pop(x, y) * count(*) AS xy, covar_pop(z, y) * count(*) AS zy
+      FROM r JOIN f ON r.i < f.s, a GROUP BY k, alpha),
+m AS (SELECT k, alpha, mx, mz, my, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS bx, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS bz FROM c),
+e AS (SELECT m.k, alpha, avg(abs(y - (my + bx * (x - mx) + bz * (z - mz)))) AS mae
+      FROM m JOIN f ON m.k = f.k JOIN r ON r.i >= f.s AND r.i < f.s + f.ts GROUP BY m.k, alpha)
+SELECT CAST(alpha AS DOUBLE) AS alpha, round(avg(mae), 5) AS cv_mae FROM e GROUP BY alpha
+""")
+def q_m16_two(spark, d):
+    from pyspark.ml.feature import VectorAssembler
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 100).alias("x"), (F.col("l_discount") * F.col("l_quantity")).alias("z"),
+                                        (F.col("l_extendedprice") / 1000).alias("label"))
+    return _cv(spark, VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(li), "Ridge Regression", ["alpha"])
 
 
 # ------------------------------------------------------------ registration
@@ -1316,10 +1415,6 @@ def q_m16(spark, d):
 def register_all(queries: dict, oracles: dict, table_reader: Callable) -> None:
     global _T
     _T = table_reader
-    for mod in _EXTRA_MODULES:
-        __import__(mod)
     queries.update(Q)
     oracles.update(SQL)
 
-
-_EXTRA_MODULES: list[str] = []

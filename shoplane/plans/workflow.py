@@ -20,7 +20,7 @@ from shoplane.operators.joins import merge_on
 from shoplane.operators.metrics import density_curve, regression_metrics, residual_histogram, scatter_bins
 from shoplane.operators.models import (REGISTRY, coefficients, compare_models, top_coefficients)
 from shoplane.operators.notes import split_note_columns
-from shoplane.operators.ordered import ordered_index
+from shoplane.operators.ordered import time_segments, time_split
 
 # FIXED VALUES -- feature columns.
 NUMERIC = ["Year", "Month", "WeekOfYear", "DayOfWeek", "Quarter", "IsWeekend"]
@@ -120,26 +120,24 @@ def full_stages(regressor, max_features: int = 100) -> Pipeline:
 
 def train_duration_models(df: DataFrame, order: list[str], models=("Linear Regression",),
                           ratio: float = 0.9, n_splits: int = 5, max_features: int = 100,
-                          rows_per_bucket: int = 1_000_000, registry=None, parallelism: int = 4,
-                          categorical=CATEGORICAL):
-    """3.3: prepare, index in time order (W5), hold out the last 10% (O2),
-    grid-search each model on expanding folds (M16), score the hold-out, and
-    return (metrics table ranked by MAE, fitted raw-column models)."""
+                          registry=None, parallelism: int = 4, categorical=CATEGORICAL):
+    """3.3: prepare, hold out the last 10% in time order (O2),
+    grid-search each model on expanding folds (O3, M16), score the hold-out, and
+    return (metrics table ranked by MAE, fitted raw-column models). Split and folds are
+    predicates on the order columns; no row is numbered."""
     prefix = raw_stages()
     rows = PipelineModel(stages=prefix).transform(prepare_training(df, categorical=categorical))
     # the models read these columns only: raw notes are not checkpointed
     rows = rows.select(*[S.col(c) for c in dict.fromkeys(
         [*order, "Processed_Repair_Description", *NUMERIC, *categorical, "label"])])
-    ix = ordered_index(rows, order, index_col="row_idx", rows_per_bucket=rows_per_bucket)
-    ix = ix.checkpoint(eager=True)  # reused by every fold fit; survives executor loss
-    n = ix.count()
-    cut = int(ratio * n)
-    train, test = ix.filter(F.col("row_idx") < cut), ix.filter(F.col("row_idx") >= cut)
+    rows = rows.checkpoint(eager=True)  # reused by every fold fit; survives executor loss
+    train, test = time_split(rows, order, ratio)
+    train, n_train = time_segments(train, order, n_splits, "_segment")
 
     def stages(est):
         return duration_stages(est, max_features, categorical=categorical)
-    return compare_models(train, test, cut, stages, list(models), n_splits, "row_idx", "label",
-                          registry or REGISTRY, prefix=prefix, parallelism=parallelism)
+    return compare_models(train, test, n_train, stages, list(models), n_splits, label="label",
+                          registry=registry or REGISTRY, prefix=prefix, parallelism=parallelism, segment_col="_segment")
 
 
 # ------------------------------------------------------------ 3.4 evaluate

@@ -69,14 +69,14 @@ def test_metrics_and_exact_median(spark):
 
 
 def test_exact_median_multi_round(spark):
-    # force several bracket-narrowing rounds and a hot value
+    # force many passes and a hot value
     df = spark.range(0, 20001).select(F.when(F.col("id") % 3 == 0, F.lit(7.0))
                                       .otherwise(F.col("id").cast("double")).alias("v"),
                                       (F.col("id") % 2).alias("g"))
-    got = M.exact_median(df, "v", max_bracket_rows=50, grid=20).first()["median"]
+    got = M.exact_median(df, "v", digit_bits=4).first()["median"]
     exp = df.agg(F.median("v")).first()[0]
     assert got == pytest.approx(exp)
-    by = {r.g: r.median for r in M.exact_median(df, "v", ["g"], max_bracket_rows=50, grid=20).collect()}
+    by = {r.g: r.median for r in M.exact_median(df, "v", ["g"], digit_bits=4).collect()}
     exp_by = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
     assert by == pytest.approx(exp_by)
 
