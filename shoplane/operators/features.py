@@ -65,7 +65,8 @@ class TextPreprocessor(Transformer, HasInputCol, HasOutputCol, _RW):
 class FeatureEngineer(Transformer, _RW):
     """Calendar features of ``dateCol`` (X12-X14, F8); with ``withLags``
     also lag 1/2 and the 3-row trailing mean of ``valueCol`` in the order
-    ``orderCols`` (W1, W2), then backward/forward fill of those (W3, W4).
+    ``orderCols`` (W1, W2), then backward/forward fill of every column but the
+    order's own (W3, W4), all in one ordered pass. ``fillColumns`` names the input and calendar columns to fill instead.
 
     The lag features use the target itself, so they are off by default for
     training data (they would leak the label)."""
@@ -75,10 +76,11 @@ class FeatureEngineer(Transformer, _RW):
     orderCols = Param(Params._dummy(), "orderCols", "total order", TypeConverters.toListString)
     withLags = Param(Params._dummy(), "withLags", "add lag features", TypeConverters.toBoolean)
     rowsPerBucket = Param(Params._dummy(), "rowsPerBucket", "rows per range bucket", TypeConverters.toInt)
+    fillColumns = Param(Params._dummy(), "fillColumns", "columns to fill beside the lags", TypeConverters.toListString)
 
     @keyword_only
     def __init__(self, dateCol="Date In", valueCol="Repair Duration", orderCols=None,
-                 withLags=False, rowsPerBucket=1_000_000):
+                 withLags=False, rowsPerBucket=1_000_000, fillColumns=None):
         super().__init__()
         self._setDefault(dateCol="Date In", valueCol="Repair Duration", orderCols=["Date In", "row_id"],
                          withLags=False, rowsPerBucket=1_000_000)
@@ -89,12 +91,11 @@ class FeatureEngineer(Transformer, _RW):
         out = df.select("*", *[c.cast("int").alias(k) for k, c in feats.items()])
         if self.getOrDefault("withLags"):
             from shoplane.operators.ordered import ordered_features
-            out = ordered_features(out, self.getOrDefault("orderCols"), None, index_col=None,
+            order = self.getOrDefault("orderCols")
+            fills = self.getOrDefault("fillColumns") if self.isDefined("fillColumns") else [c for c in out.columns if c not in order]
+            out = ordered_features(out, order, None, index_col=None,
                                    lag_col=self.getOrDefault("valueCol"), lags=(1, 2), rolling=3,
-                                   rolling_name="rolling_mean_3",
-                                   rows_per_bucket=self.getOrDefault("rowsPerBucket"))
-            out = ordered_features(out, self.getOrDefault("orderCols"), None, index_col=None,
-                                   fill_cols=["lag_1", "lag_2", "rolling_mean_3"],
+                                   rolling_name="rolling_mean_3", fill_cols=fills, fill_derived=True,
                                    rows_per_bucket=self.getOrDefault("rowsPerBucket"))
         return out
 

@@ -16,7 +16,7 @@ cut into balanced range buckets instead:
 3. rows at the end of a block that later rows need for lags/rolling means
    ("halo" rows, at most ``reach`` per block) are copied into the next blocks;
 4. one window pass partitioned by (group, bucket) computes row index, lags,
-   rolling means and fills; halo rows are then dropped.
+   rolling means and fills (of the lags too); halo rows are then dropped.
 
 The data are shuffled once (step 4); steps 1-3 read only key/value columns.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from shoplane.functions.dates import wall_clock_micros
 from shoplane.operators.schema import col
-from shoplane.operators.selection import before, cut_keys, segment
+from shoplane.operators.selection import before, cut_keys, measured_bytes, segment
 
 DEFAULT_ROWS_PER_BUCKET = 250_000
 SAMPLE_PER_BUCKET = 32
@@ -214,7 +214,7 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
                      index_col: str | None = "row_idx",
                      lag_col: str | None = None, lags: tuple[int, ...] = (),
                      rolling: int = 0, rolling_name: str | None = None,
-                     fill_cols: list[str] | None = None,
+                     fill_cols: list[str] | None = None, fill_derived: bool = False,
                      rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, seed: int = 42,
                      summary_broadcast_bytes: int = 32 << 20) -> DataFrame:
     """All ordered operators in one pass.
@@ -223,7 +223,9 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
     (0-based position within the ``by`` group, W5), ``lag_<k>`` of ``lag_col``
     for each k in ``lags`` (W1), the trailing mean of ``rolling`` rows named
     ``rolling_name`` (null unless all ``rolling`` values are non-null, W2), and
-    fills ``fill_cols`` backward then forward (W3, W4).
+    fills ``fill_cols`` backward then forward (W3, W4). ``fill_derived`` fills the lags and
+    the rolling mean in the same buckets: what they carry across buckets comes from a pass over the keys and
+    ``lag_col`` alone, so the rows are still shuffled once. ``by`` and ``order`` columns are not filled.
     """
     by = list(by or [])
     fill_cols = list(fill_cols or [])
@@ -241,47 +243,63 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
     ocomps, _ = _components(df, list(order))
     okey = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(ocomps)])  # nulls-last order
 
-    # --- per-block summary: counts and first/last non-null fill values
-    aggs = [F.count(F.lit(1)).alias("_cnt")]
-    for i, c in enumerate(fill_cols):
-        has = col(c).isNotNull()
-        aggs.append(F.min_by(col(c), F.when(has, okey)).alias(f"_first{i}"))
-        aggs.append(F.max_by(col(c), F.when(has, okey)).alias(f"_last{i}"))
-    summ = bdf.groupBy(*[col(b) for b in blk]).agg(*aggs)
+    rolled = rolling_name or f"rolling_mean_{rolling}"
+    w = Window.partitionBy(*[col(b) for b in blk]).orderBy(*_order_spec(order))
+    # reversed order (same partitioning, no extra shuffle) for look-ahead fills
+    w_rev = Window.partitionBy(*[col(b) for b in blk]).orderBy(*[col(c).desc_nulls_first() for c in order])
     gw = Window.partitionBy(*gkeys).orderBy("_b")
     prev = gw.rowsBetween(Window.unboundedPreceding, -1)
     # "from the next row to the end" as the growing frame of the reversed order:
     # Spark re-aggregates an unbounded-following frame for every row (O(n^2))
     nxt = Window.partitionBy(*gkeys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    cols = [*[col(b) for b in blk], "_cnt",
-            F.coalesce(F.sum("_cnt").over(prev), F.lit(0)).alias("_start")]
-    for i in range(len(fill_cols)):
-        cols.append(F.last(f"_last{i}", ignorenulls=True).over(prev).alias(f"_carry_prev{i}"))
-        cols.append(F.last(f"_first{i}", ignorenulls=True).over(nxt).alias(f"_carry_next{i}"))
-    summ = summ.select(*cols)
+
+    def ends(names: list[str]) -> list[Column]:
+        """First and last non-null value of each column in a block."""
+        out = []
+        for c in names:
+            has = F.when(col(c).isNotNull(), okey)
+            out += [F.min_by(col(c), has).alias(f"_first_{c}"), F.max_by(col(c), has).alias(f"_last_{c}")]
+        return out
+
+    def carries(names: list[str]) -> list[Column]:
+        """Of each column, the nearest values in earlier and in later blocks."""
+        out = []
+        for c in names:
+            out += [F.last(col(f"_last_{c}"), ignorenulls=True).over(prev).alias(f"_carry_prev_{c}"),
+                    F.last(col(f"_first_{c}"), ignorenulls=True).over(nxt).alias(f"_carry_next_{c}")]
+        return out
+
+    def lagged() -> dict[str, Column]:
+        out = {f"lag_{k}": F.lag(col(lag_col), k).over(w) for k in lags}
+        if rolling:
+            rw = w.rowsBetween(-(rolling - 1), 0)
+            out[rolled] = F.when(F.count(col(lag_col)).over(rw) == rolling, F.avg(col(lag_col)).over(rw))
+        return out
+
+    # --- per-block summary: counts and first/last non-null fill values
+    summ = bdf.groupBy(*[col(b) for b in blk]).agg(F.count(F.lit(1)).alias("_cnt"), *ends(fill_cols))
+    cols = [*[col(b) for b in blk], "_cnt", F.coalesce(F.sum("_cnt").over(prev), F.lit(0)).alias("_start"), *carries(fill_cols)]
     if reach:
         # bucket id and start offset of the next `reach` blocks of the group
-        summ = summ.select("*", *[F.lead("_b", k).over(gw).alias(f"_nb{k}") for k in range(1, reach + 1)],
-                           *[F.lead("_start", k).over(gw).alias(f"_ns{k}") for k in range(1, reach + 1)])
+        cols += [F.lead("_b", k).over(gw).alias(f"_nb{k}") for k in range(1, reach + 1)]
+    summ = summ.select(*cols)
+    if reach:
+        summ = summ.select("*", *[F.lead("_start", k).over(gw).alias(f"_ns{k}") for k in range(1, reach + 1)])
     summ = summ.checkpoint(eager=True)
-    # the summary has one row per (group, bucket): broadcast only under a measured bound
-    width = F.lit(16 * len(summ.columns))
-    for f in summ.schema:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            width = width + F.coalesce(F.octet_length(col(f.name)), F.lit(0))
-    measured = summ.agg(F.sum(width.cast("long"))).first()[0] or 0
-    small = F.broadcast(summ) if measured <= summary_broadcast_bytes else summ
 
+    def measured(table: DataFrame) -> DataFrame:
+        """One row per (group, bucket): broadcast only under a measured bound."""
+        return F.broadcast(table) if measured_bytes(table) <= summary_broadcast_bytes else table
+
+    small = measured(summ)
     base = bdf.withColumn("_halo", F.lit(False))
     if reach:
         # --- halo rows: the last `reach` rows of each block, copied forward
-        tail_w = Window.partitionBy(*[col(b) for b in blk]).orderBy(
-            *[col(c).desc_nulls_first() for c in order])
         narrow = [*gkeys, "_b", *[col(c) for c in order]]
         if lag_col and lag_col not in list(order):
             narrow.append(col(lag_col))
-        tails = (bdf.select(*narrow).withColumn("_rfe", F.row_number().over(tail_w))
-                 .filter(F.col("_rfe") <= reach))
+        narrow = bdf.select(*narrow)
+        tails = narrow.withColumn("_rfe", F.row_number().over(w_rev)).filter(F.col("_rfe") <= reach)
         tails = tails.join(small.select(*blk, "_cnt", "_start",
                                         *[f"_nb{k}" for k in range(1, reach + 1)],
                                         *[f"_ns{k}" for k in range(1, reach + 1)]), blk)
@@ -291,33 +309,37 @@ def ordered_features(df: DataFrame, order: list[str], by: list[str] | None = Non
         halos = (tails.withColumn("_t", F.explode(targets))
                  .filter(F.col("_t.b").isNotNull() & (F.col("_t.s") - reach <= F.col("_gidx")))
                  .withColumn("_b", F.col("_t.b"))
-                 .select(*[c for c in bdf.columns if c in tails.columns])
-                 .withColumn("_halo", F.lit(True)))
+                 .select(*narrow.columns)
+                 .withColumn("_halo", F.lit(True))).checkpoint(eager=True)  # `reach` keys and values a block
         base = base.unionByName(halos, allowMissingColumns=True)
+        if fill_derived:
+            # lags of the block's own rows, from keys and values only; then their ends a block
+            own = narrow.withColumn("_halo", F.lit(False)).unionByName(halos).select("*", *[c.alias(n) for n, c in lagged().items()]).filter(~F.col("_halo"))
+            names = list(lagged())
+            derived = own.groupBy(*[col(b) for b in blk]).agg(*ends(names)).select(*blk, *carries(names))
+            summ = summ.join(measured(derived.checkpoint(eager=True)), blk).checkpoint(eager=True)
+            small = measured(summ)
 
     joined = base.join(small, blk)
-    w = Window.partitionBy(*[col(b) for b in blk]).orderBy(*_order_spec(order))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # reversed order (same partitioning, no extra shuffle) for look-ahead fills
-    w_rev = Window.partitionBy(*[col(b) for b in blk]).orderBy(
-        *[col(c).desc_nulls_first() for c in order])
-    extra = []
+    added = lagged() if reach else {}
     if index_col:
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         nhalo = F.sum(F.col("_halo").cast("int")).over(whole)
-        extra.append((F.col("_start") + F.row_number().over(w) - 1 - nhalo).alias(index_col))
-    for k in lags:
-        extra.append(F.lag(col(lag_col), k).over(w).alias(f"lag_{k}"))
-    if rolling:
-        rw = w.rowsBetween(-(rolling - 1), 0)
-        extra.append(F.when(F.count(col(lag_col)).over(rw) == rolling,
-                            F.avg(col(lag_col)).over(rw)).alias(rolling_name or f"rolling_mean_{rolling}"))
-    filled = {}
-    for i, c in enumerate(fill_cols):
+        added[index_col] = F.col("_start") + F.row_number().over(w) - 1 - nhalo
+    to_fill = fill_cols + (list(lagged()) if fill_derived and reach else [])
+    # a halo row's own lags lack their history: they count for no fill
+    added = {n: F.when(~F.col("_halo"), c) if n in to_fill else c for n, c in added.items()}
+    carried = [f"_carry_{side}_{c}" for c in to_fill for side in ("next", "prev")]
+    res = joined.select(*[col(c) for c in df.columns], *[c.alias(n) for n, c in added.items()], "_halo",
+                        *([*blk, *[col(c) for c in carried]] if to_fill else []))
+
+    def filled(c: str) -> Column:
         nxt_in = F.last(col(c), ignorenulls=True).over(w_rev.rowsBetween(Window.unboundedPreceding, 0))
         prv_in = F.last(col(c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        filled[c] = F.coalesce(col(c), nxt_in, F.col(f"_carry_next{i}"), prv_in, F.col(f"_carry_prev{i}"))
-    keep = [filled[c].alias(c) if c in filled else col(c) for c in df.columns]
-    res = joined.select(*keep, *extra, "_halo")
+        return F.coalesce(col(c), nxt_in, col(f"_carry_next_{c}"), prv_in, col(f"_carry_prev_{c}")).alias(c)
+
+    if to_fill:
+        res = res.select(*[filled(c) if c in to_fill else col(c) for c in [*df.columns, *added]], "_halo")
     return res.filter(~F.col("_halo")).drop("_halo")
 
 

@@ -156,7 +156,7 @@ def select_ranks(df: DataFrame, components: list[Column], kinds: list[str], rank
 
 # ------------------------------------------------------------------ medians
 
-def _measured(df: DataFrame) -> int:
+def measured_bytes(df: DataFrame) -> int:
     """Bytes of a small table, from its own values."""
     width = F.lit(16 * len(df.columns))
     for f in df.schema:
@@ -208,7 +208,7 @@ def _group_medians(base: DataFrame, by: list[str], out: str, digit_bits: int, br
     while state.where("klo < khi").limit(1).count():
         open_state = state.where("klo < khi").select(*[k.alias(f"s{g}") for k, g in zip(keys, names)], "n", "rest", "above", "shift",
                                                      F.col("klo").alias("from"), F.col("khi").alias("to"))
-        side = F.broadcast(open_state) if _measured(open_state) <= broadcast_bytes else open_state
+        side = F.broadcast(open_state) if measured_bytes(open_state) <= broadcast_bytes else open_state
         same = [F.col(g).eqNullSafe(F.col(f"s{g}")) for g in names]
         rows = base.join(side, [*same, F.col("_k").between(F.col("from"), F.col("to"))])
         counts = rows.groupBy(*names, F.expr("shiftright(_k, shift)").alias("bucket"), "n", "rest", "above").agg(*bucket)

@@ -1139,6 +1139,32 @@ def q_e7(spark, d):
                     r6("rolling_mean_3").alias("rolling_mean_3"))
 
 
+def _sql_filled(c: str) -> str:
+    return (f"coalesce({c}, first_value({c} IGNORE NULLS) OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), "
+            f"last_value({c} IGNORE NULLS) OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))")
+
+
+@query("e7_fill_every_column", f"""
+WITH o AS (SELECT o_orderkey, o_orderdate, {SQL_V} AS v, CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus END AS status,
+                  CASE WHEN o_custkey % 11 < 3 AND o_orderdate > TIMESTAMP '1993-01-01' THEN o_custkey END AS custkey FROM orders),
+b AS (SELECT *, lag(v, 1) {SQL_W} AS l1, lag(v, 2) {SQL_W} AS l2,
+    CASE WHEN count(v) OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3
+         THEN avg(v) OVER (ORDER BY o_orderdate NULLS LAST, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS r3 FROM o)
+SELECT o_orderkey, round({_sql_filled("v")}, 6) AS v, {_sql_filled("status")} AS status, CAST({_sql_filled("custkey")} AS BIGINT) AS custkey,
+       round({_sql_filled("l1")}, 6) AS lag_1, round({_sql_filled("l2")}, 6) AS lag_2, round({_sql_filled("r3")}, 6) AS rolling_mean_3 FROM b
+""")
+def q_e7_all(spark, d):
+    from shoplane.operators.features import FeatureEngineer
+    k = F.col("o_orderkey")
+    o = _orders_v(spark, d).select(
+        "o_orderkey", "o_orderdate", "v", F.when(k % 5 == 0, F.col("o_orderstatus")).alias("status"),
+        F.when((F.col("o_custkey") % 11 < 3) & (F.col("o_orderdate") > F.lit("1993-01-01").cast("timestamp_ntz")), F.col("o_custkey")).alias("custkey"))
+    fe = FeatureEngineer(dateCol="o_orderdate", valueCol="v", orderCols=ORDER, withLags=True, rowsPerBucket=ROWS_PER_BUCKET)
+    r = fe.transform(o)
+    return r.select("o_orderkey", r6("v").alias("v"), "status", F.col("custkey").cast("long").alias("custkey"),
+                    *[r6(c).alias(c) for c in ("lag_1", "lag_2", "rolling_mean_3")])
+
+
 @query("w1_event_gaps_by_user", """
 SELECT event_id, user_id,
   CAST(floor((epoch_us(ts) - epoch_us(lag(ts, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 86400000000.0) AS DOUBLE) AS gap_days,
