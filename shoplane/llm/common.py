@@ -40,10 +40,15 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(parts)
 
 
-def worker_state() -> dict:
+def worker_state(owner: str) -> dict:
     """A dictionary that outlives a task in a reused Python worker (models and
-    tokenizers load once per worker, not once per task)."""
-    return sys.modules.setdefault("_shoplane_worker_state", types.ModuleType("_shoplane_worker_state")).__dict__
+    tokenizers load once per worker, not once per task). It belongs to one operator at a time: when another
+    one asks, what the last one held goes."""
+    module = sys.modules.setdefault("_shoplane_worker_state", types.ModuleType("_shoplane_worker_state"))
+    held = module.__dict__.setdefault("held", {})
+    if owner not in held:
+        held.clear()
+    return held.setdefault(owner, {})
 
 
 def tokenizer_file(name: str) -> str:

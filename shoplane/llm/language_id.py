@@ -32,7 +32,7 @@ _GRAIN = 1e6
 
 
 def _letter_table() -> np.ndarray:
-    state = worker_state()
+    state = worker_state("language_id")
     if "letters" not in state:
         state["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     return state["letters"]
@@ -64,14 +64,18 @@ class Hypervectors:
 
     def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(sums of n-gram vectors, whether a text has a letter)."""
+        return self.vectors_and_sizes(texts)[:2]
+
+    def vectors_and_sizes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``vectors`` and the texts' numbers of n-grams."""
         seqs = [self._letters(t) for t in texts]
         has = np.array([bool((s != _SPACE).any()) for s in seqs], bool)
         n = self.ngram
         grams = [np.stack([s[i:len(s) - n + 1 + i] for i in range(n)]) for s in seqs if len(s) >= n]
         owner = np.repeat([i for i, s in enumerate(seqs) if len(s) >= n], [g.shape[1] for g in grams]).astype(np.int64)
-        out = np.zeros((len(texts), self.dim), np.float32)
+        out, sizes = np.zeros((len(texts), self.dim), np.float32), np.bincount(owner, minlength=len(texts))
         if not len(owner):
-            return out, has
+            return out, has, sizes
         letters, places = np.unique(np.concatenate(grams, axis=1), return_inverse=True)
         places = places.reshape(n, -1)
         code = np.zeros(len(owner), np.int64)
@@ -89,7 +93,7 @@ class Hypervectors:
                 part = part // len(letters)
                 product *= rolled[i][part % len(letters)]
             out += counts[:, lo:lo + _GRAMS] @ product.astype(np.float32)
-        return out, has
+        return out, has, sizes
 
 
 def _batches(texts: list[str], most: int = 32):
@@ -104,7 +108,7 @@ def _batches(texts: list[str], most: int = 32):
 
 
 def _encoder(dim: int, ngram: int, seed: int) -> Hypervectors:
-    state = worker_state()
+    state = worker_state("language_id")
     return state.setdefault(f"hypervectors:{dim}:{ngram}:{seed}", Hypervectors(dim, ngram, seed))
 
 
@@ -198,16 +202,20 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def reject_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                        folds: int = 3, held: int = 1, **model) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a determinable language:
-    those with a letter. Where no language was learned, none can be told from
-    another, and all texts with a letter stay.
+                        folds: int = 3, held: int = 1, deviations: float = 2.0, min_grams: int = 30, **model) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a determinable language.
+
+    Texts without a letter go. So do texts that no learned profile knows: the cosine of an unrelated text with
+    a prototype of ``dim`` random signs varies around 0 with deviation 1 / sqrt(dim), and a text whose best cosine stays below ``deviations``
+    of those is as far from every language as a random one (an unknown script, say). Texts of fewer than ``min_grams`` n-grams
+    are too short for that and stay. Where no language was learned, all texts with a letter stay.
     Rows are judged where they are read: nothing is joined or shuffled."""
     seen = F.coalesce(fold(id_col, folds) != F.lit(held), F.lit(False))
     langs, prototypes = learn_prototypes(docs, seen, id_col, text_col, lang_col, **model)
     at, known = docs.columns.index(text_col), bool(langs)
     how = {k: v for k, v in model.items() if k in ("ngram", "seed")}
     made = (prototypes.shape[1], how.get("ngram", 3), how.get("seed", 42))
+    least = deviations / np.sqrt(prototypes.shape[1])
 
     def run(batches):
         encoder = _encoder(*made)
@@ -216,9 +224,11 @@ def reject_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for first in range(0, batch.num_rows, 256):  # few texts at a time as Python strings
                 texts = [t or "" for t in batch.column(at).slice(first, 256).to_pylist()]
                 for lo, hi in _batches(texts):
-                    v, has = encoder.vectors(texts[lo:hi])
-                    best = (v @ prototypes.T).max(axis=1) if known else np.zeros(hi - lo)
-                    keep += (has & np.isfinite(best)).tolist()
+                    v, has, sizes = encoder.vectors_and_sizes(texts[lo:hi])
+                    if known:
+                        best = (v @ prototypes.T).max(axis=1) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)
+                        has &= (best >= least) | (sizes < min_grams)
+                    keep += has.tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -55,7 +55,7 @@ def weight(n_docs: int, df: int) -> int:
 
 
 def _vocabulary(key: str, words: list[bytes]) -> dict[bytes, int]:
-    state = worker_state()
+    state = worker_state("lexical")
     if state.get("lexical_key") != key:
         state["lexical_key"], state["lexical"] = key, {w: i for i, w in enumerate(words)}
     return state["lexical"]

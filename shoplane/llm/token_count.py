@@ -82,7 +82,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     id_type = docs.schema[id_col].dataType
 
     def run(batches):
-        state = worker_state()
+        state = worker_state("token_count")
         key = f"unit_counter:{tokenizer_path}"
         if key not in state:
             state[key] = UnitCounter(tokenizer_path, max_units)

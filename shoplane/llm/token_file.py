@@ -28,7 +28,7 @@ from shoplane.llm.common import tokenizer_file, worker_state
 from shoplane.llm.token_count import byte_groups
 
 #: Text encoded at once.
-_GROUP_BYTES = 4 << 20
+_GROUP_BYTES = 1 << 20
 
 
 class _Words:
@@ -180,7 +180,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     def run(batches):
         from pyspark import TaskContext
-        state = worker_state()
+        state = worker_state("token_file")
         key = f"word_encoder:{tokenizer_path}"
         if key not in state:
             state[key] = WordEncoder(tokenizer_path, max_bytes)

@@ -53,3 +53,13 @@ def test_no_learned_language_drops_only_texts_without_a_letter(spark):
     rows = [(i, t, None) for i, t in enumerate(("a few words", "", None, "12 34", "日本語"))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert sorted(r.doc_id for r in reject_undetermined(docs, per_language=5, dim=64, ngram=3).collect()) == [0, 4]
+
+
+def test_texts_that_no_profile_knows_are_rejected(spark):
+    """An unknown script and random letters go; every text of the learned languages and short texts stay."""
+    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet").select("doc_id", "text", "lang")
+    strange = ["日本語のテキストはここにあります。言語を判定するための文章です。これは長い文章です。", "Это русский текст для проверки определения языка документа и он довольно длинный",
+               "ეს არის ქართული ტექსტი ენის ამოცნობის შესამოწმებლად", "Това е", "日本"]
+    odd = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(strange)], "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in reject_undetermined(docs.unionByName(odd), per_language=800, dim=1024, ngram=3).collect()}
+    assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")} | {-4, -5}
