@@ -80,6 +80,10 @@ TOKEN_CONTRACTIONS = [
 NOUN_SUFFIX_RULES = [
     ("sses", "ss"), ("ches", "ch"), ("shes", "sh"), ("xes", "x"), ("ies", "y"), ("s", ""),
 ]
+# FIXED VALUES -- WordNet's noun detachment rules (suffix, ending), for lemmas that a lexicon confirms.
+MORPHY_NOUN_RULES = [
+    ("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"),
+]
 # Words ending in these are left alone by the bare "s" rule.
 NOUN_KEEP_ENDINGS = ["ss", "us", "is"]
 # Irregular nouns (word: lemma), looked up before the rules; a default that callers can replace.

@@ -151,8 +151,8 @@ class TfidfTop(Estimator, HasInputCol, HasOutputCol, _RW):
     """M1: TF-IDF over the ``maxFeatures`` most frequent terms (tokens of two
     or more word characters, lower-cased). Vocabulary in alphabetical order,
     frequency ties broken alphabetically; weight tf * (ln((1+n)/(1+df)) + 1),
-    rows L2-normalised. Fitting is one explode + hash aggregate (term counts
-    and document counts together); the top terms are a TakeOrdered."""
+    rows L2-normalised. Fitting counts hash buckets, the terms of the largest buckets, and the
+    documents of the chosen terms (``frequent``): the whole vocabulary is never a table."""
 
     maxFeatures = Param(Params._dummy(), "maxFeatures", "vocabulary size", TypeConverters.toInt)
 
@@ -167,24 +167,11 @@ class TfidfTop(Estimator, HasInputCol, HasOutputCol, _RW):
         return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(W.TFIDF_TOKEN_PATTERN), 0)
 
     def _fit(self, df: DataFrame) -> "TfidfTopModel":
-        tok = df.select(self.tokens(col(self.getInputCol())).alias("t"))
-        # per document: (term, 1, 0) per token, (term, 0, 1) per distinct term
-        # and one (null, 0, 1) marker whose document count is n -- one pass
-        both = F.concat(F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(1).alias("tf"),
-                                                              F.lit(0).alias("df"))),
-                        F.transform(F.array_distinct("t"), lambda w: F.struct(
-                            w.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
-                        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"),
-                                         F.lit(1).alias("df"))))
-        stats = (tok.select(F.inline(both)).groupBy("term")
-                 .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))).checkpoint(eager=True)
-        n_row = stats.filter(F.col("term").isNull()).select("df").first()
-        n = n_row["df"] if n_row else 0
-        top = (stats.filter(F.col("term").isNotNull()).orderBy(F.desc("tf"), F.asc("term"))
-               .limit(self.getOrDefault("maxFeatures")).collect())
-        top = sorted(top, key=lambda r: r["term"])
-        vocab = [r["term"] for r in top]
-        idf = [math.log((1 + n) / (1 + r["df"])) + 1 for r in top]
+        from shoplane.operators.frequent import document_counts, top_terms
+        tokens = self.tokens(col(self.getInputCol()))
+        vocab = sorted(w for w, _ in top_terms(df, tokens, self.getOrDefault("maxFeatures")))
+        n, held = document_counts(df, tokens, vocab)
+        idf = [math.log((1 + n) / (1 + held[w])) + 1 for w in vocab]
         m = TfidfTopModel(inputCol=self.getInputCol(), outputCol=self.getOutputCol(),
                           vocabulary=vocab, idf=idf)
         return self._copyValues(m)

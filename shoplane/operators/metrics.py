@@ -7,6 +7,7 @@ selection (``selection``), which never buffers or sorts a group.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -104,33 +105,46 @@ def residual_histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
                     F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
-def density_curve(df: DataFrame, value: str, points: int = 200, bins: int = 2048,
-                  cut: float = 3.0) -> DataFrame:
+#: Terms of a cell's Hermite expansion: with cells one bandwidth wide the rest is below 1e-15 of a row's kernel.
+_HERMITE_TERMS = 20
+#: Bandwidths beyond which a kernel (below 1e-17) is not added.
+_KERNEL_REACH = 9.0
+
+
+def density_curve(df: DataFrame, value: str, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density (Scott bandwidth, sample std) evaluated on
     ``points`` grid points from min-cut*bw to max+cut*bw.
 
-    The data are reduced in Spark to ``bins`` fine-bin counts (bounded size,
-    whatever the row count); the kernel sum runs over those bins.
-    """
+    A fast Gauss transform: one aggregate sums the powers of each row's distance from the centre of its cell
+    (one bandwidth wide), and each grid point adds up the Hermite expansions of the cells around it. The
+    truncation error is at most 1e-15 of the kernel's height a row, so the curve is the direct sum to rounding. Only cells within reach of
+    a grid point are kept: at most ``points`` * 20 of them, whatever the rows."""
     x = col(value).cast("double")
     src = df.select(x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     st = src.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_x").alias("s"),
                  F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
     spark = df.sparkSession
-    if not st["n"] or st["s"] is None or st["s"] == 0:
+    if not st["n"] or st["s"] is None or not 0 < st["s"] < math.inf:
         return spark.createDataFrame([], "x double, density double")
-    n, s, lo, hi = st["n"], st["s"], st["lo"], st["hi"]
-    width = (hi - lo) / bins
-    b = F.least(F.floor((F.col("_x") - lo) / width).cast("long"), F.lit(bins - 1))
-    binned = src.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
-    centers = np.array([lo + (r["b"] + 0.5) * width for r in binned])
-    counts = np.array([r["c"] for r in binned], dtype=float)
-    bw = s * n ** (-1.0 / 5.0)
+    n, lo, hi = st["n"], st["lo"], st["hi"]
+    bw = st["s"] * n ** (-1.0 / 5.0)
     grid = np.linspace(lo - cut * bw, hi + cut * bw, points)
-    z = (grid[:, None] - centers[None, :]) / bw
-    dens = (np.exp(-0.5 * z * z) * counts[None, :]).sum(axis=1) / (n * bw * np.sqrt(2 * np.pi))
-    return spark.createDataFrame([(float(g), float(d)) for g, d in zip(grid, dens)],
-                                 "x double, density double")
+    step = grid[1] - grid[0] if points > 1 else 1.0
+    nearest = F.lit(float(grid[0])) + F.round((F.col("_x") - float(grid[0])) / float(step)) * float(step)
+    cell = F.floor((F.col("_x") - lo) / bw)
+    u = (F.col("_x") - (lo + (F.col("cell") + 0.5) * bw)) / (bw * math.sqrt(2))
+    rows = src.where(F.abs(F.col("_x") - nearest) <= _KERNEL_REACH * bw).select("_x", cell.alias("cell")).select("cell", u.alias("u"))
+    found = rows.groupBy("cell").agg(*[F.sum(F.pow("u", F.lit(k))).alias(f"m{k}") for k in range(_HERMITE_TERMS)]).toPandas()
+    centres = lo + (found["cell"].to_numpy(float) + 0.5) * bw
+    moments = found[[f"m{k}" for k in range(_HERMITE_TERMS)]].to_numpy(float)
+    v = (grid[:, None] - centres[None, :]) / (bw * math.sqrt(2))
+    before, now = np.zeros_like(v), np.where(np.abs(v) * math.sqrt(2) <= _KERNEL_REACH + 1, np.exp(-v * v), 0.0)
+    total = np.zeros(len(grid))
+    for k in range(_HERMITE_TERMS):  # Hermite functions by their recurrence
+        total += now @ (moments[:, k] / math.factorial(k))
+        before, now = now, 2 * v * now - 2 * k * before
+    density = total / (n * bw * math.sqrt(2 * math.pi))
+    return spark.createDataFrame([(float(g), float(d)) for g, d in zip(grid, density)], "x double, density double")
 
 
 def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:

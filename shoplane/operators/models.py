@@ -15,11 +15,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml.feature import OneHotEncoderModel
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoplane.operators.categories import CategoryIndexerModel, named_slots
 from shoplane.operators.features import vector_names
 from shoplane.operators.gram import MAX_SLOTS, grid_errors, slots_of
 from shoplane.operators.joins import union_by_name
@@ -183,17 +185,22 @@ def time_series_grid_search(train: DataFrame, n: int, stages: Callable[[Estimato
 
 
 def coefficients(model: PipelineModel, scored: DataFrame, features_col: str = "features") -> DataFrame:
-    """(feature, coefficient, abs_coefficient) of the linear stage, names
-    from the assembled vector's ML attributes (d rows; built on the driver)."""
-    lin = model.stages[-1]
+    """(feature, coefficient, abs_coefficient) of the linear stage, with names from the assembled vector's ML
+    attributes. Slots of a ``CategoryIndexerModel`` get theirs from its dictionary, by a join: the driver has the model's numbers only."""
+    lin, spark = model.stages[-1], scored.sparkSession
     coef = lin.coefficients.toArray().tolist()
     names = vector_names(scored, features_col)
     if len(names) != len(coef):
         names = [f"f{i}" for i in range(len(coef))]
-    spark = scored.sparkSession
-    rows = [(n, float(c), abs(float(c))) for n, c in zip(names, coef)]
-    rows.append(("intercept", float(lin.intercept), abs(float(lin.intercept))))
-    return spark.createDataFrame(rows, "feature string, coefficient double, abs_coefficient double")
+    rows = spark.createDataFrame([(i, n, float(c)) for i, (n, c) in enumerate(zip(names, coef))] + [(-1, "intercept", float(lin.intercept))],
+                                 "slot long, feature string, coefficient double")
+    for indexer in (s for s in model.stages if isinstance(s, CategoryIndexerModel)):
+        encoder = next(s for s in model.stages if isinstance(s, OneHotEncoderModel) and set(indexer.getOutputCols()) <= set(s.getInputCols()))
+        output = dict(zip(encoder.getInputCols(), encoder.getOutputCols()))
+        first = {i: names.index(f"{output[i]}_0") for i, n in zip(indexer.getOutputCols(), indexer.getOrDefault("sizes")) if n and f"{output[i]}_0" in names}
+        labels = named_slots(indexer, first, output).withColumnRenamed("feature", "label")
+        rows = rows.join(labels, "slot", "left").withColumn("feature", F.coalesce("label", "feature")).drop("label")
+    return rows.select("feature", "coefficient", F.abs("coefficient").alias("abs_coefficient"))
 
 
 def top_coefficients(coef: DataFrame, k: int = 20) -> DataFrame:

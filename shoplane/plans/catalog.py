@@ -490,15 +490,14 @@ def q_a14(spark, d):
 @query("a12_density_curve", f"""
 WITH e AS (SELECT y - p AS r FROM (SELECT {SQL_PRED} FROM lineitem)),
 st AS (SELECT count(*) AS n, stddev_samp(r) AS s, min(r) AS lo, max(r) AS hi FROM e),
-pr AS (SELECT n, s, lo, hi, (hi - lo) / 2048 AS width, s * pow(n, -1.0 / 5.0) AS bw FROM st),
-bins AS (SELECT least(floor((r - lo) / width), 2047) AS b, count(*) AS c FROM e, pr GROUP BY 1),
-cen AS (SELECT lo + (b + 0.5) * width AS m, c FROM bins, pr),
+pr AS (SELECT n, s, lo, hi, s * pow(n, -1.0 / 5.0) AS bw FROM st),
+v AS (SELECT r, count(*) AS c FROM e GROUP BY r),
 g AS (SELECT CASE WHEN i = 199 THEN hi + 3 * bw
                   ELSE (lo - 3 * bw) + i * (((hi + 3 * bw) - (lo - 3 * bw)) / 199) END AS x
       FROM pr, (SELECT range AS i FROM range(200)))
 SELECT round(x, 6) AS x,
-       round(sum(exp(-0.5 * ((x - m) / bw) * ((x - m) / bw)) * c) / (n * bw * sqrt(2 * pi())), 12) AS density
-FROM g, cen, pr GROUP BY x, n, bw
+       round(sum(exp(-0.5 * ((x - r) / bw) * ((x - r) / bw)) * c) / (n * bw * sqrt(2 * pi())), 12) AS density
+FROM g, v, pr GROUP BY x, n, bw
 """)
 def q_a12(spark, d):
     li = t(spark, d, "lineitem").select((F.col("l_quantity") - F.col("l_extendedprice") / 2000.0).alias("r"))
@@ -926,6 +925,33 @@ def q_x6(spark, d):
     return tp.transform(docs).select("doc_id", "processed")
 
 
+# A lexicon out of the texts themselves: words of three and more letters that end in no plural "s" and that several documents hold.
+SQL_LEXICON = """
+w AS (SELECT id, unnest(toks) AS word FROM pre1),
+lex AS (SELECT word AS lemma FROM w WHERE length(word) >= 3 AND word NOT LIKE '%s' GROUP BY word HAVING count(DISTINCT id) >= 3),
+ex AS (SELECT 'thes' AS form, 'thesis' AS lemma UNION ALL SELECT 'ones', 'one' UNION ALL SELECT 'men', 'man')"""
+
+
+@query("x10_lexicon_lemmas", "WITH " + sql_preprocess("documents", "doc_id", "text") + "," + SQL_LEXICON + """,
+r AS (SELECT unnest(['s', 'ses', 'ves', 'xes', 'zes', 'ches', 'shes', 'men', 'ies']) AS suffix, unnest(['', 's', 'f', 'x', 'z', 'ch', 'sh', 'man', 'y']) AS ending),
+t AS (SELECT word, left(word, length(word) - length(suffix)) || ending AS stem, length(suffix) AS n
+      FROM (SELECT DISTINCT word FROM w), r WHERE ends_with(word, suffix) AND length(word) > length(suffix)),
+ruled AS (SELECT word, arg_max(stem, n) AS lemma FROM t JOIN lex ON lex.lemma = t.stem GROUP BY word),
+p AS (SELECT id, i, coalesce(ex.lemma, ruled.lemma, x.word) AS word
+      FROM (SELECT id, unnest(toks) AS word, generate_subscripts(toks, 1) AS i FROM pre1) x
+      LEFT JOIN ex ON ex.form = x.word LEFT JOIN ruled ON ruled.word = x.word)
+SELECT pre1.id AS doc_id, coalesce(string_agg(p.word, ' ' ORDER BY i), '') AS processed FROM pre1 LEFT JOIN p ON p.id = pre1.id GROUP BY pre1.id
+""")
+def q_x10(spark, d):
+    from shoplane.operators.lemmas import preprocess_with_lexicon
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", F.explode(X.remove_stop_words(X.tokenize(X.letters_only(F.coalesce("text", F.lit("")))))).alias("lemma"))
+    lexicon = (words.where((F.length("lemma") >= 3) & ~F.col("lemma").endswith("s")).distinct().groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
+               .where("n >= 3").select("lemma"))
+    forms = spark.createDataFrame([("thes", "thesis"), ("ones", "one"), ("men", "man")], "form string, lemma string")
+    return preprocess_with_lexicon(docs, "text", "processed", "doc_id", lexicon, forms).select("doc_id", "processed")
+
+
 @query("m1_tfidf", "WITH " + sql_preprocess("documents", "doc_id", "text") + r""",
 tk AS (SELECT id AS doc_id, unnest(regexp_extract_all(processed, '\b\w\w+\b')) AS term FROM pre),
 nd AS (SELECT count(*) AS n FROM pre),
@@ -938,15 +964,14 @@ SELECT wt.doc_id, wt.term, round(wt.w / nr.norm, 6) AS weight FROM wt JOIN nr ON
 """)
 def q_m1(spark, d):
     from shoplane.operators.features import TextPreprocessor, TfidfTop
-    from pyspark.ml.functions import vector_to_array
     # fitted and transformed on the same derived text: materialise it once
     docs = TextPreprocessor(inputCol="text", outputCol="processed").transform(
         t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "processed").checkpoint(eager=True)
     model = TfidfTop(inputCol="processed", outputCol="tfidf", maxFeatures=100).fit(docs)
     vocab = F.array(*[F.lit(w) for w in model.getOrDefault("vocabulary")])
-    out = model.transform(docs).select("doc_id", F.posexplode(vector_to_array("tfidf")).alias("i", "w"))
-    return out.filter(F.col("w") != 0).select("doc_id", F.element_at(vocab, F.col("i") + 1).alias("term"),
-                                              r6("w").alias("weight"))
+    v = F.unwrap_udt(F.col("tfidf"))  # sparse: the terms that a document has
+    out = model.transform(docs).select("doc_id", v.alias("v")).select("doc_id", F.inline(F.arrays_zip("v.indices", "v.values")).alias("i", "w"))
+    return out.select("doc_id", F.element_at(vocab, F.col("i") + 1).alias("term"), r6("w").alias("weight"))
 
 
 @query("m2_mean_impute", """
@@ -1012,6 +1037,31 @@ def q_m5(spark, d):
                                                 ",").alias("onehot"))
 
 
+@query("m5_wide_categories", """
+WITH v AS (SELECT column_no, value, row_number() OVER (PARTITION BY column_no ORDER BY value) - 1 AS code
+           FROM (SELECT DISTINCT 0 AS column_no, CAST(o_custkey AS VARCHAR) AS value FROM orders
+                 UNION ALL SELECT DISTINCT 1, o_orderpriority FROM orders WHERE o_orderpriority <> '5-LOW')),
+n AS (SELECT column_no, count(*) AS n FROM v GROUP BY column_no)
+SELECT o_orderkey, CAST(c.code AS BIGINT) AS customer_slot, CAST(coalesce(p.code, (SELECT n FROM n WHERE column_no = 1)) AS BIGINT) AS priority_code,
+       CAST((SELECT n FROM n WHERE column_no = 0) AS BIGINT) AS width
+FROM orders JOIN v c ON c.column_no = 0 AND c.value = CAST(o_custkey AS VARCHAR)
+LEFT JOIN v p ON p.column_no = 1 AND p.value = o_orderpriority
+""")
+def q_m5_wide(spark, d):
+    """Customers as categories, through a saved and reloaded dictionary; one priority is unseen (null) in the fit."""
+    from pyspark.ml.feature import OneHotEncoder
+    from shoplane.operators.categories import CategoryIndexer, CategoryIndexerModel
+    o = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"), "o_orderpriority")
+    seen = o.withColumn("o_orderpriority", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")))
+    path = scratch_path(spark, "indexer")
+    CategoryIndexer(inputCols=["customer", "o_orderpriority"], outputCols=["c", "p"], rowsPerBucket=ROWS_PER_BUCKET).fit(seen).save(path)
+    x = CategoryIndexerModel.load(path).transform(o)
+    v = F.unwrap_udt(F.col("v"))
+    hot = OneHotEncoder(inputCols=["c"], outputCols=["v"], dropLast=True, handleInvalid="error").fit(x).transform(x)
+    return hot.select("o_orderkey", F.element_at(v["indices"], 1).cast("long").alias("customer_slot"), F.col("p").cast("long").alias("priority_code"),
+                      v["size"].cast("long").alias("width"))
+
+
 @query("m8_linear_regression", """
 SELECT round(regr_slope(l_quantity, l_extendedprice), 10) AS slope,
        round(regr_intercept(l_quantity, l_extendedprice), 6) AS intercept

@@ -5,7 +5,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from shoplane.functions.dates import repair_duration
 from shoplane.operators import filters as FL
 from shoplane.operators import schema as S
 from shoplane.operators.brands import clean_brand_model
+from shoplane.operators.categories import CategoryIndexer
 from shoplane.operators.features import (FeatureCounter, FeatureEngineer, ModeImputer,
                                          PopStandardScaler, TextPreprocessor, TfidfTop)
 from shoplane.operators.joins import merge_on
@@ -105,7 +106,7 @@ def duration_stages(regressor, max_features: int = 100, numeric=NUMERIC,
         VectorAssembler(inputCols=imp + ["tfidf"], outputCol="num_features", handleInvalid="keep"),
         PopStandardScaler(inputCol="num_features", outputCol="num_scaled"),
         ModeImputer(inputCols=list(categorical), outputCols=filled),
-        StringIndexer(inputCols=filled, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        CategoryIndexer(inputCols=filled, outputCols=idx),
         OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="error"),
         VectorAssembler(inputCols=["num_scaled"] + ohe, outputCol="features"),
         FeatureCounter(inputCol="features"),
