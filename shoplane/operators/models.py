@@ -45,6 +45,10 @@ def _lr(**kw):
     return LinearRegression(featuresCol="features", labelCol="label", predictionCol="prediction", **kw)
 
 
+#: Where the normal equations are singular (one-hot slots of a single value), Spark falls back to iterations: until they settle.
+_TIGHT = {"tol": 1e-12, "maxIter": 1000}
+
+
 def _depth(d):
     return 30 if d is None else d  # Spark's maximum depth stands in for "unlimited"
 
@@ -63,12 +67,12 @@ def _grid(**axes) -> list[dict]:
 # elasticNetParam = alpha*rho / reg.
 REGISTRY: dict[str, ModelSpec] = {
     "Linear Regression": ModelSpec(
-        "Linear Regression", lambda p, s: _lr(regParam=0.0, elasticNetParam=0.0),
+        "Linear Regression", lambda p, s: _lr(regParam=0.0, elasticNetParam=0.0, **_TIGHT),
         penalty=lambda p, n: (0.0, 0.0)),
     "Ridge Regression": ModelSpec(
         "Ridge Regression",
         lambda p, s: _lr(regParam=p["alpha"] * s["std_y_pop"] / s["n"], elasticNetParam=0.0,
-                         standardization=False),
+                         standardization=False, **_TIGHT),
         _grid(alpha=[0.1, 1.0, 10.0, 100.0]), lambda p, n: (0.0, p["alpha"] / n)),
     "Lasso Regression": ModelSpec(
         "Lasso Regression",
@@ -91,7 +95,7 @@ REGISTRY: dict[str, ModelSpec] = {
         "Random Forest",
         lambda p, s: RandomForestRegressor(featuresCol="features", labelCol="label", seed=42,
                                            numTrees=p["n_estimators"], maxDepth=_depth(p["max_depth"]),
-                                           featureSubsetStrategy="all",
+                                           featureSubsetStrategy="all", bootstrap=p.get("bootstrap", True),
                                            minInstancesPerNode=max(1, p["min_samples_split"] // 2)),
         _grid(n_estimators=[100, 200], max_depth=[None, 10, 20], min_samples_split=[2, 5])),
     "Gradient Boosting": ModelSpec(

@@ -1117,6 +1117,193 @@ def q_m17(spark, d):
     return coefs
 
 
+# The whole train -> save -> load -> score chain with a closed form: only the brand differs between the rows (one text, one
+# intake day, one type), so a ridge fit has one slot a brand and its solution is a weighted mean of the brands' means.
+CHAIN_ORDER = ["WO#", "Item", "Part", "Supplier"]
+SQL_CHAIN = """
+d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag || l_linestatus AS g,
+             greatest(floor((epoch_us(l_shipdate) - epoch_us(TIMESTAMP '1995-01-01')) / 86400000000.0), 0)
+             * CASE l_returnflag WHEN 'R' THEN 1.0 ELSE 0.5 END AS y0 FROM lineitem WHERE l_shipdate IS NOT NULL),
+d1 AS (SELECT *, floor(y0) AS y FROM d),
+z AS (SELECT avg(y) AS mu, stddev_pop(y) AS sd FROM d1),
+r AS (SELECT g, y, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS i, count(*) OVER () AS n, l_orderkey, l_linenumber,
+             l_partkey, l_suppkey FROM d1, z WHERE abs((y - mu) / sd) < 3),
+c AS (SELECT CAST(floor(CAST(0.9 AS DOUBLE) * max(n)) AS BIGINT) AS cut FROM r),
+a AS (SELECT unnest([10.0, 1000.0]) AS alpha),
+f AS (SELECT k, cut - (5 - k) * (cut // 6) AS s, cut // 6 AS ts FROM c, range(0, 5) AS x(k) UNION ALL SELECT 5, cut, (SELECT max(n) FROM r) - cut FROM c),
+m AS (SELECT k, g, count(*) AS n, avg(y) AS m FROM r JOIN f ON r.i < f.s GROUP BY k, g),
+b AS (SELECT k, alpha, sum(n * alpha / (n + alpha) * m) / sum(n * alpha / (n + alpha)) AS b FROM m, a GROUP BY k, alpha),
+w AS (SELECT b.k, b.alpha, m.g, b.b, m.n * (m.m - b.b) / (m.n + b.alpha) AS w FROM m JOIN b ON m.k = b.k),
+p AS (SELECT f.k, w.alpha, r.*, w.b + w.w AS p FROM r JOIN f ON r.i >= f.s AND r.i < f.s + f.ts JOIN w ON w.k = f.k AND w.g = r.g)"""
+
+
+def chain_frame(spark, d) -> DataFrame:
+    li = t(spark, d, "lineitem").where(F.col("l_shipdate").isNotNull())
+    start = F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")
+    share = F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.5)
+    days = F.floor(F.greatest(D.repair_duration(start, F.col("l_shipdate").cast("timestamp_ntz")), F.lit(0)) * share)
+    return li.select(F.col("l_orderkey").alias("WO#"), F.col("l_linenumber").alias("Item"), F.col("l_partkey").alias("Part"), F.col("l_suppkey").alias("Supplier"),
+                     start.alias("Date In"), (start + F.make_dt_interval(days.cast("int"))).alias("Date"),
+                     F.concat("l_returnflag", "l_linestatus").alias("Brand and model"), F.lit("E-Scooter").alias("Type"), F.lit("Shop 1").alias("Shop"),
+                     F.lit("Brake pads replaced").alias("Description"), F.lit(None).cast("string").alias("Cleaned Work Order Internal Note"))
+
+
+def _chain_models(spark, d, *alphas):
+    from dataclasses import replace
+    from shoplane.operators.models import REGISTRY
+    from shoplane.plans.workflow import train_duration_models
+    registry = {f"Ridge {int(a)}": replace(REGISTRY["Ridge Regression"], grid=[{"alpha": a}]) for a in alphas}
+    return train_duration_models(chain_frame(spark, d), CHAIN_ORDER, models=list(registry), registry=registry, max_features=5)
+
+
+@query("m19_ranked_models", f"""
+WITH {SQL_CHAIN},
+e AS (SELECT alpha, k, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse, median(abs(y - p)) AS med, count(*) AS n FROM p GROUP BY alpha, k),
+t AS (SELECT alpha, avg(mae) FILTER (WHERE k < 5) AS cv, max(n) FILTER (WHERE k = 5) AS n, max(mae) FILTER (WHERE k = 5) AS mae,
+             max(rmse) FILTER (WHERE k = 5) AS rmse, max(med) FILTER (WHERE k = 5) AS med FROM e GROUP BY alpha)
+SELECT 'Ridge ' || CAST(CAST(alpha AS BIGINT) AS VARCHAR) AS model, round(cv, 3) AS cv_mae, CAST(n AS BIGINT) AS n, round(mae, 3) AS mae, round(rmse, 3) AS rmse,
+       round(med, 3) AS median_ae, CAST(row_number() OVER (ORDER BY mae) AS BIGINT) AS place FROM t
+""")
+def q_m19_ranked(spark, d):
+    """Two models, hold-out metrics and cross-validated error, ranked."""
+    table, _ = _chain_models(spark, d, 10.0, 1000.0)
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))  # two rows, in the order that rank_models gives them
+    return table.coalesce(1).select("model", *[F.round(c, 3).alias(c) for c in ("cv_mae", "mae", "rmse", "median_ae")], "n", place.cast("long").alias("place"))
+
+
+@query("m17_saved_model_scores", f"""
+WITH {SQL_CHAIN}
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, round(b.b + w.w, 3) AS prediction
+FROM lineitem JOIN w ON w.g = l_returnflag || l_linestatus AND w.k = 5 AND w.alpha = 10.0 JOIN b ON b.k = 5 AND b.alpha = 10.0 WHERE l_shipdate IS NOT NULL
+""")
+def q_m17_scores(spark, d):
+    """Every raw row scored by the saved and reloaded pipeline."""
+    from shoplane.operators import schema as SC
+    from shoplane.plans.workflow import _score
+    from shoplane.sources import load_model, save_model
+    _, models = _chain_models(spark, d, 10.0)
+    model = load_model(save_model(models["Ridge 10"], scratch_path(spark, "model")))
+    scored = _score(model, chain_frame(spark, d))
+    return scored.select(SC.col("WO#").alias("l_orderkey"), F.col("Item").cast("long").alias("l_linenumber"), F.col("Part").alias("l_partkey"),
+                         F.col("Supplier").alias("l_suppkey"), F.round("prediction", 3).alias("prediction"))
+
+
+@query("m18_saved_model_coefficients", f"""
+WITH {SQL_CHAIN}
+SELECT 'Brand and model__ohe_' || g AS feature, round(w, 2) AS coefficient, round(abs(w), 2) AS abs_coefficient FROM w WHERE k = 5 AND alpha = 10.0
+""")
+def q_m18_coefficients(spark, d):
+    """The brands' coefficients of the reloaded model, named by its dictionary."""
+    from shoplane.operators.models import coefficients, top_coefficients
+    from shoplane.plans.workflow import prepare_training
+    from shoplane.sources import load_model, save_model
+    _, models = _chain_models(spark, d, 10.0)
+    model = load_model(save_model(models["Ridge 10"], scratch_path(spark, "model")))
+    top = top_coefficients(coefficients(model, model.transform(prepare_training(chain_frame(spark, d)))), 1000)
+    return top.where(F.col("feature").startswith("Brand and model")).select("feature", *[F.round(c, 2).alias(c) for c in ("coefficient", "abs_coefficient")])
+
+
+# A tree of one split on the line number, and two boosting rounds of such trees, by trying every split.
+def _sql_split(src: str, y: str, name: str) -> str:
+    return f"""{name}_s AS (SELECT t, avg({y}) FILTER (WHERE x <= t) AS l, avg({y}) FILTER (WHERE x > t) AS r,
+    count(*) FILTER (WHERE x <= t) * 1.0 * count(*) FILTER (WHERE x > t) * power(avg({y}) FILTER (WHERE x <= t) - avg({y}) FILTER (WHERE x > t), 2) AS gain
+  FROM {src}, range(1, 7) AS s(t) GROUP BY t),
+{name} AS (SELECT arg_max(t, gain) AS t, arg_max(l, gain) AS l, arg_max(r, gain) AS r FROM {name}_s)"""
+
+
+SQL_TREE_XY = "xy AS (SELECT l_linenumber AS x, l_extendedprice / 1000.0 + 3.0 * (l_linenumber % 5) * (l_linenumber % 5) AS y FROM lineitem)"
+
+
+def _tree_rows(spark, d, model, params) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    from shoplane.operators.models import REGISTRY
+    x = F.col("l_linenumber").cast("double")
+    xy = t(spark, d, "lineitem").select(x.alias("x"), (F.col("l_extendedprice") / 1000 + 3.0 * (x % 5) * (x % 5)).alias("label"))
+    xy = VectorAssembler(inputCols=["x"], outputCol="features").transform(xy)
+    scored = REGISTRY[model].build(params, {"n": 1, "std_y_pop": 1.0, "std_y_samp": 1.0}).fit(xy).transform(xy)
+    return scored.groupBy(F.col("x").cast("long").alias("l_linenumber")).agg(F.count(F.lit(1)).alias("rows"), F.round(F.max("prediction"), 5).alias("prediction"))
+
+
+for _name, _model, _params in (("m12_tree_of_one_split", "Decision Tree", {"max_depth": 1, "min_samples_split": 2}),
+                               ("m13_forest_of_one_tree", "Random Forest", {"n_estimators": 1, "max_depth": 1, "min_samples_split": 2, "bootstrap": False})):
+    query(_name, f"""
+WITH {SQL_TREE_XY}, {_sql_split("xy", "y", "one")}
+SELECT CAST(x AS BIGINT) AS l_linenumber, CAST(count(*) AS BIGINT) AS rows, round(max(CASE WHEN x <= t THEN l ELSE r END), 5) AS prediction FROM xy, one GROUP BY x
+""")(lambda spark, d, m=_model, p=_params: _tree_rows(spark, d, m, p))
+
+
+@query("m14_two_boosted_trees", f"""
+WITH {SQL_TREE_XY}, {_sql_split("xy", "y", "one")},
+res AS (SELECT x, y, CASE WHEN x <= t THEN l ELSE r END AS p1, 2 * (y - CASE WHEN x <= t THEN l ELSE r END) AS e FROM xy, one),
+{_sql_split("res", "e", "two")}
+SELECT CAST(x AS BIGINT) AS l_linenumber, CAST(count(*) AS BIGINT) AS rows, round(max(p1 + 0.1 * CASE WHEN x <= t THEN l ELSE r END), 5) AS prediction
+FROM res, two GROUP BY x
+""")
+def q_m14(spark, d):
+    return _tree_rows(spark, d, "Gradient Boosting", {"n_estimators": 2, "learning_rate": 0.1, "max_depth": 1})
+
+
+# Filters on inputs where rows go.
+@query("f1_notes_without_a_date", "WITH " + SQL_NOTES + r"""
+, n AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN note WHEN 1 THEN regexp_replace(note, '\d{1,2}/\d{1,2}/', '', 'g') WHEN 2 THEN '' END AS note FROM notes)
+SELECT doc_id FROM n WHERE note IS NOT NULL AND note <> '' AND regexp_matches(note, '\d{1,2}/\d{1,2}/\d{4}')
+""")
+def q_f1_bites(spark, d):
+    k = F.col("doc_id") % 4
+    n = notes_frame(spark, d)
+    note = F.when(k == 0, F.col("note")).when(k == 1, F.regexp_replace("note", r"\d{1,2}/\d{1,2}/", "")).when(k == 2, F.lit(""))
+    return FL.usable_notes(n.withColumn("note", note), "note").select("doc_id")
+
+
+SQL_SPIKES = "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * CASE WHEN l_partkey % 101 = 7 THEN 9 ELSE 1 END AS v FROM lineitem"
+
+
+def _spikes(spark, d) -> DataFrame:
+    return t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey",
+                                          (F.col("l_extendedprice") * F.when(F.col("l_partkey") % 101 == 7, 9).otherwise(1)).alias("v"))
+
+
+@query("f3_spikes_removed", f"""
+WITH v AS ({SQL_SPIKES}), s AS (SELECT avg(v) AS mu, stddev_pop(v) AS sd FROM v)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey FROM v, s WHERE abs((v - mu) / sd) < 3
+""")
+def q_f3_bites(spark, d):
+    return FL.remove_outliers(_spikes(spark, d), "v", 3.0).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("f4_spikes_counted", f"""
+WITH v AS ({SQL_SPIKES}), s AS (SELECT avg(v) AS mu, stddev_pop(v) AS sd FROM v)
+SELECT CAST(count(*) AS BIGINT) AS rows_in, CAST(count(*) FILTER (WHERE abs((v - mu) / sd) < 3) AS BIGINT) AS rows_kept,
+       CAST(count(*) FILTER (WHERE NOT abs((v - mu) / sd) < 3) AS BIGINT) AS rows_removed FROM v, s
+""")
+def q_f4_bites(spark, d):
+    return FL.removed_counts(_spikes(spark, d), "v", 3.0)
+
+
+@query("u1_union_by_name", """
+SELECT c_custkey AS key, c_name AS name, c_nationkey AS nation, c_mktsegment AS segment FROM customer
+UNION ALL SELECT s_suppkey, s_name, s_nationkey, NULL FROM supplier
+""")
+def q_u1(spark, d):
+    from shoplane.operators.joins import union_by_name
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"),
+                                       F.col("c_mktsegment").alias("segment"))
+    s = t(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("key"))
+    return union_by_name([c, s])
+
+
+@query("x19_blank_texts", """
+SELECT doc_id, CASE WHEN coalesce(t, '') = '' THEN '' ELSE 'kept' END AS brand, CASE WHEN coalesce(t, '') = '' THEN '' ELSE t END AS model
+FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN chr(10) ELSE left(text, 20) END AS t FROM documents)
+""")
+def q_x19(spark, d):
+    k, kind = F.col("doc_id") % 5, T.StructType([T.StructField("brand", T.StringType()), T.StructField("model", T.StringType())])
+    text = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.lit("")).when(k == 2, F.lit("\n")).otherwise(F.substring("text", 1, 20))
+    docs = t(spark, d, "documents").select("doc_id", text.alias("t"))
+    made = F.struct(F.lit("kept").alias("brand"), F.col("t").alias("model"))
+    return docs.select("doc_id", C.blank_to_empty_struct(F.col("t"), made, kind).alias("s")).select("doc_id", "s.brand", "s.model")
+
+
 # ------------------------------------------------------ more coverage
 
 @query("s6_metrics_csv", f"""
