@@ -14,17 +14,27 @@ from shoplane.llm.common import fresh, materialize, table
 from shoplane.session import ensure_checkpoint_dir, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
+#: Rows of an Arrow batch: whole texts go through Python, so fewer than Spark's 10,000 are held at once.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(conf)) <= BATCH_ROWS:
+        spark.conf.set(conf, str(BATCH_ROWS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a determinable language; the others go."""
+    """Documents whose text has a determinable language; the others (no letter, or no learned profile knows them) go."""
     from shoplane.llm.language_id import reject_undetermined
+    _small_batches(spark)
     return reject_undetermined(docs, per_language=800, dim=1024, ngram=3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
     from shoplane.llm.simhash import drop_near_duplicates
+    _small_batches(spark)
     return drop_near_duplicates(docs, ngram=3, seed=42, max_bits=3)
 
 
@@ -44,8 +54,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids written in the operator's file format; the index read back from them."""
     from shoplane.llm.token_file import read_documents, write_token_files
+    _small_batches(spark)
     path = scratch_path(spark, "token-files")
-    write_token_files(docs, path, TOKENIZER, end_id=1, max_bytes=96 << 20)
+    write_token_files(docs, path, TOKENIZER, end_id=1, max_bytes=48 << 20)
     return read_documents(spark, path)
 
 
