@@ -38,7 +38,8 @@ def to_ts(c: ColumnOrName, strict: bool = True, formats: list[str] | None = None
 
     ``strict=True`` raises on unparsable text (ANSI cast); ``strict=False``
     returns null for it, trying ISO forms (any fraction, zone ignored) and then
-    ``formats`` in order, with day and month exchanged first if ``day_first``. Columns that are already
+    ``formats`` in order, with day and month exchanged first if ``day_first``; a text that fits no format
+    in the given order is tried in the other one (16/12 has no 16th month). Columns that are already
     dates or timestamps are cast directly.
     """
     col = _col(c)
@@ -47,8 +48,11 @@ def to_ts(c: ColumnOrName, strict: bool = True, formats: list[str] | None = None
     if strict:
         return col.cast("timestamp_ntz")
     fmts = formats or DEFAULT_TIMESTAMP_FORMATS
+    exchanged = [f.replace("M/d/", "d/M/") for f in fmts if "M/d/" in f]
     if day_first:
         fmts = [f.replace("M/d/", "d/M/") for f in fmts] + [f for f in fmts if "M/d/" in f]
+    elif not formats:
+        fmts = [*fmts, *(f for f in exchanged if f not in fmts)]
     tries = [F.try_to_timestamp(col, F.lit(f)).cast("timestamp_ntz") for f in fmts]
     iso = [] if formats else [F.when(col.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}"), col.try_cast("timestamp_ntz"))]
     return F.coalesce(*iso, *tries)

@@ -33,9 +33,15 @@ def drop_nulls(df: DataFrame, subset: Iterable[str]) -> DataFrame:
 
 
 def zscore(df: DataFrame, value: str, by: list[str] | None = None,
-           z_col: str = "_z") -> DataFrame:
-    """Attach ``(x - mean) / std_pop`` (null when the std is 0)."""
+           z_col: str = "_z", weight: str | None = None) -> DataFrame:
+    """Attach ``(x - mean) / std_pop`` (null when the std is 0). With ``weight`` (not with ``by``) a row stands for that many rows:
+    where rows were counted by value first, the statistics read the counts instead of the rows."""
     x = col(value)
+    if weight is not None:
+        w = F.when(x.isNotNull(), col(weight))
+        mean = df.agg((F.sum(x * w) / F.sum(w)).alias("m")).scalar()
+        std = df.agg(F.sqrt(F.sum(w * (x - mean) * (x - mean)) / F.sum(w)).alias("s")).scalar()
+        return df.withColumn(z_col, F.try_divide(x - mean, std))
     if not by:
         stats = df.agg(F.avg(x).alias("m"), F.stddev_pop(x).alias("s"))
         mean, std = stats.select("m").scalar(), stats.select("s").scalar()
@@ -51,14 +57,14 @@ def zscore(df: DataFrame, value: str, by: list[str] | None = None,
 
 def remove_outliers(df: DataFrame, value: str, threshold: float = 3.0,
                     by: list[str] | None = None,
-                    observation: Observation | None = None) -> DataFrame:
+                    observation: Observation | None = None, weight: str | None = None) -> DataFrame:
     """keep rows with ``|z| < threshold`` (strict). A zero standard
-    deviation drops every row of its group, as does a null value.
+    deviation drops every row of its group, as does a null value. ``weight`` as in ``zscore``.
 
     F4: pass an ``Observation`` to get ``rows_in``/``rows_out`` after the next
     action, with no extra job.
     """
-    z = zscore(df, value, by, "_z")
+    z = zscore(df, value, by, "_z", weight)
     keep = F.coalesce(F.abs(F.col("_z")) < threshold, F.lit(False))
     if observation is not None:
         z = z.observe(observation, F.count(F.lit(1)).alias("rows_in"),

@@ -61,16 +61,16 @@ def fill_unknown(df: DataFrame, cols: Iterable[str], value: str = "Unknown") ->
 
 def coerce_types(df: DataFrame, dates: Iterable[str] = ("Date In", "Due On", "Date"),
                  quantities: Iterable[str] = ("Qty",), dollars: Iterable[str] = (),
-                 date_formats: list[str] | None = None) -> DataFrame:
+                 date_formats: list[str] | None = None, day_first: bool = False) -> DataFrame:
     """P10: one projection applying, by precedence, lenient timestamp parsing
-    (P6), quantity coercion (P7), dollar coercion (P8) and stringification of
+    (P6, ``date_formats`` and ``day_first`` as there), quantity coercion (P7), dollar coercion (P8) and stringification of
     the remaining non-numeric, non-temporal columns (P9, NULL kept)."""
     dates, quantities, dollars = set(dates), set(quantities), set(dollars)
     out = []
     for f in df.schema.fields:
         c = col(f.name)
         if f.name in dates:
-            e = C.to_ts(c, strict=False, formats=date_formats, dtype=f.dataType)
+            e = C.to_ts(c, strict=False, formats=date_formats, dtype=f.dataType, day_first=day_first)
         elif f.name in quantities:
             e = C.to_quantity(c)
         elif f.name in dollars:
@@ -107,3 +107,10 @@ def cast_float32(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """P14."""
     cols = set(cols)
     return df.select(*[(C.to_float32(col(c)) if c in cols else col(c)).alias(c) for c in df.columns])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its scan has fewer partitions than there are cores (a table of few row groups), for heavy work on
+    single rows. A table of more partitions is left as it is: nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

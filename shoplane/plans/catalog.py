@@ -920,7 +920,7 @@ SELECT id AS doc_id, processed FROM pre
 """)
 def q_x6(spark, d):
     from shoplane.operators.features import TextPreprocessor
-    docs = t(spark, d, "documents").select("doc_id", "text")
+    docs = S.spread(t(spark, d, "documents").select("doc_id", "text"))
     tp = TextPreprocessor(inputCol="text", outputCol="processed")
     return tp.transform(docs).select("doc_id", "processed")
 
@@ -944,7 +944,7 @@ SELECT pre1.id AS doc_id, coalesce(string_agg(p.word, ' ' ORDER BY i), '') AS pr
 """)
 def q_x10(spark, d):
     from shoplane.operators.lemmas import preprocess_with_lexicon
-    docs = t(spark, d, "documents").select("doc_id", "text")
+    docs = S.spread(t(spark, d, "documents").select("doc_id", "text"))
     words = docs.select("doc_id", F.explode(X.remove_stop_words(X.tokenize(X.letters_only(F.coalesce("text", F.lit("")))))).alias("lemma"))
     lexicon = (words.where((F.length("lemma") >= 3) & ~F.col("lemma").endswith("s")).distinct().groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
                .where("n >= 3").select("lemma"))
@@ -966,7 +966,7 @@ def q_m1(spark, d):
     from shoplane.operators.features import TextPreprocessor, TfidfTop
     # fitted and transformed on the same derived text: materialise it once
     docs = TextPreprocessor(inputCol="text", outputCol="processed").transform(
-        t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "processed").checkpoint(eager=True)
+        S.spread(t(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "processed").checkpoint(eager=True)
     model = TfidfTop(inputCol="processed", outputCol="tfidf", maxFeatures=100).fit(docs)
     vocab = F.array(*[F.lit(w) for w in model.getOrDefault("vocabulary")])
     v = F.unwrap_udt(F.col("tfidf"))  # sparse: the terms that a document has

@@ -15,7 +15,7 @@ from shoplane.operators import filters as FL
 from shoplane.operators import schema as S
 from shoplane.operators.brands import clean_brand_model
 from shoplane.operators.categories import CategoryIndexer
-from shoplane.operators.features import (FeatureCounter, FeatureEngineer, ModeImputer,
+from shoplane.operators.features import (FeatureCounter, FeatureEngineer, ModeImputer, ModeImputerModel,
                                          PopStandardScaler, TextPreprocessor, TfidfTop)
 from shoplane.operators.joins import merge_on
 from shoplane.operators.metrics import density_curve, regression_metrics, residual_histogram, scatter_bins
@@ -31,16 +31,19 @@ CATEGORICAL = ["Brand and model", "Type", "Shop"]
 # --------------------------------------------------------------- 3.1 merge
 
 def merge_sheets(lines: DataFrame, orders: DataFrame, left_on: str = "WO#", right_on: str = "ID",
-                 dates=("Date In", "Due On", "Date"), quantities=("Qty",), dollars=()) -> DataFrame:
-    """Lines joined to their work orders (J1), then typed (P10)."""
-    merged = merge_on(lines, orders, left_on, right_on)
+                 dates=("Date In", "Due On", "Date"), quantities=("Qty",), dollars=(), null_safe: bool = False,
+                 date_formats: list[str] | None = None, day_first: bool = False) -> DataFrame:
+    """Lines joined to their work orders (J1), then typed (P10). By default a line without a number meets no order;
+    ``null_safe`` matches it to every order without one, as a dataframe merge does."""
+    merged = merge_on(lines, orders, left_on, right_on, null_safe=null_safe)
     return S.coerce_types(merged, dates=[c for c in dates if c in merged.columns],
-                          quantities=quantities, dollars=dollars)
+                          quantities=quantities, dollars=dollars, date_formats=date_formats, day_first=day_first)
 
 
-def merge_sheet_files(spark: SparkSession, lines_path: str, orders_path: str, out_path: str) -> None:
+def merge_sheet_files(spark: SparkSession, lines_path: str, orders_path: str, out_path: str, **options) -> None:
+    """Two exported sheets -> merged table (``options`` as in ``merge_sheets``)."""
     from shoplane.sources import read_sheet, write_table
-    merged = merge_sheets(read_sheet(spark, lines_path), read_sheet(spark, orders_path))
+    merged = merge_sheets(read_sheet(spark, lines_path), read_sheet(spark, orders_path), **options)
     write_table(merged, out_path)
 
 
@@ -143,12 +146,13 @@ def train_duration_models(df: DataFrame, order: list[str], models=("Linear Regre
 
 # ------------------------------------------------------------ 3.4 evaluate
 
+# FIXED VALUES -- money columns.
 MONEY = ["Labor", "Parts", "Subtotal", "Total_y"]
 
 
 def prepare_evaluation(df: DataFrame, money=MONEY, total: str = "Total_y", outlier_threshold: float = 3.0,
                        date_in: str = "Date In", date_out: str = "Date",
-                       duration: str = "Repair Duration") -> DataFrame:
+                       duration: str = "Repair Duration", date_formats: list[str] | None = None, day_first: bool = False) -> DataFrame:
     """Rows to score: dates parsed (P6), money text to numbers (X5), duration
     (X15/X16), rows without duration or ``total`` dropped (F2), outliers of the
     duration and then, among the survivors, of ``total`` removed (F3 twice).
@@ -156,7 +160,7 @@ def prepare_evaluation(df: DataFrame, money=MONEY, total: str = "Total_y", outli
     df = S.trim_column_names(df)
     S.require_columns(df, [date_in, date_out, total])
     for c in (date_in, date_out):
-        df = df.withColumn(c, C.to_ts(S.col(c), strict=False, dtype=df.schema[c].dataType))
+        df = df.withColumn(c, C.to_ts(S.col(c), strict=False, formats=date_formats, dtype=df.schema[c].dataType, day_first=day_first))
     for c in money:
         if c in df.columns:
             df = df.withColumn(c, C.money_to_double(S.col(c)))
@@ -192,14 +196,14 @@ def evaluation_tables(scored: DataFrame, label: str = "label", bins: int = 50) -
 
 
 def evaluate_files(spark: SparkSession, model_path: str, in_path: str, out_path: str, top_k: int = 20,
-                   bins: int = 50, label: str = "Repair Duration", categorical=CATEGORICAL) -> None:
+                   bins: int = 50, label: str = "Repair Duration", **options) -> None:
     """Sheet of finished work orders -> prepared rows scored by a saved model;
-    the scores (Parquet) and each evaluation table (CSV) under ``out_path``."""
+    the scores (Parquet) and each evaluation table (CSV) under ``out_path`` (``options`` as in ``prepare_evaluation``)."""
     from shoplane.sources import load_model, read_sheet, read_table, write_csv, write_table
-    rows = prepare_evaluation(read_sheet(spark, in_path))
+    rows = prepare_evaluation(read_sheet(spark, in_path), **options)
     rows = S.build_text(rows, "Repair_Description", "Description", "Cleaned Work Order Internal Note")
-    rows = S.fill_unknown(rows, [c for c in categorical if c in rows.columns])
     model = load_model(model_path)
+    rows = S.fill_unknown(rows, [c for c in _categories(model) if c in rows.columns])
     scored = model.transform(rows)
     write_table(scored.select(S.col(label).cast("double").alias("actual"), "prediction"), f"{out_path}/scores")
     scores = read_table(spark, f"{out_path}/scores")  # scored once, read by every table
@@ -216,9 +220,13 @@ def score_files(spark: SparkSession, model_path: str, in_path: str, out_path: st
     write_table(_score(load_model(model_path), rows).select(*[S.col(c) for c in rows.columns], "prediction"), out_path)
 
 
+def _categories(model: PipelineModel) -> list[str]:
+    """The category columns that the model was trained on."""
+    return [c for s in model.stages if isinstance(s, ModeImputerModel) for c in s.getInputCols()]
+
+
 def _score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    S.require_columns(df, ["Date In", "Description", "Cleaned Work Order Internal Note",
-                           "Brand and model", "Type", "Shop"])
+    S.require_columns(df, ["Date In", "Description", "Cleaned Work Order Internal Note", *_categories(model)])
     df = S.build_text(df, "Repair_Description", "Description", "Cleaned Work Order Internal Note")
     df = df.withColumn("Date In", C.to_ts(S.col("Date In"), strict=True, dtype=df.schema["Date In"].dataType))
     return model.transform(df)

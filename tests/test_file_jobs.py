@@ -1,5 +1,6 @@
 """File-to-file jobs (clean, evaluate, score) on small sheets."""
 
+import pytest
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -54,3 +55,33 @@ def test_noun_lemmas(spark):
              "valves": "valve", "sleeves": "sleeve", "brakes": "brake", "chassis": "chassis", "bus": "bus", "glass": "glass"}
     df = spark.createDataFrame([(list(words),)], "w array<string>")
     assert df.select(lemmatize_nouns("w")).first()[0] == list(words.values())
+
+
+def test_a_model_of_other_categories_scores_without_the_default_ones(spark):
+    import datetime as dt
+    from dataclasses import replace
+    from shoplane.operators.models import REGISTRY
+    from shoplane.plans.workflow import score_records, train_duration_models
+    day = dt.datetime(2021, 3, 1)
+    rows = [(i, day + dt.timedelta(days=i % 50), day + dt.timedelta(days=i % 50 + (3 if i % 2 else 9) + i % 3), ["Zap", "Volt"][i % 2], "Brake fixed", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, `Date In` timestamp_ntz, Date timestamp_ntz, `Cleaned Brand` string, Description string, `Cleaned Work Order Internal Note` string")
+    registry = {"Ridge": replace(REGISTRY["Ridge Regression"], grid=[{"alpha": 0.1}])}
+    table, models = train_duration_models(df, ["Date In", "id"], models=["Ridge"], registry=registry, n_splits=2, max_features=3, categorical=["Cleaned Brand"])
+    assert table.count() == 1
+    record = {"Date In": "2021-04-02 10:00:00", "Cleaned Brand": "Volt", "Description": "Brake fixed"}
+    schema = "`Date In` string, `Cleaned Brand` string, Description string, `Cleaned Work Order Internal Note` string"
+    volt, zap = (score_records(spark, models["Ridge"], {**record, "Cleaned Brand": b}, schema).first().prediction for b in ("Volt", "Zap"))
+    assert 3 <= volt < 6 < 8 < zap <= 12
+    with pytest.raises(Exception, match="Cleaned Brand"):
+        score_records(spark, models["Ridge"], {"Date In": "2021-04-02"}, "`Date In` string, Description string, `Cleaned Work Order Internal Note` string")
+
+
+def test_merge_options(spark):
+    from shoplane.plans.workflow import merge_sheets
+    lines = spark.createDataFrame([("1", "16/12/2021 18:23:10"), (None, "3/4/2021 00:00:00")], "`WO#` string, Date string")
+    orders = spark.createDataFrame([("1", "a"), (None, "b")], "ID string, x string")
+    got = merge_sheets(lines, orders).collect()
+    assert [(r.x, str(r.Date)) for r in got] == [("a", "2021-12-16 18:23:10")]  # no 16th month: the other order
+    both = {(r.x, str(r.Date)) for r in merge_sheets(lines, orders, null_safe=True, day_first=True).collect()}
+    assert both == {("a", "2021-12-16 18:23:10"), ("b", "2021-04-03 00:00:00")}
+    assert {str(r.Date) for r in merge_sheets(lines, orders, null_safe=True).collect()} == {"2021-12-16 18:23:10", "2021-03-04 00:00:00"}
