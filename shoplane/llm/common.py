@@ -7,6 +7,7 @@ import types
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoplane.session import scratch_path
 
@@ -58,3 +59,25 @@ def tokenizer_file(name: str) -> str:
         return name
     import public_tokenizers
     return public_tokenizers.path(name)
+
+
+def bounded_sample(rows: DataFrame, id_col: str, text_col: str, most: int, most_bytes: int) -> DataFrame:
+    """At most ``most`` distinct rows (id, text, other columns) of ``rows``, lowest hash of the id first, ties by the text's hash, and not more
+    than ``most_bytes`` of text (one row at least). Equal (id, text) pairs are one row, so a repeated id neither fills the sample
+    nor breaks its bound. Null ids and texts are left out. What reaches the driver is ids and sizes of the sample."""
+    keyed = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    text_hash, order = fresh(rows, "text_hash"), fresh(rows, "id_hash")
+    keyed = keyed.withColumn(text_hash, F.xxhash64(text_col)).withColumn(order, F.xxhash64(id_col))
+    sizes = keyed.groupBy(order, F.col(id_col), text_hash).agg(F.max(F.octet_length(text_col)).cast("bigint").alias("bytes"))
+    chosen, held = [], 0
+    for r in sizes.orderBy(order, id_col, text_hash).limit(most).collect():
+        if chosen and held + r["bytes"] > most_bytes:
+            break
+        held += r["bytes"]
+        chosen.append((r[id_col], r[text_hash]))
+    schema = T.StructType([T.StructField("s_id", rows.schema[id_col].dataType), T.StructField("s_hash", T.LongType())])
+    wanted = rows.sparkSession.createDataFrame(chosen, schema)
+    met = keyed.join(F.broadcast(wanted), (F.col(id_col) == F.col("s_id")) & (F.col(text_hash) == F.col("s_hash")))  # at most ``most`` rows of two numbers
+    others = [c for c in rows.columns if c not in (id_col, text_col)]
+    return (met.groupBy(F.col(id_col), text_hash).agg(F.first(text_col).alias(text_col), *[F.min(F.col(f"`{c}`")).alias(c) for c in others])
+            .select(*[F.col(f"`{c}`") for c in rows.columns]))

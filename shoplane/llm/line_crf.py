@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplane.llm.common import fold
+from shoplane.llm.common import bounded_sample, fold
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123)) + bytes(range(128, 256))
@@ -144,13 +144,16 @@ def score_texts(texts: list[bytes], model: Crf) -> list[float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column, fit_docs: int, id_col: str = "doc_id", text_col: str = "text",
-        quality_col: str = "quality", **training) -> Crf:
-    """The CRF from at most ``fit_docs`` labelled documents that ``where`` admits
-    (lowest id hash first). Their line features are made on the executors."""
-    chosen = (labels.where(where & F.col(quality_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(quality_col).cast("int").alias("y"))
+        quality_col: str = "quality", fit_bytes: int = 64 << 20, **training) -> Crf:
+    """The CRF from at most ``fit_docs`` distinct labelled documents that ``where`` admits, and ``fit_bytes`` of text
+    (lowest id hash first). An id with contradictory labels teaches nothing. Line features are made on the executors."""
+    label = F.col(quality_col).cast("int")
+    chosen = (labels.where(where & F.col(quality_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id"))
+              .agg(F.min(label).alias("y"), F.max(label).alias("other")).where("(y > 0) = (other > 0)").select("l_id", "y")
               .orderBy(F.xxhash64("l_id"), "l_id").limit(fit_docs))
     rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("t"))
     rows = rows.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select("d_id", "y", "t")
+    rows = bounded_sample(rows, "d_id", "t", fit_docs, fit_bytes).select("d_id", "y", "t")
 
     def run(batches):
         for batch in batches:

@@ -198,13 +198,15 @@ def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     base_failed, kept, rule) for every row of ``docs``.
 
     The list is learned from at most ``fit_rows`` labelled documents (lowest id
-    hash first); null labels and ids teach nothing. Repeated rows each get a row.
+    hash first); null labels and ids teach nothing, nor do ids with contradictory labels. Repeated rows each get a row.
     Without labels only the base rule decides."""
     stored = materialize(base_features(docs, text_col, id_col), "quality-features")
     chosen = (labels.where(F.col(quality_col).isNotNull() & F.col(id_col).isNotNull())
-              .select(F.col(id_col).alias("l_id"), (F.col(quality_col) == 0).alias("bad"))
+              .groupBy(F.col(id_col).alias("l_id")).agg(F.min(F.col(quality_col) == 0).alias("bad"), F.max(F.col(quality_col) == 0).alias("other"))
+              .where("bad = other").select("l_id", "bad")
               .orderBy(F.xxhash64("l_id"), "l_id").limit(fit_rows))
-    labelled = stored.join(chosen, F.col("id") == F.col("l_id")).withColumn("prune", F.abs(F.hash("l_id")) % 3 == 0)
+    # repeated rows of an id are one example each time their features differ
+    labelled = stored.join(chosen, F.col("id") == F.col("l_id")).distinct().withColumn("prune", F.abs(F.hash("l_id")) % 3 == 0)
     rules = learn_rules(materialize(labelled.drop("l_id"), "quality-labelled"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return stored.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -111,7 +111,8 @@ FROM n, unnest(range(1, n + 1)) AS x(copy_no)
 @query("op10_mix_sources", SQL_MIX)
 def op10_mix_sources(spark, d):
     from shoplane.llm.mix import mix_sources
-    mixed = mix_sources(_docs(spark, d), weights=None, seed=42)
+    docs = _docs(spark, d).select("doc_id", "source", "text")  # whatever else the table has
+    mixed = mix_sources(docs, weights=None, seed=42)
     return mixed.select("doc_id", "source", "copy_no", "shuffle_key",
                         F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
