@@ -2,7 +2,6 @@
 twin (row count, columns, values) on the smallest scale factor."""
 
 import math
-import os
 
 import duckdb
 import pytest
@@ -41,7 +40,7 @@ def test_every_query_has_oracle_or_is_ml():
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
     without = {q for q in set(qs) - set(sqls) if not q.startswith("op") and q != "pipeline"}
-    assert without <= {"a12_density_curve"} | SLOW
+    assert without <= SLOW
 
 
 @pytest.fixture(scope="module")
@@ -63,9 +62,8 @@ def test_query_matches_oracle(spark, duck, name):
     assert r1 == r2
 
 
-@pytest.mark.skipif(not os.environ.get("SHOPLANE_SLOW"), reason="set SHOPLANE_SLOW=1 for model training queries")
 @pytest.mark.parametrize("name", sorted(SLOW))
-def test_slow_queries_run(spark, name):
+def test_training_queries_run(spark, name):
     assert E.queries()[name](spark, SF_SMALL).count() > 0
 
 
