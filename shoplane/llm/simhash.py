@@ -8,7 +8,8 @@ them, so every such pair shares one of the keys formed by that many blocks
 Within a key no pairs are enumerated wholesale: first each member is compared
 with one centre (the fingerprint of most rows), which contracts groups of copies;
 then only the keys whose members still lie in different classes are joined with
-themselves, for pairs of different classes. No link is lost, and the rows made
+themselves, for pairs of different classes; large ones are keyed once more by their other
+bits and dealt over a grid, so that no task has more than a small cell of them. No link is lost, and the rows made
 stay near the number of fingerprints.
 """
 
@@ -26,6 +27,8 @@ from shoplane.llm.common import fresh, materialize
 from shoplane.llm.components import connected_components
 
 BITS = 64
+#: Members of a key that meet in one place; the pairs of more are split by further bits, then over a grid.
+CELL = 256
 #: Shingles hashed at once (bounds memory for very long texts).
 _CHUNK = 1 << 16
 
@@ -87,6 +90,38 @@ def _close(a: str, b: str, max_bits: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def _inner_masks(mask: int, max_bits: int, blocks: int) -> list[int]:
+    """Masks of the bits outside ``mask``, by which fingerprints that agree on ``mask`` are keyed once more."""
+    free = [bit for bit in range(BITS) if not mask >> bit & 1]
+    cuts = [len(free) * i // blocks for i in range(blocks + 1)]
+    parts = [sum(1 << bit for bit in free[cuts[i]:cuts[i + 1]]) for i in range(blocks)]
+    return [_signed(sum(c)) for c in combinations(parts, blocks - max_bits)]
+
+
+def _cells(open_keys: DataFrame, masks: list[int], max_bits: int, blocks: int) -> DataFrame:
+    """(k, v, j, u, fp, cls): the members of small keys as they are (j = -1), those of large ones under a second level of
+    pigeonhole keys over their other bits: a close pair shares one of these too."""
+    inner = [_inner_masks(m, max_bits, blocks) for m in masks]
+    flat, each = F.array(*[F.lit(m) for ms in inner for m in ms]), len(inner[0])
+    columns = ["k", "v", "j", "u", "fp", "cls"]
+    small = open_keys.where(F.col("size") <= CELL).withColumn("j", F.lit(-1)).withColumn("u", F.lit(0).cast("long")).select(columns)
+    large = open_keys.where(F.col("size") > CELL).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
+    mask = F.element_at(flat, F.col("k").cast("int") * each + F.col("j") + 1)
+    return small.unionByName(large.withColumn("u", F.col("fp").bitwiseAND(mask)).select(columns))
+
+
+def _dealt(cells: DataFrame, sizes: DataFrame, own: str, other: str) -> DataFrame:
+    """``cells`` with a place in a grid: the members of a group that is still large are cut by hash into parts, and each part
+    meets every part of the other side in a cell of its own."""
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    dealt = cells.join(sizes, ["k", "v", "j", "u"], "left").withColumn(own, F.pmod(F.xxhash64("fp"), parts).cast("int"))
+    return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+
+
 def link_fingerprints(nodes: DataFrame, max_bits: int = 3, blocks: int = 6) -> DataFrame:
     """(node, root) of every linked fingerprint but the roots; ``nodes`` has
     distinct longs ``fp`` and their number of rows ``n``."""
@@ -99,11 +134,13 @@ def link_fingerprints(nodes: DataFrame, max_bits: int = 3, blocks: int = 6) -> D
     first = connected_components(stars.select(F.col("fp").alias("a"), F.col("centre").alias("b")))
     classed = (members.select("k", "v", "fp").join(first, members["fp"] == first["node"], "left")
                .select("k", "v", "fp", F.coalesce("root", "fp").alias("cls")))
-    mixed = classed.groupBy("k", "v").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 <> c1")
-    open_keys = materialize(classed.join(mixed.select("k", "v"), ["k", "v"], "left_semi"), "simhash-open")
-    a, b = open_keys.alias("a"), open_keys.alias("b")
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.cls") < F.col("b.cls"))
-                   & _close("a.fp", "b.fp", max_bits))
+    mixed = classed.groupBy("k", "v").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1")
+    open_keys = classed.join(mixed.select("k", "v", "size"), ["k", "v"])
+    cells = materialize(_cells(open_keys, masks, max_bits, blocks), "simhash-open")
+    sizes = cells.groupBy("k", "v", "j", "u").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("parts")).where("parts > 1")
+    a, b = _dealt(cells, sizes, "x", "y").alias("a"), _dealt(cells, sizes, "y", "x").alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("k", "v", "j", "u", "x", "y")]
+    pairs = a.join(b, [*same, (F.col("a.cls") < F.col("b.cls")) & _close("a.fp", "b.fp", max_bits)])
     second = connected_components(pairs.select(F.col("b.cls").alias("a"), F.col("a.cls").alias("b")).distinct())
     # a class that the second round merged points at the merged class's root
     moved = second.select(F.col("node").alias("cls"), F.col("root").alias("to"))

@@ -3,8 +3,11 @@
 import hashlib
 import random
 
+import pytest
+
 import xxhash
 
+from shoplane.llm import simhash
 from shoplane.llm.simhash import (block_masks, drop_near_duplicates, fingerprint, fingerprints, link_fingerprints,
                                   simhash_duplicates)
 from tests.conftest import SF_SMALL
@@ -66,7 +69,8 @@ def test_documents(spark):
     assert got == brute([(r.doc_id, r.text) for r in df.collect()])
 
 
-def test_all_links_of_dense_balls_are_found(spark):
+@pytest.mark.parametrize("cell", [1, 5, 256])
+def test_all_links_of_dense_balls_are_found(spark, monkeypatch, cell):
     """Chains and balls of close fingerprints, in which many members share keys."""
     rng = random.Random(1)
     fps = set()
@@ -83,6 +87,7 @@ def test_all_links_of_dense_balls_are_found(spark):
     comp = brute_components(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     nodes = spark.createDataFrame([(f, rng.randrange(1, 5)) for f in signed], "fp bigint, n bigint")
+    monkeypatch.setattr(simhash, "CELL", cell)
     roots = {r.node: r.root for r in link_fingerprints(nodes).collect()}
     got = [roots.get(f, f) for f in signed]
     assert len(set(zip(got, comp))) == len(set(got)) == len(set(comp))
