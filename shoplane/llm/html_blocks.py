@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 #: Elements that break a line (fixed values of the HTML standard); all others are inline.
@@ -53,20 +54,61 @@ def _empty_svg(tag: str, attributes: str) -> bool:
     return tag == "svg" and attributes.endswith("/")
 
 
+class Path:
+    """An open element below its parent's path; blocks share paths, so a block costs no more the deeper it stands."""
+
+    __slots__ = ("parent", "words", "size")
+
+    def __init__(self, parent: "Path | None", words: tuple[str, ...]):
+        self.parent, self.words, self.size = parent, words, (parent.size if parent else 0) + len(words)
+
+    def all_words(self) -> tuple[str, ...]:
+        parts, at = [], self
+        while at is not None:
+            parts.append(at.words)
+            at = at.parent
+        return tuple(w for words in reversed(parts) for w in words)
+
+
+def inherited(paths: list[Path], start, step) -> list:
+    """``step(value of the parent, own words)`` of every path, from ``start`` for the empty one; each path is visited once."""
+    known: dict[int, object] = {}
+    for path in paths:
+        chain, at = [], path
+        while at is not None and id(at) not in known:
+            chain.append(at)
+            at = at.parent
+        value = start if at is None else known[id(at)]
+        for at in reversed(chain):
+            value = known[id(at)] = step(value, at.words)
+    return [known[id(p)] for p in paths]
+
+
 def blocks(html: str) -> list[tuple[tuple[str, ...], str]]:
-    """(path words, text) of every non-empty block in page order. A path word is an
+    """``leaf_blocks`` with the paths written out as tuples of words."""
+    return [(path.all_words(), text) for path, text in leaf_blocks(html)]
+
+
+def leaf_blocks(html: str) -> list[tuple[Path, str]]:
+    """(path, text) of every non-empty block in page order. A path word is an
     open element's tag or, after a dot, a word of its class, id or role.
 
     Character references are decoded and white space becomes single spaces.
     Unclosed, misnested and cut-off markup is read to its end; only the content of
     ``RAW_TAGS`` and of closed ``HIDDEN_TAGS`` is left out."""
-    out: list[tuple[tuple[str, ...], str]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[tuple[Path, str]] = []
+    root = path = Path(None, ())
+    stack: list[tuple[str, Path]] = []
+    opened: Counter[str] = Counter()  # tags on the stack
     parts: list[str] = []
-    path: tuple[str, ...] = ()
     hidden: dict[str, dict[int, int]] = {}
     at, size = 0, len(html)
 
+    def close(k: int):
+        for tag, _ in stack[k:]:
+            opened[tag] -= 1
+        del stack[k:]
+
     def flush():
         nonlocal parts
         text = " ".join("".join(parts).split())
@@ -81,17 +123,15 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str]]:
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
                 if not parts:
-                    path = tuple(w for _, words in stack for w in words)
+                    path = stack[-1][1] if stack else root
                 parts.append(unescape(m[0]))
             continue
         tag, closing = tag.lower(), m[1] or m[4]
         if closing:
             if tag in BLOCK_TAGS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in RAW_TAGS:
             if tag in BLOCK_TAGS:
@@ -111,13 +151,14 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str]]:
             flush()
         if tag in _ENDS_P:
             same = ("p", "li", "dd", "dt") if tag in ("li", "dd", "dt") else ("p",)
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(opened[t] for t in same) else ():
                 if stack[k][0] in same:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in BLOCK_TAGS and stack[k][0] != "p":
                     break
         if tag not in VOID_TAGS and not (m[3] or m[6] or "").endswith("/"):
-            stack.append((tag, _path_words(tag, m[3] or m[6] or "")))
+            stack.append((tag, Path(stack[-1][1] if stack else root, _path_words(tag, m[3] or m[6] or ""))))
+            opened[tag] += 1
     flush()
     return out

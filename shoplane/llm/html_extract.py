@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoplane.llm import bilstm
-from shoplane.llm.html_blocks import blocks
+from shoplane.llm.common import bounded_sample
+from shoplane.llm.html_blocks import Path, blocks, inherited, leaf_blocks
 
 #: Path words that mark a block as main text, unless one of the others is in its path.
 MAIN_WORDS = frozenset("article main .article .content .post .story .entry".split())
@@ -44,6 +45,13 @@ def teacher_label(path) -> int:
     return int(bool(inside) and not any(w in BOILERPLATE_WORDS for w in path))
 
 
+def markup_labels(paths: list[Path]) -> list[bool]:
+    """``teacher_label`` of each path."""
+    def below(value, words):
+        return value[0] or any(w in MAIN_WORDS for w in words), value[1] or any(w in BOILERPLATE_WORDS for w in words)
+    return [main and not other for main, other in inherited(paths, (False, False), below)]
+
+
 def varied(page, rng: random.Random, words: list[str]):
     """(blocks, labels) of a training copy of a page."""
     labelled = [(p, t, teacher_label(p)) for p, t in page]
@@ -71,14 +79,13 @@ def varied(page, rng: random.Random, words: list[str]):
     return [(p, t) for p, t, _ in out], [y for _, _, y in out]
 
 
-def _marked(page) -> bool:
-    return any(teacher_label(p) for p, _ in page)
+def _marked(html: str) -> bool:
+    return any(markup_labels([p for p, _ in leaf_blocks(html)]))
 
 
-def _sample(pages: DataFrame, candidates: DataFrame, fit_pages: int, html_col: str, id_col: str) -> list:
-    """(id, blocks) of at most ``fit_pages`` pages whose id is in ``candidates``, lowest id hash first."""
-    chosen = candidates.select(F.col(id_col).alias("f_id")).orderBy(F.xxhash64("f_id"), "f_id").limit(fit_pages)
-    rows = pages.select(F.col(id_col).alias("p_id"), F.col(html_col).alias("h")).join(F.broadcast(chosen), F.col("p_id") == F.col("f_id"))
+def _sample(pages: DataFrame, fit_pages: int, fit_bytes: int, html_col: str, id_col: str) -> list:
+    """(id, blocks) of at most ``fit_pages`` distinct pages and ``fit_bytes`` of html, lowest id hash first."""
+    rows = bounded_sample(pages.select(F.col(id_col).alias("p_id"), F.col(html_col).alias("h")), "p_id", "h", fit_pages, fit_bytes)
 
     def run(batches):
         for batch in batches:
@@ -88,26 +95,26 @@ def _sample(pages: DataFrame, candidates: DataFrame, fit_pages: int, html_col: s
                  pa.array([[t for _, t in b] for b in pages_], pa.list_(pa.string()))],
                 names=["p", "paths", "texts"])
 
-    got = rows.where("h is not null").select("p_id", "h").mapInArrow(run, "p string, paths array<string>, texts array<string>").collect()
+    got = rows.select("p_id", "h").mapInArrow(run, "p string, paths array<string>, texts array<string>").collect()
     return sorted(((r.p, [(tuple(p.split()), t) for p, t in zip(r.paths, r.texts)]) for r in got), key=str)
 
 
-def train_labeller(pages: DataFrame, fit_pages: int, rounds: int, seed: int, html_col: str = "html", id_col: str = "page_id"):
-    """The network, trained on at most ``fit_pages`` of the pages that say what
+def train_labeller(pages: DataFrame, fit_pages: int, rounds: int, seed: int, html_col: str = "html", id_col: str = "page_id", fit_bytes: int = 64 << 20):
+    """The network, trained on at most ``fit_pages`` distinct pages and ``fit_bytes`` of those that say what
     their parts are (lowest id hash first); None if the table has no such page.
 
     The first draw is from all pages. Only if it meets a page without such marks is
     the table read for the marked ones and the sample drawn from them."""
     given = pages.where(F.col(html_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, html_col)
-    got = _sample(pages, given, fit_pages, html_col, id_col)
-    known = [page for _, page in got if _marked(page)]
+    got = _sample(given, fit_pages, fit_bytes, html_col, id_col)
+    known = [page for _, page in got if any(teacher_label(p) for p, _ in page)]
     if len(known) < len(got) and len(got) >= fit_pages:
         def run(batches):
             for batch in batches:
-                yield batch.filter(pa.array([_marked(blocks(h)) for h in batch.column(1).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([_marked(h) for h in batch.column(1).to_pylist()], pa.bool_()))
 
-        got = _sample(pages, given.mapInArrow(run, given.schema), fit_pages, html_col, id_col)
-        known = [page for _, page in got if _marked(page)]
+        got = _sample(given.mapInArrow(run, given.schema), fit_pages, fit_bytes, html_col, id_col)
+        known = [page for _, page in got if any(teacher_label(p) for p, _ in page)]
     net = bilstm.BiLstm(seed)
     if not known:
         return None
@@ -137,7 +144,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def run(batches):
         for batch in batches:
-            parsed = [blocks(h or "") for h in batch.column(2).to_pylist()]
+            parsed = [leaf_blocks(h or "") for h in batch.column(2).to_pylist()]
             texts = [""] * len(parsed)
             group: list[int] = []
             held = 0
@@ -145,9 +152,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             def label():
                 group.sort(key=lambda i: len(parsed[i]))
                 if net is None:
-                    marks = [[teacher_label(p) for p, _ in parsed[i]] for i in group]
+                    marks = [markup_labels([p for p, _ in parsed[i]]) for i in group]
                 else:
-                    marks = [q > 0.5 for q in net.predict([bilstm.inputs(parsed[i]) for i in group])]
+                    marks = [q > 0.5 for q in net.predict_paths([parsed[i] for i in group])]
                 for i, mark in zip(group, marks):
                     texts[i] = " ".join(t for (_, t), y in zip(parsed[i], mark) if y)
 

@@ -6,7 +6,7 @@ from html import unescape
 import numpy as np
 from pyspark.sql import types as T
 
-from shoplane.llm import bilstm
+from shoplane.llm import bilstm, html_blocks, html_extract
 from shoplane.llm.html_blocks import blocks
 from shoplane.llm.html_extract import extract_text, train_labeller
 from tests.conftest import SF_ORACLE
@@ -99,3 +99,26 @@ def test_one_marked_page_among_unmarked_ones_is_found(spark):
     assert train_labeller(pages.where("page_id < 60"), 2, 1, 7) is None
     for fit in (1, 2, 5):
         assert train_labeller(pages, fit, 1, 7) is not None
+
+
+def test_deep_unclosed_markup_costs_its_length():
+    import resource
+    import time
+    for unit in ("<div>x ", "<b><p>x", "<span class='a b'>x<hr>"):
+        start, before = time.process_time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        page = html_blocks.leaf_blocks(unit * 50_000 + "</i></q>" * 50_000)
+        assert len(page) >= 50_000
+        net = bilstm.BiLstm(1)
+        (p,) = net.predict_paths([page])
+        assert len(p) == len(page) == len(html_extract.markup_labels([x for x, _ in page]))
+        assert time.process_time() - start < 60 and (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) < 400 << 10
+
+
+def test_paths_predict_like_their_words():
+    html = "<html><body><nav><ul><li><a>menu</a></ul></nav><article class='post'><h1>Title</h1><p>Some words. <a>link</a><p>More</article><p>end"
+    net = bilstm.BiLstm(3)
+    a, = net.predict([bilstm.inputs(html_blocks.blocks(html))])
+    b, = net.predict_paths([html_blocks.leaf_blocks(html)])
+    assert len(a) > 4 and np.allclose(a, b, atol=1e-5)
+    paths = [p for p, _ in html_blocks.leaf_blocks(html)]
+    assert html_extract.markup_labels(paths) == [bool(html_extract.teacher_label(p.all_words())) for p in paths]
