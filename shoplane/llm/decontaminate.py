@@ -8,7 +8,7 @@ item's anchors are intersected by grouping equal alignments. Windows whose two
 rarest terms meet there are candidates; the documents that have any are read
 again and compared word by word, so what is returned is exact.
 
-``proximity_matches`` uses the same alignments with a slack between anchors.
+``near_windows`` uses the same alignments with a slack between anchors, and then looks up every term of a window.
 """
 
 from __future__ import annotations
@@ -64,6 +64,7 @@ class PostingIndex:
     empty term after each document's last word carries its number of words."""
 
     def __init__(self, docs: DataFrame, bench: Benchmark, id_col: str = "doc_id", text_col: str = "text"):
+        self.texts = docs.select(document_key(id_col, text_col).alias("doc"), F.col(text_col).alias("t")).withColumn("bucket", _bucket("doc"))
         end = docs.sparkSession.createDataFrame([("",)], "term string")
         vocabulary = bench.terms.select("term").distinct().unionByName(end)
         tokens = (docs.select(document_key(id_col, text_col).alias("doc"), words(F.col(text_col)).alias("w"))
@@ -86,28 +87,31 @@ def anchors(bench: Benchmark, index: PostingIndex) -> DataFrame:
 
 
 def alignments(bench: Benchmark, index: PostingIndex, chosen: DataFrame) -> DataFrame:
-    """(doc, phrase, delta, hits): anchors of a phrase that a document has at the
-    offset ``delta``, as a sorted array of item positions (at most the item's length)."""
+    """(doc, phrase, i, delta): the occurrences of the windows' rarest terms; the term of item position ``i`` stands ``delta`` words
+    later in the document than in the item."""
     wanted = (chosen.select("phrase", F.explode(F.array_compact(F.array("a", "b"))).alias("i")).distinct()
               .join(bench.terms.withColumnRenamed("at", "i"), ["phrase", "i"]))
     meet = index.postings.join(_small(wanted), "term")
-    return (meet.select("doc", "phrase", (F.col("pos") - F.col("i")).alias("delta"), "i")
-            .groupBy("doc", "phrase", "delta").agg(F.sort_array(F.collect_set("i")).alias("hits")))
+    return meet.select("doc", "phrase", "i", (F.col("pos") - F.col("i")).alias("delta"))
 
 
-def phrase_matches(docs: DataFrame, bench: Benchmark, index: PostingIndex, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+def read_candidates(index: PostingIndex, candidates: DataFrame, name: str) -> DataFrame:
+    """(doc, w, cs): the words of every document that has ``candidates`` (doc, c), with them."""
+    per_doc = materialize(candidates.groupBy("doc").agg(F.collect_list("c").alias("cs")), name)
+    texts = index.texts.join(candidate_buckets(per_doc, "doc"), "bucket", "left_semi")
+    return texts.join(per_doc.hint("merge"), "doc").select("doc", words(F.col("t")).alias("w"), "cs")
+
+
+def phrase_matches(bench: Benchmark, index: PostingIndex) -> DataFrame:
     """(doc, spans, phrases): for each document with an occurring window, the
     (start, n) word spans of all occurrences and the phrases they come from."""
     chosen = materialize(anchors(bench, index), "bench-anchors")
-    met = alignments(bench, index, chosen).withColumn("a", F.explode("hits"))
+    # of each offset, the item positions whose terms meet there (at most the item's length)
+    met = (alignments(bench, index, chosen).groupBy("doc", "phrase", "delta").agg(F.sort_array(F.collect_set("i")).alias("hits"))
+           .withColumn("a", F.explode("hits")))
     near = (met.join(_small(chosen), ["phrase", "a"]).where(F.col("b").isNull() | F.array_contains("hits", F.col("b")))
             .select("doc", (F.col("delta") + F.col("at")).alias("start"), "n", "words", "phrase").where("start >= 0"))
-    per_doc = near.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "words", "phrase")).alias("cs"))
-    per_doc = materialize(per_doc, "candidates")
-    texts = docs.select(document_key(id_col, text_col).alias("doc"), F.col(text_col).alias("t")).withColumn("bucket", _bucket("doc"))
-    texts = texts.join(candidate_buckets(per_doc, "doc"), "bucket", "left_semi")
-    read = texts.join(per_doc.hint("merge"), "doc").select("doc", words(F.col("t")).alias("w"), "cs")
+    read = read_candidates(index, near.select("doc", F.struct("start", "n", "words", "phrase").alias("c")), "candidates")
     exact = F.filter("cs", lambda c: (c["start"] + c["n"] <= F.size("w"))
                      & (F.array_join(F.slice("w", c["start"] + 1, c["n"]), " ") == c["words"]))
     # exploded, not filtered: a filter on the matches would be pushed below ``w`` and split the text per candidate
@@ -125,38 +129,54 @@ def candidate_buckets(found: DataFrame, doc: str) -> DataFrame:
     return F.broadcast(found.select(_bucket(doc).alias("bucket")).distinct())
 
 
-def proximity_matches(bench: Benchmark, index: PostingIndex, slack: int = 5) -> DataFrame:
-    """(doc, item, at): windows whose two rarest terms stand in a document within
-    ``slack`` words of their distance in the item (exact alignments included).
-    Alignments are dealt to bands of ``slack + 1``, so only neighbours meet."""
+def near_windows(bench: Benchmark, index: PostingIndex, slack: int) -> DataFrame:
+    """(doc, phrase, at): windows of which a document has an occurrence of the rarest term with every other term within
+    ``slack`` words of its place beside it (exact occurrences included).
+
+    The postings of the two rarest terms are intersected first, with offsets dealt to bands of ``slack + 1``, so only neighbours meet; the
+    documents that pass are read again and all terms of the window are looked up around their places."""
     chosen = materialize(anchors(bench, index), "bench-anchors")
-    band = F.lit(slack + 1)
+    placed = materialize(alignments(bench, index, chosen), "alignments")
+    pairs, band = chosen.select("phrase", "a", "b").distinct(), F.lit(slack + 1)
+    by_a = placed.join(_small(pairs), (placed["phrase"] == pairs["phrase"]) & (placed["i"] == pairs["a"])).select(
+        "doc", pairs["phrase"], "a", "b", F.col("delta").alias("da"))
+    by_b = placed.join(_small(pairs.where("b IS NOT NULL")), (placed["phrase"] == pairs["phrase"]) & (placed["i"] == pairs["b"])).select(
+        "doc", pairs["phrase"], "a", "b", F.col("delta").alias("db"), F.floor(F.col("delta") / band).alias("band"))
+    around = by_a.withColumn("band", F.explode(F.array(*[F.floor(F.col("da") / band) + F.lit(k) for k in (-1, 0, 1)])))
+    both = (around.where("b IS NOT NULL").join(by_b, ["doc", "phrase", "a", "b", "band"]).where(F.abs(F.col("da") - F.col("db")) <= slack)
+            .select("doc", "phrase", "a", "b", "da").distinct())
+    met = (both.join(_small(chosen), ["phrase", "a", "b"]).select("doc", "phrase", "at", "n", "words", "da")
+           .unionByName(by_a.where("b IS NULL").join(_small(chosen.where("b IS NULL")), ["phrase", "a"]).select("doc", "phrase", "at", "n", "words", "da")))
+    read = read_candidates(index, met.select("doc", F.struct("phrase", "at", "n", "words", "da").alias("c")), "near-candidates")
+
+    def has_all(c: Column) -> Column:
+        def has(j: Column) -> Column:
+            first = F.greatest(c["da"] + c["at"] + j - slack, F.lit(0))
+            size = F.greatest(c["da"] + c["at"] + j + slack + 1 - first, F.lit(0))
+            return F.array_contains(F.slice("w", first + 1, size), F.element_at(F.split(c["words"], " "), j + 1))
+        return F.forall(F.sequence(F.lit(0), c["n"] - 1), has)
+
+    # exploded, not filtered: a filter on the matches would be pushed below ``w`` and split the text per candidate
+    return read.select("doc", F.explode(F.filter("cs", has_all)).alias("c")).select("doc", "c.phrase", "c.at").distinct()
 
-    def placed(which: str) -> DataFrame:
-        w = chosen.select("phrase", F.col("at").alias("window"), F.col(which).alias("at")).where("at is not null")
-        w = w.join(bench.terms, ["phrase", "at"])
-        return index.postings.join(_small(w), "term").select("doc", "phrase", "window", (F.col("pos") - F.col("at")).alias("delta"))
 
-    a = placed("a").select("doc", "phrase", "window", F.col("delta").alias("da"),
-                           F.explode(F.array(*[F.floor(F.col("delta") / band) + F.lit(k) for k in (-1, 0, 1)])).alias("band"))
-    b = placed("b").select("doc", "phrase", "window", F.col("delta").alias("db"), F.floor(F.col("delta") / band).alias("band"))
-    both = a.join(b, ["doc", "phrase", "window", "band"]).where(F.abs(F.col("da") - F.col("db")) <= slack)
-    single = placed("a").join(chosen.where("b is null").select("phrase", F.col("at").alias("window")), ["phrase", "window"])
-    met = both.select("doc", "phrase", "window").unionByName(single.select("doc", "phrase", "window")).distinct()
-    return met.join(bench.names, "phrase").select("doc", F.col("item_name").alias("item"), F.col("window").alias("at"))
+def proximity_matches(bench: Benchmark, index: PostingIndex, slack: int = 5) -> DataFrame:
+    """(doc, item, at): ``near_windows`` with the names of their items."""
+    return near_windows(bench, index, slack).join(bench.names, "phrase").select("doc", F.col("item_name").alias("item"), "at")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  window: int = 10) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) for every row.
+                  window: int = 10, slack: int = 2) -> DataFrame:
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated, n_proximity) for every row. ``n_proximity`` counts the different windows
+    that stand in the document exactly or with their words up to ``slack`` places off (``near_windows``).
 
     Null and empty texts have no words; items with fewer words than ``window``
-    are one window, items without words none. Rows are matched by their place in
-    the table, so repeated and null ids are all reported; extra columns of either
+    are one window, items without words none. Rows are matched by id and text
+    hash, so repeated and null ids are all reported; extra columns of either
     table are ignored; an empty benchmark hits nothing."""
     bench = Benchmark(benchmark, text_col="text", window=window)
     index = PostingIndex(docs, bench, id_col, text_col)
-    found = phrase_matches(docs, bench, index, id_col, text_col)
+    found = phrase_matches(bench, index)
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
     per_phrase = bench.names.groupBy("phrase").agg(F.collect_set("item_name").alias("items"))
     hits = found.select("doc", covered.cast("bigint").alias("n_hit"), F.explode("phrases").alias("phrase"))
@@ -164,11 +184,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
              .agg(F.max("n_hit").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
              .select(F.col("doc").alias("hit_doc"), "n_hit", F.size("items").cast("bigint").alias("n_items"),
                      F.array_join("items", ",").alias("list")))
-    return (index.sizes.join(items, F.col("doc") == F.col("hit_doc"), "left")
+    near = near_windows(bench, index, slack).groupBy(F.col("doc").alias("near_doc")).agg(F.count(F.lit(1)).alias("near"))
+    return (index.sizes.join(items, F.col("doc") == F.col("hit_doc"), "left").join(near, F.col("doc") == F.col("near_doc"), "left")
             .select(F.col("doc.id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
                     F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
                     F.sha2(F.coalesce("list", F.lit("")).cast("binary"), 256).alias("items_sha256"),
-                    (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")))
+                    (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("near", F.lit(0)).cast("bigint").alias("n_proximity")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -177,7 +198,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     key = fresh(docs, "document_key")
     bench = Benchmark(benchmark, text_col="text", window=window)
     index = PostingIndex(docs, bench, id_col, text_col)
-    hit = materialize(phrase_matches(docs, bench, index, id_col, text_col).select(F.col("doc").alias(key)), "contaminated")
+    hit = materialize(phrase_matches(bench, index).select(F.col("doc").alias(key)), "contaminated")
     bucket = fresh(docs, "bucket")
     held = candidate_buckets(hit, key).withColumnRenamed("bucket", bucket)
     keyed = docs.withColumn(key, document_key(id_col, text_col)).withColumn(bucket, _bucket(key))

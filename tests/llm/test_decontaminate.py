@@ -1,6 +1,8 @@
 """Decontamination against a word-by-word search."""
 
+import collections
 import hashlib
+import random
 import re
 
 from shoplane.llm.decontaminate import Benchmark, PostingIndex, contamination, proximity_matches
@@ -67,3 +69,42 @@ def test_proximity(spark):
     bench = Benchmark(spark.createDataFrame([(1, "alpha beta")], "item_id int, text string"), window=2)
     found = proximity_matches(bench, PostingIndex(docs, bench), slack=2)
     assert sorted((r.doc.id, r.item, r["at"]) for r in found.collect()) == [(1, "1", 0), (2, "1", 0)]
+
+
+def near_brute(docs, bench, n, slack):
+    """Windows with every word within ``slack`` of its place beside an occurrence of the rarest one (ties: the first)."""
+    texts = [words(t) for _, t in docs]
+    freq = collections.Counter(w for t in texts for w in t)
+    windows = {}
+    for _, text in bench:
+        w = words(text)
+        for i in range(max(len(w) - n, 0) + 1 if w else 0):
+            windows[tuple(w), i] = w[i:i + n]
+    out = []
+    for t in texts:
+        near = 0
+        for win in windows.values():
+            if all(freq[x] for x in win):
+                a = min(range(len(win)), key=lambda j: (freq[win[j]], j))
+                near += any(x == win[a] and all(y in t[max(p - a + j - slack, 0):max(p - a + j + slack + 1, 0)] for j, y in enumerate(win))
+                            for p, x in enumerate(t))
+        out.append(near)
+    return out
+
+
+def test_proximity_counts(spark):
+    rng = random.Random(6)
+    vocabulary = ["a", "b", "c", "d", "e", "f1", "g", "h", "rare"]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(60)))) for i in range(60)] + [(60, None), (61, "")]
+    bench = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(9)))) for i in range(12)] + [(50, "rare"), (51, "nowhere a b c"), (52, None)]
+    planted = bench[0][1].split()
+    docs += [(70, " ".join(["z", *planted[:2], "z", *planted[2:], "z"])), (71, " ".join(planted))]
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(bench, "item_id int, text string")
+    for n, slack in ((4, 0), (4, 1), (5, 3)):
+        got = {r.doc_id: r.n_proximity for r in contamination(*frames, window=n, slack=slack).collect()}
+        assert got == dict(zip([i for i, _ in docs], near_brute(docs, bench, n, slack))), (n, slack)
+    assert sum(got.values()) > 20
+    docs, bench = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows_ = contamination(docs, bench).collect()
+    want = near_brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()], 10, 2)
+    assert sorted(r.n_proximity for r in rows_) == sorted(want) and all((r.n_hit == 0) or r.n_proximity for r in rows_)
