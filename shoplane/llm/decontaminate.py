@@ -102,12 +102,18 @@ def read_candidates(index: PostingIndex, candidates: DataFrame, name: str) -> Da
     return texts.join(per_doc.hint("merge"), "doc").select("doc", words(F.col("t")).alias("w"), "cs")
 
 
-def phrase_matches(bench: Benchmark, index: PostingIndex) -> DataFrame:
+def aligned(bench: Benchmark, index: PostingIndex) -> tuple[DataFrame, DataFrame]:
+    """(``anchors``, ``alignments``), stored: exact and near matches both start from them."""
+    chosen = materialize(anchors(bench, index), "bench-anchors")
+    return chosen, materialize(alignments(bench, index, chosen), "alignments")
+
+
+def phrase_matches(bench: Benchmark, index: PostingIndex, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(doc, spans, phrases): for each document with an occurring window, the
     (start, n) word spans of all occurrences and the phrases they come from."""
-    chosen = materialize(anchors(bench, index), "bench-anchors")
+    chosen, placed = found or aligned(bench, index)
     # of each offset, the item positions whose terms meet there (at most the item's length)
-    met = (alignments(bench, index, chosen).groupBy("doc", "phrase", "delta").agg(F.sort_array(F.collect_set("i")).alias("hits"))
+    met = (placed.groupBy("doc", "phrase", "delta").agg(F.sort_array(F.collect_set("i")).alias("hits"))
            .withColumn("a", F.explode("hits")))
     near = (met.join(_small(chosen), ["phrase", "a"]).where(F.col("b").isNull() | F.array_contains("hits", F.col("b")))
             .select("doc", (F.col("delta") + F.col("at")).alias("start"), "n", "words", "phrase").where("start >= 0"))
@@ -129,14 +135,13 @@ def candidate_buckets(found: DataFrame, doc: str) -> DataFrame:
     return F.broadcast(found.select(_bucket(doc).alias("bucket")).distinct())
 
 
-def near_windows(bench: Benchmark, index: PostingIndex, slack: int) -> DataFrame:
+def near_windows(bench: Benchmark, index: PostingIndex, slack: int, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(doc, phrase, at): windows of which a document has an occurrence of the rarest term with every other term within
     ``slack`` words of its place beside it (exact occurrences included).
 
     The postings of the two rarest terms are intersected first, with offsets dealt to bands of ``slack + 1``, so only neighbours meet; the
     documents that pass are read again and all terms of the window are looked up around their places."""
-    chosen = materialize(anchors(bench, index), "bench-anchors")
-    placed = materialize(alignments(bench, index, chosen), "alignments")
+    chosen, placed = found or aligned(bench, index)
     pairs, band = chosen.select("phrase", "a", "b").distinct(), F.lit(slack + 1)
     by_a = placed.join(_small(pairs), (placed["phrase"] == pairs["phrase"]) & (placed["i"] == pairs["a"])).select(
         "doc", pairs["phrase"], "a", "b", F.col("delta").alias("da"))
@@ -176,7 +181,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     table are ignored; an empty benchmark hits nothing."""
     bench = Benchmark(benchmark, text_col="text", window=window)
     index = PostingIndex(docs, bench, id_col, text_col)
-    found = phrase_matches(bench, index)
+    places = aligned(bench, index)
+    found = phrase_matches(bench, index, places)
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
     per_phrase = bench.names.groupBy("phrase").agg(F.collect_set("item_name").alias("items"))
     hits = found.select("doc", covered.cast("bigint").alias("n_hit"), F.explode("phrases").alias("phrase"))
@@ -184,7 +190,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
              .agg(F.max("n_hit").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
              .select(F.col("doc").alias("hit_doc"), "n_hit", F.size("items").cast("bigint").alias("n_items"),
                      F.array_join("items", ",").alias("list")))
-    near = near_windows(bench, index, slack).groupBy(F.col("doc").alias("near_doc")).agg(F.count(F.lit(1)).alias("near"))
+    near = near_windows(bench, index, slack, places).groupBy(F.col("doc").alias("near_doc")).agg(F.count(F.lit(1)).alias("near"))
     return (index.sizes.join(items, F.col("doc") == F.col("hit_doc"), "left").join(near, F.col("doc") == F.col("near_doc"), "left")
             .select(F.col("doc.id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
                     F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
