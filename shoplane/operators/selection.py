@@ -51,6 +51,11 @@ def double_of_key(key: int) -> float:
     return -value if key < 0 else value
 
 
+def key_of_double(value: float) -> int:
+    bits = struct.unpack("<q", struct.pack("<d", abs(value)))[0]
+    return -bits if value < 0 else bits
+
+
 def _text_key(x: Column, level: int) -> Column:
     """Key of the ``level``-th piece of a text's UTF-8 bytes: the bytes, filled up with zeros, then how many there were."""
     piece = F.encode(x, "UTF-8").substr(F.lit(1 + level * _TEXT_BYTES), F.lit(_TEXT_BYTES))
@@ -90,16 +95,28 @@ class _Cell:
                 cell = _Cell(settled, cell.component, cell.level + 1, _ALL, cell.later)
         return cell
 
-    def rows(self, key: Callable[[int, int], Column]) -> Column:
-        here = key(self.component, self.level).between(*map(F.lit, self.bounds))
+    def rows(self, value: Callable[[int, int], Column], kinds: list[str]) -> Column:
+        """The condition on the components' values: doubles are compared as they are, so only rows of the cell need keys."""
+        here = F.lit(True)
+        if self.bounds != _ALL:
+            here = value(self.component, self.level).between(*(F.lit(_value(kinds[self.component], k)) for k in self.bounds))
         for (c, level), k in self.settled:
-            here = here & (key(c, level) == F.lit(k))
+            here = here & (value(c, level) == F.lit(_value(kinds[c], k)))
         return here
 
-    def bucket(self, key: Callable[[int, int], Column], bits: int) -> Column:
+    def bucket(self, value: Callable[[int, int], Column], kinds: list[str], bits: int) -> Column:
         """The row's next ``bits`` bits inside the bounds (one bucket more where they straddle)."""
         lo, hi = self.bounds
-        return F.shiftright(key(self.component, self.level), max(0, (hi - lo).bit_length() - bits))
+        x = value(self.component, self.level)
+        return F.shiftright(double_key(x) if kinds[self.component] == "float" else x, max(0, (hi - lo).bit_length() - bits))
+
+
+def _value(kind: str, key: int):
+    return double_of_key(key) if kind == "float" else key
+
+
+def _driver_key(kind: str, value) -> int:
+    return key_of_double(value) if kind == "float" else value
 
 
 def select_ranks(df: DataFrame, components: list[Column], kinds: list[str], ranks: Callable[[int], list[int]],
@@ -116,18 +133,17 @@ def select_ranks(df: DataFrame, components: list[Column], kinds: list[str], rank
         for cell in cells:
             for c, level in [*(at for at, _ in cell.settled), (cell.component, cell.level)]:
                 names.setdefault((c, level), f"k{level}_{c}")
-        keyed = df.select(*[_key(components[c], kinds[c], level).alias(name) for (c, level), name in names.items()])
-        key = lambda c, level: F.col(names[c, level])
-        place, bucket, value = F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long")
+        keyed = df.select(*[(components[c] if kinds[c] == "float" else _key(components[c], kinds[c], level)).alias(name) for (c, level), name in names.items()])
+        value = lambda c, level: F.col(names[c, level])
+        place, bucket = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for i, cell in enumerate(cells):
+            place = F.when(cell.rows(value, kinds), F.lit(i)).otherwise(place)
         for i, cell in enumerate(cells):
-            here = cell.rows(key)
-            place = F.when(here, F.lit(i)).otherwise(place)
-            value = F.when(here, key(cell.component, cell.level)).otherwise(value)
-            bucket = F.when(here, cell.bucket(key, digit_bits)).otherwise(bucket)
-        first = [f"k0_{c}" for c in range(len(kinds))]
+            bucket = F.when(F.col("cell") == i, cell.bucket(value, kinds, digit_bits)).otherwise(bucket)
+        current = sorted({names[cell.component, cell.level] for cell in cells} | {f"k0_{c}" for c in range(len(kinds))})
         # rows of no cell are one group, dropped on the driver: a filter would be pushed down and find out the cells twice
-        counts = (keyed.select(place.alias("cell"), bucket.alias("bucket"), value.alias("k"), *first).groupBy("cell", "bucket")
-                  .agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{f.__name__}") for c in ["k", *first] for f in (F.min, F.max)]))
+        counts = (keyed.withColumn("cell", place).withColumn("bucket", bucket).groupBy("cell", "bucket")
+                  .agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{f.__name__}") for c in current for f in (F.min, F.max)]))
         found: dict[int, list] = {i: [] for i in range(len(cells))}
         for r in counts.toArrow().to_pylist():
             if r["cell"] is not None:
@@ -144,8 +160,12 @@ def select_ranks(df: DataFrame, components: list[Column], kinds: list[str], rank
                 if rest < r["n"]:
                     break
                 rest -= r["n"]
-            later = tuple((r[f"k0_{c}_min"], r[f"k0_{c}_max"]) for c in range(cell.component + 1, len(kinds)))
-            cell = _Cell(cell.settled, cell.component, cell.level, (r["k_min"], r["k_max"]), later).advanced(kinds)
+            def bounds(c: int, name: str) -> tuple[int, int]:
+                return _driver_key(kinds[c], r[f"{name}_min"]), _driver_key(kinds[c], r[f"{name}_max"])
+
+            later = tuple(bounds(c, f"k0_{c}") for c in range(cell.component + 1, len(kinds)))
+            here = bounds(cell.component, names[cell.component, cell.level])
+            cell = _Cell(cell.settled, cell.component, cell.level, here, later).advanced(kinds)
             if cell.component == len(kinds):
                 done[rank] = tuple(k for _, k in cell.settled)
             else:
@@ -184,7 +204,7 @@ def _group_medians(base: DataFrame, by: list[str], out: str, digit_bits: int, br
     value inside the range ``lo``..``hi`` of values, and the least value above that range (``above``)."""
     keys = [F.col(f"_g{i}") for i in range(len(by))]
     names = [f"_g{i}" for i in range(len(by))]
-    base = base.select(*[col(b).alias(g) for b, g in zip(by, names)], "_v", double_key(F.col("_v")).alias("_k"))
+    base = base.select(*[col(b).alias(g) for b, g in zip(by, names)], "_v")
     steps = [max(0, 64 - digit_bits * i) for i in range(1, math.ceil(64 / digit_bits) + 1)]
     # of each group, the smallest shift that leaves few enough buckets between its bounds (null: too far apart)
     span = lambda s: F.try_subtract(F.shiftright("khi", s), F.shiftright("klo", s))
@@ -199,20 +219,25 @@ def _group_medians(base: DataFrame, by: list[str], out: str, digit_bits: int, br
         sums = sums.withColumn("next", F.lead("lo").over(order)).where("up_to > rest AND up_to - c <= rest")
         state = sums.select(*names, "n", (F.col("rest") - F.col("up_to") + F.col("c")).alias("rest"), "c", "lo", "hi", "klo", "khi",
                             F.coalesce("next", "above").alias("above"))
-        return state.withColumn("shift", shift).checkpoint(eager=True)
+        return state.withColumn("shift", shift)
+
+    def counted(rows: DataFrame, bucket: Column, *kept: str) -> DataFrame:
+        return (rows.withColumn("_k", double_key(F.col("_v"))).groupBy(*names, bucket.alias("bucket"), *kept).agg(*ends))
 
-    bucket = [F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.min("_k").alias("klo"), F.max("_k").alias("khi")]
-    first = base.groupBy(*names, F.shiftright("_k", steps[0]).alias("bucket")).agg(*bucket)
+    ends = [F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.min("_k").alias("klo"), F.max("_k").alias("khi")]
+    first = counted(base, F.shiftright("_k", steps[0]))
     total = F.sum("c").over(Window.partitionBy(*keys))
     state = narrowed(first.withColumn("n", total).withColumn("rest", F.floor((F.col("n") - 1) / 2)).withColumn("above", F.lit(None).cast("double")))
-    while state.where("klo < khi").limit(1).count():
+    state = state.checkpoint(eager=True)
+    while True:
         open_state = state.where("klo < khi").select(*[k.alias(f"s{g}") for k, g in zip(keys, names)], "n", "rest", "above", "shift",
-                                                     F.col("klo").alias("from"), F.col("khi").alias("to"))
-        side = F.broadcast(open_state) if measured_bytes(open_state) <= broadcast_bytes else open_state
+                                                     F.col("lo").alias("from"), F.col("hi").alias("to"))
+        size = measured_bytes(open_state)
+        if not size:
+            break
         same = [F.col(g).eqNullSafe(F.col(f"s{g}")) for g in names]
-        rows = base.join(side, [*same, F.col("_k").between(F.col("from"), F.col("to"))])
-        counts = rows.groupBy(*names, F.expr("shiftright(_k, shift)").alias("bucket"), "n", "rest", "above").agg(*bucket)
-        state = narrowed(counts).unionByName(state.where("klo >= khi"))
+        rows = base.join(F.broadcast(open_state) if size <= broadcast_bytes else open_state, [*same, F.col("_v").between(F.col("from"), F.col("to"))])
+        state = narrowed(counted(rows, F.expr("shiftright(_k, shift)"), "n", "rest", "above", "shift").drop("shift")).unionByName(state.where("klo >= khi"))
         state = state.checkpoint(eager=True)
     # the upper middle value: the same one while the range holds further rows, else the least above it
     upper = F.when((F.col("n") % 2 == 1) | (F.col("rest") + 1 < F.col("c")), F.col("lo")).otherwise(F.col("above"))
