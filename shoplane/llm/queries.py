@@ -95,14 +95,13 @@ p AS (SELECT source, greatest(CAST(ceil(rate / 8.0) AS INT), 1) AS parts, rate F
 k AS (SELECT source, parts, i, exp(-(rate / parts) + i * ln(rate / parts) - lgamma(i + 1)) AS prob
       FROM p, unnest(range(0, 80)) AS x(i)),
 c AS (SELECT source, parts, i, sum(prob) OVER (PARTITION BY source ORDER BY i) AS cum FROM k),
-u AS (SELECT d.doc_id, d.source, d.text, j, p.parts,
-             CAST(CAST('0x' || substr(md5('42:' || j || ':' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE)
-             / 4503599627370496.0 AS v
-      FROM documents d JOIN p ON d.source IS NOT DISTINCT FROM p.source, unnest(range(1, p.parts + 1)) AS x(j)),
-n AS (SELECT u.doc_id, u.source, any_value(u.text) AS text, count(c.i) AS n
-      FROM u LEFT JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cum <= u.v GROUP BY u.doc_id, u.source)
-SELECT doc_id, source, CAST(copy_no AS BIGINT) AS copy_no,
-       md5('42>' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy_no) AS shuffle_key,
+d AS (SELECT row_number() OVER () AS row, doc_id, source, text, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '') AS key FROM documents),
+u AS (SELECT d.*, j, p.parts,
+             CAST(CAST('0x' || substr(md5('42:' || j || ':' || d.key), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS v
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source, unnest(range(1, p.parts + 1)) AS x(j)),
+n AS (SELECT u.row, any_value(u.doc_id) AS doc_id, any_value(u.source) AS source, any_value(u.text) AS text, any_value(u.key) AS key, count(c.i) AS n
+      FROM u LEFT JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cum <= u.v GROUP BY u.row)
+SELECT doc_id, source, CAST(copy_no AS BIGINT) AS copy_no, md5('42>' || key || ':' || copy_no) AS shuffle_key,
        md5(coalesce(text, '')) AS text_md5
 FROM n, unnest(range(1, n + 1)) AS x(copy_no)
 """
@@ -112,7 +111,7 @@ FROM n, unnest(range(1, n + 1)) AS x(copy_no)
 def op10_mix_sources(spark, d):
     from shoplane.llm.mix import mix_sources
     docs = _docs(spark, d).select("doc_id", "source", "text")  # whatever else the table has
-    mixed = mix_sources(docs, weights=None, seed=42)
+    mixed = mix_sources(docs, weights=None, seed=42, by_text=True)
     return mixed.select("doc_id", "source", "copy_no", "shuffle_key",
                         F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 

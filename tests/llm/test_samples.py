@@ -48,3 +48,16 @@ def test_mix_of_a_table_with_the_result_names(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     same = lambda d: sorted(map(tuple, QUERIES["op10_mix_sources"](spark, d).collect()), key=str)
     assert same(str(tmp_path)) == same(SF_SMALL)
+
+
+def test_mix_of_repeated_and_null_ids_equals_its_sql(spark, tmp_path):
+    import duckdb
+    from shoplane.llm.queries import SQL
+    rows = [(4, "same text", "b")] * 3 + [(4, "other text", "b"), (None, "no id", "a"), (None, "no id either", "a"), (None, None, None), (5, "", "c"), (6, "x" * 500, "a")]
+    rows += [(i, f"text {i}", "ab"[i % 2]) for i in range(10, 60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["op10_mix_sources"](spark, str(tmp_path))
+    want = db.execute(SQL["op10_mix_sources"]).fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
