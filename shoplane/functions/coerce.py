@@ -28,10 +28,6 @@ DEFAULT_TIMESTAMP_FORMATS = [
 ]
 
 
-def _is_string(c: Column, dtype: T.DataType | None) -> bool:
-    return dtype is None or isinstance(dtype, T.StringType)
-
-
 def to_ts(c: ColumnOrName, strict: bool = True, formats: list[str] | None = None,
           dtype: T.DataType | None = None, day_first: bool = False) -> Column:
     """Text to TIMESTAMP_NTZ (wall-clock time, like a naive datetime).

@@ -1,8 +1,8 @@
 """File-to-file jobs (clean, evaluate, score) on small sheets."""
 
-import pytest
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from shoplane.sources import read_table, save_model, write_brand_dictionary, write_sheet
