@@ -1062,6 +1062,46 @@ def q_m5_wide(spark, d):
                       v["size"].cast("long").alias("width"))
 
 
+@query("m6_m7_assembled_features", """
+WITH s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS sd, avg(l_discount) AS md, stddev_pop(l_discount) AS sdd FROM lineitem),
+c AS (SELECT list(DISTINCT l_returnflag ORDER BY l_returnflag) AS cats FROM lineitem)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, round((l_quantity - m) / sd, 6) AS quantity, round((l_discount - md) / sdd, 6) AS discount,
+       array_to_string(list_transform(cats, lambda x: CASE WHEN x = l_returnflag THEN 1 ELSE 0 END), ',') AS onehot
+FROM lineitem, s, c
+""")
+def q_m6(spark, d):
+    """M7 pipeline of M3, M4, M5, M6 and E9, fitted, saved, loaded and applied; the slots of the assembled vector."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from shoplane.operators.categories import CategoryIndexer
+    from shoplane.operators.features import FeatureCounter, ModeImputer, PopStandardScaler
+    li = t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag")
+    pipeline = Pipeline(stages=[
+        VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="raw"), PopStandardScaler(inputCol="raw", outputCol="scaled"),
+        ModeImputer(inputCols=["l_returnflag"], outputCols=["flag"]), CategoryIndexer(inputCols=["flag"], outputCols=["code"]),
+        OneHotEncoder(inputCols=["code"], outputCols=["hot"], dropLast=True), VectorAssembler(inputCols=["scaled", "hot"], outputCol="features"),
+        FeatureCounter(inputCol="features")])
+    path = scratch_path(spark, "features")
+    pipeline.fit(li).save(path)
+    v = vector_to_array("features")
+    rows = PipelineModel.load(path).transform(li).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", v.alias("v"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(F.col("v")[0]).alias("quantity"), r6(F.col("v")[1]).alias("discount"),
+                       F.array_join(F.transform(F.slice("v", 3, 100), lambda e: e.cast("int")), ",").alias("onehot"))
+
+
+@query("e9_float32", """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, round(CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE), 4) AS price,
+       CAST(CAST(l_partkey AS FLOAT) AS DOUBLE) AS part FROM lineitem
+""")
+def q_e9(spark, d):
+    from shoplane.operators.features import CastToFloat32
+    li = t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey", "l_suppkey",
+                                        F.col("l_extendedprice").alias("price"), F.col("l_partkey").alias("part"))
+    r = CastToFloat32(inputCols=["price", "part"]).transform(li)
+    return r.withColumn("price", F.round(F.col("price").cast("double"), 4)).withColumn("part", F.col("part").cast("double"))
+
+
 @query("m8_linear_regression", """
 SELECT round(regr_slope(l_quantity, l_extendedprice), 10) AS slope,
        round(regr_intercept(l_quantity, l_extendedprice), 6) AS intercept

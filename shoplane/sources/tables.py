@@ -8,6 +8,7 @@ inference pass over the data) and coerced afterwards.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -21,24 +22,28 @@ def read_table(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 def read_sheet(spark: SparkSession, path: str | Sequence[str],
                schema: T.StructType | str | None = None, columns: Iterable[str] | None = None,
-               sep: str = ",") -> DataFrame:
+               sep: str = ",", multi_line: bool = True) -> DataFrame:
     """Exported worksheet(s) (CSV with a header row), many files at once.
 
     With no ``schema`` every column is read as text (``columns`` names them;
-    else the header is used), leaving typing to ``coerce_types`` -- Spark never
-    scans the data to infer types.
+    else each path's header does), leaving typing to ``coerce_types`` -- Spark never
+    scans the data to infer types. Paths whose headers differ in order or names are aligned by name, in the
+    first one's order, with nulls where a sheet lacks a column; inside one path (a folder) a file of another
+    header fails instead of filling the wrong columns. ``multi_line=False`` is for sheets without line breaks in cells:
+    their files can be split between tasks.
     """
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True) \
-        .option("escape", '"').option("mode", "FAILFAST")
+    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line) \
+        .option("escape", '"').option("mode", "FAILFAST").option("enforceSchema", False)
     if schema is None and columns is not None:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    if schema is not None:
-        reader = reader.schema(schema)
     paths = [path] if isinstance(path, str) else list(path)
-    if schema is None:  # the first file's header names the columns, all text
-        reader = reader.schema(reader.option("inferSchema", False).csv(paths[0]).schema)
-    # a file whose header differs in names or order fails instead of filling the wrong columns
-    return reader.option("enforceSchema", False).csv(paths)
+    if schema is not None:
+        return reader.schema(schema).csv(paths)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        by_header.setdefault(tuple(spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line).option("escape", '"').csv(p).columns), []).append(p)
+    frames = [reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in header])).csv(same) for header, same in by_header.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def records_to_df(spark: SparkSession, records: list[dict] | dict,

@@ -85,3 +85,14 @@ def test_merge_options(spark):
     both = {(r.x, str(r.Date)) for r in merge_sheets(lines, orders, null_safe=True, day_first=True).collect()}
     assert both == {("a", "2021-12-16 18:23:10"), ("b", "2021-04-03 00:00:00")}
     assert {str(r.Date) for r in merge_sheets(lines, orders, null_safe=True).collect()} == {"2021-12-16 18:23:10", "2021-03-04 00:00:00"}
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_sheets_of_other_column_orders(spark, tmp_path, multi_line):
+    from shoplane.sources import read_sheet
+    write_sheet(spark.createDataFrame([("1", "x, y")], "`WO#` string, note string"), f"{tmp_path}/a")
+    write_sheet(spark.createDataFrame([("say \"hi\"", "2", "new")], "note string, `WO#` string, extra string"), f"{tmp_path}/b")
+    write_sheet(spark.createDataFrame([("3", "z")], "`WO#` string, note string"), f"{tmp_path}/c")
+    got = read_sheet(spark, [f"{tmp_path}/{x}" for x in "abc"], multi_line=multi_line)
+    assert got.columns == ["WO#", "note", "extra"]
+    assert sorted(map(tuple, got.collect())) == [("1", "x, y", None), ("2", 'say "hi"', "new"), ("3", "z", None)]
