@@ -39,7 +39,11 @@ def _dense_parts(vectors: pa.Array, slots: int):
 
 
 def _columns(df: DataFrame, features: str, label: str, segment: str) -> DataFrame:
-    return df.select(F.col(segment).cast("int").alias("s"), F.unwrap_udt(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"))
+    """(s, x, y) for the tasks. A dense vector's missing indices are an empty list: Arrow's writer looks through the batch's lists again
+    with every row if some are null."""
+    rows = df.select(F.col(segment).cast("int").alias("s"), F.unwrap_udt(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"))
+    whole = F.struct("x.type", F.coalesce("x.indices", F.array().cast("array<int>")).alias("indices"), "x.values")
+    return rows.select("s", whole.alias("x"), "y")
 
 
 def slots_of(df: DataFrame, features: str = "features") -> int:
@@ -168,7 +172,7 @@ def segment_errors(df: DataFrame, fits: dict[int, tuple[np.ndarray, np.ndarray]]
 def grid_errors(df: DataFrame, penalties, n_splits: int, features: str = "features", label: str = "label", segment: str = "segment") -> list[list[float]]:
     """Mean absolute error of each fold (rows) and penalty (columns): fold i is fitted on the segments below i and scored on segment i.
     ``penalties`` are functions of the training rows' number that return (l1, l2)."""
-    moments = segment_moments(df, features, label, segment)
+    moments = segment_moments(df.where(F.col(segment) < n_splits), features, label, segment)  # nothing is fitted on the last segment
     fits, total = {}, None
     for s in range(n_splits + 1):
         if s and total is not None:

@@ -259,17 +259,18 @@ def cut_keys(df: DataFrame, order: list[str], ranks: Callable[[int], list[int]],
         for at in _levels(kinds, key):
             names.setdefault(at, f"k{at[1]}_{at[0]}")
     fields = [f"o{i}" for i in range(len(order))]
-    keyed = df.select(*[_key(components[c], kinds[c], level).alias(name) for (c, level), name in names.items()],
+    # numbers are compared as they are; rows of no cut are left out before they are grouped (their structs would all be sorted)
+    keyed = df.select(*[(components[c] if kinds[c] == "float" else _key(components[c], kinds[c], level)).alias(name) for (c, level), name in names.items()],
                       *[_as_value(col(c), df.schema[c].dataType).alias(f) for c, f in zip(order, fields)])
     which = F.lit(None).cast("int")
     for i, key in enumerate(wanted):
         here = F.lit(True)
         for at, k in zip(_levels(kinds, key), key):
-            here = here & (F.col(names[at]) == F.lit(k))
+            here = here & (F.col(names[at]) == F.lit(_value(kinds[at[0]], k)))
         which = F.when(here, F.lit(i)).otherwise(which)
     # equal keys are equal values: any row of a cut has them
-    rows = keyed.select(which.alias("at"), *fields).groupBy("at").agg(F.min(F.struct(*fields)).alias("v")).collect()
-    found = {wanted[r["at"]]: {c: r["v"][f] for c, f in zip(order, fields)} for r in rows if r["at"] is not None}
+    rows = keyed.select(which.alias("at"), *fields).where("at IS NOT NULL").groupBy("at").agg(F.min(F.struct(*fields)).alias("v")).collect()
+    found = {wanted[r["at"]]: {c: r["v"][f] for c, f in zip(order, fields)} for r in rows}
     return n, [found[k] for k in keys]
 
 
@@ -306,8 +307,16 @@ def before(df: DataFrame, order: list[str], key: dict) -> Column:
 
 
 def segment(df: DataFrame, order: list[str], keys: list[dict]) -> Column:
-    """How many of the ascending ``keys`` are at or before the row."""
-    at = F.lit(0)
+    """How many of the ascending ``keys`` are at or before the row. Row and key are compared as structs, in which a flag
+    beside each value puts nulls last: one short method a key, where ``before`` of all keys would be one too long to be compiled."""
+    if not keys:
+        return F.lit(0)
+
+    def flagged(values: list[Column]) -> Column:
+        return F.struct(*[f for i, v in enumerate(values) for f in (v.isNull().alias(f"n{i}"), v.alias(f"v{i}"))])
+
+    row, at = flagged([col(c) for c in order]), F.lit(0)
     for key in keys:
-        at = at + (~before(df, order, key)).cast("int")
+        cut = flagged([F.lit(None).cast(df.schema[c].dataType) if key[c] is None else _as_literal(key[c], df.schema[c].dataType) for c in order])
+        at = at + (row >= cut).cast("int")
     return at

@@ -1,12 +1,21 @@
 """Steps that grow with the rows only: stored rows are read again instead of the tables, and nothing is sent in a slow form."""
 
 import datetime as dt
+import re
 
+import numpy as np
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from shoplane.operators import gram
+from shoplane.operators.selection import cut_keys, segment
 from shoplane.plans import workflow as WF
 
 
+def _explained(df, mode="codegen"):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+
 def test_evaluation_rows_are_prepared_once(spark):
     day = dt.datetime(2024, 1, 1)
     rows = [(i, day, day + dt.timedelta(days=900 if i == 0 else i % 5), "(n/a)" if i == 1 else "$9,000,000.00" if i == 2 else f"${i % 7}.50") for i in range(60)]
@@ -25,3 +34,22 @@ def test_evaluation_rows_are_prepared_once(spark):
     assert seen.value == 60
     none = WF.prepare_evaluation(df.limit(0), counts=counts)
     assert none.count() == 0 and counts == {"Repair Duration": 0, "Total_y": 0}
+
+
+def test_fold_bounds_are_compiled(spark):
+    df = spark.range(3000).select((F.col("id") % 50).alias("a"), (F.col("id") % 7 / 100).alias("x"), (F.col("id") / 1000).alias("y"),
+                                  F.when(F.col("id") % 3 > 0, F.col("id")).alias("id"))
+    order = ["a", "x", "y", "id"]
+    _, keys = cut_keys(df, order, lambda n: [100 * k for k in range(1, 9)])
+    rows = df.select("*", segment(df, order, keys).alias("s"))
+    # the JVM leaves methods of more than 8,000 bytes uncompiled
+    assert all(int(size) < 8000 for size in re.findall(r"maxMethodCodeSize:(\d+)", _explained(rows.where("s < 8"))))
+    assert [r["count"] for r in rows.groupBy("s").count().orderBy("s").collect()] == [*[100] * 8, 2200]
+
+
+def test_vectors_go_to_the_tasks_without_null_lists(spark):
+    df = spark.createDataFrame([(s, Vectors.dense([1.0, s]) if s % 2 else Vectors.sparse(2, [0], [2.0]), float(s)) for s in range(4)], ["segment", "features", "label"])
+    x = gram._columns(df, "features", "label", "segment")
+    assert x.where("x.indices IS NULL OR x.values IS NULL").count() == 0
+    m = gram.segment_moments(df.withColumn("segment", F.lit(0)))[0]
+    np.testing.assert_allclose(m.centred()[0], [1.5, 1.0])
