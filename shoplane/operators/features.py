@@ -152,7 +152,8 @@ class TfidfTop(Estimator, HasInputCol, HasOutputCol, _RW):
     or more word characters, lower-cased). Vocabulary in alphabetical order,
     frequency ties broken alphabetically; weight tf * (ln((1+n)/(1+df)) + 1),
     rows L2-normalised. Fitting counts hash buckets, the terms of the largest buckets, and the
-    documents of the chosen terms (``frequent``): the whole vocabulary is never a table."""
+    documents of the chosen terms (``frequent``): the whole vocabulary is never a table. A column of token arrays (as ``tokens``
+    makes them) is taken as it is, so that rows read many times are tokenized once."""
 
     maxFeatures = Param(Params._dummy(), "maxFeatures", "vocabulary size", TypeConverters.toInt)
 
@@ -166,9 +167,14 @@ class TfidfTop(Estimator, HasInputCol, HasOutputCol, _RW):
     def tokens(c):
         return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(W.TFIDF_TOKEN_PATTERN), 0)
 
+    @staticmethod
+    def tokens_of(df: DataFrame, name: str):
+        """The tokens of a column of texts or of token arrays."""
+        return col(name) if isinstance(df.schema[name].dataType, T.ArrayType) else TfidfTop.tokens(col(name))
+
     def _fit(self, df: DataFrame) -> "TfidfTopModel":
         from shoplane.operators.frequent import document_counts, top_terms
-        tokens = self.tokens(col(self.getInputCol()))
+        tokens = self.tokens_of(df, self.getInputCol())
         vocab = sorted(w for w, _ in top_terms(df, tokens, self.getOrDefault("maxFeatures")))
         n, held = document_counts(df, tokens, vocab)
         idf = [math.log((1 + n) / (1 + held[w])) + 1 for w in vocab]
@@ -193,7 +199,7 @@ class TfidfTopModel(Model, HasInputCol, HasOutputCol, _RW):
         tmp_tok, tmp_tf, tmp_w = "_tfidf_tok", "_tfidf_tf", "_tfidf_w"
         if not vocab:
             return df.withColumn(out, array_to_vector(F.array().cast("array<double>")))
-        t = df.withColumn(tmp_tok, TfidfTop.tokens(col(self.getInputCol())))
+        t = df.withColumn(tmp_tok, TfidfTop.tokens_of(df, self.getInputCol()))
         cv = CountVectorizerModel.from_vocabulary(vocab, inputCol=tmp_tok, outputCol=tmp_tf)
         ep = ElementwiseProduct(scalingVec=Vectors.dense(self.getOrDefault("idf")),
                                 inputCol=tmp_tf, outputCol=tmp_w)

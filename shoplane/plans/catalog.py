@@ -1119,8 +1119,8 @@ def q_m8(spark, d):
 def work_orders_frame(spark, d) -> DataFrame:
     """Work orders for model training: lines joined to orders (J1), part name
     as brand/model, document text as description."""
-    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("WO#"), F.col("l_linenumber").alias("Item"),
-                                           "l_partkey", F.col("l_shipdate").alias("Date"))
+    lines = S.spread(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("WO#"), F.col("l_linenumber").alias("Item"),
+                                                    "l_partkey", F.col("l_shipdate").alias("Date")))
     orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("ID"), F.col("o_orderdate").alias("Date In"),
                                           F.col("o_orderpriority").alias("Type"), F.col("o_orderstatus").alias("Shop"))
     part = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("Brand and model"))
@@ -1176,7 +1176,8 @@ p AS (SELECT f.k, w.alpha, r.*, w.b + w.w AS p FROM r JOIN f ON r.i >= f.s AND r
 
 
 def chain_frame(spark, d) -> DataFrame:
-    li = t(spark, d, "lineitem").where(F.col("l_shipdate").isNotNull())
+    li = S.spread(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")
+                  .where(F.col("l_shipdate").isNotNull()))
     start = F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")
     share = F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.5)
     days = F.floor(F.greatest(D.repair_duration(start, F.col("l_shipdate").cast("timestamp_ntz")), F.lit(0)) * share)

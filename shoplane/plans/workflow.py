@@ -22,7 +22,8 @@ from shoplane.operators.metrics import density_curve, regression_metrics, residu
 from shoplane.operators.models import (REGISTRY, coefficients, compare_models, top_coefficients)
 from shoplane.operators.notes import split_note_columns
 from shoplane.operators.ordered import time_segments, time_split
-from shoplane.session import ensure_checkpoint_dir
+from shoplane.session import ensure_checkpoint_dir, scratch_path
+from shoplane.sources import read_table, write_table
 
 # FIXED VALUES -- feature columns.
 NUMERIC = ["Year", "Month", "WeekOfYear", "DayOfWeek", "Quarter", "IsWeekend"]
@@ -132,12 +133,18 @@ def train_duration_models(df: DataFrame, order: list[str], models=("Linear Regre
     predicates on the order columns; no row is numbered."""
     prefix = raw_stages()
     rows = PipelineModel(stages=prefix).transform(prepare_training(df, categorical=categorical))
-    # the models read these columns only: raw notes are not checkpointed
-    rows = rows.select(*[S.col(c) for c in dict.fromkeys(
-        [*order, "Processed_Repair_Description", *NUMERIC, *categorical, "label"])])
-    rows = rows.checkpoint(eager=True)  # reused by every fold fit; survives executor loss
+    # the models read these columns only: raw notes are not stored. Every fit reads the table again, most of them few of its
+    # columns, so it is Parquet on the shared folder, with the texts as tokens
+    text = "Processed_Repair_Description"
+    rows = rows.select(*[TfidfTop.tokens_of(rows, c).alias(c) if c == text else S.col(c) for c in dict.fromkeys([*order, text, *NUMERIC, *categorical, "label"])])
+    path = scratch_path(df.sparkSession, "training")
+    write_table(rows, path)
+    rows = read_table(df.sparkSession, path)
     train, test = time_split(rows, order, ratio)
     train, n_train = time_segments(train, order, n_splits, "_segment")
+    path = scratch_path(df.sparkSession, "segments")
+    write_table(train, path, partition_by=["_segment"])  # a fold reads its own segments
+    train = read_table(df.sparkSession, path)
 
     def stages(est):
         return duration_stages(est, max_features, categorical=categorical)
@@ -185,8 +192,9 @@ def evaluate_model(model: PipelineModel, df: DataFrame, top_k: int = 20, bins: i
     """Scores (M17), metrics (A10), residual histogram (A11), top-k
     coefficients (M18, O4)."""
     scored = model.transform(df).filter(~F.isnan("prediction"))
-    metrics = regression_metrics(scored, label, "prediction")
-    resid = scored.select((F.col(label) - F.col("prediction")).alias("residual"))
+    pairs = scored.select(S.col(label).alias(label), "prediction").checkpoint(eager=True)  # scored once
+    metrics = regression_metrics(pairs, label, "prediction")
+    resid = pairs.select((F.col(label) - F.col("prediction")).alias("residual"))
     hist = residual_histogram(resid, "residual", bins)
     coefs = top_coefficients(coefficients(model, scored), top_k)
     return metrics, hist, coefs
