@@ -7,6 +7,11 @@ Java float suffixes such as ``'12d'``).
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from itertools import groupby
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,11 +54,27 @@ def to_ts(c: ColumnOrName, strict: bool = True, formats: list[str] | None = None
         fmts = [f.replace("M/d/", "d/M/") for f in fmts] + [f for f in fmts if "M/d/" in f]
     elif not formats:
         fmts = [*fmts, *(f for f in exchanged if f not in fmts)]
-    tries = [F.try_to_timestamp(col, F.lit(f)).cast("timestamp_ntz") for f in fmts]
+    tries = _by_formats(col, fmts)
     iso = [] if formats else [F.when(col.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}"), col.try_cast("timestamp_ntz"))]
     return F.coalesce(*iso, *tries)
 
 
+def _separators(fmt: str) -> str:
+    """The separators that a text of the format has ("" if that isn't plain: optional or quoted parts other than the default ones)."""
+    plain = re.sub(r"'T'|\[\.S+\]", "", fmt)
+    return "" if re.search(r"['\[\]]", plain) else "".join(sorted(set(re.findall(r"[/:-]", plain))))
+
+
+def _by_formats(col: Column, fmts: list[str]) -> list[Column]:
+    """``col`` by each format in order. Formats are tried only where the text has their separators, since a failed try costs many
+    times a parsed text; neighbours of the same separators share the test, which keeps the generated method short enough to be compiled."""
+    out = []
+    for separators, group in groupby(fmts, _separators):
+        parsed = F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in group]).cast("timestamp_ntz")
+        out.append(F.when(reduce(and_, [col.contains(c) for c in separators]), parsed) if separators else parsed)
+    return out
+
+
 def to_number(c: ColumnOrName) -> Column:
     """Lenient text -> double: plain numbers only, anything else null."""
     col = _col(c).cast("string")

@@ -53,3 +53,18 @@ def test_vectors_go_to_the_tasks_without_null_lists(spark):
     assert x.where("x.indices IS NULL OR x.values IS NULL").count() == 0
     m = gram.segment_moments(df.withColumn("segment", F.lit(0)))[0]
     np.testing.assert_allclose(m.centred()[0], [1.5, 1.0])
+
+
+def test_formats_share_their_tests_and_find_the_same_times(spark):
+    from shoplane.functions import coerce as C
+    texts = ["1/5/2024", "13/5/2024", "2024-01-05", " 2024-1-5", "1/5/2024 7:08:09", "1/5/2024 7:08", "1/5/2024 7:08 PM", "16/12/2024 1:02:03 am", "2024-01-05T07:08:09",
+             "2024/01/05", "05-01-2024", "7:08", "n/a", "", None, "a:b/c-d", "5.1.2024", "20240105 0708"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    formats = [*C.DEFAULT_TIMESTAMP_FORMATS, "dd-MM-yyyy", "d.M.yyyy", "yyyyMMdd HHmm", "d/M/yyyy", "H:mm 'h'"]
+    plain = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)).cast("timestamp_ntz") for f in formats])
+    for got, want in df.select(C.to_ts("t", strict=False, formats=formats), plain).collect():
+        assert got == want
+    typed = df.select(C.to_ts("t", strict=False).alias("v"))
+    assert sum(r.v is not None for r in typed.collect()) == 9
+    plan = _explained(typed, "extended").split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].lower()
+    assert plan.count("contains(t") >= 6  # a text without the separators is given to no parser
