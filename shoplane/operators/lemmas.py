@@ -11,6 +11,7 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoplane.functions import text as X
 from shoplane.functions import wordlists as W
@@ -34,7 +35,7 @@ def lemma_table(words: DataFrame, lexicon: DataFrame, exceptions: DataFrame, rul
     """(word, lemma) of the distinct non-null ``words`` (column word) whose lemma is another word. ``lexicon`` has a column
     lemma, ``exceptions`` form and lemma; repeated entries are one, of contradictory exceptions the least counts."""
     words = words.select("word").where("word IS NOT NULL").distinct().checkpoint(eager=True)
-    known = lexicon.select(F.col("lemma").alias("stem")).where("stem IS NOT NULL").distinct()
+    known = lexicon.select(F.col("lemma").alias("stem")).where("stem IS NOT NULL").distinct().checkpoint(eager=True)  # measured, then joined
     exact = exceptions.where("form IS NOT NULL AND lemma IS NOT NULL").groupBy("form").agg(F.min("lemma").alias("exact"))
     word = F.col("word")
     stems = [F.when(word.endswith(suffix) & (F.length(word) > len(suffix)),
@@ -68,11 +69,27 @@ def lemmatize_rows(df: DataFrame, tokens_col: str, table: DataFrame, key: str, p
     return joined.withColumn(tokens_col, replaced).drop("_k", "_t")
 
 
+def cleaned_tokens(text: Column, stop_words: list[str] = W.ENGLISH_STOP_WORDS) -> Column:
+    """The tokens of a text that get lemmas: lower-case, letters only, no stop words."""
+    return X.remove_stop_words(X.tokenize(X.letters_only(F.coalesce(text, F.lit("")))), stop_words)
+
+
+def held_words(rows: DataFrame, tokens_col: str, key: str) -> DataFrame:
+    """(word, n): how many different ``key`` values hold each word. Rows whose key comes once are counted word by word, so that a task
+    sends one row a word; only those of repeated keys are made distinct by key."""
+    often = rows.groupBy(col(key).alias("_r")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_r", F.lit(True).alias("_often")).checkpoint(eager=True)
+    marked = rows.select(col(key).alias("_k"), F.array_distinct(col(tokens_col)).alias("_t")).join(_near(often, 32 << 20), F.col("_k").eqNullSafe(F.col("_r")), "left")
+    once = marked.where("_often IS NULL").select(F.explode("_t").alias("word"))
+    more = marked.where("_often").select("_k", F.explode("_t").alias("word")).distinct().select("word")
+    return once.unionByName(more).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
 def preprocess_with_lexicon(df: DataFrame, text_col: str, out: str, key: str, lexicon: DataFrame, exceptions: DataFrame | None = None,
                             stop_words: list[str] = W.ENGLISH_STOP_WORDS, **kw) -> DataFrame:
-    """E8 with dictionary-checked lemmas: lower-case, letters only, tokens, no stop words, noun lemmas, joined again."""
-    cleaned: Column = X.remove_stop_words(X.tokenize(X.letters_only(F.coalesce(col(text_col), F.lit("")))), stop_words)
-    rows = df.withColumn(out, cleaned)
+    """E8 with dictionary-checked lemmas: lower-case, letters only, tokens, no stop words, noun lemmas, joined again. ``text_col`` may
+    hold the ``cleaned_tokens`` themselves, where they are stored already."""
+    stored = isinstance(df.schema[text_col].dataType, T.ArrayType)
+    rows = df.withColumn(out, col(text_col) if stored else cleaned_tokens(col(text_col), stop_words))
     exceptions = exceptions_frame(df.sparkSession) if exceptions is None else exceptions
     table = lemma_table(rows.select(F.explode(out).alias("word")), lexicon, exceptions)
     return lemmatize_rows(rows, out, table, key, **kw).withColumn(out, X.join_tokens(col(out)))

@@ -941,13 +941,15 @@ p AS (SELECT id, i, coalesce(ex.lemma, ruled.lemma, x.word) AS word
 SELECT pre1.id AS doc_id, coalesce(string_agg(p.word, ' ' ORDER BY i), '') AS processed FROM pre1 LEFT JOIN p ON p.id = pre1.id GROUP BY pre1.id
 """)
 def q_x10(spark, d):
-    from shoplane.operators.lemmas import preprocess_with_lexicon
-    docs = S.spread(t(spark, d, "documents").select("doc_id", "text"))
-    words = docs.select("doc_id", F.explode(X.remove_stop_words(X.tokenize(X.letters_only(F.coalesce("text", F.lit("")))))).alias("lemma"))
-    lexicon = (words.where((F.length("lemma") >= 3) & ~F.col("lemma").endswith("s")).distinct().groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
-               .where("n >= 3").select("lemma"))
+    from shoplane.operators.lemmas import cleaned_tokens, held_words, preprocess_with_lexicon
+    # tokenized once: the lexicon, the distinct words and the rows read the stored tokens
+    path = scratch_path(spark, "tokens")
+    S.spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", cleaned_tokens(F.col("text")).alias("tokens")).write.parquet(path)
+    docs = spark.read.parquet(path)
+    lexicon = (held_words(docs, "tokens", "doc_id").where((F.length("word") >= 3) & ~F.col("word").endswith("s") & (F.col("n") >= 3))
+               .select(F.col("word").alias("lemma")))
     forms = spark.createDataFrame([("thes", "thesis"), ("ones", "one"), ("men", "man")], "form string, lemma string")
-    return preprocess_with_lexicon(docs, "text", "processed", "doc_id", lexicon, forms).select("doc_id", "processed")
+    return preprocess_with_lexicon(docs, "tokens", "processed", "doc_id", lexicon, forms).select("doc_id", "processed")
 
 
 @query("m1_tfidf", "WITH " + sql_preprocess("documents", "doc_id", "text") + r""",

@@ -68,3 +68,16 @@ def test_formats_share_their_tests_and_find_the_same_times(spark):
     assert sum(r.v is not None for r in typed.collect()) == 9
     plan = _explained(typed, "extended").split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].lower()
     assert plan.count("contains(t") >= 6  # a text without the separators is given to no parser
+
+
+def test_held_words_count_keys_once(spark):
+    from shoplane.operators.lemmas import cleaned_tokens, held_words, preprocess_with_lexicon
+    rows = [(1, ["a", "a", "b"]), (2, ["a"]), (2, ["a", "c"]), (3, None), (None, ["a", "b"]), (None, ["a"]), (4, [])]
+    df = spark.createDataFrame(rows, "k long, t array<string>")
+    assert {r.word: r.n for r in held_words(df, "t", "k").collect()} == {"a": 3, "b": 2, "c": 1}
+    texts = spark.createDataFrame([(1, "The wolves' boxes, boxes"), (2, None), (3, "wolf box")], "k long, t string")
+    lexicon = spark.createDataFrame([("wolf",), ("box",)], "lemma string")
+    want = {1: "wolf box box", 2: "", 3: "wolf box"}
+    stored = texts.select("k", cleaned_tokens(F.col("t")).alias("t")).checkpoint(eager=True)
+    for source in (texts, stored):
+        assert {r.k: r.out for r in preprocess_with_lexicon(source, "t", "out", "k", lexicon).collect()} == want
