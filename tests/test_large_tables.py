@@ -81,3 +81,27 @@ def test_held_words_count_keys_once(spark):
     stored = texts.select("k", cleaned_tokens(F.col("t")).alias("t")).checkpoint(eager=True)
     for source in (texts, stored):
         assert {r.k: r.out for r in preprocess_with_lexicon(source, "t", "out", "k", lexicon).collect()} == want
+
+
+def test_models_share_the_fitted_stages_of_a_fold(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from shoplane.operators.features import TfidfTop
+    from shoplane.operators.models import REGISTRY, time_series_grid_search
+    df = spark.range(120).select(F.col("id").alias("row_idx"), (F.col("id") % 11).cast("double").alias("a"), (F.col("id") % 7 + F.col("id") / 9).alias("label")).checkpoint()
+    shared = {}
+
+    def stages(est):
+        return Pipeline(stages=[Imputer(strategy="mean", inputCols=["a"], outputCols=["b"]), VectorAssembler(inputCols=["b"], outputCol="features"), est])
+
+    first = time_series_grid_search(df, 120, stages, REGISTRY["Ridge Regression"], 2, shared=shared)
+    fitted = dict(shared)
+    assert len(fitted) == 6  # stages and statistics of two folds and of all rows
+    second = time_series_grid_search(df, 120, stages, REGISTRY["Ridge Regression"], 2, shared=shared)
+    assert shared == fitted and first[1:] == second[1:]
+    assert first[3] == time_series_grid_search(df, 120, stages, REGISTRY["Ridge Regression"], 2)[3]
+    texts = spark.createDataFrame([(1, "Brake pads brake"), (2, None), (3, "pads a worn")], "id long, t string")
+    arrays = texts.select("id", TfidfTop.tokens(F.col("t")).alias("t"))
+    a, b = (TfidfTop(inputCol="t", outputCol="v", maxFeatures=3).fit(x) for x in (texts, arrays))
+    assert a.getOrDefault("vocabulary") == b.getOrDefault("vocabulary") == ["brake", "pads", "worn"] and a.getOrDefault("idf") == b.getOrDefault("idf")
+    assert a.transform(texts).select("id", "v").collect() == b.transform(arrays).select("id", "v").collect() == b.transform(texts).select("id", "v").collect()
