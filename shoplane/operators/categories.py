@@ -39,10 +39,14 @@ class CategoryIndexer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReada
     def _fit(self, df: DataFrame) -> "CategoryIndexerModel":
         pairs = F.array(*[F.struct(F.lit(i).alias("column"), col(c).cast("string").alias("value")) for i, c in enumerate(self.getInputCols())])
         values = df.select(F.inline(pairs)).where("value IS NOT NULL").distinct()  # partial: a hot value is one row a task
-        coded = ordered_index(values.checkpoint(eager=True), ["value"], ["column"], index_col="code", rows_per_bucket=self.getOrDefault("rowsPerBucket"))
-        path = scratch_path(df.sparkSession, "categories")
+        return self.fitted(values.checkpoint(eager=True))
+
+    def fitted(self, values: DataFrame) -> "CategoryIndexerModel":
+        """The model of the distinct (column, value) pairs, which are read more than once."""
+        coded = ordered_index(values, ["value"], ["column"], index_col="code", rows_per_bucket=self.getOrDefault("rowsPerBucket"))
+        path = scratch_path(values.sparkSession, "categories")
         coded.select("column", "value", "code").write.parquet(path)
-        dictionary = df.sparkSession.read.parquet(path)
+        dictionary = values.sparkSession.read.parquet(path)
         sizes = {r["column"]: r["n"] for r in dictionary.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
         model = CategoryIndexerModel(inputCols=self.getInputCols(), outputCols=self.getOutputCols(),
                                      sizes=[sizes.get(i, 0) for i in range(len(self.getInputCols()))], broadcastBytes=self.getOrDefault("broadcastBytes"))

@@ -177,6 +177,19 @@ class TfidfTop(Estimator, HasInputCol, HasOutputCol, _RW):
         tokens = self.tokens_of(df, self.getInputCol())
         vocab = sorted(w for w, _ in top_terms(df, tokens, self.getOrDefault("maxFeatures")))
         n, held = document_counts(df, tokens, vocab)
+        return self.fitted(vocab, n, held)
+
+    def fit_folds(self, df: DataFrame, segment: str, folds: list[int]) -> list["TfidfTopModel"]:
+        """The models of all expanding folds (rows of a ``segment`` below each of ``folds``), from the passes of one fit."""
+        from shoplane.operators.frequent import fold_document_counts, fold_top_terms
+        tokens = self.tokens_of(df, self.getInputCol())
+        tops = fold_top_terms(df, tokens, segment, folds, self.getOrDefault("maxFeatures"))
+        vocabs = [sorted(w for w, _ in top) for top in tops]
+        counts = fold_document_counts(df, tokens, segment, folds, sorted({w for v in vocabs for w in v}))
+        return [self.fitted(vocab, n, held) for vocab, (n, held) in zip(vocabs, counts)]
+
+    def fitted(self, vocab: list[str], n: int, held: dict[str, int]) -> "TfidfTopModel":
+        """The model of ``vocab``, by the number of documents and of those that hold each term."""
         idf = [math.log((1 + n) / (1 + held[w])) + 1 for w in vocab]
         m = TfidfTopModel(inputCol=self.getInputCol(), outputCol=self.getOutputCol(),
                           vocabulary=vocab, idf=idf)
@@ -226,12 +239,13 @@ class PopStandardScaler(Estimator, HasInputCol, HasOutputCol, _RW):
         s = df.select(Summarizer.metrics("mean", "variance", "count").summary(
             col(self.getInputCol())).alias("s")).first()["s"]
         n = s["count"]
-        mean = [float(x) for x in s["mean"]]
-        std = [math.sqrt(max(v, 0.0) * (n - 1) / n) if n else 0.0 for v in s["variance"]]
-        std = [x if x > 0 else 1.0 for x in std]
-        m = PopStandardScalerModel(inputCol=self.getInputCol(), outputCol=self.getOutputCol(),
-                                   mean=mean, std=std)
-        return m
+        return self.fitted(s["mean"], [v * (n - 1) / n if n else 0.0 for v in s["variance"]])
+
+    def fitted(self, mean, variance) -> "PopStandardScalerModel":
+        """The model of the slots' means and population variances."""
+        std = [math.sqrt(max(v, 0.0)) for v in variance]
+        return PopStandardScalerModel(inputCol=self.getInputCol(), outputCol=self.getOutputCol(),
+                                      mean=[float(x) for x in mean], std=[x if x > 0 else 1.0 for x in std])
 
 
 class PopStandardScalerModel(Model, HasInputCol, HasOutputCol, _RW):
@@ -287,6 +301,11 @@ class ModeImputer(Estimator, HasInputCols, HasOutputCols, _RW):
             r = (df.filter(col(c).isNotNull()).groupBy(col(c).alias("v")).count()
                  .orderBy(F.desc("count"), F.asc("v")).limit(1).collect())
             modes[c] = str(r[0]["v"]) if r else NO_MODE
+        return self.fitted(modes)
+
+    def fitted(self, modes: dict[str, str]) -> "ModeImputerModel":
+        """The model of the columns' modes; a column without one is all null."""
+        cols = self.getInputCols()
         return ModeImputerModel(inputCols=cols,
                                 outputCols=self.getOutputCols() if self.isSet("outputCols") else cols,
                                 modes=[modes.get(c, NO_MODE) for c in cols])

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from shoplane.operators.categories import CategoryIndexerModel, named_slots
 from shoplane.operators.features import vector_names
+from shoplane.operators.folds import FoldFits, FoldPlan, fits_by_moments
 from shoplane.operators.gram import MAX_SLOTS, grid_errors, slots_of
 from shoplane.operators.joins import union_by_name
 from shoplane.operators.metrics import regression_metrics
@@ -131,7 +132,7 @@ def _set_up(stages: list) -> tuple:
 def time_series_grid_search(train: DataFrame, n: int, stages: Callable[[Estimator], Pipeline],
                             spec: ModelSpec, n_splits: int = 5, index_col: str = "row_idx",
                             label: str = "label", parallelism: int = 4, segment_col: str | None = None,
-                            shared: dict | None = None) -> tuple[PipelineModel, dict, float, list[dict]]:
+                            shared: dict | None = None, together: list[ModelSpec] | None = None) -> tuple[PipelineModel, dict, float, list[dict]]:
     """Every parameter set is fitted on each expanding-window fold's
     training rows and scored by MAE on the fold's test rows; the best mean MAE
     wins and is refitted on all of ``train``. ``train`` carries ``segment_col`` (``ordered.time_segments``) or else
@@ -139,7 +140,8 @@ def time_series_grid_search(train: DataFrame, n: int, stages: Callable[[Estimato
 
     Where the feature stages have nothing to fit, the rows are transformed once; else they are fitted once per fold. Linear models
     of up to ``gram.MAX_SLOTS`` slots get all their fits of a fold from one aggregate of sums of products (``gram``) over the fold's
-    vectors as they are made; for the others, which are fitted one by one, the vectors are checkpointed. ``shared`` keeps what was
+    vectors as they are made; for the others, which are fitted one by one, the vectors are checkpointed. Linear models over the stages that
+    ``folds`` knows are counted for all folds at once there, and those of ``together`` scored in the same pass. ``shared`` keeps what was
     fitted on a fold's rows for further models over the same ``train`` whose feature stages are set up alike."""
     shared = {} if shared is None else shared
     if segment_col is None:
@@ -163,6 +165,24 @@ def time_series_grid_search(train: DataFrame, n: int, stages: Callable[[Estimato
             shared[key] = Pipeline(stages=unfitted).fit(rows)
         return shared[key], shared[i, label]
 
+    def known():
+        """The ``FoldFits`` of stages that it can count, for linear models; else None."""
+        unfitted = features({"n": 1, "std_y_pop": 1.0, "std_y_samp": 1.0})
+        key = ("folds", label, segment_col, n_splits, _set_up(unfitted))
+        if key not in shared:
+            plan = FoldPlan.of(unfitted, train)
+            shared[key] = FoldFits(plan, train, n_splits, label, segment_col) if plan else None
+        return shared[key] if shared[key] and shared[key].width <= MAX_SLOTS else None
+
+    if spec.penalty is not None and not stateless and (found := known()) is not None:
+        stats = found.stats[n_splits + 1]
+        maes = found.errors(spec, together or [])
+        results = [{"params": p, "cv_mae": sum(m[i] for m in maes) / n_splits} for i, p in enumerate(spec.grid)]
+        best = min(results, key=lambda r: r["cv_mae"])
+        regressor, fitted_stages = spec.build(best["params"], stats), found.stages()
+        final = found.fit(regressor) if fits_by_moments(regressor) else regressor.fit(PipelineModel(stages=fitted_stages).transform(train))
+        return PipelineModel(stages=[*fitted_stages, final]), best["params"], best["cv_mae"], results
+
     def solvable(rows):
         return spec.penalty is not None and slots_of(rows) <= MAX_SLOTS
 
@@ -243,7 +263,7 @@ def compare_models(train: DataFrame, test: DataFrame, n_train: int,
     for name in names:
         spec = reg[name]
         model, params, cv, _ = time_series_grid_search(train, n_train, stages, spec, n_splits,
-                                                      index_col, label, parallelism, segment_col, shared)
+                                                      index_col, label, parallelism, segment_col, shared, [reg[n] for n in names])
         # scored once: the metrics and the passes of the exact median read the pairs
         pred = model.transform(test).filter(~F.isnan("prediction")).select(label, "prediction").checkpoint(eager=True)
         if prefix:  # the saved model scores raw rows: stateless stages first
