@@ -85,8 +85,10 @@ def clip_lower(c: ColumnOrName, lower: float = 0) -> Column:
 
 
 def repair_duration(date_in: ColumnOrName, date_out: ColumnOrName) -> Column:
-    """Whole days from intake to completion, clipped at zero."""
-    return clip_lower(whole_days_between(date_in, date_out), 0)
+    """Whole days from intake to completion, clipped at zero. What is left of a day is cut off and not floored (below zero both end at
+    zero), so that the dates stand in the expression once a branch: filters over it would else be too long to be compiled."""
+    us = wall_clock_micros(date_out) - wall_clock_micros(date_in)
+    return clip_lower(F.call_function("div", us, F.lit(MICROS_PER_DAY)), 0)
 
 
 def calendar_features(c: ColumnOrName) -> dict[str, Column]:

@@ -9,6 +9,8 @@ Regex flags: Java's ``(?U)`` gives Unicode ``\\w \\s \\b \\d`` like Python's
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,7 +92,8 @@ def split_contractions(c: ColumnOrName, pairs=W.TOKEN_CONTRACTIONS) -> Column:
     word that is one of the contractions)."""
     words = "|".join(a + b for a, b in pairs)
     firsts = "|".join(sorted({a for a, _ in pairs}))
-    return F.regexp_replace(_col(c), rf"\b(?=(?:{words})\b)({firsts})", "$1 ")
+    begin = "".join(sorted({re.escape(a[:1]) for a, _ in pairs}))  # most characters are ruled out by this set alone
+    return F.regexp_replace(_col(c), rf"(?=[{begin}])\b(?=(?:{words})\b)({firsts})", "$1 ")
 
 
 def tokenize(c: ColumnOrName) -> Column:

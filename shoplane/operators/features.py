@@ -16,9 +16,10 @@ import math
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer,
-                                RegexTokenizer)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+                                RegexTokenizer, StandardScalerModel)
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, HasOutputCols
@@ -258,13 +259,12 @@ class PopStandardScalerModel(Model, HasInputCol, HasOutputCol, _RW):
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        mean = F.array(*[F.lit(float(x)) for x in self.getOrDefault("mean")])
-        std = F.array(*[F.lit(float(x)) for x in self.getOrDefault("std")])
-        arr = vector_to_array(col(self.getInputCol()))
-        scaled = F.zip_with(F.zip_with(arr, mean, lambda x, m: x - m), std, lambda d, s: d / s)
+        # Spark's scaler with these numbers: one loop over the slots instead of interpreted array functions
+        scaler = StandardScalerModel._create_from_java_class("org.apache.spark.ml.feature.StandardScalerModel", self.uid,
+                                                             *[_py2java(df.sparkSession.sparkContext, Vectors.dense(self.getOrDefault(p))) for p in ("std", "mean")])
+        scaler._set(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), withMean=True, withStd=True)
         meta = df.schema[self.getInputCol()].metadata
-        return df.withColumn(self.getOutputCol(),
-                             array_to_vector(scaled).alias(self.getOutputCol(), metadata=meta))
+        return scaler.transform(df.drop(self.getOutputCol())).withMetadata(self.getOutputCol(), meta)
 
 
 # ----------------------------------------------------------------- M4

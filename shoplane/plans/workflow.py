@@ -143,13 +143,15 @@ def train_duration_models(df: DataFrame, order: list[str], models=("Linear Regre
     train, test = time_split(rows, order, ratio)
     train, n_train = time_segments(train, order, n_splits, "_segment")
     path = scratch_path(df.sparkSession, "segments")
-    write_table(train, path, partition_by=["_segment"])  # a fold reads its own segments
+    registry = registry or REGISTRY
+    # linear models are counted for all folds in one pass; where others are fitted fold by fold, a fold reads its own segments
+    write_table(train, path, partition_by=[] if all(registry[m].penalty is not None for m in models) else ["_segment"])
     train = read_table(df.sparkSession, path)
 
     def stages(est):
         return duration_stages(est, max_features, categorical=categorical)
     return compare_models(train, test, n_train, stages, list(models), n_splits, label="label",
-                          registry=registry or REGISTRY, prefix=prefix, parallelism=parallelism, segment_col="_segment")
+                          registry=registry, prefix=prefix, parallelism=parallelism, segment_col="_segment")
 
 
 # ------------------------------------------------------------ 3.4 evaluate

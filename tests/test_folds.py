@@ -82,3 +82,32 @@ def test_constant_columns(spark, monkeypatch):
     want = time_series_grid_search(df, n, lambda est: duration_stages(est, 5), REGISTRY["Ridge Regression"], segment_col="_segment")
     assert [r["cv_mae"] for r in got[3]] == pytest.approx([r["cv_mae"] for r in want[3]], rel=1e-6)
     assert got[0].stages[-1].coefficients.toArray().tolist() == pytest.approx(want[0].stages[-1].coefficients.toArray().tolist(), rel=1e-6, abs=1e-9)
+
+
+def test_durations_of_computed_dates_are_compiled(spark):
+    import datetime as dt
+    import re
+    from shoplane.functions.dates import repair_duration
+    from shoplane.operators.filters import drop_nulls, remove_outliers
+    start = F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")
+    df = spark.range(200).select(F.when(F.col("id") > 0, F.timestamp_add("HOUR", F.col("id").cast("int") * 7 - 70, F.lit(dt.datetime(1995, 1, 1)))).cast("timestamp_ntz").alias("d"), "id")
+    days = F.floor(F.greatest(repair_duration(start, F.col("d")), F.lit(0)) * F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.5))
+    df = df.select("id", "d", start.alias("Date In"), (start + F.make_dt_interval(days.cast("int"))).alias("Date"))
+    rows = df.withColumn("Repair Duration", repair_duration(F.col("`Date In`"), F.col("Date")))
+    kept = remove_outliers(drop_nulls(rows, ["Repair Duration"]), "Repair Duration", 3.0, stats=(10.0, 1000.0))
+    text = df._sc._jvm.PythonSQLUtils.explainString(kept._jdf.queryExecution(), "codegen")
+    # the JVM leaves methods of more than 8,000 bytes uncompiled
+    assert all(int(size) < 8000 for size in re.findall(r"maxMethodCodeSize:(\d+)", text))
+    assert {r.id: r["Repair Duration"] for r in kept.collect()} == {i: int(max((i * 7 - 70) // 24, 0) * (1.0 if i % 2 == 0 else 0.5)) if i else 0 for i in range(200)}
+    plain = spark.range(1, 200).select(repair_duration(start, F.timestamp_add("HOUR", F.col("id").cast("int") * 7 - 700, F.lit(dt.datetime(1995, 1, 1))).cast("timestamp_ntz")).alias("x"), "id")
+    assert {r.id: r.x for r in plain.collect()} == {i: max((i * 7 - 700) // 24, 0) for i in range(1, 200)}
+    assert spark.range(1).select(repair_duration(start, F.lit(None).cast("timestamp_ntz"))).first()[0] is None
+
+
+def test_scaling_is_no_array_function(spark):
+    from pyspark.ml.linalg import Vectors
+    from shoplane.operators.features import PopStandardScalerModel
+    df = spark.createDataFrame([(Vectors.dense([3.0, 5.0]),), (Vectors.sparse(2, [1], [7.0]),)], ["x"])
+    out = PopStandardScalerModel(inputCol="x", outputCol="z", mean=[1.0, 5.0], std=[2.0, 1.0]).transform(df)
+    assert "zip_with" not in df._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "extended")
+    assert [r.z.toArray().tolist() for r in out.collect()] == [[1.0, 0.0], [-0.5, 2.0]]
