@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import CountVectorizerModel, Imputer, OneHotEncoder, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -407,7 +408,11 @@ class FoldFits:
 
     def fit(self, regressor: LinearRegression):
         """The regressor fitted on all rows: by the normal equations, which know the rows by their means and products only. Points around the means
-        along the axes of the products have the same ones, each with the same weight."""
+        along the axes of the products have the same ones, each with the same weight.
+
+        Unpenalised equations of dependent features (every category column's slots add up to 1) have many solutions. Spark takes the smallest, by iterations,
+        if its elimination meets a pivot that isn't positive; rounding decides that, and a tiny positive one lets the coefficients run off. A slot that
+        is always 0 makes sure of the pivot; its coefficient is left out again."""
         moments = self.moments[self.folds[-1]][0]
         s, mean = moments.sums[1:, 1:] / moments.n, moments.shift
         free = np.flatnonzero(np.diag(s) > 0)
@@ -418,8 +423,23 @@ class FoldFits:
             half = (axes[:, keep] * np.sqrt(size[keep] * keep.sum())).T
             points = np.tile(mean, (2 * len(half), 1))
             points[:, free] += np.vstack([half, -half])
-        rows = self.train.sparkSession.createDataFrame([(Vectors.dense(p[:-1]), float(p[-1])) for p in points], [regressor.getFeaturesCol(), regressor.getLabelCol()])
-        return regressor.fit(rows)
+        dependent = regressor.getRegParam() == 0 and _dependent(s[:-1, :-1])
+        rows = self.train.sparkSession.createDataFrame([(Vectors.dense([*p[:-1], *[0.0] * dependent]), float(p[-1])) for p in points],
+                                                       [regressor.getFeaturesCol(), regressor.getLabelCol()])
+        model = regressor.fit(rows)
+        if not dependent:
+            return model
+        weights = _py2java(rows.sparkSession.sparkContext, Vectors.dense(model.coefficients.toArray()[:-1]))
+        return regressor._copyValues(LinearRegressionModel._create_from_java_class("org.apache.spark.ml.regression.LinearRegressionModel", model.uid, weights, float(model.intercept)))
+
+
+def _dependent(s: np.ndarray) -> bool:
+    """Has some feature no variance, or is it given by others, to rounding?"""
+    d = np.diag(s)
+    if not len(d) or (d <= 0).any():
+        return bool(len(d))
+    size = np.linalg.eigvalsh(s / np.sqrt(np.outer(d, d)))
+    return bool(size[0] <= 1e-11 * size[-1])
 
 
 def fits_by_moments(regressor) -> bool:

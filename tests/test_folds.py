@@ -111,3 +111,22 @@ def test_scaling_is_no_array_function(spark):
     out = PopStandardScalerModel(inputCol="x", outputCol="z", mean=[1.0, 5.0], std=[2.0, 1.0]).transform(df)
     assert "zip_with" not in df._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "extended")
     assert [r.z.toArray().tolist() for r in out.collect()] == [[1.0, 0.0], [-0.5, 2.0]]
+
+
+def test_dependent_slots_get_the_smallest_coefficients(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    df, n = _rows(spark, 150)
+    df = df.checkpoint()
+    plan = folds.FoldPlan.of(duration_stages(REGISTRY["Linear Regression"].build({}, {}), 5).getStages()[:-1], df)
+    fits = folds.FoldFits(plan, df, 5, "label", "_segment")
+    moments = fits.moments[6][0]
+    assert folds._dependent(moments.sums[1:-1, 1:-1])
+    model = fits.fit(REGISTRY["Linear Regression"].build({}, {}))
+    x = np.array([r[0] for r in PipelineModel(stages=fits.stages()).transform(df).select(vector_to_array("features")).collect()])
+    y = np.array([r[0] for r in PipelineModel(stages=fits.stages()).transform(df).select("label").collect()])
+    std = np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    want = np.linalg.lstsq((x - x.mean(axis=0)) / std, y - y.mean(), rcond=1e-9)[0] / std
+    assert model.coefficients.toArray().tolist() == pytest.approx(want.tolist(), abs=1e-3)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    loaded = type(model).load(str(tmp_path / "m"))
+    assert loaded.coefficients == model.coefficients and loaded.getFeaturesCol() == "features" and loaded.getTol() == 1e-12
