@@ -410,12 +410,14 @@ class FoldFits:
         """The regressor fitted on all rows: by the normal equations, which know the rows by their means and products only. Points around the means
         along the axes of the products have the same ones, each with the same weight.
 
-        Unpenalised equations of dependent features (every category column's slots add up to 1) have many solutions. Spark takes the smallest, by iterations,
-        if its elimination meets a pivot that isn't positive; rounding decides that, and a tiny positive one lets the coefficients run off. A slot that
-        is always 0 makes sure of the pivot; its coefficient is left out again."""
+        Slots that never change have no part in it: their coefficients are 0. With them, Spark's elimination meets a zero pivot and turns to iterations.
+        Unpenalised equations of dependent features (every category column's slots add up to 1) have many solutions. Spark takes the smallest, by
+        iterations, if a pivot isn't positive; rounding decides that, and a tiny positive one lets the coefficients run off. A slot that
+        is always 0 makes sure of the pivot."""
         moments = self.moments[self.folds[-1]][0]
         s, mean = moments.sums[1:, 1:] / moments.n, moments.shift
         free = np.flatnonzero(np.diag(s) > 0)
+        slots = free[free < len(s) - 1]
         points = np.tile(mean, (2, 1))
         if len(free):
             size, axes = np.linalg.eigh(s[np.ix_(free, free)])
@@ -423,21 +425,19 @@ class FoldFits:
             half = (axes[:, keep] * np.sqrt(size[keep] * keep.sum())).T
             points = np.tile(mean, (2 * len(half), 1))
             points[:, free] += np.vstack([half, -half])
-        dependent = regressor.getRegParam() == 0 and _dependent(s[:-1, :-1])
-        rows = self.train.sparkSession.createDataFrame([(Vectors.dense([*p[:-1], *[0.0] * dependent]), float(p[-1])) for p in points],
+        held = not len(slots) or regressor.getRegParam() == 0 and _dependent(s[np.ix_(slots, slots)])
+        rows = self.train.sparkSession.createDataFrame([(Vectors.dense([*p[slots], *[0.0] * held]), float(p[-1])) for p in points],
                                                        [regressor.getFeaturesCol(), regressor.getLabelCol()])
         model = regressor.fit(rows)
-        if not dependent:
-            return model
-        weights = _py2java(rows.sparkSession.sparkContext, Vectors.dense(model.coefficients.toArray()[:-1]))
-        return regressor._copyValues(LinearRegressionModel._create_from_java_class("org.apache.spark.ml.regression.LinearRegressionModel", model.uid, weights, float(model.intercept)))
+        weights = np.zeros(len(s) - 1)
+        weights[slots] = model.coefficients.toArray()[:len(slots)]
+        java = [_py2java(rows.sparkSession.sparkContext, Vectors.dense(weights)), float(model.intercept)]
+        return regressor._copyValues(LinearRegressionModel._create_from_java_class("org.apache.spark.ml.regression.LinearRegressionModel", model.uid, *java))
 
 
 def _dependent(s: np.ndarray) -> bool:
-    """Has some feature no variance, or is it given by others, to rounding?"""
+    """Is some feature given by the others, to rounding? (Of features that vary.)"""
     d = np.diag(s)
-    if not len(d) or (d <= 0).any():
-        return bool(len(d))
     size = np.linalg.eigvalsh(s / np.sqrt(np.outer(d, d)))
     return bool(size[0] <= 1e-11 * size[-1])
 

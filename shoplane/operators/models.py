@@ -169,10 +169,10 @@ def time_series_grid_search(train: DataFrame, n: int, stages: Callable[[Estimato
         """The ``FoldFits`` of stages that it can count, for linear models; else None."""
         unfitted = features({"n": 1, "std_y_pop": 1.0, "std_y_samp": 1.0})
         key = ("folds", label, segment_col, n_splits, _set_up(unfitted))
-        if key not in shared:
-            plan = FoldPlan.of(unfitted, train)
-            shared[key] = FoldFits(plan, train, n_splits, label, segment_col) if plan else None
-        return shared[key] if shared[key] and shared[key].width <= MAX_SLOTS else None
+        plan = FoldPlan.of(unfitted, train)
+        if plan and key not in shared:
+            shared[key] = FoldFits(plan, train, n_splits, label, segment_col)
+        return shared[key] if plan and shared[key].width <= MAX_SLOTS else None
 
     if spec.penalty is not None and not stateless and (found := known()) is not None:
         stats = found.stats[n_splits + 1]
